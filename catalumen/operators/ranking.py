@@ -98,7 +98,8 @@ def exact_percentiles(
     limits = counted.groupBy(group).agg(
         F.percentile_approx(value, cuts, F.lit(10_000)).alias("__limits"),
         F.sum("__n").alias("__total"))
-    ranged = counted.join(limits, group).withColumn(
+    # One row per group, and groups are few by contract.
+    ranged = counted.join(F.broadcast(limits), group).withColumn(
         "__range", F.size(F.filter("__limits", lambda x: x < F.col(value)))).drop("__limits")
     per_range = ranged.groupBy(group, "__range").agg(F.sum("__n").alias("__m"))
     before = per_range.select(
