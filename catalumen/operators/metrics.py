@@ -101,9 +101,10 @@ def rank_models(long: DataFrame, model: str = "model") -> DataFrame:
 def best_setting(summaries: DataFrame, setting: str, first: tuple[str, ...]) -> DataFrame:
     """One row: the setting with the best metrics, compared in the given order.
 
-    The lowest setting wins a full tie.
+    The lowest setting wins a full tie. Metrics are compared to twelve digits, so
+    that two settings with the same counts do tie whatever the order of summation.
     """
-    return summaries.orderBy(*[F.col(m).desc() for m in first], F.col(setting)).limit(1)
+    return summaries.orderBy(*[F.round(m, 12).desc() for m in first], F.col(setting)).limit(1)
 
 
 def metric_deltas(long: DataFrame, model: str, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries; importing this package fills the registry."""
 
-from catalumen.plans import reliability  # noqa: F401
+from catalumen.plans import multiview, reliability  # noqa: F401
 from catalumen.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
