@@ -13,8 +13,9 @@ from pyspark.ml.stat import Summarizer
 
 from catalumen.functions import vectors
 
-# Largest model shipped to every task: 8 million doubles are 64 MB.
-MAX_MODEL_VALUES = 8_000_000
+# Largest model shipped to every task: 4000 classes of 2048 doubles are 66 MB.
+MAX_CLASSES = 4_000
+MAX_WIDTH = 2_048
 BLOCK_SHARES = 64
 LOGIT_SCALE = 80.0
 
@@ -45,16 +46,15 @@ class PrototypeModel:
 
         Larger class sets use :func:`blocked_distances` and stay distributed.
         """
-        shape = prototypes.agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.size("centre")).alias("d"),
-            F.min(F.size("centre")).alias("d_min")).first()
-        if not shape["n"]:
+        width_checked = F.when(F.size("centre") <= MAX_WIDTH, F.col("centre")).alias("centre")
+        rows = prototypes.select("class", width_checked).limit(MAX_CLASSES + 1).collect()
+        if not rows:
             raise ValueError("no class has a training record")
-        if shape["d"] != shape["d_min"]:
-            raise ValueError("prototypes differ in width")
-        if shape["n"] * shape["d"] > MAX_MODEL_VALUES:
+        if len(rows) > MAX_CLASSES or any(row["centre"] is None for row in rows):
             raise ValueError("too many prototypes for one task; use blocked_distances")
-        rows = prototypes.select("class", "centre").orderBy("class").collect()
+        if len({len(row["centre"]) for row in rows}) != 1:
+            raise ValueError("prototypes differ in width")
+        rows.sort(key=lambda row: row["class"])
         found = [row["class"] for row in rows]
         missing = sorted(set(required or []) - set(found))
         if missing:

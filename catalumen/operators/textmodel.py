@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalumen.functions import text
-from catalumen.operators.joins import join_spread
+from catalumen.operators.joins import MAX_HOT_KEYS, join_spread
 
 MAX_CLASSES = 20_000
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False) -> DataFrame:
-    """``(key, term, tf)``; repeated terms are added up before the shuffle."""
-    base = docs.select(key, tokens.alias("__tokens"))
+def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
+                keep: list[str] | None = None) -> DataFrame:
+    """``(key, keep..., term, tf)``; repeated terms are added up before the shuffle.
+
+    ``keep`` names columns that depend on the key only, such as its split.
+    """
+    own = [key, *(keep or [])]
+    base = docs.select(*own, tokens.alias("__tokens"))
     terms = F.concat("__tokens", text.bigrams(F.col("__tokens"))) if with_bigrams else F.col("__tokens")
-    return base.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(
+    return base.select(*own, F.explode(terms).alias("term")).groupBy(*own, "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
@@ -28,11 +33,18 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None)
     return terms
 
 
+def hot_terms(terms: DataFrame) -> DataFrame:
+    """Salt counts for the join on ``term``, read off the document frequencies."""
+    total = terms.agg(F.sum("df")).scalar()
+    return terms.filter(F.col("df") * F.lit(MAX_HOT_KEYS) > total).select(
+        "term", F.ceil(F.col("df") * F.lit(MAX_HOT_KEYS) / total).cast("int").alias("__salts"))
+
+
 def tfidf(counts: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
     """``(key, term, weight)``: smoothed idf, optional ``1 + ln(tf)``, unit length per record."""
     idf = terms.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
-    raw = join_spread(counts, idf, ["term"], "inner").select(key, "term", (tf * F.col("idf")).alias("raw"))
+    raw = join_spread(counts, idf, ["term"], "inner", hot=hot_terms(terms)).select(key, "term", (tf * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
 
@@ -44,7 +56,7 @@ def fit_naive_bayes(counts: DataFrame, terms: DataFrame, labels: DataFrame, key:
     pairs that occur in training.
     """
     labelled = counts.join(labels.select(key, F.col(label).alias("class")), key)
-    in_vocabulary = join_spread(labelled, terms.select("term"), ["term"], "inner")
+    in_vocabulary = join_spread(labelled, terms.select("term"), ["term"], "inner", hot=hot_terms(terms))
     pairs = in_vocabulary.groupBy("term", "class").agg(F.sum("tf").alias("n"))
     size = terms.agg(F.count(F.lit(1)).alias("v")).scalar()
     totals = pairs.groupBy("class").agg(F.sum("n").alias("mass"))
@@ -66,7 +78,8 @@ def score_naive_bayes(
     A record's share of the unseen constants comes from its length; the rest is
     a sparse join on the term, added up before the shuffle.
     """
-    known = join_spread(counts, terms.select("term"), ["term"], "inner")
+    hot = hot_terms(terms)
+    known = join_spread(counts, terms.select("term"), ["term"], "inner", hot=hot)
     lengths = known.groupBy(key).agg(F.sum("tf").alias("length"))
     checked = classes.agg(F.sort_array(F.collect_list(F.struct("class", "prior", "unseen"))).alias("c")).select(
         F.when(F.size("c") <= MAX_CLASSES, F.col("c")).otherwise(
@@ -75,7 +88,7 @@ def score_naive_bayes(
     base = docs.select(key).join(lengths, key, "left").select(
         key, F.coalesce("length", F.lit(0)).alias("length"), F.explode(checked).alias("c")
     ).select(key, "c.class", (F.col("c.prior") + F.col("length") * F.col("c.unseen")).alias("score"))
-    gains = join_spread(counts, weights, ["term"], "inner").select(
+    gains = join_spread(counts, weights, ["term"], "inner", hot=hot).select(
         key, "class", (F.col("tf") * F.col("gain")).alias("score"))
     return base.unionByName(gains).groupBy(key, "class").agg(F.sum("score").alias("score"))
 

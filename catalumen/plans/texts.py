@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions import jsontext, text
 from catalumen.operators import audit, metrics, profile, textmodel
+from catalumen.session import cut_lineage
 from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table
 
 SQL_CLEAN = f"trim(regexp_replace(text, '{SQL_SPACES}', ' ', 'g'))"
@@ -216,14 +217,14 @@ def tokens_for(variant: str):
 
 
 def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
+    """Texts are tokenised once; vocabulary and weights both start from the written counts."""
     options = TFIDF_VARIANTS[variant]
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
-    train = docs.filter(F.col("split") == "train")
-    counts = textmodel.term_counts(docs, "doc_id", tokens_for(variant), options["bigrams"])
-    train_counts = textmodel.term_counts(train, "doc_id", tokens_for(variant), options["bigrams"])
-    terms = textmodel.vocabulary(train_counts, options["min_df"], options["cap"])
-    n_docs = train.agg(F.count(F.lit(1))).scalar()
-    return textmodel.tfidf(counts, "doc_id", terms, n_docs, options["sublinear"])
+    counts = cut_lineage(textmodel.term_counts(docs, "doc_id", tokens_for(variant), options["bigrams"], ["split"]))
+    terms = cut_lineage(textmodel.vocabulary(
+        counts.filter(F.col("split") == "train"), options["min_df"], options["cap"]))
+    n_docs = docs.filter(F.col("split") == "train").agg(F.count(F.lit(1))).scalar()
+    return textmodel.tfidf(counts.drop("split"), "doc_id", terms, n_docs, options["sublinear"])
 
 
 def _register_tfidf(variant: str) -> None:
@@ -272,20 +273,21 @@ sc AS (SELECT b.{key}, b.cls, b.s + coalesce(g.s, 0) AS score FROM base b LEFT J
 
 
 def nb_model(spark: SparkSession, sf_dir: str):
+    """Labels, written term counts of the labelled documents, vocabulary and fitted model."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumn("split", split_of("doc_id"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
-    train = labels.filter(F.col("split") == "train")
-    counts = textmodel.term_counts(docs, "doc_id", text.word_tokens(F.col("text")))
-    train_counts = counts.join(train.select("doc_id"), "doc_id", "left_semi")
-    terms = textmodel.vocabulary(train_counts, 2)
-    classes, weights = textmodel.fit_naive_bayes(train_counts, terms, train, "doc_id", "quality")
-    return labels, docs, counts, terms, classes, weights
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
+    counts = cut_lineage(textmodel.term_counts(docs, "doc_id", text.word_tokens(F.col("text")), keep=["split"]))
+    train_counts = counts.filter(F.col("split") == "train").drop("split")
+    terms = cut_lineage(textmodel.vocabulary(train_counts, 2))
+    classes, weights = textmodel.fit_naive_bayes(
+        train_counts, terms, labels.filter(F.col("split") == "train"), "doc_id", "quality")
+    return labels, counts, terms, classes, cut_lineage(weights)
 
 
 def nb_predictions(spark, sf_dir) -> DataFrame:
-    labels, docs, counts, terms, classes, weights = nb_model(spark, sf_dir)
+    labels, counts, terms, classes, weights = nb_model(spark, sf_dir)
     held_out = labels.filter(F.col("split") != "train")
-    target_counts = counts.join(held_out.select("doc_id"), "doc_id", "left_semi")
+    target_counts = counts.filter(F.col("split") != "train").drop("split")
     scores = textmodel.score_naive_bayes(held_out, target_counts, "doc_id", terms, classes, weights)
     return held_out.join(textmodel.predict(scores, "doc_id"), "doc_id")
 
@@ -320,7 +322,7 @@ e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id)) AS e FROM sc
 SELECT item_id, cls AS class, round(e / sum(e) OVER (PARTITION BY item_id), 6) AS probability FROM e""")
 def nb_transfer(spark, sf_dir):
     """The model of one table scores the records of another; the vectors are features there."""
-    _, _, _, terms, classes, weights = nb_model(spark, sf_dir)
+    _, _, terms, classes, weights = nb_model(spark, sf_dir)
     targets = table(spark, sf_dir, "benchmark", "item_id", "text")
     counts = textmodel.term_counts(targets, "item_id", text.word_tokens(F.col("text")))
     scores = textmodel.score_naive_bayes(targets, counts, "item_id", terms, classes, weights)

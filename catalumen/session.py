@@ -53,10 +53,16 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder so later plans start from it."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write a frame to the shared folder and go on from the written table.
+
+    Later plans read it column by column instead of repeating the work, and a
+    lost executor only costs the tasks that read from the table.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
