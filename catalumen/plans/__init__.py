@@ -1,6 +1,6 @@
 """Named queries; importing this package fills the registry."""
 
-from catalumen.plans import catalogue, multiview, reliability, texts  # noqa: F401
+from catalumen.plans import catalogue, multiview, reliability, streams, texts  # noqa: F401
 from catalumen.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
