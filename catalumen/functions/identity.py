@@ -31,8 +31,10 @@ def record_id_is_well_formed(column: Column, prefix: str) -> Column:
 def bucket(key: Column, seed: str = SPLIT_SEED) -> Column:
     """Unsigned 64-bit head of SHA-256 over ``seed|key``, modulo 100000."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string")), 256)
-    head = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
-    return (head % F.lit(BUCKETS)).cast("int")
+    # The 64 bits are taken as two halves, so the remainder stays within a long.
+    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
+    return ((high * F.lit(2**32 % BUCKETS) + low) % F.lit(BUCKETS)).cast("int")
 
 
 def three_way_split(bucket_column: Column) -> Column:
@@ -58,10 +60,10 @@ def content_hash(columns: dict[str, Column]) -> Column:
 
 
 def digest_lanes(digest: Column) -> list[Column]:
-    """Four 60-bit integers from a 64-digit hex digest, as exact decimals."""
+    """Two 60-bit integers from a 64-digit hex digest, as exact decimals."""
     return [
         F.conv(F.substring(digest, 1 + 15 * lane, 15), 16, 10).cast("decimal(20,0)")
-        for lane in range(4)
+        for lane in range(2)
     ]
 
 

@@ -36,9 +36,7 @@ def word_tokens(text: Column) -> Column:
 
 def space_tokens(text: Column) -> Column:
     """Non-space tokens; an empty or missing text has none."""
-    squeezed = squeeze_spaces(text)
-    empty = F.array().cast("array<string>")
-    return F.when(F.coalesce(squeezed, F.lit("")) == "", empty).otherwise(F.split(squeezed, " "))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITESPACE_RUN), "")
 
 
 def squeeze_values(items: Column) -> Column:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions import identity
-from catalumen.operators.joins import broadcast_if_small, join_spread
+from catalumen.operators.joins import MAX_HOT_KEYS, broadcast_if_small, join_spread
 from catalumen.session import cut_lineage
 
 MEMBER_KEY_LIMIT = 100_000
 MAX_ROUNDS = 100
+# Below this many edges one task can hold them all, so a hot node needs no salting.
+ONE_TASK_EDGES = 1_000_000
 
 
 def sharing_edges(references: DataFrame, record: str, item: str) -> DataFrame:
@@ -34,22 +36,38 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of a node to the smallest node around it."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    larger = both.filter(F.col("v") > F.col("u"))
-    return join_spread(larger, smallest, ["u"], "inner").select(
-        F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
+def _look_up(edges: DataFrame, least: DataFrame, node: str, how: str, total: int) -> DataFrame:
+    """Join the edges to one row per node, salted once they no longer fit one task.
+
+    ``total`` is the number of edges, known from the last round.
+    """
+    if total <= ONE_TASK_EDGES:
+        return edges.join(least, node, how)
+    counts = edges.groupBy(node).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.filter(F.col("__n") * F.lit(MAX_HOT_KEYS) > F.lit(total)).select(
+        node, F.ceil(F.col("__n") * F.lit(MAX_HOT_KEYS) / F.lit(total)).cast("int").alias("__salts"))
+    return join_spread(edges, least, [node], how, hot=hot)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Connect every larger neighbour of a node to the smallest node around it.
+
+    Edges point from the larger to the smaller end, so the smallest node around
+    ``v`` is the least end of its own edges, or ``v`` itself.
+    """
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    moved = _look_up(edges, least, "v", "left", total)
+    return moved.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect the smaller neighbours of a node, and the node, to the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = join_spread(edges, smallest, ["u"], "inner").select(
-        F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).filter(
-        F.col("u") != F.col("v")).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _look_up(edges, least, "u", "inner", total)
+    # The node's own edge to its least neighbour, and one edge per other neighbour.
+    pair = F.when(F.col("v") == F.col("m"), F.struct("u", F.col("m").alias("v"))).otherwise(
+        F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return moved.select(pair.alias("e")).select("e.u", "e.v").distinct()
 
 
 def connected_components(
@@ -64,7 +82,7 @@ def connected_components(
     edges = cut_lineage(sharing_edges(references, record, item))
     seen = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges, seen[0])), seen[0]))
         now = _fingerprint(edges)
         if now == seen:
             break

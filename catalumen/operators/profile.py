@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 
 from catalumen.functions import bins, identity, text
 from catalumen.operators.ranking import exact_percentiles
+from catalumen.session import cut_lineage
 
 
 def describe(values: DataFrame, group: str, value: str, fractions: Sequence[float]) -> DataFrame:
-    """Count, range, mean, population deviation and exact percentiles per group."""
-    plain = values.groupBy(group).agg(
-        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    return plain.join(exact_percentiles(values, group, value, fractions), group)
+    """Count, range, mean, population deviation and exact percentiles per group.
+
+    The input is read once: equal values are counted, the counts are written,
+    and every statistic comes from them. ``group`` has few distinct values.
+    """
+    counted = cut_lineage(values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(
+        F.count(F.lit(1)).alias("n")), "value-counts")
+    n, v = F.col("n"), F.col(value)
+    plain = counted.groupBy(group).agg(
+        F.sum(n).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
+        (F.sum(v * n) / F.sum(n)).alias("mean"))
+    # One row per group on the small side of each join.
+    spread = counted.join(F.broadcast(plain.select(group, "mean")), group).groupBy(group).agg(
+        F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum(n)).alias("std"))
+    return plain.join(spread, group).join(exact_percentiles(counted, group, value, "n", fractions), group)
 
 
 def correlation(x: Column, y: Column) -> Column:

@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+MIN_RANGES, MAX_RANGES = 64, 10_000
+
+
+def range_count(df: DataFrame) -> int:
+    """A few ranges per core of the cluster, within fixed bounds."""
+    return min(MAX_RANGES, max(MIN_RANGES, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _range_limits(value: str, ranges: int) -> Column:
+    """Aggregate: sketched quantiles that cut the values into about equal ranges."""
+    return F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))
+
+
+def _range_of(limits: Column, value: Column, ranges: int) -> Column:
+    """Number of limits below a value, in two steps of about sqrt(ranges) comparisons."""
+    step = max(1, int(math.sqrt(ranges)))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1), F.lit(step)), lambda i: F.get(limits, i - 1))
+    block = F.greatest(F.size(F.filter(coarse, lambda x: x < value)) - 1, F.lit(0)) * step
+    return block + F.size(F.filter(F.slice(limits, block + 1, F.lit(step)), lambda x: x < value))
 
 
 def _numbered(df: DataFrame, bucket: str, order: Sequence[Column | str], name: str) -> DataFrame:
     """0-based rank: rank inside the bucket plus the rows of all earlier buckets."""
     counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
-    # At most one row per bucket, and the callers fix the number of buckets.
+    # At most one row per bucket, and the callers bound the number of buckets (65536).
     before = counts.select(
         bucket,
         (F.sum("__n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
@@ -34,10 +53,10 @@ def rank_by_number(df: DataFrame, key: str, name: str = "row_index") -> DataFram
     Range limits come from a quantile sketch; every row is then ranked inside
     its own range, so the work is spread over the ranges.
     """
-    fractions = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    limits = df.agg(F.percentile_approx(key, fractions, F.lit(10_000)).alias("__limits")).scalar()
+    ranges = range_count(df)
+    limits = df.agg(_range_limits(key, ranges).alias("__limits")).scalar()
     ranged = df.withColumn("__limits", limits).withColumn(
-        "__range", F.size(F.filter("__limits", lambda x: x < F.col(key)))).drop("__limits")
+        "__range", _range_of(F.col("__limits"), F.col(key), ranges)).drop("__limits")
     return _numbered(ranged, "__range", [key], name)
 
 
@@ -45,7 +64,7 @@ def rank_by_hash(df: DataFrame, key: str, seed: str, name: str = "row_index") ->
     """Dense 0-based row number in the order of SHA-256 over ``seed|key``."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
     hashed = df.withColumn("__digest", digest).withColumn(
-        "__head", F.conv(F.substring("__digest", 1, 3), 16, 10).cast("int"))
+        "__head", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"))
     return _numbered(hashed, "__head", ["__digest", key], name).drop("__digest")
 
 
@@ -84,34 +103,33 @@ def file_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def exact_percentiles(
-    values: DataFrame, group: str, value: str, fractions: Sequence[float]
+    counted: DataFrame, group: str, value: str, n: str, fractions: Sequence[float]
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, as one array column ``percentiles``.
 
-    Equal values are counted before any shuffle, the counted values are ranked
-    in sketch-chosen ranges, and only the values at the wanted ranks are kept.
-    ``group`` must have few distinct values (a signal name, a split).
+    ``counted`` holds each value of a group once with its count ``n``, so a value
+    that fills a third of all rows is one row here. The values are ranked in
+    sketch-chosen ranges and only those at the wanted ranks are kept. ``group``
+    must have few distinct values (a signal name, a split).
     """
-    counted = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(
-        F.count(F.lit(1)).alias("__n"))
-    cuts = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    ranges = range_count(counted)
     limits = counted.groupBy(group).agg(
-        F.percentile_approx(value, cuts, F.lit(10_000)).alias("__limits"),
-        F.sum("__n").alias("__total"))
+        _range_limits(value, ranges).alias("__limits"), F.sum(n).alias("__total"))
     # One row per group, and groups are few by contract.
     ranged = counted.join(F.broadcast(limits), group).withColumn(
-        "__range", F.size(F.filter("__limits", lambda x: x < F.col(value)))).drop("__limits")
-    per_range = ranged.groupBy(group, "__range").agg(F.sum("__n").alias("__m"))
+        "__range", _range_of(F.col("__limits"), F.col(value), ranges)).drop("__limits")
+    per_range = ranged.groupBy(group, "__range").agg(F.sum(n).alias("__m"))
     before = per_range.select(
         group, "__range",
         (F.sum("__m").over(
             Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("__m")).alias("__before"))
-    last = F.sum("__n").over(
+    last = F.sum(n).over(
         Window.partitionBy(group, "__range").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before") - 1
-    ranked = ranged.join(before, [group, "__range"]).withColumn("__last", last).withColumn(
-        "__first", F.col("__last") - F.col("__n") + 1)
+    # One row per group and range on the right.
+    ranked = ranged.join(F.broadcast(before), [group, "__range"]).withColumn("__last", last).withColumn(
+        "__first", F.col("__last") - F.col(n) + 1)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__first") <= rank) & (rank <= F.col("__last")), F.col(value)))

@@ -49,15 +49,17 @@ def tfidf(counts: DataFrame, key: str, terms: DataFrame, n_docs: Column, subline
     return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
 
 
-def fit_naive_bayes(counts: DataFrame, terms: DataFrame, labels: DataFrame, key: str, label: str):
-    """Two small frames: per-class constants and the seen ``(term, class)`` weights.
-
-    Unseen pairs all share their class's constant, so the model holds only
-    pairs that occur in training.
+def fit_naive_bayes(
+    counts: DataFrame, terms: DataFrame, labels: DataFrame, label: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Per-class constants ``(class, prior, unseen)`` and ``(term, gains)`` weights.
+
+    ``counts`` are training term counts that carry ``label``; ``labels`` holds
+    one row per training record. Unseen pairs all share their class's constant,
+    so a term only lists the classes it occurs with.
     """
-    labelled = counts.join(labels.select(key, F.col(label).alias("class")), key)
-    in_vocabulary = join_spread(labelled, terms.select("term"), ["term"], "inner", hot=hot_terms(terms))
-    pairs = in_vocabulary.groupBy("term", "class").agg(F.sum("tf").alias("n"))
+    pairs = counts.groupBy("term", F.col(label).alias("class")).agg(F.sum("tf").alias("n")).join(
+        terms.select("term"), "term", "left_semi")
     size = terms.agg(F.count(F.lit(1)).alias("v")).scalar()
     totals = pairs.groupBy("class").agg(F.sum("n").alias("mass"))
     priors = labels.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("docs"))
@@ -66,7 +68,9 @@ def fit_naive_bayes(counts: DataFrame, terms: DataFrame, labels: DataFrame, key:
         "class",
         F.log(F.col("docs") / n_docs).alias("prior"),
         (-F.log(F.coalesce("mass", F.lit(0)) + size)).alias("unseen"))
-    weights = pairs.select("term", "class", F.log(F.col("n") + 1).alias("gain"))
+    # At most one entry per class and term; score_naive_bayes bounds the classes.
+    weights = pairs.groupBy("term").agg(F.collect_list(
+        F.struct("class", F.log(F.col("n") + 1).alias("gain"))).alias("gains"))
     return classes, weights
 
 
@@ -75,26 +79,36 @@ def score_naive_bayes(
 ) -> DataFrame:
     """``(key, class, score)``: joint log-likelihood for every record and class.
 
-    A record's share of the unseen constants comes from its length; the rest is
-    a sparse join on the term, added up before the shuffle.
+    One join on the term. What a record gains per class and its length (the
+    entry without a class) are added up together, map-side first.
     """
-    hot = hot_terms(terms)
-    known = join_spread(counts, terms.select("term"), ["term"], "inner", hot=hot)
-    lengths = known.groupBy(key).agg(F.sum("tf").alias("length"))
-    checked = classes.agg(F.sort_array(F.collect_list(F.struct("class", "prior", "unseen"))).alias("c")).select(
+    class_type = classes.schema["class"].dataType
+    nothing = F.lit(None).cast(class_type)
+    matched = join_spread(counts, weights, ["term"], "inner", hot=hot_terms(terms))
+    entries = matched.select(key, "tf", F.explode(F.concat(
+        "gains", F.array(F.struct(nothing.alias("class"), F.lit(0.0).alias("gain"))))).alias("g")
+    ).select(key, "g.class", "tf", (F.col("tf") * F.col("g.gain")).alias("gain"))
+    every_record = docs.select(
+        key, nothing.alias("class"), F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("gain"))
+    sums = entries.unionByName(every_record).groupBy(key, "class").agg(
+        F.sum("tf").alias("length"), F.sum("gain").alias("gain"))
+    per_record = sums.groupBy(key).agg(
+        F.max(F.when(F.col("class").isNull(), F.col("length"))).alias("length"),
+        F.map_from_entries(F.collect_list(
+            F.when(F.col("class").isNotNull(), F.struct("class", "gain")))).alias("gains"))
+    listed = F.sort_array(F.collect_list(F.struct("class", "prior", "unseen")))
+    checked = classes.agg(listed.alias("c")).select(
         F.when(F.size("c") <= MAX_CLASSES, F.col("c")).otherwise(
             F.raise_error(F.lit("too many classes to score densely")).cast(
-                "array<struct<class:int,prior:double,unseen:double>>")).alias("c")).scalar()
-    base = docs.select(key).join(lengths, key, "left").select(
-        key, F.coalesce("length", F.lit(0)).alias("length"), F.explode(checked).alias("c")
-    ).select(key, "c.class", (F.col("c.prior") + F.col("length") * F.col("c.unseen")).alias("score"))
-    gains = join_spread(counts, weights, ["term"], "inner", hot=hot).select(
-        key, "class", (F.col("tf") * F.col("gain")).alias("score"))
-    return base.unionByName(gains).groupBy(key, "class").agg(F.sum("score").alias("score"))
+                f"array<struct<class:{class_type.simpleString()},prior:double,unseen:double>>"))).scalar()
+    return per_record.withColumn("c", F.explode(checked)).select(
+        key, "c.class",
+        (F.col("c.prior") + F.col("length") * F.col("c.unseen")
+         + F.coalesce(F.try_element_at("gains", F.col("c.class")), F.lit(0.0))).alias("score"))
 
 
 def predict(scores: DataFrame, key: str) -> DataFrame:
-    """``(key, pred, score, confidence)``: best class, lowest class on a tie."""
+    """``(key, pred, score)``: best class, lowest class on a tie."""
     best = scores.groupBy(key).agg(
         F.min(F.struct((-F.col("score")).alias("neg"), F.col("class"))).alias("b"))
     return best.select(key, F.col("b.class").alias("pred"), (-F.col("b.neg")).alias("score"))

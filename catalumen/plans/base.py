@@ -45,6 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table of long texts, spread over the cores when its files give too few splits.
+
+    Rows go to tasks by the hash of the unique ``key``, so a repeated task sees
+    the same rows. With as many splits as cores nothing is moved.
+    """
+    frame = table(spark, sf_dir, name, key, *columns)
+    cores = spark.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, key)
+
+
 def r6(column: Column | str, name: str | None = None) -> Column:
     """Six digits, so that summation order does not show."""
     rounded = F.round(F.col(column) if isinstance(column, str) else column, 6)

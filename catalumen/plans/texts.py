@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalumen.functions import jsontext, text
 from catalumen.operators import audit, metrics, profile, textmodel
 from catalumen.session import cut_lineage
-from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table
+from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table, text_table
 
 SQL_CLEAN = f"trim(regexp_replace(text, '{SQL_SPACES}', ' ', 'g'))"
 SQL_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -22,7 +22,7 @@ TARGET_LENGTHS = (50, 200, 500, 1_000, 2_000, 5_000)
 SELECT doc_id, sha256({SQL_CLEAN}) AS clean_sha, {SQL_CLEAN} <> text AS changed FROM documents""")
 def ws_normalize(spark, sf_dir):
     clean = text.squeeze_spaces(F.col("text"))
-    return table(spark, sf_dir, "documents", "doc_id", "text").select(
+    return text_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.sha2(clean, 256).alias("clean_sha"), (clean != F.col("text")).alias("changed"))
 
 
@@ -34,7 +34,7 @@ FROM f GROUP BY field""")
 def approved_fields(spark, sf_dir):
     """Normalise only the named columns and count what was seen and changed."""
     approved = ["text", "source", "lang"]
-    docs = table(spark, sf_dir, "documents", *approved)
+    docs = text_table(spark, sf_dir, "documents", "doc_id", *approved)
     one = docs.agg(*[x for c in approved for x in (
         F.count(c).alias(f"{c}_seen"),
         F.count_if(text.squeeze_spaces(F.col(c)) != F.col(c)).alias(f"{c}_changed"))])
@@ -47,7 +47,7 @@ def approved_fields(spark, sf_dir):
 SELECT doc_id, len({SQL_WORDS})::INTEGER AS n_tokens, len(list_distinct({SQL_WORDS}))::INTEGER AS n_distinct,
        sha256(array_to_string({SQL_WORDS}, ' ')) AS tokens_sha FROM documents""")
 def word_tokens(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents", "doc_id", "text").select(
+    tokens = text_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", text.word_tokens(F.col("text")).alias("t"))
     return tokens.select(
         "doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"),
@@ -69,7 +69,7 @@ j AS (SELECT doc_id, array_to_string(list_filter([title, brand, description], la
 SELECT doc_id, CASE WHEN joined = '' THEN 0 ELSE len(string_split(joined, ' ')) END::INTEGER AS token_count,
        present AS present_text_fields, sha256(joined) AS combined_sha FROM j""")
 def field_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     first_break = F.instr("text", "\n")
     block = text.field_token_block({
         "title": F.substring_index("text", "\n", 1),
@@ -86,7 +86,7 @@ SELECT doc_id, contains(text, chr(65533)) AS has_replacement, length({SQL_CLEAN}
        {SQL_CLEAN} <> text AS is_changed, length(text)::INTEGER AS raw_chars, length({SQL_CLEAN})::INTEGER AS clean_chars
 FROM documents""")
 def title_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id", "text").select(
+    return text_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", text.title_flags(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
@@ -96,7 +96,7 @@ SELECT source, count(*) AS records, count(*) FILTER (contains(text, chr(65533)))
        count(*) FILTER (length(clean) <= 3) AS short, count(*) FILTER (clean <> text) AS changed,
        sum(length(text))::BIGINT AS raw_chars, sum(length(clean))::BIGINT AS clean_chars FROM f GROUP BY source""")
 def title_audit(spark, sf_dir):
-    flags = table(spark, sf_dir, "documents", "source", "text").select(
+    flags = text_table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "source", text.title_flags(F.col("text")).alias("f"))
     return flags.groupBy("source").agg(
         F.count(F.lit(1)).alias("records"), F.count_if("f.has_replacement").alias("with_replacement"),
@@ -105,7 +105,7 @@ def title_audit(spark, sf_dir):
 
 
 def lengths_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").select(
+    return text_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.size(text.space_tokens(F.col("text"))).alias("n"))
 
 
@@ -166,7 +166,7 @@ c AS (SELECT doc_id, toks, unnest(range(0, greatest(len(toks), 1), 254)) AS s FR
 SELECT doc_id, (s // 254)::INTEGER AS chunk, len(toks[s + 1:s + 254])::INTEGER AS n_tokens,
        sha256(array_to_string(toks[s + 1:s + 254], ' ')) AS chunk_sha FROM c""")
 def chunk_tokens(spark, sf_dir):
-    pieces = table(spark, sf_dir, "documents", "doc_id", "text").select(
+    pieces = text_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", text.space_tokens(F.col("text")).alias("t")).select(
         "doc_id", F.posexplode(text.chunks(F.col("t"))).alias("chunk", "tokens"))
     return pieces.select("doc_id", "chunk", F.size("tokens").alias("n_tokens"),
@@ -219,7 +219,7 @@ def tokens_for(variant: str):
 def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
     """Texts are tokenised once; vocabulary and weights both start from the written counts."""
     options = TFIDF_VARIANTS[variant]
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
     counts = cut_lineage(textmodel.term_counts(docs, "doc_id", tokens_for(variant), options["bigrams"], ["split"]))
     terms = cut_lineage(textmodel.vocabulary(
         counts.filter(F.col("split") == "train"), options["min_df"], options["cap"]))
@@ -245,7 +245,7 @@ for _variant in TFIDF_VARIANTS:
 @query("vocabulary", f"""WITH {_sql_tfidf(SQL_WORDS, False, 2, None, False)}
 SELECT term, df, total::BIGINT AS total_tf FROM voc ORDER BY total DESC, term LIMIT 100""")
 def vocabulary(spark, sf_dir):
-    train = table(spark, sf_dir, "documents", "doc_id", "text").filter(split_of("doc_id") == "train")
+    train = text_table(spark, sf_dir, "documents", "doc_id", "text").filter(split_of("doc_id") == "train")
     counts = textmodel.term_counts(train, "doc_id", text.word_tokens(F.col("text")))
     return textmodel.vocabulary(counts, 2, 100)
 
@@ -275,13 +275,14 @@ sc AS (SELECT b.{key}, b.cls, b.s + coalesce(g.s, 0) AS score FROM base b LEFT J
 def nb_model(spark: SparkSession, sf_dir: str):
     """Labels, written term counts of the labelled documents, vocabulary and fitted model."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumn("split", split_of("doc_id"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
-    counts = cut_lineage(textmodel.term_counts(docs, "doc_id", text.word_tokens(F.col("text")), keep=["split"]))
-    train_counts = counts.filter(F.col("split") == "train").drop("split")
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
+    counts = cut_lineage(textmodel.term_counts(
+        docs, "doc_id", text.word_tokens(F.col("text")), keep=["split", "quality"]))
+    train_counts = counts.filter(F.col("split") == "train")
     terms = cut_lineage(textmodel.vocabulary(train_counts, 2))
     classes, weights = textmodel.fit_naive_bayes(
-        train_counts, terms, labels.filter(F.col("split") == "train"), "doc_id", "quality")
-    return labels, counts, terms, classes, cut_lineage(weights)
+        train_counts, terms, labels.filter(F.col("split") == "train"), "quality")
+    return labels, counts.drop("quality"), terms, classes, weights
 
 
 def nb_predictions(spark, sf_dir) -> DataFrame:
@@ -386,7 +387,7 @@ SELECT 'wrong_n_chars', count(*) FILTER (n_chars <> length(text)) FROM f UNION A
 SELECT 'changed_by_normalisation', count(*) FILTER (clean <> text) FROM f""")
 def text_counters(spark, sf_dir):
     clean = text.squeeze_spaces(F.col("text"))
-    return audit.counters(table(spark, sf_dir, "documents"), {
+    return audit.counters(text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars"), {
         "empty_text": clean == "",
         "missing_lang": F.col("lang").isNull() | (F.col("lang") == ""),
         "wrong_n_chars": F.col("n_chars") != F.char_length("text"),
