@@ -13,7 +13,7 @@ HIGH_CONFIDENCE = 0.90
 # Temperatures are whole multiples of 1/20000, so every engine sees the same doubles.
 TEMPERATURE_UNIT = 20_000
 COARSE_STEP, COARSE_FROM, COARSE_TO = 5_000, 1_000, 200_000
-REFINE_STEPS = (500, 50, 5, 1)
+WIDEN, WIDEST = 20, 80_000_000
 REFINE_REACH = 10
 
 
@@ -44,7 +44,7 @@ def reliability_table(scored: DataFrame, confidence: str, correct: str, n_bins:
 
 
 def expected_calibration_error(table: DataFrame) -> DataFrame:
-    return table.agg((F.sum(F.col("count") * F.col("gap")) / F.sum("count")).alias("ece"))
+    return table.agg(F.try_divide(F.sum(F.col("count") * F.col("gap")), F.sum("count")).alias("ece"))
 
 
 def brier_term(probabilities: Column, label_position: Column) -> Column:
@@ -92,16 +92,21 @@ def nll_by_temperature(scored: DataFrame, logits: str, label_position: str, unit
 
 
 def fit_temperature(scored: DataFrame, logits: str, label_position: str) -> float:
-    """Temperature with the lowest mean NLL, by a grid that is refined four times.
+    """Temperature with the lowest mean NLL, by a grid that is widened, then refined.
 
-    NLL has a single minimum in the temperature, so each finer grid only has to
-    cover the neighbourhood of the last best point. Every round is one
+    NLL has a single minimum in the temperature. While the best point is the
+    last one, the grid moves up (to temperatures in the thousands at most, where
+    the scores no longer carry information); after that each finer grid only
+    has to cover the neighbourhood of the last best point. Every round is one
     aggregation that returns one row to the driver.
     """
-    units = range(COARSE_FROM, COARSE_TO + 1, COARSE_STEP)
-    best = _best_unit(scored, logits, label_position, units)
-    step = COARSE_STEP
-    for step in REFINE_STEPS:
+    first, last, step = COARSE_FROM, COARSE_TO, COARSE_STEP
+    best = _best_unit(scored, logits, label_position, range(first, last + 1, step))
+    while best + step > last and last < WIDEST:
+        first, last, step = last, last * WIDEN, step * WIDEN
+        best = _best_unit(scored, logits, label_position, range(first, last + 1, step))
+    while step > 1:
+        step = max(1, step // 10)
         units = [best + k * step for k in range(-REFINE_REACH, REFINE_REACH + 1) if best + k * step > 0]
         best = _best_unit(scored, logits, label_position, units)
     return best / TEMPERATURE_UNIT

@@ -56,9 +56,9 @@ def summary(report: DataFrame, by: list[str] | None = None, n_classes: Column |
         n_classes if isinstance(n_classes, Column) else F.lit(n_classes))
     aggregates = [
         total.alias("records"),
-        (F.sum("correct") / total).alias("accuracy"),
+        F.try_divide(F.sum("correct"), total).alias("accuracy"),
         macro.alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), total).alias("weighted_f1"),
     ]
     return report.groupBy(*by).agg(*aggregates) if by else report.agg(*aggregates)
 

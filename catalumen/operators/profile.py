@@ -31,8 +31,13 @@ def describe(values: DataFrame, group: str, value: str, fractions: Sequence[floa
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation, null when either side does not vary."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Pearson correlation, null when either side does not vary.
+
+    Not ``corr``, which stops the job on a constant column under ANSI rules.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(
+        F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
 
 
 def unpivot_signals(df: DataFrame, keep: list[str], signals: list[str]) -> DataFrame:

@@ -43,8 +43,8 @@ def coverage_risk(counts: DataFrame) -> DataFrame:
         "step", "threshold",
         accepted.alias("accepted_count"),
         (total - accepted).alias("abstained_count"),
-        (accepted / total).alias("coverage"),
-        ((total - accepted) / total).alias("abstention_rate"),
+        F.try_divide(accepted, total).alias("coverage"),
+        F.try_divide(total - accepted, total).alias("abstention_rate"),
         correct.alias("accepted_correct_count"),
         (accepted - correct).alias("accepted_error_count"),
         F.try_divide(correct, accepted).alias("selective_accuracy"),
@@ -60,8 +60,8 @@ def routing(counts: DataFrame) -> DataFrame:
         total.alias("total_records"),
         accepted.alias("accepted_count"),
         (total - accepted).alias("review_count"),
-        (accepted / total).alias("coverage"),
-        ((total - accepted) / total).alias("review_rate"),
+        F.try_divide(accepted, total).alias("coverage"),
+        F.try_divide(total - accepted, total).alias("review_rate"),
         correct.alias("accepted_correct"),
         (accepted - correct).alias("accepted_errors"),
         (F.col("total_correct") - correct).alias("reviewed_correct"),
@@ -102,7 +102,7 @@ def confidence_bin_errors(scored: DataFrame, confidence: str, correct: str, n_bi
     return joined.select(
         F.col("bin").alias("bin_index"), F.col("lower").alias("lower_bound"), F.col("upper").alias("upper_bound"),
         n.alias("count"), correct_n.alias("correct"), (n - correct_n).alias("errors"),
-        (n / total).alias("coverage_fraction"),
+        F.try_divide(n, total).alias("coverage_fraction"),
         F.col("mean_confidence"),
         accuracy.alias("empirical_accuracy"),
         F.coalesce(F.try_divide(n - correct_n, n), F.lit(0.0)).alias("empirical_error_rate"),

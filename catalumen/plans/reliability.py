@@ -372,6 +372,10 @@ def calibration_scores(spark, sf_dir):
 SQL_PARTITION = ("('0x' || substr(sha256('calibration-partition|' || vec_id), 1, 16))::UBIGINT % 100000 < 50000")
 
 
+# Grid steps after the coarse one, down to a single unit.
+REFINE_STEPS = (500, 50, 5, 1)
+
+
 def _sql_temperature() -> str:
     """Nested grid search, one CTE per refinement, on the calibration half."""
     parts = [f"cal AS (SELECT * FROM logit WHERE {SQL_PARTITION})"]
@@ -382,12 +386,12 @@ def _sql_temperature() -> str:
       FROM cal, {grid} GROUP BY unit, vec_id) GROUP BY unit)"""
     grid = f"(SELECT unnest({coarse}) AS unit)"
     parts.append(f"b0 AS (SELECT unit AS best FROM {nll.format(grid=grid)} ORDER BY nll, unit LIMIT 1)")
-    for i, step in enumerate(calibration.REFINE_STEPS, 1):
+    for i, step in enumerate(REFINE_STEPS, 1):
         reach = calibration.REFINE_REACH
         grid = (f"(SELECT best + k * {step} AS unit FROM b{i - 1}, (SELECT unnest(range(-{reach}, {reach} + 1)) AS k) "
                 f"WHERE best + k * {step} > 0)")
         parts.append(f"b{i} AS (SELECT unit AS best FROM {nll.format(grid=grid)} ORDER BY nll, unit LIMIT 1)")
-    parts.append(f"fitted AS (SELECT best / 20000.0 AS t FROM b{len(calibration.REFINE_STEPS)})")
+    parts.append(f"fitted AS (SELECT best / 20000.0 AS t FROM b{len(REFINE_STEPS)})")
     return ",\n".join(parts)
 
 
