@@ -62,7 +62,7 @@ def content_hash(columns: dict[str, Column]) -> Column:
 def digest_lanes(digest: Column) -> list[Column]:
     """Two 60-bit integers from a 64-digit hex digest, as exact decimals."""
     return [
-        F.conv(F.substring(digest, 1 + 15 * lane, 15), 16, 10).cast("decimal(20,0)")
+        F.conv(F.substring(digest, 1 + 15 * lane, 15), 16, 10).cast("decimal(28,0)")
         for lane in range(2)
     ]
 

@@ -78,6 +78,30 @@ def squeeze_json(raw: Column, only: tuple[str, ...] | None = None, keep: tuple[s
     return rewrite(raw)
 
 
+def has_content(raw: Column) -> Column:
+    """Whether a JSON value holds anything: a non-space text, a number or a flag at any depth.
+
+    Null, empty lists, empty objects and blank texts hold nothing.
+    """
+
+    def filled(node: Any) -> bool:
+        if node is None:
+            return False
+        if isinstance(node, str):
+            return bool(node.strip())
+        if isinstance(node, dict):
+            return any(filled(child) for child in node.values())
+        if isinstance(node, list):
+            return any(filled(child) for child in node)
+        return True
+
+    @F.arrow_udf("boolean")
+    def check(column: pa.Array) -> pa.Array:
+        return _map_json(column, filled, pa.bool_())
+
+    return check(raw)
+
+
 @F.udtf(returnType="path string, value string")
 class JsonLeaves:
     """One row per leaf of a JSON document: ``a.b[0].c`` and its value as text.
@@ -116,6 +140,14 @@ def value_kind(variant: Column) -> Column:
         .otherwise("number"))
 
 
+def listing_value_kind(variant: Column) -> Column:
+    """The same under the names the listing blocks use: ``str``, ``int``, ``float``, ``bool``."""
+    kind = F.schema_of_variant(variant)
+    return (
+        F.when(kind == "STRING", "str").when(kind == "BIGINT", "int")
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "float").otherwise(value_kind(variant)))
+
+
 def is_present(variant: Column, empty_text_counts: bool) -> Column:
     """Field presence; empty lists never count.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalumen.operators.joins import broadcast_if_small
+from catalumen.operators.joins import broadcast_if_small, lookup
 
 
 def counters(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
@@ -208,6 +208,5 @@ def class_table(train: DataFrame, label: str) -> DataFrame:
 
 def encode_labels(records: DataFrame, label: str, classes: DataFrame) -> DataFrame:
     """Add ``class_id`` (null when unseen) and the ``known`` mask."""
-    return records.join(
-        broadcast_if_small(classes.withColumnRenamed("label", label)), label, "left"
-    ).withColumn("known", F.col("class_id").isNotNull())
+    found = lookup(records, classes.withColumnRenamed("label", label), [label])
+    return found.withColumn("known", F.col("class_id").isNotNull())

@@ -32,8 +32,17 @@ def attach_inventory(references: DataFrame, inventory: DataFrame, key: str = "im
         "metadata_available", F.coalesce("__found", F.lit(False))).drop("__found")
 
 
+def referenced_count(main: Column, others: Column) -> Column:
+    """Images a listing claims to have: its main one and the whole list, empty entries included."""
+    listed = F.when(others.isNotNull(), F.size(others)).otherwise(0)
+    return F.when(F.coalesce(main, F.lit("")) != "", 1).otherwise(0) + listed
+
+
 def image_counts(attached: DataFrame, key: str, available: str) -> DataFrame:
-    """Referenced, available and missing images per listing."""
+    """Usable references per listing: all, available, missing, and the main image.
+
+    Empty ids are no references here; ``referenced_count`` counts them.
+    """
     present = F.col("image_id").isNotNull()
     return attached.groupBy(key).agg(
         F.count_if(present).alias("referenced"),

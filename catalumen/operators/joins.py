@@ -64,6 +64,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Left join to a table with one row per key: broadcast while it is small, spread beyond that."""
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys, "left")
+    return join_spread(left, right, keys, "left")
+
+
 def assert_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join on ``key`` that fails at run time on a duplicate or unmatched key."""
     a = left.withColumn("__l", F.lit(1))

@@ -16,7 +16,7 @@ from catalumen.functions import vectors
 # Largest model shipped to every task: 4000 classes of 2048 doubles are 66 MB.
 MAX_CLASSES = 4_000
 MAX_WIDTH = 2_048
-BLOCK_SHARES = 64
+MIN_SHARES = 8
 LOGIT_SCALE = 80.0
 
 
@@ -106,15 +106,15 @@ def blocked_distances(
     Prototypes are grouped into blocks; each record meets each block once by an
     equi-join on block and share, and only the best class of a block travels on.
     """
-    count = prototypes.count()
-    blocks = max(1, -(-count // block_size))
+    blocks = max(1, -(-prototypes.count() // block_size))
+    shares = max(MIN_SHARES, 4 * records.sparkSession.sparkContext.defaultParallelism // blocks)
     sized = prototypes.withColumn("__block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
     packed = sized.groupBy("__block").agg(
         F.sort_array(F.collect_list(F.struct("class", "centre"))).alias("__members")
-    ).withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SHARES - 1))))
+    ).withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     spread = records.select(key, vector).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).withColumn("__share", F.pmod(F.xxhash64(key), F.lit(BLOCK_SHARES)).cast("int"))
+    ).withColumn("__share", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int"))
     v = F.col(vector)
     measured = F.transform("__members", lambda m: F.struct(
         F.sqrt(vectors.total(F.zip_with(

@@ -28,7 +28,7 @@ def node_problems(nodes: DataFrame) -> DataFrame:
 
 def terminal_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent."""
-    parents = nodes.select(F.col("parent").alias("node_id")).filter(F.col("node_id").isNotNull())
+    parents = nodes.select(F.col("parent").alias("node_id")).filter(F.col("node_id").isNotNull()).distinct()
     return nodes.join(parents, "node_id", "left_anti")
 
 

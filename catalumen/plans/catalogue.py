@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions import identity, jsontext, labels, paths, text
 from catalumen.operators import audit, components, images, metrics, profile, ranking, taxonomy
+from catalumen.operators.joins import assert_one_to_one, join_spread
 from catalumen.plans.base import query, r6, split_of, sql_bucket, sql_split, table
 from catalumen.session import cut_lineage
 from catalumen.sources import files
@@ -104,6 +105,40 @@ def row_numbers(spark, sf_dir):
     return ranking.rank_by_number(table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey")
 
 
+@query("first_occurrence", f"""
+SELECT l_partkey, min(l_orderkey) AS first_record, min({sql_split('l_orderkey')}) AS lowest_split, count(*) AS n_references
+FROM lineitem GROUP BY l_partkey""")
+def first_occurrence(spark, sf_dir):
+    """First record that refers to each image, and one of its splits."""
+    refs = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").withColumn("split", split_of("l_orderkey"))
+    return refs.groupBy("l_partkey").agg(
+        F.min("l_orderkey").alias("first_record"), F.min("split").alias("lowest_split"),
+        F.count(F.lit(1)).alias("n_references"))
+
+
+@query("feature_join", """
+SELECT d.doc_id, n_chars, length(text) AS feature FROM documents d""")
+def feature_join(spark, sf_dir):
+    """Features joined to records by key; the job stops unless both sides match one to one."""
+    records = table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    features = table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", F.char_length("text").cast("long").alias("feature"))
+    return assert_one_to_one(records, features, "doc_id").select("doc_id", "n_chars", "feature")
+
+
+@query("split_sizes", f"""
+WITH s AS (SELECT {sql_split('o_orderkey')} AS split FROM orders), n AS (SELECT count(*) AS n FROM orders)
+SELECT split, count(*) AS records, abs(count(*) * 100.0 / any_value(n) - CASE split WHEN 'train' THEN 80 ELSE 10 END) < 5 AS as_expected
+FROM s, n GROUP BY split""")
+def split_sizes(spark, sf_dir):
+    """Records per split against the shares the split is made for."""
+    expected = F.when(F.col("split") == "train", 80).otherwise(10)
+    sizes = table(spark, sf_dir, "orders", "o_orderkey").groupBy(split_of("o_orderkey").alias("split")).agg(
+        F.count(F.lit(1)).alias("records"))
+    total = table(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
+    return sizes.select("split", "records", (F.abs(F.col("records") * 100.0 / total - expected) < 5).alias("as_expected"))
+
+
 @query("file_manifest")
 def file_manifest(spark, sf_dir):
     return files.hash_manifest(spark, sf_dir, "*.parquet")
@@ -196,8 +231,8 @@ def terminal_nodes(spark, sf_dir):
 def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records, with the path of their customer as the true category."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    return orders.join(customer_paths(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).withColumn(
-        "split", split_of("o_orderkey"))
+    customers = customer_paths(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey")
+    return join_spread(orders, customers, ["o_custkey"], "inner").withColumn("split", split_of("o_orderkey"))
 
 
 SQL_ORDER_PATHS = f"""{SQL_PATHS},
@@ -592,7 +627,7 @@ def component_leakage(spark, sf_dir):
     records, refs = line_references(spark, sf_dir)
     placed = components.component_split(records, refs, "l_orderkey", "image").select("l_orderkey", "split")
     placed = cut_lineage(placed, "component-split")
-    per_image = components.leaking_keys(refs.join(placed, "l_orderkey"), "image")
+    per_image = components.leaking_keys(join_spread(refs, placed, ["l_orderkey"], "inner"), "image")
     leaking = per_image.agg(F.count_if(F.col("n_splits") > 1).alias("images_in_two_splits"))
     return leaking.withColumn("records_placed", placed.agg(F.count(F.lit(1))).scalar())
 

@@ -98,6 +98,9 @@ def test_image_lookup_keeps_last_duplicate_and_order(spark):
     attached = images.attach_inventory(refs, inventory)
     counts = {r["id"]: tuple(r)[1:] for r in images.image_counts(attached, "id", "physical_file_available").collect()}
     assert counts == {"l1": (3, 1, 2, True, True), "l2": (1, 1, 0, False, False), "l3": (0, 0, 0, False, False)}
+    claimed = {r["id"]: r["n"] for r in listings.select(
+        "id", images.referenced_count(F.col("main"), F.col("others")).alias("n")).collect()}
+    assert claimed == {"l1": 4, "l2": 1, "l3": 0}
     ref = images.image_reference(F.col("image_id"), F.col("metadata_available"), F.col("physical_file_available"),
                                  F.lit("p"), F.col("height"), F.col("height"))
     nested = {r["id"]: r for r in images.nest_references(attached, "id", ref).collect()}

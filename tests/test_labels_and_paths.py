@@ -168,3 +168,17 @@ def test_presence_rules_differ_on_empty_values(spark):
     assert [row[f"{n}0"] for n in names] == [False, False, False, False, True, True, True, True, False]
     assert [row[f"{n}k"] for n in names] == [
         "string", "list", "dict", "missing", "list", "string", "bool", "number", "missing"]
+
+
+def test_content_at_any_depth(spark):
+    cases = [('"x"', True), ('" "', False), ("[]", False), ('[[],{"a":null}]', False), ('{"a":{"b":0}}', True), ("false", True),
+             ("null", False), (None, None), ("{bad", None)]
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string")
+    got = {r["i"]: r["x"] for r in df.select("i", jsontext.has_content(F.col("raw")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_listing_kind_names(spark):
+    df = spark.createDataFrame([('{"a":"x","b":1,"c":1.5,"d":true,"e":[],"f":{}}',)], "raw string").select(F.parse_json("raw").alias("d"))
+    row = df.select(*[jsontext.listing_value_kind(F.try_variant_get(F.col("d"), f"$.{n}", "variant")).alias(n) for n in "abcdefg"]).first()
+    assert list(row) == ["str", "int", "float", "bool", "list", "dict", "missing"]
