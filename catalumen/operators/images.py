@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalumen.operators.joins import join_spread
+from catalumen.operators.joins import lookup
 
 
 def explode_references(listings: DataFrame, key: str, main: str, others: str) -> DataFrame:
@@ -28,7 +28,7 @@ def last_per_key(inventory: DataFrame, key: str, order: Column, columns: list[st
 def attach_inventory(references: DataFrame, inventory: DataFrame, key: str = "image_id") -> DataFrame:
     """Left lookup that keeps references without metadata; balanced when one image is in most listings."""
     found = inventory.withColumn("__found", F.lit(True))
-    return join_spread(references, found, [key], "left").withColumn(
+    return lookup(references, found, [key]).withColumn(
         "metadata_available", F.coalesce("__found", F.lit(False))).drop("__found")
 
 

@@ -14,7 +14,7 @@ def hot_keys(left: DataFrame, keys: list[str], max_hot: int = MAX_HOT_KEYS) -> D
 
     There can be at most ``max_hot`` of them, whatever the size of the data.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = left.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__total")).scalar()
     return counts.filter(F.col("__n") * F.lit(max_hot) > total).select(
         *keys, F.ceil(F.col("__n") * F.lit(max_hot) / total).cast("int").alias("__salts"))
@@ -64,11 +64,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Left join to a table with one row per key: broadcast while it is small, spread beyond that."""
+def lookup(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", max_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Join to a narrow table with one row per key: broadcast while it is small, spread beyond that."""
     if right.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(right), keys, "left")
-    return join_spread(left, right, keys, "left")
+        return left.join(F.broadcast(right), keys, how)
+    return join_spread(left, right, keys, how)
 
 
 def assert_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -94,7 +94,8 @@ def curve_checks(curve: DataFrame, steps: int = bins.THRESHOLD_STEPS) -> DataFra
 def confidence_bin_errors(scored: DataFrame, confidence: str, correct: str, n_bins: int = bins.CALIBRATION_BINS) -> DataFrame:
     """Per bin: counts, share of all records, accuracy and signed gap; zero when empty."""
     counts = reliability_counts(scored, confidence, correct, n_bins)
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+    # Runs over the few rows of the bin table.
+    total = F.sum("n").over(Window.partitionBy())
     joined = bin_table(scored.sparkSession, n_bins).join(F.broadcast(counts), "bin", "left").na.fill(
         0, ["n", "n_correct", "mean_confidence"])
     n, correct_n = F.col("n"), F.col("n_correct")

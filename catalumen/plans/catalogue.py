@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions import identity, jsontext, labels, paths, text
 from catalumen.operators import audit, components, images, metrics, profile, ranking, taxonomy
-from catalumen.operators.joins import assert_one_to_one, join_spread
+from catalumen.operators.joins import assert_one_to_one, join_spread, lookup
 from catalumen.plans.base import query, r6, split_of, sql_bucket, sql_split, table
 from catalumen.session import cut_lineage
 from catalumen.sources import files
@@ -232,7 +232,7 @@ def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records, with the path of their customer as the true category."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customers = customer_paths(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey")
-    return join_spread(orders, customers, ["o_custkey"], "inner").withColumn("split", split_of("o_orderkey"))
+    return lookup(orders, customers, ["o_custkey"], "inner").withColumn("split", split_of("o_orderkey"))
 
 
 SQL_ORDER_PATHS = f"""{SQL_PATHS},

@@ -14,6 +14,7 @@ from catalumen.functions import bins, vectors
 from catalumen.operators import fusion, metrics, profile, prototypes, ranking
 from catalumen.operators.prototypes import PrototypeModel
 from catalumen.plans.base import query, r6, sql_split
+from catalumen.session import cut_lineage
 from catalumen.plans.reliability import SQL_BASE, labelled_vectors, model_of, sql_bins
 
 HALF = 32
@@ -373,7 +374,7 @@ final_long AS (SELECT variant, 'accuracy' AS metric, accuracy AS value FROM fina
 
 
 def chosen_test_metrics(spark, sf_dir) -> DataFrame:
-    rows = transfer_metrics(spark, sf_dir)
+    rows = cut_lineage(transfer_metrics(spark, sf_dir))
     order = [F.round(m, 12).desc() for m in fusion.GAMMA_ORDER] + [F.col("gamma")]
     chosen = ranking.first_examples(rows.filter(F.col("split") == "validation"), ["variant"], order, 1)
     # One row per variant and scale on both sides.

@@ -9,7 +9,8 @@ from catalumen.functions import bins, identity, vectors
 from catalumen.operators import calibration, metrics, profile, prototypes, selective
 from catalumen.operators.prototypes import PrototypeModel
 from catalumen.operators.ranking import rank_by_number
-from catalumen.plans.base import query, r6, split_of, sql_bucket, sql_split, table
+from catalumen.plans.base import query, r6, split_of, sql_split, table
+from catalumen.session import cut_lineage
 
 CALIBRATION_SEED = "calibration-partition"
 
@@ -301,7 +302,7 @@ UNION ALL
 SELECT 'fixed_12_classes', sum(support)::BIGINT, round(sum(correct) / sum(support), 6),
        round(sum(f1) / 12, 6), round(sum(f1 * support) / sum(support), 6) FROM full_report""")
 def class_metrics(spark, sf_dir):
-    report = metrics.class_report(metrics.confusion(scored(spark, sf_dir), "label", "pred"))
+    report = cut_lineage(metrics.class_report(metrics.confusion(scored(spark, sf_dir), "label", "pred")))
     both = metrics.summary(report).withColumn("class_list", F.lit("seen_classes")).unionByName(
         metrics.summary(report, n_classes=12).withColumn("class_list", F.lit("fixed_12_classes")))
     return both.select("class_list", "records", r6("accuracy"), r6("macro_f1"), r6("weighted_f1"))
@@ -415,7 +416,9 @@ tr AS (SELECT kind, vec_id, any_value(t) AS t, arg_max(cls, p) = any_value(label
 SELECT kind, round(CASE WHEN kind = 'raw' THEN 1.0 ELSE any_value(t) END, 6) AS temperature, {SQL_SCORE_COLUMNS}
 FROM tr GROUP BY kind""")
 def temperature(spark, sf_dir):
-    rows = calibration_halves(scored(spark, sf_dir)).select("population", "logits", "label_position").persist()
+    rows = calibration_halves(scored(spark, sf_dir)).select("population", "logits", "label_position")
+    # The fit reads the logits once per grid, so they are written once.
+    rows = cut_lineage(rows, "calibration-logits")
     fitted = calibration.fit_temperature(rows.filter(F.col("population") == "calibration"), "logits", "label_position")
     held_out = rows.filter(F.col("population") == "selection")
     results = None
@@ -500,7 +503,7 @@ SELECT step::INTEGER AS step, threshold, n AS total_records, accepted AS accepte
        round((accepted - ok) / nullif(accepted, 0), 6) AS selective_risk
 FROM cnt, tot""")
 def curve_join(spark, sf_dir):
-    counts = selective.threshold_counts(scored(spark, sf_dir), "conf", "correct")
+    counts = cut_lineage(selective.threshold_counts(scored(spark, sf_dir), "conf", "correct"))
     joined = selective.join_curves(selective.coverage_risk(counts), selective.routing(counts))
     rounded = {"coverage", "review_rate", "model_error_capture_rate", "selective_risk"}
     return joined.select(*[r6(c) if c in rounded else F.col(c) for c in joined.columns])
