@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalumen.functions.vectors import let
+
 # Fixed values.
 # Whitespace as str.split() sees it: Unicode White_Space plus U+001C..U+001F.
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
@@ -96,6 +98,24 @@ def chunks(tokens: Column, size: int = CHUNK_TOKENS) -> Column:
     return F.transform(starts, lambda start: F.slice(tokens, start, F.lit(size)))
 
 
+def count_terms(terms: Column) -> Column:
+    """``array<{term, tf}>`` of one record, counted inside its row.
+
+    Sorting brings equal terms together; a run's length is the distance to the
+    start of the next one. Nothing leaves the row, so no shuffle is needed.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1))),
+            lambda i: (F.get(ordered, i - 1) != F.get(ordered, i - 2)) | (i == 1))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(ordered, p - 1).alias("term"),
+            (F.coalesce(F.get(at, k + 1), F.size(ordered) + 1) - p).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
+
+
 def bigrams(tokens: Column) -> Column:
     pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
     return F.zip_with(

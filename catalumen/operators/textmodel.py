@@ -13,15 +13,14 @@ MAX_CLASSES = 20_000
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
                 keep: list[str] | None = None) -> DataFrame:
-    """``(key, keep..., term, tf)``; repeated terms are added up before the shuffle.
+    """``(key, keep..., term, tf)`` for a frame with one row per key, without a shuffle.
 
-    ``keep`` names columns that depend on the key only, such as its split.
+    ``keep`` names further columns of the record to carry along, such as its split.
     """
     own = [key, *(keep or [])]
     base = docs.select(*own, tokens.alias("__tokens"))
     terms = F.concat("__tokens", text.bigrams(F.col("__tokens"))) if with_bigrams else F.col("__tokens")
-    return base.select(*own, F.explode(terms).alias("term")).groupBy(*own, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    return base.select(*own, F.explode(text.count_terms(terms)).alias("t")).select(*own, "t.term", "t.tf")
 
 
 def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None) -> DataFrame:

@@ -157,3 +157,13 @@ def test_nearest_to_targets_breaks_ties_by_key(spark):
     df = spark.createDataFrame([(2, 10), (1, 14), (3, 30)], "k long, n int")
     rows = {r["target"]: r["k"] for r in profile.nearest_to_targets(df, "k", "n", (12, 100)).collect()}
     assert rows == {12: 1, 100: 3}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "é", "zz", "_1"]), max_size=40), min_size=1, max_size=8))
+def test_terms_are_counted_inside_the_row(spark, documents):
+    from collections import Counter
+
+    df = spark.createDataFrame(list(enumerate(documents)), "id int, t array<string>")
+    for row in df.select("id", text.count_terms(F.col("t")).alias("c")).collect():
+        assert {c["term"]: c["tf"] for c in row["c"] or []} == Counter(documents[row["id"]])
