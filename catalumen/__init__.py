@@ -1 +1,9 @@
 """Catalogue preparation and evaluation operators for PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the job, so the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -22,9 +22,14 @@ def sharing_edges(references: DataFrame, record: str, item: str) -> DataFrame:
     the records adds as many edges as it has references.
     """
     refs = references.select(F.col(record).alias("u"), F.col(item).alias("__item")).dropna()
-    owner = refs.groupBy("__item").agg(F.min("u").alias("v"))
+    owners = refs.groupBy("__item").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("__n"))
+    # An item with a single reference connects nothing, and most have no more.
+    shared = cut_lineage(owners.filter(F.col("__n") > 1), "shared-items")
+    total = shared.agg(F.sum("__n")).scalar()
+    hot = shared.filter(F.col("__n") * F.lit(MAX_HOT_KEYS) > total).select(
+        "__item", F.ceil(F.col("__n") * F.lit(MAX_HOT_KEYS) / total).cast("int").alias("__salts"))
     return (
-        join_spread(refs, owner, ["__item"], "inner")
+        join_spread(refs, shared.select("__item", "v"), ["__item"], "inner", hot=hot)
         .filter(F.col("u") != F.col("v")).select("u", "v").distinct()
     )
 
