@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import jsontext, text
-from catalumen.operators import audit, metrics, profile, textmodel
-from catalumen.session import cut_lineage
+from catalumen.operators import audit, metrics, normalise, profile, textmodel
 from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table, text_table
+from catalumen.session import cut_lineage
 
 SQL_CLEAN = f"trim(regexp_replace(text, '{SQL_SPACES}', ' ', 'g'))"
 SQL_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -34,13 +34,15 @@ FROM f GROUP BY field""")
 def approved_fields(spark, sf_dir):
     """Normalise only the named columns and count what was seen and changed."""
     approved = ["text", "source", "lang"]
-    docs = text_table(spark, sf_dir, "documents", "doc_id", *approved)
-    one = docs.agg(*[x for c in approved for x in (
-        F.count(c).alias(f"{c}_seen"),
-        F.count_if(text.squeeze_spaces(F.col(c)) != F.col(c)).alias(f"{c}_changed"))])
-    return one.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(f"{c}_seen").alias("values_seen"),
-                 F.col(f"{c}_changed").alias("values_changed")) for c in approved])).alias("f")).select("f.*")
+    return normalise.change_counts(text_table(spark, sf_dir, "documents", "doc_id", *approved), approved)
+
+
+@query("normalised_fields", f"""
+SELECT doc_id, sha256({SQL_CLEAN}) AS text_sha, source, n_chars FROM documents""")
+def normalised_fields(spark, sf_dir):
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars")
+    clean = normalise.normalise_fields(docs, ["text", "absent_field"])
+    return clean.select("doc_id", F.sha2("text", 256).alias("text_sha"), "source", "n_chars")
 
 
 @query("word_tokens", f"""
