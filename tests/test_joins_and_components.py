@@ -130,3 +130,10 @@ def test_leakage_and_overlap(spark):
     assert per_key == {"a": (1, 2, 1), "b": (2, 2, 0), "c": (1, 1, 0), "d": (3, 3, 0)}
     pairs = {(r["split_a"], r["split_b"]): (r["shared_keys"], r["first_example"]) for r in components.split_overlap(df, "k").collect()}
     assert pairs == {("test", "train"): (2, "b"), ("test", "validation"): (1, "d"), ("train", "validation"): (1, "d")}
+
+
+def test_lookup_gives_the_same_rows_either_way(spark):
+    left, right = skewed(spark)
+    small = sorted(map(tuple, joins.lookup(left, right, ["k"]).select("id", "v").collect()), key=str)
+    large = sorted(map(tuple, joins.lookup(left, right, ["k"], max_rows=5).select("id", "v").collect()), key=str)
+    assert small == large and len(small) == left.count()

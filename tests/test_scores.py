@@ -268,3 +268,43 @@ def test_correlation_is_null_without_variation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     row = df.agg(profile.correlation(F.col("x"), F.col("y")).alias("a"), profile.correlation(F.col("y"), F.col("y")).alias("b")).first()
     assert row["a"] is None and math.isclose(row["b"], 1.0)
+
+
+# Published curve points: threshold step, accepted, accepted correct, coverage, risk, error capture.
+PUBLISHED = [
+    (0, 34958, 33280, 1.0, 0.04800045769208765, 0.0),
+    (50, 33696, 32793, 0.9638995365867613, 0.02679843304843305, 0.46185935637663883),
+    (90, 31228, 31104, 0.8933005320670518, 0.003970795439989753, 0.9261025029797377),
+    (99, 26504, 26488, 0.7581669431889696, 0.0006036824630244491, 0.9904648390941597),
+    (100, 8, 8, 0.00022884604382401738, 0.0, 1.0),
+]
+
+
+def test_published_curve_points_are_reproduced(spark):
+    """A population with the published counts gives the published rates exactly."""
+    ends = PUBLISHED[1:] + [(None, 0, 0, None, None, None)]
+    levels = [0.3, 0.7, 0.95, 0.995, 1.0]
+    groups = [
+        (conf, right - next_right, (n - right) - (next_n - next_right))
+        for conf, (_, n, right, *_), (_, next_n, next_right, *_) in zip(levels, PUBLISHED, ends)]
+    df = spark.createDataFrame(groups, "conf double, good int, bad int")
+    rows = df.select("conf", F.explode(F.concat(
+        F.array_repeat(F.lit(True), F.col("good")), F.array_repeat(F.lit(False), F.col("bad")))).alias("correct"))
+    counts = selective.threshold_counts(rows, "conf", "correct").cache()
+    risk = {r["step"]: r for r in selective.coverage_risk(counts).collect()}
+    route = {r["step"]: r for r in selective.routing(counts).collect()}
+    for step, accepted, right, coverage, selective_risk, capture in PUBLISHED:
+        assert (risk[step]["accepted_count"], risk[step]["accepted_correct_count"]) == (accepted, right)
+        assert risk[step]["coverage"] == coverage and risk[step]["selective_risk"] == selective_risk
+        assert route[step]["model_error_capture_rate"] == capture
+
+
+def test_published_class_order_and_rates(spark):
+    rows = [(186, 378, 218, 8), (187, 475, 369, 7), (241, 234, 167, 10)]
+    df = spark.createDataFrame([
+        (c, i < right, 0.95 if i >= n - sure else 0.5) for c, n, right, sure in rows for i in range(n)],
+        "label int, correct boolean, conf double")
+    got = selective.top_error_classes(selective.class_errors(df, "label", "conf", "correct"), 3).collect()
+    assert [r["class_id"] for r in got] == [186, 187, 241]
+    assert [r["high_confidence_error_rate"] for r in got] == [0.05, 0.0660377358490566, 0.14925373134328357]
+    assert got[0]["accuracy"] == 0.5767195767195767 and got[0]["error_rate"] == 0.42328042328042326
