@@ -25,6 +25,13 @@ def model_of(vectors_df: DataFrame, column: str = "embedding") -> PrototypeModel
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One narrow row per vector; the class-wide arrays never leave the scoring task."""
+    base = labelled_vectors(spark, sf_dir)
+    return prototypes.score_narrow(base, model_of(base), "embedding", "label")
+
+
+def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the logit and probability arrays, for queries that work on them."""
     base = labelled_vectors(spark, sf_dir)
     return prototypes.score(base, model_of(base), "embedding", "label")
 
@@ -141,11 +148,8 @@ def confidence_signals(spark, sf_dir):
 
 
 def signals(spark, sf_dir) -> DataFrame:
-    top = vectors.top_two(F.col("probabilities"))
     return scored(spark, sf_dir).select(
-        "vec_id", "label", "pred", "correct", "conf", top.alias("t"),
-        vectors.entropy(F.col("probabilities")).alias("entropy"),
-    ).withColumn("margin", F.col("t.p1") - F.col("t.p2"))
+        "vec_id", "label", "pred", "correct", "conf", "entropy", (F.col("conf") - F.col("second")).alias("margin"))
 
 
 QUANTILES = (0.0, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0)
@@ -242,16 +246,12 @@ SELECT pred AS top1_class, c2 AS top2_class, count(*) AS count, count(*) FILTER
        round(avg(conf), 6) AS mean_top1, round(avg(p2), 6) AS mean_top2, round(avg(correct::INT), 6) AS accuracy
 FROM scored GROUP BY 1, 2 ORDER BY count DESC, incorrect_top1 DESC, top1_class, top2_class LIMIT 100""")
 def top2_pairs(spark, sf_dir):
-    base = labelled_vectors(spark, sf_dir)
-    model = model_of(base)
-    rows = prototypes.score(base, model, "embedding", "label").select(
-        "correct", vectors.top_two(F.col("probabilities")).alias("t"))
-    pairs = rows.groupBy(
-        model.label_at(F.col("t.c1")).alias("top1_class"), model.label_at(F.col("t.c2")).alias("top2_class")).agg(
+    pairs = scored(spark, sf_dir).groupBy(
+        F.col("pred").alias("top1_class"), F.col("second_class").alias("top2_class")).agg(
         F.count(F.lit(1)).alias("count"), F.count_if("correct").alias("correct_top1"),
         F.count_if(~F.col("correct")).alias("incorrect_top1"),
-        r6(F.avg(F.col("t.p1") - F.col("t.p2")), "mean_margin"),
-        r6(F.avg("t.p1"), "mean_top1"), r6(F.avg("t.p2"), "mean_top2"),
+        r6(F.avg(F.col("conf") - F.col("second")), "mean_margin"),
+        r6(F.avg("conf"), "mean_top1"), r6(F.avg("second"), "mean_top2"),
         r6(F.avg(F.col("correct").cast("int")), "accuracy"))
     return pairs.orderBy(F.col("count").desc(), F.col("incorrect_top1").desc(), "top1_class", "top2_class").limit(100)
 
@@ -367,7 +367,7 @@ def rounded_scores(row: DataFrame, *extra: str) -> DataFrame:
 
 @query("calibration_scores", f"WITH {SQL_BASE}, {sql_scores('1.0')}\nSELECT {SQL_SCORE_COLUMNS} FROM tr")
 def calibration_scores(spark, sf_dir):
-    return rounded_scores(calibration.likelihood_scores(scored(spark, sf_dir), "logits", "label_position"))
+    return rounded_scores(calibration.likelihood_scores(scored_wide(spark, sf_dir), "logits", "label_position"))
 
 
 SQL_PARTITION = ("('0x' || substr(sha256('calibration-partition|' || vec_id), 1, 16))::UBIGINT % 100000 < 50000")
@@ -416,7 +416,7 @@ tr AS (SELECT kind, vec_id, any_value(t) AS t, arg_max(cls, p) = any_value(label
 SELECT kind, round(CASE WHEN kind = 'raw' THEN 1.0 ELSE any_value(t) END, 6) AS temperature, {SQL_SCORE_COLUMNS}
 FROM tr GROUP BY kind""")
 def temperature(spark, sf_dir):
-    rows = calibration_halves(scored(spark, sf_dir)).select("population", "logits", "label_position")
+    rows = calibration_halves(scored_wide(spark, sf_dir)).select("population", "logits", "label_position")
     # The fit reads the logits once per grid, so they are written once.
     rows = cut_lineage(rows, "calibration-logits")
     fitted = calibration.fit_temperature(rows.filter(F.col("population") == "calibration"), "logits", "label_position")
@@ -430,6 +430,13 @@ def temperature(spark, sf_dir):
     return results
 
 
+@query("likelihood_terms", f"""WITH {SQL_BASE}
+SELECT vec_id, label, round(-ln(max(CASE WHEN cls = label THEN p END)), 6) AS nll,
+       round(sum(p * p) - 2 * max(CASE WHEN cls = label THEN p END) + 1, 6) AS brier FROM prob GROUP BY vec_id, label""")
+def likelihood_terms(spark, sf_dir):
+    return scored(spark, sf_dir).select("vec_id", "label", r6("nll"), r6("brier"))
+
+
 @query("nll_curve", f"""WITH {SQL_BASE},
 g AS (SELECT unit, unit / 20000.0 AS t, vec_id, any_value(zm) AS zm, max(CASE WHEN cls = label THEN z END) AS zy,
              sum(exp((z - zm) / (unit / 20000.0))) AS se
@@ -437,7 +444,7 @@ g AS (SELECT unit, unit / 20000.0 AS t, vec_id, any_value(zm) AS zm, max(CASE WH
 SELECT unit::INTEGER AS unit, round(avg(ln(se) + zm / t - zy / t), 6) AS nll FROM g GROUP BY unit""")
 def nll_curve(spark, sf_dir):
     curve = calibration.nll_by_temperature(
-        scored(spark, sf_dir), "logits", "label_position", range(2_000, 40_001, 2_000))
+        scored_wide(spark, sf_dir), "logits", "label_position", range(2_000, 40_001, 2_000))
     return curve.select("unit", r6("nll"))
 
 

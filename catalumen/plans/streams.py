@@ -55,7 +55,7 @@ SELECT CASE WHEN conf >= 0.90 THEN 'accept' ELSE 'review' END AS route, count(*)
        count(*) FILTER (correct) AS correct FROM scored GROUP BY 1""")
 def stream_route(spark, sf_dir):
     stream, model = scored_stream(spark, sf_dir)
-    rows = prototypes.score(stream, model, "embedding", "label").select("vec_id", "conf", "correct")
+    rows = prototypes.score_narrow(stream, model, "embedding", "label").select("vec_id", "conf", "correct")
     sink = scratch_path(spark, "stream-route")
     incremental.run_to_end(incremental.route(rows, "conf", 0.90, sink))
     return spark.read.parquet(f"{sink}/routed").groupBy("route").agg(
@@ -71,7 +71,7 @@ def stream_score(spark, sf_dir):
     sink = scratch_path(spark, "stream-score")
 
     def score(frame):
-        return prototypes.score(frame, model, "embedding", "label").select("vec_id", "pred", "conf")
+        return prototypes.score_narrow(frame, model, "embedding", "label").select("vec_id", "pred", "conf")
 
     for _ in range(2):
         incremental.run_to_end(incremental.score_resumable(stream, score, sink, settings))

@@ -252,6 +252,28 @@ def test_prototypes_and_blocked_distances_match_numpy(spark):
     assert np.allclose([r["distance"] for r in blocked], d.min(axis=1))
 
 
+def test_narrow_scores_equal_the_array_expressions(spark, monkeypatch):
+    x = RNG.normal(scale=0.05, size=(50, 4))
+    y = RNG.integers(0, 6, size=50)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "id int, y int, v array<double>")
+    model = PrototypeModel.collect(prototypes.fit_prototypes(df.filter("y < 5"), "y", "v"))
+    monkeypatch.setattr(prototypes, "CHUNK_VALUES", 20)
+    narrow = {r["id"]: r for r in prototypes.score_narrow(df, model, "v", "y").collect()}
+    wide = prototypes.score(df, model, "v", "y").withColumn("t", vectors.top_two(F.col("probabilities"))).select(
+        "id", "y", "pred", "conf", "correct", "t", vectors.entropy(F.col("probabilities")).alias("h"),
+        calibration.nll_term(F.col("logits"), F.col("label_position")).alias("nll"),
+        calibration.brier_term(F.col("probabilities"), F.col("label_position")).alias("brier")).collect()
+    for r in wide:
+        n = narrow[r["id"]]
+        assert (n["pred"], n["correct"]) == (r["pred"], r["correct"])
+        assert n["second_class"] == model.classes[r["t"]["c2"]]
+        assert math.isclose(n["conf"], r["conf"]) and math.isclose(n["second"], r["t"]["p2"]) and math.isclose(n["entropy"], r["h"])
+        if r["y"] == 5:
+            assert n["nll"] is None and n["brier"] is None and n["label_position"] is None
+        else:
+            assert math.isclose(n["nll"], r["nll"], rel_tol=1e-9) and math.isclose(n["brier"], r["brier"], rel_tol=1e-9)
+
+
 def test_model_checks(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "y int, v array<double>")
     fitted = prototypes.fit_prototypes(df, "y", "v")
