@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +36,15 @@ def build_session(app: str = "catalumen", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    A session without that setting uses a folder below ``spark.sql.warehouse.dir``,
+    which every session has and a cluster shares.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if root:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(root)
-        return root
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="catalumen-")
-    context.setCheckpointDir(root)
+    if root is None:
+        root = context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 
