@@ -7,9 +7,10 @@ import inspect
 import pytest
 
 import __spark_entry__ as contract
+from catalumen import plans
 from tests.oracle import compare, connect
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 WITHOUT_SQL = {"file_manifest", "manifest_drift"}
 
 
