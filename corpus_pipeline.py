@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalumen.llm import secret_scan
+from catalumen.llm import language_id, secret_scan
 from catalumen.llm.base import table, written
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those without letters go."""
+    return language_id.keep_known(docs, language_id.fold_model(docs))
+
+
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark and ``n_chars`` counted anew."""
     return secret_scan.redact(docs, "text", "n_chars")
 
 
 STAGES = [
+    ("language_id", known_language),
     ("secret_scan", cut_secrets),
 ]
 
