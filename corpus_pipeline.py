@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalumen.llm import language_id, secret_scan
+from catalumen.llm import language_id, near_dup, secret_scan
 from catalumen.llm.base import table, written
 
 
@@ -17,6 +17,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.keep_known(docs, language_id.fold_model(docs))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dup.keep_one(docs)
+
+
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark and ``n_chars`` counted anew."""
     return secret_scan.redact(docs, "text", "n_chars")
@@ -24,6 +29,7 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
+    ("near_dup", one_of_each),
     ("secret_scan", cut_secrets),
 ]
 
