@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalumen.llm import language_id, near_dup, secret_scan
+from catalumen.llm import language_id, near_dup, packing, secret_scan
 from catalumen.llm.base import table, written
 
 
@@ -27,10 +27,16 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs, "text", "n_chars")
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 ids."""
+    return packing.pack_documents(docs, packing.vocabulary())
+
+
 STAGES = [
     ("language_id", known_language),
     ("near_dup", one_of_each),
     ("secret_scan", cut_secrets),
+    ("packing", pack),
 ]
 
 # Stages learn models, verify by edit distance and pack by a search; SQL cannot express them.
