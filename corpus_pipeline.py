@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalumen.llm import language_id, near_dup, packing, secret_scan
+from catalumen.llm import decontaminate, language_id, near_dup, packing, secret_scan
 from catalumen.llm.base import table, written
 
 
@@ -22,6 +22,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.keep_one(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark and ``n_chars`` counted anew."""
     return secret_scan.redact(docs, "text", "n_chars")
@@ -35,6 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", known_language),
     ("near_dup", one_of_each),
+    ("decontamination", without_benchmark),
     ("secret_scan", cut_secrets),
     ("packing", pack),
 ]
