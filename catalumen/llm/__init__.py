@@ -1,6 +1,6 @@
 """Operators for preparing training text at scale; importing this package fills the registry of their queries."""
 
-from catalumen.llm import decontaminate, language_id, near_dup, packing, secret_scan, substring_dedup  # noqa: F401
+from catalumen.llm import decontaminate, language_id, near_dup, packing, secret_scan, substring_dedup, suffix_dedup  # noqa: F401
 from catalumen.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
