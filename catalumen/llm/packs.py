@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from catalumen.llm.base import flat_bytes, offsets, row_slices, small_batches
 from catalumen.llm.hashing import U
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 # Keys that a bucket holds on average; each bucket is one task's work.
 BUCKET_KEYS = 1 << 20
 # A text without a key comes after all others.
