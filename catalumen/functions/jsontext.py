@@ -15,6 +15,32 @@ LISTING_SKIPPED_KEYS = ("language_tag",)
 ATTRIBUTE_SKIPPED_KEYS = ("language_tag", "source", "label_source")
 
 
+def is_json_object(raw: Column) -> Column:
+    """True if the whole text is one JSON object, as JSON itself has it.
+
+    Text behind the object, a second object and single quotes fail: the text is
+    judged inside brackets and as the value of a key, and no text that is more or
+    less than one value fits into both. Null for a null text.
+    """
+    item = F.concat(F.lit("["), raw, F.lit("]"))
+    listed, keyed = F.try_parse_json(item), F.try_parse_json(F.concat(F.lit('{"k":'), raw, F.lit("}")))
+    kind = F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant"))
+    one = listed.isNotNull() & keyed.isNotNull() & (F.json_array_length(item) == 1) & kind.startswith("OBJECT")
+    return F.when(raw.isNotNull(), F.coalesce(one, F.lit(False)))
+
+
+def strict_json(raw: Column) -> Column:
+    """The text if the whole of it is one JSON value, else null."""
+    item = F.concat(F.lit("["), raw, F.lit("]"))
+    one = F.try_parse_json(item).isNotNull() & F.try_parse_json(F.concat(F.lit('{"k":'), raw, F.lit("}"))).isNotNull()
+    return F.when(one & (F.json_array_length(item) == 1), raw)
+
+
+def object_keys(raw: Column) -> Column:
+    """Top-level keys of a text that is one JSON object, else null."""
+    return F.when(is_json_object(raw), F.json_object_keys(raw))
+
+
 def _map_json(column: pa.Array, fn: Callable[[Any], Any], kind: pa.DataType) -> pa.Array:
     out = []
     for raw in column.to_pylist():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalumen.functions.jsontext import object_keys, strict_json
 from catalumen.functions.text import squeeze_spaces, strip_ends
 
 # Fixed values.
@@ -32,6 +33,7 @@ def _variant_kind(variant: Column) -> Column:
 
 def strict_label(raw: Column) -> Column:
     """Exactly ``[{"value": text}]``: the stripped text, and how it was judged."""
+    raw = strict_json(raw)
     parsed = F.try_parse_json(raw)
     item = F.try_variant_get(parsed, "$[0]", "variant")
     inner = F.try_variant_get(parsed, "$[0].value", "variant")
@@ -51,7 +53,7 @@ def strict_label(raw: Column) -> Column:
 
 def presence_kind(raw_object: Column, key: str) -> Column:
     """Absent, null and unparseable are three different findings."""
-    keys = F.json_object_keys(raw_object)
+    keys = object_keys(raw_object)
     value = F.try_variant_get(F.try_parse_json(raw_object), f"$.{key}", "variant")
     return (
         F.when(keys.isNull(), "unparseable")
@@ -63,7 +65,7 @@ def presence_kind(raw_object: Column, key: str) -> Column:
 
 def lenient_label(raw: Column) -> Column:
     """Also accepts an object, a JSON string holding either, or a plain text."""
-    outer = F.try_parse_json(raw)
+    outer = F.try_parse_json(strict_json(raw))
     # A JSON string may itself hold a list or an object: look one level deeper.
     text = F.coalesce(
         F.when(F.coalesce(_variant_kind(outer), F.lit("")) == "STRING",
@@ -72,7 +74,7 @@ def lenient_label(raw: Column) -> Column:
     )
     body = strip_ends(text)
     nested_text = F.when(body.rlike(r"(?s)^\[.*\]$") | body.rlike(r"(?s)^\{.*\}$"), body)
-    nested = F.try_parse_json(nested_text)
+    nested = F.try_parse_json(strict_json(nested_text))
     document = F.coalesce(nested, F.when(text.isNull(), outer))
     document_text = F.when(nested.isNotNull(), nested_text).otherwise(raw)
     kind = F.coalesce(_variant_kind(document), F.lit(""))
@@ -118,4 +120,4 @@ def supervision_type(has_category: Column, has_attributes: Column, has_informati
 
 def missing_fields(raw_object: Column, required: list[str]) -> Column:
     """Required keys an object lacks; null when the text is not a JSON object."""
-    return F.array_except(F.array(*[F.lit(x) for x in required]), F.json_object_keys(raw_object))
+    return F.array_except(F.array(*[F.lit(x) for x in required]), object_keys(raw_object))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalumen.functions.jsontext import object_keys
 from catalumen.operators.joins import broadcast_if_small, lookup
 
 
@@ -58,7 +59,7 @@ def most_common(df: DataFrame, key: str, k: int) -> DataFrame:
 
 def field_presence(df: DataFrame, raw: str) -> DataFrame:
     """How many JSON objects carry each top-level key."""
-    return df.select(F.explode(F.json_object_keys(raw)).alias("field")).groupBy("field").agg(
+    return df.select(F.explode(object_keys(F.col(raw))).alias("field")).groupBy("field").agg(
         F.count(F.lit(1)).alias("n"))
 
 

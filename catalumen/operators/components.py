@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions import identity
-from catalumen.operators.joins import MAX_HOT_KEYS, broadcast_if_small, join_spread
+from catalumen.operators.joins import MAX_HOT_KEYS, join_spread
 from catalumen.session import cut_lineage
 
-MEMBER_KEY_LIMIT = 100_000
+# Rounds grow with the logarithm of a component's size; this only stops a fault from looping for ever.
 MAX_ROUNDS = 100
 # Below this many edges one task can hold them all, so a hot node needs no salting.
 ONE_TASK_EDGES = 1_000_000
@@ -87,7 +87,7 @@ def connected_components(
     edges = cut_lineage(sharing_edges(references, record, item))
     seen = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
-        edges = cut_lineage(_small_star(cut_lineage(_large_star(edges, seen[0])), seen[0]))
+        edges = cut_lineage(_small_star(_large_star(edges, seen[0]), seen[0]))
         now = _fingerprint(edges)
         if now == seen:
             break
@@ -99,40 +99,24 @@ def connected_components(
         "component", F.coalesce("component", record))
 
 
-def component_keys(members: DataFrame, record: str, limit: int = MEMBER_KEY_LIMIT) -> DataFrame:
-    """``(component, size, component_key)``.
+def component_keys(members: DataFrame, record: str) -> DataFrame:
+    """``(component, size, component_key)``; the key is a fingerprint of the member ids, whatever their number.
 
-    The key is ``component|id1|id2...`` over the ids sorted as text. Beyond
-    ``limit`` members a single row cannot hold that text any more; such a
-    component is keyed by an order-free fingerprint of its ids instead.
+    It ignores their order and adds up, so no component is ever gathered in one row.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    giants = broadcast_if_small(sizes.filter(F.col("size") > limit).select("component"))
-    text_id = F.col(record).cast("string")
-    listed = (
-        members.join(giants, "component", "left_anti")
-        .groupBy("component")
-        .agg(F.count(F.lit(1)).alias("size"),
-             F.array_join(F.array_sort(F.collect_list(text_id)), "|").alias("__ids"))
-        .select("component", "size", F.concat(F.lit("component|"), "__ids").alias("component_key"))
-    )
-    hashed = (
-        members.join(giants, "component", "left_semi")
-        .groupBy("component")
-        .agg(F.count(F.lit(1)).alias("size"),
-             identity.set_fingerprint(F.sha2(text_id, 256)).alias("__print"))
-        .select("component", "size", F.concat(F.lit("component|"), "__print").alias("component_key"))
-    )
-    return listed.unionByName(hashed)
+    return members.groupBy("component").agg(
+        F.count(F.lit(1)).alias("size"),
+        identity.set_fingerprint(F.sha2(F.col(record).cast("string"), 256)).alias("__print")
+    ).select("component", "size", F.concat(F.lit("component|"), "__print").alias("component_key"))
 
 
 def component_split(
     records: DataFrame, references: DataFrame, record: str, item: str,
-    seed: str = identity.SPLIT_SEED, limit: int = MEMBER_KEY_LIMIT,
+    seed: str = identity.SPLIT_SEED,
 ) -> DataFrame:
     """``(record, component, size, split)``: records sharing an item share a split."""
     members = cut_lineage(connected_components(records, references, record, item))
-    keyed = component_keys(members, record, limit).select(
+    keyed = component_keys(members, record).select(
         "component", "size",
         identity.three_way_split(identity.bucket(F.col("component_key"), seed)).alias("split"))
     return join_spread(members, keyed, ["component"], "inner").select(

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalumen.operators.joins import lookup
+
 MIN_RANGES, MAX_RANGES = 64, 10_000
 
 
@@ -81,25 +83,22 @@ def permute_column(df: DataFrame, key: str, column: str, seed: str) -> DataFrame
 
 
 def file_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Dense row number in file order for a frame read straight from files.
+    """Dense row number in file order, counting the rows that are in ``df`` and no others.
 
-    Needs the columns ``__file``, ``__start`` and ``__mono`` of
-    ``sources.delimited.read_lines(..., ordered=True)``.
-    Ids grow by one inside a file split, so only one row per split is shuffled.
+    ``df`` comes straight from ``sources.delimited.read_lines(..., ordered=True)``
+    or has had rows filtered since, but was not shuffled. Rows are counted where
+    they are read; one row per file split, and no line, is shuffled.
     """
-    splits = df.groupBy("__file", "__start").agg(
-        F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    # One row per file split, never one per record.
+    counted = df.drop("__mono").withColumn("__place", F.monotonically_increasing_id())
+    splits = counted.groupBy("__file", "__start").agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = splits.select(
-        "__file", "__start", "__first",
+        "__file", "__start",
         (F.sum("__n").over(
             Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("__n")).alias("__before"))
-    return (
-        df.join(before, ["__file", "__start"])
-        .withColumn(name, (F.col("__before") + F.col("__mono") - F.col("__first")).cast("long"))
-        .drop("__file", "__start", "__mono", "__first", "__before")
-    )
+         - F.col("__n") - F.col("__first")).alias("__shift"))
+    return lookup(counted, before, ["__file", "__start"], "inner").withColumn(
+        name, F.col("__shift") + F.col("__place")).drop("__file", "__start", "__place", "__shift")
 
 
 def exact_percentiles(

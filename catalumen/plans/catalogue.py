@@ -148,8 +148,8 @@ def file_manifest(spark, sf_dir):
 def manifest_drift(spark, sf_dir):
     """Against a record in which one file's hash is out of date and one file is unknown."""
     manifest = files.hash_manifest(spark, sf_dir, "*.parquet")
-    recorded = manifest.filter(F.col("file_name") != "pages.parquet").withColumn(
-        "sha256", F.when(F.col("file_name") == "labels.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    recorded = manifest.filter(F.col("relative_path") != "pages.parquet").withColumn(
+        "sha256", F.when(F.col("relative_path") == "labels.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     return files.manifest_drift(manifest, recorded)
 
 
@@ -579,8 +579,10 @@ comp AS (SELECT r AS l_orderkey, c AS component FROM walk)"""
 
 
 @query("component_split", f"""WITH {SQL_COMPONENTS},
-keyed AS (SELECT component, count(*) AS size, 'component|' || string_agg(l_orderkey::VARCHAR, '|' ORDER BY l_orderkey::VARCHAR) AS k
-          FROM comp GROUP BY component)
+digests AS (SELECT component, sha256(l_orderkey::VARCHAR) AS d FROM comp),
+keyed AS (SELECT component, count(*) AS size, 'component|' || sha256(concat_ws('|', count(*)::VARCHAR,
+            sum(('0x' || substr(d, 1, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(d, 16, 15))::BIGINT)::VARCHAR)) AS k
+          FROM digests GROUP BY component)
 SELECT l_orderkey, component, size, {sql_split('k')} AS split FROM comp JOIN keyed USING (component)""")
 def component_split(spark, sf_dir):
     records, refs = line_references(spark, sf_dir)

@@ -310,10 +310,16 @@ def class_metrics(spark, sf_dir):
 
 @query("confusion_pairs", f"""WITH {SQL_BASE}
 SELECT label AS truth, pred AS predicted, count(*) AS n FROM scored WHERE label <> pred
-GROUP BY 1, 2 ORDER BY n DESC, truth, predicted LIMIT 50""")
+GROUP BY 1, 2""")
 def confusion_pairs(spark, sf_dir):
-    counts = metrics.confusion(scored(spark, sf_dir), "label", "pred")
-    return metrics.confusion_pairs(counts).orderBy(F.col("n").desc(), "truth", "predicted").limit(50)
+    return metrics.confusion_pairs(metrics.confusion(scored(spark, sf_dir), "label", "pred"))
+
+
+@query("top_confusions", f"""WITH {SQL_BASE}
+SELECT label AS truth, pred AS predicted, count(*) AS n FROM scored WHERE label <> pred
+GROUP BY 1, 2 ORDER BY n DESC, truth, predicted LIMIT 50""")
+def top_confusions(spark, sf_dir):
+    return confusion_pairs(spark, sf_dir).orderBy(F.col("n").desc(), "truth", "predicted").limit(50)
 
 
 SQL_EDGE15 = "(VALUES " + ", ".join(f"({i})" for i in range(15)) + ") g(bin)"
@@ -529,18 +535,26 @@ def conf_error_bins(spark, sf_dir):
     return rows.select(*[F.col(c) if c in whole else r6(c) for c in rows.columns])
 
 
-@query("class_errors", f"""WITH {SQL_BASE}
+SQL_CLASS_ERRORS = f"""WITH {SQL_BASE}
 SELECT label AS class_id, count(*) AS support, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS errors,
        round(avg(correct::INT), 6) AS accuracy, round(avg((NOT correct)::INT), 6) AS error_rate,
        round(avg(conf), 6) AS mean_confidence, count(*) FILTER (NOT correct AND conf >= 0.90) AS high_confidence_errors,
        round(coalesce(count(*) FILTER (NOT correct AND conf >= 0.90) / nullif(count(*) FILTER (NOT correct), 0), 0), 6) AS high_confidence_error_rate
-FROM scored GROUP BY label ORDER BY errors DESC, support DESC, class_id LIMIT 20""")
+FROM scored GROUP BY label"""
+
+
+@query("class_errors", SQL_CLASS_ERRORS)
 def class_errors(spark, sf_dir):
-    rows = selective.top_error_classes(selective.class_errors(scored(spark, sf_dir), "label", "conf", "correct"))
+    rows = selective.class_errors(scored(spark, sf_dir), "label", "conf", "correct")
     rounded = {"accuracy", "error_rate", "mean_confidence", "high_confidence_error_rate"}
     return rows.select(*[r6(c) if c in rounded else F.col(c) for c in rows.columns])
 
 
+@query("top_error_classes", SQL_CLASS_ERRORS + " ORDER BY errors DESC, support DESC, class_id LIMIT 20")
+def top_error_classes(spark, sf_dir):
+    return selective.top_error_classes(class_errors(spark, sf_dir))
+
+
 @query("conf_outliers", f"""WITH {SQL_BASE}
 SELECT vec_id, label, pred, round(conf, 6) AS conf,
        CASE WHEN NOT correct THEN 'high_confidence_error' ELSE 'low_confidence_correct' END AS kind

@@ -245,11 +245,11 @@ for _variant in TFIDF_VARIANTS:
 
 
 @query("vocabulary", f"""WITH {_sql_tfidf(SQL_WORDS, False, 2, None, False)}
-SELECT term, df, total::BIGINT AS total_tf FROM voc ORDER BY total DESC, term LIMIT 100""")
+SELECT term, df, total::BIGINT AS total_tf FROM voc ORDER BY total DESC, term LIMIT 300000""")
 def vocabulary(spark, sf_dir):
     train = text_table(spark, sf_dir, "documents", "doc_id", "text").filter(split_of("doc_id") == "train")
     counts = textmodel.term_counts(train, "doc_id", text.word_tokens(F.col("text")))
-    return textmodel.vocabulary(counts, 2, 100)
+    return textmodel.vocabulary(counts, 2, 300_000)
 
 
 # Naive Bayes on the labelled documents, truth = quality.

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import paths
@@ -34,11 +34,18 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    base = root.rstrip("/") + "/"
     frame = reader.load(root).select("path", "length")
-    return frame.withColumn(
-        "relative_path", F.element_at(F.split("path", F.lit(r"\Q" + base + r"\E"), 2), -1)
-    ).withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    return frame.withColumn("relative_path", _below(root)).withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+
+
+def _below(root: str) -> Column:
+    """The listed path below ``root``, whichever of the two names the file system with ``file:`` or slashes."""
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(path, "^file:/+", "/")
+
+    base = plain(F.lit(root.rstrip("/") + "/"))
+    listed = plain(F.col("path"))
+    return F.when(F.startswith(listed, base), F.substr(listed, F.length(base) + 1)).otherwise(listed)
 
 
 def mark_available(image_table: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,9 +74,14 @@ def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["path", "length"]].assign(sha256=digests)
 
 
+def manifest_of(contents: DataFrame) -> DataFrame:
+    """``(relative_path, length, sha256)`` of contents that are rows: ``(relative_path, length, content)``."""
+    return contents.select("relative_path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def hash_manifest(spark: SparkSession, root: str, pattern: str | None = None,
                   whole_file_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
-    """``(file_name, length, sha256)`` per file, one task per group of files.
+    """``(relative_path, length, sha256)`` per file, one task per group of files.
 
     Files up to the limit are hashed inside Spark; larger ones are read as a
     stream, so no file has to fit in memory.
@@ -78,15 +90,14 @@ def hash_manifest(spark: SparkSession, root: str, pattern: str | None = None,
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(root)
-    small = files.filter(F.col("length") <= whole_file_limit).select(
-        "path", "length", F.sha2("content", 256).alias("sha256"))
+    small = manifest_of(files.filter(F.col("length") <= whole_file_limit).withColumnRenamed("path", "relative_path"))
     large = files.filter(F.col("length") > whole_file_limit).select("path", "length").mapInPandas(
         _hash_streams, "path string, length long, sha256 string")
-    return small.unionByName(large).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "sha256")
+    return small.withColumnRenamed("relative_path", "path").unionByName(large).select(
+        _below(root).alias("relative_path"), "length", "sha256")
 
 
-def manifest_drift(manifest: DataFrame, expected: DataFrame, key: str = "file_name") -> DataFrame:
+def manifest_drift(manifest: DataFrame, expected: DataFrame, key: str = "relative_path") -> DataFrame:
     """Files whose recorded hash differs, is missing or was never recorded."""
     recorded = expected.select(key, F.col("sha256").alias("expected_sha256"))
     return manifest.select(key, "sha256").join(recorded, key, "full_outer").filter(

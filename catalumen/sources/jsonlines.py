@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from catalumen.functions.jsontext import is_json_object
+
 
 def read_typed(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """Declared shape; the first broken line stops the job."""
@@ -19,7 +21,7 @@ def read_raw(spark: SparkSession, path: str | list[str], fail: bool = True) -> D
     either stops the job, otherwise it is kept with ``malformed`` set.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "").withColumnRenamed("value", "raw")
-    is_object = F.json_object_keys("raw").isNotNull()
+    is_object = is_json_object(F.col("raw"))
     if fail:
         message = F.concat(F.lit("not a JSON object: "), F.substring("raw", 1, 200))
         lines = lines.withColumn("raw", F.when(is_object, F.col("raw")).otherwise(F.raise_error(message).cast("string")))

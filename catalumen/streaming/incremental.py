@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from catalumen.functions.jsontext import is_json_object
 from catalumen.operators import selective
 
 
@@ -49,7 +50,7 @@ def ingest(stream: DataFrame, key: str, raw: str, sink: str) -> StreamingQuery:
     written under the batch number and replaced when a batch runs again, so a
     restart neither loses nor repeats rows.
     """
-    checked = stream.withColumn("malformed", F.json_object_keys(raw).isNull())
+    checked = stream.withColumn("malformed", ~F.coalesce(is_json_object(F.col(raw)), F.lit(False)))
     unique = checked.dropDuplicates([key])
 
     def write(batch: DataFrame, batch_id: int) -> None:

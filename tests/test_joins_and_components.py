@@ -98,7 +98,13 @@ def bucket_split(key):
     return "train" if b < 80_000 else "validation" if b < 90_000 else "test"
 
 
-def test_component_split_uses_sorted_text_ids(spark):
+def component_key(ids):
+    digests = [hashlib.sha256(i.encode()).hexdigest() for i in ids]
+    lanes = [str(sum(int(d[a:a + 15], 16) for d in digests)) for a in (0, 15)]
+    return "component|" + hashlib.sha256("|".join([str(len(ids)), *lanes]).encode()).hexdigest()
+
+
+def test_component_split_uses_a_fingerprint_of_the_ids(spark):
     ids = list(range(1, 30))
     refs = [(i, f"m{i % 4}") for i in ids if i % 2]
     records = spark.createDataFrame([(i,) for i in ids], "r long")
@@ -110,17 +116,15 @@ def test_component_split_uses_sorted_text_ids(spark):
     for row in rows:
         ids_of = sorted(members[row["component"]])
         assert row["size"] == len(ids_of)
-        assert row["split"] == bucket_split("component|" + "|".join(ids_of))
+        assert row["split"] == bucket_split(component_key(ids_of))
 
 
-def test_large_components_are_keyed_without_gathering_ids(spark):
-    members = spark.createDataFrame([(i, 0) for i in range(50)] + [(99, 99)], "r long, component long")
-    small = {r["component"]: r for r in components.component_keys(members, "r", limit=100).collect()}
-    large = {r["component"]: r for r in components.component_keys(members.repartition(3), "r", limit=10).collect()}
-    again = {r["component"]: r for r in components.component_keys(members, "r", limit=10).collect()}
-    assert small[99]["component_key"] == large[99]["component_key"] == "component|99"
-    assert large[0]["component_key"] == again[0]["component_key"] != small[0]["component_key"]
-    assert large[0]["size"] == 50 and len(large[0]["component_key"]) < 80
+def test_components_of_any_size_have_one_key_rule(spark):
+    members = spark.range(3000).selectExpr("id as r", "if(id < 2990, 0, id) as component")
+    keys = {r["component"]: (r["size"], r["component_key"]) for r in components.component_keys(members, "r").collect()}
+    again = {r["component"]: (r["size"], r["component_key"]) for r in components.component_keys(members.repartition(7), "r").collect()}
+    assert keys == again and len(keys) == 11
+    assert keys[0] == (2990, component_key([str(i) for i in range(2990)])) and keys[2999] == (1, component_key(["2999"]))
 
 
 def test_leakage_and_overlap(spark):

@@ -33,9 +33,9 @@ def test_manifest_lists_all_files(spark, smoke_dir):
     from pathlib import Path
 
     want = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in Path(smoke_dir).glob("*.parquet")}
-    got = {r["file_name"]: r["sha256"] for r in QUERIES["file_manifest"](spark, smoke_dir).collect()}
+    got = {r["relative_path"]: r["sha256"] for r in QUERIES["file_manifest"](spark, smoke_dir).collect()}
     assert got == want
-    assert {r["file_name"] for r in QUERIES["manifest_drift"](spark, smoke_dir).collect()} == {"labels.parquet", "pages.parquet"}
+    assert {r["relative_path"] for r in QUERIES["manifest_drift"](spark, smoke_dir).collect()} == {"labels.parquet", "pages.parquet"}
 
 
 def test_entry_is_lazy_and_has_the_curve(spark):

@@ -112,11 +112,11 @@ def test_hash_manifest_and_drift(spark, tmp_path, limit):
     for name, data in content.items():
         (tmp_path / name).write_bytes(data)
     manifest = files.hash_manifest(spark, str(tmp_path), "*.bin", whole_file_limit=limit).cache()
-    assert {r["file_name"]: (r["length"], r["sha256"]) for r in manifest.collect()} == {
+    assert {r["relative_path"]: (r["length"], r["sha256"]) for r in manifest.collect()} == {
         n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
     recorded = spark.createDataFrame(
-        [("f1.bin", hashlib.sha256(content["f1.bin"]).hexdigest()), ("f2.bin", "0"), ("gone.bin", "1")], "file_name string, sha256 string")
-    assert {r["file_name"] for r in files.manifest_drift(manifest, recorded).collect()} == {"f2.bin", "f3.bin", "gone.bin"}
+        [("f1.bin", hashlib.sha256(content["f1.bin"]).hexdigest()), ("f2.bin", "0"), ("gone.bin", "1")], "relative_path string, sha256 string")
+    assert {r["relative_path"] for r in files.manifest_drift(manifest, recorded).collect()} == {"f2.bin", "f3.bin", "gone.bin"}
 
 
 def test_curves_bundles_and_config(spark, tmp_path):
