@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from catalumen.functions.text import strip_ends
+
 # Fixed values.
 PATH_SEPARATOR = ">"
 IMAGE_EXTENSIONS = r"(?i)\.(jpg|jpeg|png)$"
@@ -67,7 +69,7 @@ def path_prefixes(nodes: Column) -> Column:
 
 def relative_path(path: Column) -> Column:
     """Forward slashes, no surrounding space; null when empty or leaving the root."""
-    value = F.regexp_replace(F.trim(path), r"\\", "/")
+    value = F.regexp_replace(strip_ends(path), r"\\", "/")
     return F.when((value != "") & ~value.rlike(r"(^|/)\.\.(/|$)") & ~value.startswith("/"), value)
 
 

@@ -44,13 +44,13 @@ def argmax(values: Column) -> Column:
 
 
 def top_two(values: Column) -> Column:
-    """Largest two entries with their positions; ties go to the lower position."""
+    """Largest two entries with their positions; ties go to the lower position, a missing second one is null."""
     ranked = F.sort_array(
         F.transform(values, lambda p, i: F.struct((-p).alias("neg"), i.alias("pos")))
     )
     return F.struct(
         (-ranked[0]["neg"]).alias("p1"), ranked[0]["pos"].alias("c1"),
-        (-ranked[1]["neg"]).alias("p2"), ranked[1]["pos"].alias("c2"),
+        (-F.try_element_at(ranked, F.lit(2))["neg"]).alias("p2"), F.try_element_at(ranked, F.lit(2))["pos"].alias("c2"),
     )
 
 

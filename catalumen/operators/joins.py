@@ -43,7 +43,7 @@ def join_spread(
     hot = F.broadcast(hot)
     # A hash of the row, not a random number: a task that runs again after a lost
     # executor must send each row to the same share.
-    spread = F.xxhash64(*(spread_by or left.columns))
+    spread = F.xxhash64(*(spread_by or [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]))
     unmatched = F.lit(False)
     for key in keys:
         unmatched = unmatched | F.col(key).isNull()

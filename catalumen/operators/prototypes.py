@@ -61,6 +61,9 @@ def _signals(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     known = np.maximum(y, 0)
     nll = np.log(mass) - z[row, known]
     brier = (p * p).sum(axis=1) - 2.0 * p[row, known] + 1.0
+    if p.shape[1] == 1:
+        # Without a second class there is no runner-up; it is null.
+        return best, conf, np.full(len(z), -1), np.full(len(z), np.nan), entropy, nll, brier
     p[row, best] = -1.0
     runner_up = p.argmax(axis=1)
     return best, conf, runner_up, p[row, runner_up], entropy, nll, brier
@@ -149,10 +152,10 @@ class PrototypeModel:
                 _signals(-logit_scale * _distances(x[i:i + step], matrix, "euclidean"), y[i:i + step])
                 for i in range(0, max(len(x), 1), step)]
             merged = [np.concatenate(values) for values in zip(*parts)]
-            unknown = y < 0
+            unknown, alone = y < 0, np.full(len(y), len(matrix) == 1)
             arrays = [
                 pa.array(merged[0], pa.int32()), pa.array(merged[1]),
-                pa.array(merged[2], pa.int32()), pa.array(merged[3]), pa.array(merged[4]),
+                pa.array(merged[2], pa.int32(), mask=alone), pa.array(merged[3], mask=alone), pa.array(merged[4]),
                 pa.array(merged[5], mask=unknown), pa.array(merged[6], mask=unknown)]
             return pa.StructArray.from_arrays(arrays, names=list(SIGNAL_NAMES))
 

@@ -19,7 +19,7 @@ def write_by_split(df: DataFrame, path: str, split: str = "split", form: str = "
     split over that many tasks, however large one split is.
     """
     if files_per_split:
-        share = F.pmod(F.xxhash64(*[c for c in df.columns if c != split]), F.lit(files_per_split))
+        share = F.pmod(F.xxhash64(*[f.name for f in df.schema if f.name != split and "map<" not in f.dataType.simpleString()]), F.lit(files_per_split))
         df = df.withColumn("__share", share).repartition(split, "__share").drop("__share")
     df.write.mode(mode).partitionBy(split).format(form).save(path)
 
