@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalumen.functions import text
-from catalumen.operators.joins import MAX_HOT_KEYS, join_spread
+from catalumen.operators.joins import MAX_HOT_KEYS, join_spread, lookup
+from catalumen.session import cut_lineage
 
 MAX_CLASSES = 20_000
 
@@ -73,24 +78,80 @@ def fit_naive_bayes(
     return classes, weights
 
 
-def score_naive_bayes(
-    docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame,
-) -> DataFrame:
-    """``(key, class, score)``: joint log-likelihood for every record and class.
+def _gains(docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(key, class, length, gain)``: what a record gains for each class, and its length in the row without a class.
 
-    One join on the term. What a record gains per class and its length (the
-    entry without a class) are added up together, map-side first.
+    One join on the term; both sums are added up together, map-side first. Every record has a row without a class.
     """
-    class_type = classes.schema["class"].dataType
-    nothing = F.lit(None).cast(class_type)
+    nothing = F.lit(None).cast(classes.schema["class"].dataType)
     matched = join_spread(counts, weights, ["term"], "inner", hot=hot_terms(terms))
     entries = matched.select(key, "tf", F.explode(F.concat(
         "gains", F.array(F.struct(nothing.alias("class"), F.lit(0.0).alias("gain"))))).alias("g")
     ).select(key, "g.class", "tf", (F.col("tf") * F.col("g.gain")).alias("gain"))
     every_record = docs.select(
         key, nothing.alias("class"), F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("gain"))
-    sums = entries.unionByName(every_record).groupBy(key, "class").agg(
+    return entries.unionByName(every_record).groupBy(key, "class").agg(
         F.sum("tf").alias("length"), F.sum("gain").alias("gain"))
+
+
+def best_by_length(classes: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(length, neg, class)``: the best class of a record of that length without any gain, lowest class on a tie.
+
+    Classes stay where they are: each batch of them gives its best for every
+    length, and the best of these are kept.
+    """
+    kind = classes.schema["class"].dataType.simpleString()
+    wanted = np.array(sorted(lengths), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prior, unseen = (batch.column(c).to_numpy()[:, None] for c in ("prior", "unseen"))
+            for at in range(0, len(wanted), 1_000):
+                some = wanted[at:at + 1_000]
+                score = prior + some[None, :] * unseen
+                # Sorted by class, so the first of equal scores is the lowest class.
+                best = score.argmax(0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array(-score[best, np.arange(len(some))]), batch.column("class").take(pa.array(best))],
+                    ["length", "neg", "class"])
+
+    ordered = classes.select("class", "prior", "unseen").sortWithinPartitions("class")
+    found = ordered.mapInArrow(run, f"length long, neg double, class {kind}")
+    return found.groupBy("length").agg(F.min(F.struct("neg", "class")).alias("b")).select("length", "b.neg", "b.class")
+
+
+def predict_naive_bayes(
+    docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame,
+) -> DataFrame:
+    """``(key, pred, score)`` for any number of classes: the best class, lowest class on a tie.
+
+    A record meets the classes it gains for, and of all others only the best,
+    which depends on nothing but its length. (If that one has a gain as well,
+    its full score is larger and is there too.) Scores are compared on nine
+    digits, so that summation order cannot decide.
+    """
+    sums = cut_lineage(_gains(docs, counts, key, terms, classes, weights), "gains")
+    lengths = sums.filter(F.col("class").isNull()).select(key, "length")
+    # Distinct lengths are bounded by the longest record.
+    distinct = [r["length"] for r in lengths.select("length").distinct().collect()]
+    plain = lookup(lengths, best_by_length(classes, distinct), ["length"], "inner").select(key, "neg", "class")
+    gained = lookup(sums.filter(F.col("class").isNotNull()).drop("length"), classes, ["class"], "inner").join(lengths, key)
+    full = gained.select(key, (-(F.col("prior") + F.col("length") * F.col("unseen") + F.col("gain"))).alias("neg"), "class")
+    best = plain.unionByName(full).groupBy(key).agg(
+        F.min(F.struct(F.round("neg", 9).alias("near"), "class", "neg")).alias("b"))
+    return best.select(key, F.col("b.class").alias("pred"), (-F.col("b.neg")).alias("score"))
+
+
+def score_naive_bayes(
+    docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame,
+) -> DataFrame:
+    """``(key, class, score)``: joint log-likelihood for every record and every class.
+
+    The result itself has a row for each pair, so classes are bounded; use
+    ``predict_naive_bayes`` where only the best class is wanted.
+    """
+    class_type = classes.schema["class"].dataType
+    sums = _gains(docs, counts, key, terms, classes, weights)
     per_record = sums.groupBy(key).agg(
         F.max(F.when(F.col("class").isNull(), F.col("length"))).alias("length"),
         F.map_from_entries(F.collect_list(

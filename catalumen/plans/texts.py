@@ -291,8 +291,8 @@ def nb_predictions(spark, sf_dir) -> DataFrame:
     labels, counts, terms, classes, weights = nb_model(spark, sf_dir)
     held_out = labels.filter(F.col("split") != "train")
     target_counts = counts.filter(F.col("split") != "train").drop("split")
-    scores = textmodel.score_naive_bayes(held_out, target_counts, "doc_id", terms, classes, weights)
-    return held_out.join(textmodel.predict(scores, "doc_id"), "doc_id")
+    best = textmodel.predict_naive_bayes(held_out, target_counts, "doc_id", terms, cut_lineage(classes), weights)
+    return held_out.join(best, "doc_id")
 
 
 @query("nb_text", f"""WITH {SQL_NB}, held AS (SELECT doc_id FROM lab JOIN documents USING (doc_id) WHERE split <> 'train'),

@@ -170,3 +170,20 @@ def test_naive_bayes_matches_brute_force(spark):
     assert best[10] == "a" and best[13] == "a"
     total = textmodel.probabilities(scores, "id").groupBy("id").agg(F.sum("probability").alias("s")).collect()
     assert all(math.isclose(r["s"], 1.0) for r in total)
+
+
+def test_naive_bayes_prediction_for_many_classes(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, f"c{rng.randrange(300):03d}", " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(0, 9)))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "id long, cls string, text string").cache()
+    counts = textmodel.term_counts(docs, "id", F.split("text", " "), keep=["cls"]).filter("term <> ''")
+    terms = textmodel.vocabulary(counts, 2)
+    classes, weights = textmodel.fit_naive_bayes(counts, terms, docs, "cls")
+    target = counts.drop("cls")
+    best = {r["id"]: (r["pred"], round(r["score"], 9)) for r in
+            textmodel.predict_naive_bayes(docs, target, "id", terms, classes.cache(), weights).collect()}
+    every = textmodel.score_naive_bayes(docs, target, "id", terms, classes, weights).withColumn("score", F.round("score", 9))
+    want = {r["id"]: (r["pred"], round(r["score"], 9)) for r in textmodel.predict(every, "id").collect()}
+    assert best == want and len(best) == 900
