@@ -27,7 +27,9 @@ HEADLINE = (
     "prototype_distance", "confidence_signals", "signal_stats", "class_report", "fusion_sweep", "fusion_compare",
     "view_ablation", "transfer_sweep", "calibration_scores", "temperature", "coverage_risk", "routing",
     # text models and streams
-    "tfidf_unigrams", "tfidf_bigrams", "nb_text", "stream_ingest", "stream_score",
+    "tfidf_unigrams", "tfidf_bigrams", "tfidf_capped", "nb_text", "nb_transfer", "stream_ingest", "stream_score",
+    # heavier ones
+    "component_leakage", "nearest_prototype", "permutation_control", "tsv_numbered", "page_manifest",
 )
 
 
@@ -47,7 +49,7 @@ def main() -> None:
         print(f"{seconds[name]:8.3f}s {name}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total wall time of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus)}))
+        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus), "driver_memory": "16g"}))
     spark.stop()
 
 
