@@ -2,17 +2,22 @@
 
 Documents with the same set of shingles form a class; only its smallest
 document goes on. Bands of minima put similar documents into common buckets. A
-bucket's pairs are never listed: in each round a few centres of every bucket
-are compared with its other members, then leave it, and a bucket is done as soon
-as all its members are in one component. So no link between different texts is
-lost, and a bucket of near copies takes one round whatever its size.
+bucket is split by set size, since similar sets are of similar size, and its
+pairs are never listed: first every member is compared with the best of its
+buckets' centres, the members that meet most others, as the original of many near
+copies does; then, in buckets that are not yet one component, with the members
+whose signatures are nearest; and last with all that the signatures do not rule
+out. Pairs inside one component are left out, so near copies cost little whatever
+their number, and no link between different components is lost. A pair that meets
+in several buckets belongs to the first of them. Buckets are dealt into blocks,
+each pair of blocks is a cell, and a cell's sets are compared where they meet.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,9 @@ ROWS = 6
 # it at which the signature alone rejects a pair.
 MISS = 1e-6
 SIGMAS = 5.0
-# Centres that a bucket gets in the first round, in the second, and so on.
-CENTRES = (1, 4, 16, 64)
+# Members of a bucket that one task compares with as many others, and nearest ones tried before all others.
+BLOCK = 256
+NEAREST = 3
 
 
 def n_bands(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -112,19 +118,24 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
-def likely(pairs: DataFrame, similarity: float, count: int) -> DataFrame:
-    """The pairs whose signatures agree often enough for the similarity."""
+def least_agreement(similarity: float, count: int) -> float:
+    """Signature places that two sets of the required similarity agree in, with room for chance."""
     chance = similarity + (1 - similarity) / 256
-    least = count * chance - SIGMAS * math.sqrt(count * chance * (1 - chance))
+    return count * chance - SIGMAS * math.sqrt(count * chance * (1 - chance))
+
+
+def likely(pairs: DataFrame, least: float) -> DataFrame:
+    """``(a, b, agree)`` of the pairs whose signatures agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, _ = flat_bytes(batch.column("signature_a"))
             b, _ = flat_bytes(batch.column("signature_b"))
             agree = (a == b).reshape(batch.num_rows, -1).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(agree >= least))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree, pa.int64())], ["a", "b", "agree"])
+            yield out.filter(pa.array(agree >= least))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, agree long")
 
 
 def confirmed(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -133,16 +144,131 @@ def confirmed(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-                a, b = (np.frombuffer(x.as_buffer(), U) for x in (a, b))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            sets = zip(batch.column("set_a"), batch.column("set_b"))
+            keep = [similar(*(np.frombuffer(x.as_buffer(), U) for x in ab), percent) for ab in sets]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def between(cell: dict[str, np.ndarray], least: float, nearest: int | None) -> np.ndarray:
+    """Pairs of a cell's members in different components whose signatures agree: all, or the nearest of each.
+
+    The members of the cell's largest component need not ask; all others ask for
+    themselves. Left out are pairs that meet in an earlier band, and in a band
+    those that belong to another size class.
+    """
+    keys, component, block, own = cell["key"], cell["component"], cell["block"], cell["own"]
+    names, times = np.unique(component, return_counts=True)
+    out = []
+    for i in np.flatnonzero(component != names[times.argmax()]).tolist():
+        other = (component != component[i]) & (np.maximum(own, own[i]) == cell["level"][0])
+        if cell["low"][0] != cell["high"][0]:
+            other &= block != block[i]
+        where = np.flatnonzero(other)
+        where = where[(cell["bands"][where] == cell["bands"][i]).argmax(1) == cell["band"][0]]
+        agree = (cell["signature"][where] == cell["signature"][i]).sum(1)
+        good = np.flatnonzero(agree >= least)
+        if nearest is not None and len(good) > nearest:
+            good = good[np.argsort(-agree[good], kind="stable")[:nearest]]
+        out.append(np.stack([np.full(len(good), keys[i]), keys[where[good]]], 1))
+    return np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+CELL = ["bucket", "low", "high"]
+
+
+def by_cell(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, *order: str) -> DataFrame:
+    """``work`` on the rows of each cell; a task holds one cell at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            cell = [table.column(c).to_numpy() for c in CELL]
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+            start = 0
+            for stop in turns.tolist():
+                if (out := work(table.slice(start, stop - start).combine_chunks())) is not None:
+                    yield out
+                start = stop
+            # The last cell may go on in the next batch.
+            held = table.slice(start)
+        if held is not None and (out := work(held.combine_chunks())) is not None:
+            yield out
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, *order).mapInArrow(run, schema)
+
+
+def open_pairs(placed: DataFrame, least: float, nearest: int | None) -> DataFrame:
+    """``(bucket, low, high, pairs, keys)`` for the cells of buckets with several components.
+
+    ``pairs`` are the keys of all pairs to compare, in one row for each cell, and
+    ``keys`` the members that take part.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    flat = ("low", "high", "block", "key", "component", "own", "level", "band")
+    cells = dealt.withColumn("other", other).select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        *flat[2:], "bands", "signature")
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        cell = {c: rows.column(c).to_numpy() for c in flat}
+        for c, kind in (("signature", np.uint8), ("bands", np.int64)):
+            column = rows.column(c).combine_chunks()
+            data = flat_bytes(column)[0] if kind is np.uint8 else column.flatten().to_numpy()
+            cell[c] = data.reshape(len(rows), -1)
+        found = between(cell, least, nearest)
+        if not len(found):
+            return None
+        return pa.RecordBatch.from_arrays(
+            [*(rows.column(c)[:1].combine_chunks() for c in CELL), pa.array([found.astype(np.int64).tobytes()], pa.binary()),
+             pa.array([np.unique(found)], pa.list_(pa.int64()))], [*CELL, "pairs", "keys"])
+
+    return by_cell(cells, work, "bucket long, low int, high int, pairs binary, keys array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def compared(lists: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that connect all members of a cell that the links among its pairs connect."""
+    percent = round(similarity * 100)
+    needed = lists.select(*CELL, F.explode("keys").alias("key")).join(sets, "key").select(
+        *CELL, "key", "set", F.lit(None).cast("binary").alias("pairs"))
+    rows = lists.select(*CELL, F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("set"), "pairs")
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        pairs = np.frombuffer(rows.column("pairs")[0].as_py(), np.int64).reshape(-1, 2)
+        held = {k.as_py(): np.frombuffer(s.as_py(), U) for k, s in zip(rows.column("key")[1:], rows.column("set")[1:])}
+        root = {k: k for k in held}
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        links = []
+        for a, b in pairs.tolist():
+            x, y = find(a), find(b)
+            # What is already connected needs no further link.
+            if x != y and similar(held[a], held[b], percent):
+                root[max(x, y)] = min(x, y)
+                links.append((a, b))
+        if not links:
+            return None
+        a, b = zip(*links)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return by_cell(rows.unionByName(needed), work, "a long, b long", "key")
+
+
 def with_both(pairs: DataFrame, of_each: DataFrame, column: str) -> DataFrame:
     """``column`` of both ends; ``of_each`` has one row for each key."""
     for end in "ab":
@@ -166,37 +292,48 @@ def full_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
 
 
 def merge(members: DataFrame, reps: DataFrame, sets: DataFrame, similarity: float, count: int) -> DataFrame | None:
-    """Components ``(node, component)`` of the confirmed links among ``members(bucket, key)``.
-
-    Every two members of a bucket that end in different components have been
-    compared: one of them was a centre while the other was still in the bucket.
-    """
-    links, found, turn = None, None, 0
-    while True:
-        n = CENTRES[min(turn, len(CENTRES) - 1)]
+    """Components ``(node, component)`` of the confirmed links among the members of all buckets."""
+    least = least_agreement(similarity, count)
+    centres = members.groupBy("bucket").agg(F.max_by("key", F.struct("weight", "key")).alias("b"))
+    pairs = members.join(centres, "bucket").filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    best = likely(with_both(pairs, reps, "signature"), least).groupBy("a").agg(
+        F.max_by("b", F.struct("agree", "b")).alias("b"))
+    links = written(confirmed(with_both(best, sets, "set"), similarity), "links")
+    found = None if links.isEmpty() else components(links, "a", "b")
+    for nearest in (NEAREST, None):
         if found is None:
             placed = members.withColumn("component", F.col("key"))
         else:
-            named = found.withColumnRenamed("node", "key")
-            placed = members.join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        one = F.struct("key", "component")
-        centres = F.array(*(F.min_by(one, F.xxhash64("key", F.lit(turn), F.lit(k))) for k in range(n)))
-        open_buckets = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.array_distinct(centres).alias("centres")
-        ).filter("low < high").select("bucket", "centres")
-        placed = written(placed.join(open_buckets, "bucket"), "open-buckets")
-        if placed.isEmpty():
-            return found
-        pairs = placed.select("key", "component", F.explode("centres").alias("c")).filter(
-            F.col("component") != F.col("c.component")).select(
-            F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
-        close = likely(with_both(pairs, reps, "signature"), similarity, count)
-        new = written(confirmed(with_both(close, sets, "set"), similarity), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
+            placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
+                "component", F.coalesce("component", "key"))
+        several = placed.groupBy("bucket").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+        lists = written(open_pairs(placed.join(several, "bucket").join(reps, "key"), least, nearest), "pairs")
+        if lists.isEmpty():
+            break
+        more = written(compared(lists, sets, similarity), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
             found = components(links, "a", "b")
-        members = placed.filter(~F.exists("centres", lambda c: c["key"] == F.col("key"))).select("bucket", "key")
-        turn += 1
+    return found
+
+
+def by_size(members: DataFrame, similarity: float) -> DataFrame:
+    """Members with their buckets split by set size: ``(bucket, band, own, level, key, weight)``.
+
+    Sets of the required similarity are in the same size class or in neighbouring
+    ones, so each member is put into its ``own`` class and into the next; ``level``
+    is the class of the bucket. The weight counts all whom a member meets.
+    """
+    step = -math.log(similarity) * (1 + 1e-9)
+    size_class = F.floor(F.log("n_shingles") / F.lit(step)).cast("int")
+    split = members.withColumn("own", size_class).withColumn(
+        "level", F.explode(F.array(F.col("own"), F.col("own") + 1))).select(
+        F.xxhash64("bucket", "level").alias("bucket"), "band", "own", "level", "key")
+    shared = split.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
+    kept = written(split.join(shared.select("bucket", "n"), "bucket"), "buckets")
+    return kept.drop("n").join(kept.groupBy("key").agg(F.sum("n").alias("weight")), "key")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5,
@@ -217,14 +354,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = known.groupBy("digest").agg(F.min("key").alias("rep"))
     # Joined on both columns, so that only the smallest rows of a class meet, however large it is.
     one_each = known.withColumnRenamed("key", "rep").join(classes, ["digest", "rep"]).select(
-        F.col("rep").alias("key"), "digest", "signature", "bands")
+        F.col("rep").alias("key"), "digest", "n_shingles", "signature", "bands")
     reps = written(one_each.dropDuplicates(["key", "digest"]), "representatives")
 
-    held = reps.select(F.explode("bands").alias("bucket"), "key")
+    held = reps.select(F.posexplode("bands").alias("band", "bucket"), "key", "n_shingles")
     shared = held.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    members = written(held.join(shared.select("bucket"), "bucket").distinct(), "buckets")
+    members = written(by_size(held.join(shared.select("bucket"), "bucket").distinct(), similarity), "members")
     sets = written(full_sets(keyed, members.select("key").distinct(), words).distinct(), "sets")
-    found = merge(members, reps.select("key", "signature"), sets, similarity, bands * ROWS)
+    found = merge(members, reps.select("key", "signature", "bands"), sets, similarity, bands * ROWS)
 
     placed = signed.join(classes, "digest", "left").withColumn("rep", F.when(F.col("key").isNotNull(), F.coalesce("rep", "key")))
     if found is None:
