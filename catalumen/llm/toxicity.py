@@ -23,10 +23,10 @@ from catalumen.llm.base import flat_bytes, query, row_slices, small_batches, tab
 from catalumen.llm.near_dup import shingle_sets
 
 # The model is fitted on at most so many labelled texts of each label, those whose texts hash lowest.
-TOXIC_ROWS, OTHER_ROWS = 2_000, 4_000
+TOXIC_ROWS, OTHER_ROWS = 1_000, 2_500
 # Landmarks: words that go with the label, and words that are common elsewhere.
 MARKED, COMMON = 128, 192
-SENTENCES = 100_000
+SENTENCES = 40_000
 ROUNDS = 3
 DECAY = 0.7
 # A triple of letters spans at most so many.
@@ -100,7 +100,7 @@ def word_sums(letters: Letters, weights: np.ndarray) -> np.ndarray:
     """For each word the sum of its triples' weights, nearer triples counting more."""
     total = np.zeros(len(letters.code), np.float32)
     word = np.repeat(np.arange(len(letters.first)), letters.length)
-    code = letters.code
+    code = letters.code.astype(np.int32)
     for a, b in TRIPLES:
         n = len(code) - b
         if n <= 0:
@@ -166,7 +166,7 @@ def landmark_features(words: list[bytes], fold: np.ndarray, known: dict[bytes, n
         if word not in known:
             slots, values = raw_triples(np.frombuffer(word, np.uint8).astype(np.int64))
             own = values @ fold[slots] / max(float(np.linalg.norm(values)), 1e-9)
-            known[word] = np.append(own, 1.0)
+            known[word] = np.append(own, 1.0).astype(np.float32)
     return np.array([known[word] for word in words])
 
 
@@ -225,16 +225,42 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def sample_parts(column: pa.Array) -> tuple[list[Letters], np.ndarray]:
+    """The letters of a sample, some texts at a time, and the sentence of each word; all text numbers are the sample's."""
+    ends = np.zeros(256, bool)
+    ends[list(SENTENCE_ENDS)] = True
+    parts, sentences, done, sentence = [], [], 0, 0
+    for part in row_slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20):
+        data, at = flat_bytes(part.column("text"))
+        found = letters_of(data, at)
+        found.code = found.code.astype(np.uint8)
+        upto = np.cumsum(ends[data]) if len(data) else np.zeros(1, np.int64)
+        sentences.append((upto[found.place] + found.of + sentence).astype(np.int64))
+        sentence += int(upto[-1]) + part.num_rows
+        found.of = found.of + done
+        done += part.num_rows
+        parts.append(found)
+    return parts, np.concatenate(sentences) if sentences else np.zeros(0, np.int64)
+
+
+def join_parts(parts: list[Letters]) -> Letters:
+    before = np.cumsum([0] + [len(p.code) for p in parts])
+    return Letters(np.concatenate([p.code for p in parts]), np.concatenate([p.first + b for p, b in zip(parts, before)]),
+                   np.concatenate([p.length for p in parts]), np.concatenate([p.of for p in parts]), np.zeros(0, np.int64))
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Fit on a bounded sample of texts and their labels."""
     if not toxic.any() or toxic.all():
         return EMPTY
     column = pa.array(texts, pa.string())
-    data, at = flat_bytes(column)
-    letters = letters_of(data, at)
-    code = letters.code.astype(np.uint8)
-    words = [code[a:a + n].tobytes() for a, n in zip(letters.first.tolist(), letters.length.tolist())]
-    names, word = np.unique(np.array(words, object), return_inverse=True)
+    parts, sentence = sample_parts(column)
+    code = np.concatenate([p.code for p in parts])
+    letters = join_parts(parts)
+    # Words as one Arrow column over the letters, so that no word is a Python object of its own.
+    edges = np.append(letters.first, len(code)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(code)]).dictionary_encode()
+    names, word = np.array(coded.dictionary.to_pylist(), object), coded.indices.to_numpy()
     # A quarter of the texts is kept for the line from features to log-odds, which must see words it has not met.
     kept_back = np.arange(len(texts)) % 4 == 3
     if not (toxic[kept_back].any() and toxic[~kept_back].any()):
@@ -242,11 +268,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     bad, good = (toxic & ~kept_back)[letters.of], (~toxic & ~kept_back)[letters.of]
 
     # Copies and near copies mostly have the same least shingle; all of them count as one text.
-    least = np.array([s[0] if len(s) else i for i, s in enumerate(shingle_sets(column, 3))], np.uint64)
+    slices = row_slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20)
+    least = np.array([s[0] if len(s) else 0 for part in slices for s in shingle_sets(part.column("text"), 3)], np.uint64)
+    least = np.where(least == 0, np.arange(len(texts), dtype=np.uint64), least)
     group = np.unique(least, return_inverse=True)[1]
 
     def texts_with(rows: np.ndarray) -> np.ndarray:
-        pairs = np.unique(word[rows] * len(texts) + group[letters.of[rows]])
+        pairs = np.unique(word[rows].astype(np.int64) * len(texts) + group[letters.of[rows]])
         return np.bincount(pairs // len(texts), minlength=len(names))
 
     in_bad, in_good = texts_with(bad), texts_with(good)
@@ -261,15 +289,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return EMPTY
     chosen = np.concatenate([marked[:MARKED], np.setdiff1d(common, marked)])
     triples = triples_of(names[chosen].tolist())
-    values, vectors = np.linalg.eigh(triples.astype(np.float64) @ triples.T)
+    values, vectors = np.linalg.eigh((triples @ triples.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     # Nyström map: kernel with the landmarks, times the inverse root of the landmarks' own kernel.
     root = vectors[:, keep] / np.sqrt(values[keep])
-    fold = np.ascontiguousarray((root.T @ triples).T)
+    fold = np.ascontiguousarray(triples.T @ root.astype(np.float32))
+    del triples
 
-    ends = np.zeros(256, bool)
-    ends[list(SENTENCE_ENDS)] = True
-    sentence = np.cumsum(ends[data])[letters.place] + letters.of
     _, first = np.unique(sentence, return_index=True)
     is_marked = np.isin(word, marked)
     has_mark = np.maximum.reduceat(is_marked.astype(int), first) > 0
@@ -287,7 +313,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     seen: dict[tuple[int, float], int] = {}
     known: dict[bytes, np.ndarray] = {}
     for _ in range(ROUNDS):
-        scores = word_scores(letters, weights, bias, exact)
+        scores = np.concatenate([word_scores(p, weights, bias, exact) for p in parts])
         # A toxic sentence stands by one of the words that go with the label.
         scores[bad & ~is_marked] = -np.inf
         witness = word[[a + scores[a:b].argmax() for a, b in zip(first[picked].tolist(), stop[picked].tolist())]]
@@ -298,7 +324,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         rows = landmark_features(names[own.astype(int)].tolist(), fold, known)
         theta = hinge(rows, sign, np.where(sign > 0, 100.0, 20.0))
         weights, bias = (fold @ theta[:-1]).astype(np.float32), float(theta[-1])
-    features = text_features(letters, word_scores(letters, weights, bias, exact), len(texts))
+    scores = np.concatenate([word_scores(p, weights, bias, exact) for p in parts])
+    features = text_features(letters, scores, len(texts))
     rows = kept_back if kept_back.any() else ~kept_back
     return Model(weights, bias, logistic(features[rows], toxic[rows].astype(float)))
 
