@@ -138,6 +138,8 @@ def learn(rows: DataFrame, text: str, lang: str, per_language: int = ROWS_PER_LA
     summed = rows.filter(share < chance[F.col("lang")]).mapInArrow(count, "lang string, slot int, n long").groupBy(
         "lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(summed["lang"].unique())
+    if not names:
+        return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros(0, np.int32))
     full = np.zeros((len(names), (1 << TABLE_BITS) + 10))
     for i, name in enumerate(names):
         own = summed[summed["lang"] == name]
