@@ -5,9 +5,8 @@ document goes on. Bands of minima put similar documents into common buckets. A
 bucket is split by set size, since similar sets are of similar size, and its
 pairs are never listed: first every member is compared with the best of its
 buckets' centres, the members that meet most others, as the original of many near
-copies does; then, in buckets that are not yet one component, with the members
-whose signatures are nearest; and last with all that the signatures do not rule
-out. Pairs inside one component are left out, so near copies cost little whatever
+copies does; then, in buckets that are not yet one component, with all that the
+signatures do not rule out, the nearest first. Pairs inside one component are left out, so near copies cost little whatever
 their number, and no link between different components is lost. A pair that meets
 in several buckets belongs to the first of them. Buckets are dealt into blocks,
 each pair of blocks is a cell, and a cell's sets are compared where they meet.
@@ -34,9 +33,8 @@ ROWS = 6
 # it at which the signature alone rejects a pair.
 MISS = 1e-6
 SIGMAS = 5.0
-# Members of a bucket that one task compares with as many others, and nearest ones tried before all others.
-BLOCK = 256
-NEAREST = 3
+# Members of a bucket that one task compares with as many others.
+BLOCK = 512
 
 
 def n_bands(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -151,8 +149,8 @@ def confirmed(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def between(cell: dict[str, np.ndarray], least: float, nearest: int | None) -> np.ndarray:
-    """Pairs of a cell's members in different components whose signatures agree: all, or the nearest of each.
+def between(cell: dict[str, np.ndarray], least: float) -> np.ndarray:
+    """Pairs of a cell's members in different components whose signatures agree, those that agree most first.
 
     The members of the cell's largest component need not ask; all others ask for
     themselves. Left out are pairs that meet in an earlier band, and in a band
@@ -169,10 +167,12 @@ def between(cell: dict[str, np.ndarray], least: float, nearest: int | None) -> n
         where = where[(cell["bands"][where] == cell["bands"][i]).argmax(1) == cell["band"][0]]
         agree = (cell["signature"][where] == cell["signature"][i]).sum(1)
         good = np.flatnonzero(agree >= least)
-        if nearest is not None and len(good) > nearest:
-            good = good[np.argsort(-agree[good], kind="stable")[:nearest]]
-        out.append(np.stack([np.full(len(good), keys[i]), keys[where[good]]], 1))
-    return np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
+        other = keys[where[good]]
+        out.append(np.stack([np.minimum(other, keys[i]), np.maximum(other, keys[i]), -agree[good]], 1))
+    if not out:
+        return np.zeros((0, 2), np.int64)
+    found = np.unique(np.concatenate(out), axis=0)
+    return found[np.argsort(found[:, 2], kind="stable"), :2]
 
 
 CELL = ["bucket", "low", "high"]
@@ -201,7 +201,7 @@ def by_cell(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch | None],
     return rows.repartition(*CELL).sortWithinPartitions(*CELL, *order).mapInArrow(run, schema)
 
 
-def open_pairs(placed: DataFrame, least: float, nearest: int | None) -> DataFrame:
+def open_pairs(placed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """``(bucket, low, high, pairs, keys)`` for the cells of buckets with several components.
 
     ``pairs`` are the keys of all pairs to compare, in one row for each cell, and
@@ -211,17 +211,18 @@ def open_pairs(placed: DataFrame, least: float, nearest: int | None) -> DataFram
     dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     flat = ("low", "high", "block", "key", "component", "own", "level", "band")
+    # Members are dealt out while their rows are narrow. Of a band's name four bytes tell it from the others.
     cells = dealt.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        *flat[2:], "bands", "signature")
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *flat[2:]).join(
+        reps.select("key", "signature", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("bands")), "key")
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
         cell = {c: rows.column(c).to_numpy() for c in flat}
-        for c, kind in (("signature", np.uint8), ("bands", np.int64)):
+        for c, kind in (("signature", np.uint8), ("bands", np.int32)):
             column = rows.column(c).combine_chunks()
             data = flat_bytes(column)[0] if kind is np.uint8 else column.flatten().to_numpy()
             cell[c] = data.reshape(len(rows), -1)
-        found = between(cell, least, nearest)
+        found = between(cell, least)
         if not len(found):
             return None
         return pa.RecordBatch.from_arrays(
@@ -300,22 +301,16 @@ def merge(members: DataFrame, reps: DataFrame, sets: DataFrame, similarity: floa
         F.max_by("b", F.struct("agree", "b")).alias("b"))
     links = written(confirmed(with_both(best, sets, "set"), similarity), "links")
     found = None if links.isEmpty() else components(links, "a", "b")
-    for nearest in (NEAREST, None):
-        if found is None:
-            placed = members.withColumn("component", F.col("key"))
-        else:
-            placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
-                "component", F.coalesce("component", "key"))
-        several = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-        lists = written(open_pairs(placed.join(several, "bucket").join(reps, "key"), least, nearest), "pairs")
-        if lists.isEmpty():
-            break
-        more = written(compared(lists, sets, similarity), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, "a", "b")
-    return found
+    if found is None:
+        placed = members.withColumn("component", F.col("key"))
+    else:
+        placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn(
+            "component", F.coalesce("component", "key"))
+    several = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    lists = written(open_pairs(written(placed.join(several, "bucket"), "open-buckets"), reps, least), "pairs")
+    more = written(compared(lists, sets, similarity), "links")
+    return found if more.isEmpty() else components(links.unionByName(more), "a", "b")
 
 
 def by_size(members: DataFrame, similarity: float) -> DataFrame:
