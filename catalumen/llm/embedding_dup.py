@@ -23,7 +23,7 @@ from catalumen.llm.stars import components
 # A vector is put into the lists of its NEAR nearest pivots; compared are those that share SHARED or more.
 NEAR = 12
 SHARED = 2
-# Pivots, a sample of the vectors: about the root of their number, within these bounds.
+# Pivots: about the root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 32, 2048
 BLOCK = 2048
 
@@ -42,12 +42,17 @@ def unit(vectors: pa.Array, size: int) -> np.ndarray:
 
 
 def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector size a bounded sample of the distinct vectors, those that hash lowest."""
+    """For each vector size fixed random directions, the same on every run.
+
+    Normal components make the products of two vectors with a pivot normal with
+    their cosine as correlation, so which pivots two vectors share depends on
+    their cosine alone. Pivots sampled from the vectors would crowd where the
+    vectors do, and members of a dense group would each be near pivots of their own.
+    """
     out = {}
     for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").collect():
         count = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << math.ceil(math.log2(math.sqrt(r["n"])))))
-        sample = classes.filter(F.col("size") == r["size"]).orderBy(F.xxhash64("vector"), "rep").limit(count)
-        out[r["size"]] = unit(sample.select("vector").toArrow().column("vector").combine_chunks(), r["size"])
+        out[r["size"]] = np.random.Generator(np.random.PCG64(r["size"])).standard_normal((count, r["size"]))
     return out
 
 
@@ -106,10 +111,12 @@ def compare(found: pa.Table, least: float) -> pa.Table:
     weight = found.column("weight").to_numpy()[some]
     if len(some):
         near = found.column("near").combine_chunks().flatten().to_numpy().reshape(len(block), -1)[some]
-        held = np.zeros((len(some), int(near.max()) + 1), np.float32)
-        held[np.arange(len(some))[:, None], near] = 1
+        used = np.unique(near)
+        held = np.zeros((len(some), len(used)), np.float32)
+        held[np.arange(len(some))[:, None], np.searchsorted(used, near)] = 1
         linked &= held @ held.T >= SHARED
-        linked &= held[:, :pivot] @ held[:, :pivot].T == 0
+        lower = held[:, :np.searchsorted(used, pivot)]
+        linked &= lower @ lower.T == 0
     count = linked @ weight
     some = np.flatnonzero(count)
     names = names[some]

@@ -61,6 +61,20 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert all(got[k][0] <= want[k][0] for k in want) and sum(n for n, _ in got.values()) >= 0.99 * links
 
 
+def test_many_pivots_keep_the_links_of_dense_groups(spark, monkeypatch):
+    # As many pivots as a million vectors have; a third of the rows in a group that is linked throughout, a third in a wider cone.
+    monkeypatch.setattr(V, "LEAST_PIVOTS", 1024)
+    rng, n, d = np.random.default_rng(3), 600, 32
+    x = np.concatenate([rng.normal(size=d) + rng.normal(size=(n, d)) * 0.2, rng.normal(size=d) + rng.normal(size=(n, d)) * 0.35, rng.normal(size=(n, d))])
+    rows = [(i, [float(c) for c in np.float32(v)], 0) for i, v in enumerate(x)]
+    want = brute(rows, 0.93)
+    got = {r["vec_id"]: r["n_links"] for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93).collect()}
+    for part in (range(n), range(n, 2 * n)):
+        links = sum(want[i][0] for i in part)
+        assert links > n and sum(got[i] for i in part) >= 0.995 * links
+    assert all(got[i] <= want[i][0] for i in want)
+
+
 def test_query_equals_sql(spark, smoke_dir):
     for d in (smoke_dir, "/root/testdata/sf0.01"):
         assert compare(spark, connect(d), "op7", V.op7_embedding_dup, V.SQL, d) is None
