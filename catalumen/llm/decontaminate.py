@@ -151,6 +151,17 @@ def before_each(marks: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(marks)])
 
 
+def repeats(slot: np.ndarray, good: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of good pairs that have occurred ``times`` times before, and where the first of these last ``times`` is."""
+    where = np.flatnonzero(good)
+    order = where[slot[where].argsort(kind="stable")]
+    most = times[slot[order]].astype(np.int64)
+    back = np.arange(len(order)) - most
+    # 255 stands for any higher number as well.
+    some = (back >= 0) & (most < 255) & (slot[order[np.maximum(back, 0)]] == slot[order])
+    return order[some], order[back[some]]
+
+
 def block_of(items: list[tuple]) -> Block:
     runs = [LetterRun(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hash for _, t in items]
     steps = sizes(max(map(len, runs), default=1))
@@ -180,20 +191,22 @@ def candidates(run: LetterRun, block: Block) -> set[tuple[int, int, int]]:
     if not len(run.hash):
         return out
     words = before_each(block.vocabulary[run.hash >> U(64 - VOCABULARY_BITS)])
-    slot = pair_slots(run.hash)
-    good = block.pairs[slot]
-    for gap in range(1, 6):
-        # The same pair over and over counts no oftener than an item has it.
-        good[gap:] &= (slot[gap:] != slot[:-gap]) | (block.times[slot[gap:]] > gap)
-    pairs = before_each(good)
     of = np.repeat(np.arange(len(run.upto) - 1), np.diff(run.upto))
     stop = run.upto[1:][of]
+    slot = pair_slots(run.hash)
+    good = block.pairs[slot] & (of[1:] == of[:-1])
+    pairs = before_each(good)
+    again, since = repeats(slot, good, block.times)
     for size, walks in block.keys.items():
         # A window that begins near the end of its text may lack the words that edits have cut off.
         end = np.minimum(np.arange(len(of)) + size, stop)
         edits = max(int(len(block.words[i]) * TOLERANCE) for i in walks[0][1])
+        # The same pair over and over counts no oftener in a window than an item has it.
+        first = np.maximum(run.upto[of[again]], again + 2 - size)
+        here = since >= first
+        extra = np.cumsum(np.bincount(first[here], minlength=len(of) + 1) - np.bincount(since[here] + 1, minlength=len(of) + 1))[:-1]
         starts = np.flatnonzero((words[end] - words[:-1] >= size - edits)
-                                & (pairs[end - 1] - pairs >= size - 1 - 2 * edits))
+                                & (pairs[end - 1] - pairs - extra >= size - 1 - 2 * edits))
         for a in range(0, len(starts), 2048):
             some = starts[a:a + 2048]
             for (keys, items), own in zip(walks, walk_keys(run.hash, some, size)):

@@ -62,6 +62,43 @@ def test_recall_of_edited_items(spark, share, least):
     assert {r["doc_id"] for r in found if r["doc_id"] != r["item_id"]} == set()
 
 
+def found_pairs(spark, docs, items):
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_items_with_repeated_pairs(spark):
+    # Exact copies, behind words that hold the same pairs, and edited copies of lists whose pairs come again and again.
+    rng = random.Random(5)
+    texts = ["to be or not to be", "x y x y x y x y", "a a a a a a", "n " * 400, "1 0 2 0 1 0 2 0 3 0 1 0 2 0 1 0 2 0 3 0"]
+    texts += [" ".join(rng.choices(["0", "1", "2"], k=rng.randint(20, 60))) for _ in range(40)]
+    texts += [" ".join(f"{w}{i} v{w} {w}{i} v{w}" for w in rng.sample(range(900), rng.randint(5, 12))) for i in range(40)]
+    items = list(enumerate(texts))
+    exact = [(i, f"{t[:9]} {t[:9]} q {t} q") for i, t in items]
+    assert {(i, i) for i, _ in items} <= found_pairs(spark, exact, items)
+    near = [(i, " ".join(["q"] * 9 + edited(t.split(), int(0.1 * len(t.split())), rng) + ["q"] * 9)) for i, t in items[5:]]
+    assert sum(i == j for i, j in found_pairs(spark, near, items)) >= 0.97 * len(near)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_repeated_pairs_count_as_often_as_an_item_has_them(seed):
+    # The windows that are walked against counting in each window.
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(8)]
+    block = D.block_of([(0, " ".join(rng.choice(list("abcd"), 20))), (1, "a b a b c a a a")])
+    data = "".join(texts).encode()
+    run = D.LetterRun(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    slot, of = D.pair_slots(run.hash), np.repeat(np.arange(8), np.diff(run.upto))
+    good = block.pairs[slot] & (of[1:] == of[:-1])
+    again, since = D.repeats(slot, good, block.times)
+    for size in (2, 5, 20):
+        for s in range(len(of)):
+            inside = range(s, min(s + size, int(run.upto[of[s] + 1])) - 1)
+            own, n = np.unique(slot[inside][good[inside]], return_counts=True)
+            struck = sum(b >= s and a in inside for a, b in zip(again.tolist(), since.tolist()))
+            assert good[inside].sum() - struck == np.minimum(n, block.times[own]).sum()
+
+
 def test_every_exact_passage_of_the_table_is_found(spark):
     d = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] for r in table(spark, d, "documents").collect()}
