@@ -29,6 +29,8 @@ WALKS = 48
 PLACES = 3
 # Window sizes grow by this factor; an item is looked for by its first words, as many as the next smaller size has.
 SIZE_STEP = 1.15
+# Walks drift apart with the number of edits: longer items are cut into parts of about so many words, each looked for alone.
+PART_WORDS = 60
 # Items of one pass over the documents, at most.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
@@ -132,10 +134,11 @@ def nearest_run(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Block:
-    """Some items, by window size: sorted keys of each walk with the item behind each; and all words and pairs."""
+    """Some items, by window size: sorted keys of each walk with the part behind each; and all words and pairs."""
 
     ids: list
     words: list[np.ndarray]
+    parts: list[tuple[int, int, int]]  # item, words before the part, edits it is found at
     keys: dict[int, list[tuple[np.ndarray, np.ndarray]]]
     vocabulary: np.ndarray
     pairs: np.ndarray
@@ -166,9 +169,15 @@ def block_of(items: list[tuple]) -> Block:
     runs = [LetterRun(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hash for _, t in items]
     steps = sizes(max(map(len, runs), default=1))
     by_size: dict[int, list[int]] = {}
+    parts = []
     for i, run in enumerate(runs):
         if len(run):
-            by_size.setdefault(max(s for s in steps if s <= len(run)), []).append(i)
+            count = max(1, round(len(run) / PART_WORDS))
+            size = max(s for s in steps if s <= len(run) // count)
+            for k in range(count):
+                by_size.setdefault(size, []).append(len(parts))
+                # Of all edits, some part has no more than its share.
+                parts.append((i, k * (len(run) // count), int(len(run) * TOLERANCE) // count))
     vocabulary, pairs = np.zeros((2, 1 << VOCABULARY_BITS), bool)
     most = np.zeros(1 << VOCABULARY_BITS, np.uint8)
     for run in runs:
@@ -178,15 +187,15 @@ def block_of(items: list[tuple]) -> Block:
         most[own] = np.maximum(most[own], np.minimum(times, 255))
     keys = {}
     for size, own in by_size.items():
-        flat = np.concatenate([runs[i][:size] for i in own])
+        flat = np.concatenate([runs[i][a:a + size] for i, a, _ in (parts[p] for p in own)])
         found = walk_keys(flat, np.arange(len(own)) * size, size)
         order = found.argsort(1, kind="stable")
         keys[size] = [(found[w][o], np.array(own)[o]) for w, o in enumerate(order)]
-    return Block([i for i, _ in items], runs, keys, vocabulary, pairs, most)
+    return Block([i for i, _ in items], runs, parts, keys, vocabulary, pairs, most)
 
 
 def candidates(run: LetterRun, block: Block) -> set[tuple[int, int, int]]:
-    """(text, item, first word) of windows that share a key with an item."""
+    """(text, item, first word) of windows that share a key with a part of an item; the word is where the item would begin."""
     out: set[tuple[int, int, int]] = set()
     if not len(run.hash):
         return out
@@ -200,7 +209,7 @@ def candidates(run: LetterRun, block: Block) -> set[tuple[int, int, int]]:
     for size, walks in block.keys.items():
         # A window that begins near the end of its text may lack the words that edits have cut off.
         end = np.minimum(np.arange(len(of)) + size, stop)
-        edits = max(int(len(block.words[i]) * TOLERANCE) for i in walks[0][1])
+        edits = max(block.parts[p][2] for p in walks[0][1])
         # The same pair over and over counts no oftener in a window than an item has it.
         first = np.maximum(run.upto[of[again]], again + 2 - size)
         here = since >= first
@@ -209,10 +218,18 @@ def candidates(run: LetterRun, block: Block) -> set[tuple[int, int, int]]:
                                 & (pairs[end - 1] - pairs - extra >= size - 1 - 2 * edits))
         for a in range(0, len(starts), 2048):
             some = starts[a:a + 2048]
-            for (keys, items), own in zip(walks, walk_keys(run.hash, some, size)):
+            # Windows and the parts they share a key with, each pair once however many walks agree.
+            pairs_here = []
+            for (keys, parts), own in zip(walks, walk_keys(run.hash, some, size)):
                 low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-                for i in np.flatnonzero(high > low).tolist():
-                    out.update((int(of[some[i]]), int(items[j]), int(some[i])) for j in range(low[i], high[i]))
+                hit = np.flatnonzero(high > low)
+                many = high[hit] - low[hit]
+                place = np.arange(many.sum()) + np.repeat(low[hit] - np.cumsum(many) + many, many)
+                pairs_here.append(np.unique(np.repeat(some[hit], many) * len(block.parts) + parts[place]))
+            window, part = np.divmod(np.unique(np.concatenate(pairs_here)), len(block.parts))
+            for w, p in zip(window.tolist(), part.tolist()):
+                item, before, _ = block.parts[p]
+                out.add((int(of[w]), item, w - before))
     return out
 
 
@@ -228,9 +245,12 @@ def matches(run: LetterRun, block: Block) -> Iterator[tuple[int, int, int, int,
         for start in sorted(starts):
             if start < done:
                 continue
+            # Edits before the part move the item's begin by up to ``most`` words; starts before ``done`` are covered as well.
             first = max(int(run.upto[text]), start - most)
             done = start + most + 1
-            last = min(int(run.upto[text + 1]), done + len(words) + most)
+            last = min(int(run.upto[text + 1]), done + len(words) + 2 * most)
+            if last <= first:
+                continue
             near = run.hash[first:last]
             # Cheaper than the distance, and no place within it fails this: enough of the item's pairs are here.
             if np.isin(pair_slots(words), pair_slots(near)).sum() < len(words) - 1 - 2 * most:

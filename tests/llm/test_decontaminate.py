@@ -62,6 +62,21 @@ def test_recall_of_edited_items(spark, share, least):
     assert {r["doc_id"] for r in found if r["doc_id"] != r["item_id"]} == set()
 
 
+@pytest.mark.parametrize("size", [120, 200, 500, 1000])
+def test_recall_of_long_items(spark, size):
+    rng = random.Random(size)
+    items = [(i, " ".join(f"b{rng.randrange(5000)}" for _ in range(size))) for i in range(30)]
+    docs = [(i, " ".join(["f"] * rng.randint(0, 80) + edited(t.split(), int(0.15 * size), rng) + ["f"] * rng.randint(0, 80))) for i, t in items]
+    # All edits in one place: the first or the last 15 % of the words are others.
+    cut = int(0.15 * size)
+    docs += [(i, " ".join(["f"] * cut + t.split()[cut:])) if i % 2 else (i, " ".join(t.split()[:-cut] + ["f"] * cut)) for i, t in items]
+    got = D.find_leaks(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["doc_id"] % 30 == r["item_id"] and r["distance"] <= cut for r in got)
+    assert len({r["doc_id"] for r in got if r["doc_id"] < 30}) >= 0.97 * 30
+    assert len({r["doc_id"] for r in got if r["doc_id"] >= 30}) >= 0.97 * 30
+
+
 def found_pairs(spark, docs, items):
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     return {(r["doc_id"], r["item_id"]) for r in got.collect()}
