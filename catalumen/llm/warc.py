@@ -106,7 +106,7 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def parsed(chunk: bytes, with_payload: bool) -> tuple | None:
-    """One record from the bytes after its version line; None if it has no proper header."""
+    """One record from the bytes after its version line; None if it has no proper header or is cut short."""
     head, found, block = chunk.partition(b"\r\n\r\n")
     fields: dict[str, list[str]] = {}
     for line in head.decode("utf-8", "replace").split("\r\n"):
@@ -119,6 +119,8 @@ def parsed(chunk: bytes, with_payload: bool) -> tuple | None:
 
     if not found or not (one("content-length") or "").isdigit() or not one("warc-record-id"):
         return None
+    if len(block) < int(one("content-length")):
+        return None
     block = block[:int(one("content-length"))]
     content = (one("content-type") or "").replace(" ", "")
     payload = block.partition(b"\r\n\r\n")[2] if content.startswith("application/http") else block
@@ -138,7 +140,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     """The records of gzipped archives, one row each, with the digest and length of the payload that is there.
 
     A file is one task's work and streams through it; only one record is held. Chunks without a record id
-    or a length are passed over.
+    or a length, and records shorter than their length, are passed over.
     """
     small_batches(spark)
     version = VERSION.encode()
@@ -162,10 +164,12 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         held: list[bytes] = []
+        open_file = None
         for batch in batches:
             rows = []
-            for chunk in batch.column("value").to_pylist():
-                if held and chunk and missing(version.join(held)):
+            for chunk, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
+                same, open_file = file == open_file, file
+                if held and same and missing(version.join(held)):
                     held.append(chunk)
                     continue
                 if held and (row := parsed(version.join(held), with_payload)):
@@ -178,7 +182,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
             yield batch_of([row])
 
     chunks = spark.read.option("lineSep", VERSION).option("pathGlobFilter", "*.gz").text(path)
-    return chunks.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
+    return chunks.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file")).mapInArrow(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:

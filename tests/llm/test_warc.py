@@ -70,6 +70,22 @@ def test_assembly_follows_links_either_way_and_through_others(spark):
     assert flat == {"r1": (["q1"], ["m1"]), "r2": (["q2"], ["m2"]), "r3": (None, None)}
 
 
+def test_version_lines_in_payloads_and_cut_files(spark, tmp_path):
+    twice = W.VERSION * 2
+    htmls = [twice, f"a{twice}b{W.VERSION * 3}c", f"{twice}\r\n\r\n{twice}", "plain"]
+    pages = spark.createDataFrame([(i, "http://a", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    W.write_captures(pages.repartition(1), f"{tmp_path}/w")
+    got = [bytes(r["payload"]).decode() for r in W.read_records(spark, f"{tmp_path}/w").collect() if r["type"] == "response"]
+    assert sorted(got) == sorted(htmls)
+    # A cut record is passed over and takes nothing of the next file.
+    (tmp_path / "cut").mkdir()
+    record = "WARC/1.1\r\nWARC-Record-ID: <{}>\r\nWARC-Type: resource\r\nContent-Length: {}\r\n\r\nabc\r\n\r\n"
+    for name, length in (("a", 3), ("b", 3000), ("c", 3)):
+        (tmp_path / "cut" / f"{name}.gz").write_bytes(gzip.compress(record.format(name, length).encode()))
+    found = W.read_records(spark, f"{tmp_path}/cut").coalesce(1).collect()
+    assert sorted((r["record_id"], r["payload_bytes"]) for r in found) == [("<a>", 3), ("<c>", 3)]
+
+
 def test_query_equals_sql(spark, smoke_dir):
     assert compare(spark, connect(smoke_dir), "op1", W.op1_warc, W.SQL, smoke_dir) is None
 
