@@ -13,6 +13,7 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,6 +107,16 @@ def automaton():
     return found
 
 
+def number(text: str, kind: str, stop: int) -> re.Match | None:
+    """The first number near a keyword that ends at ``stop`` whose checksum holds; whole ones before ones cut at a group."""
+    pattern, valid = NEAR[kind]
+    # The keyword may be part of a longer word; a number starts at a place where it can.
+    whole = [m for i in range(stop, min(stop + REACH, len(text))) if not text[i - 1].isalnum() and (m := pattern.match(text, i))]
+    shorter = (s for m in whole for end in range(m.end() - 1, m.start(), -1)
+               if text[end] in " -" and (s := pattern.fullmatch(text, m.start(), end)))
+    return next(filter(valid, chain(whole, shorter)), None)
+
+
 def scan(text: str, keywords) -> list[tuple[str, int, int]]:
     """All spans ``(kind, start, end)`` of one text in code points, by start, then kind as listed."""
     # Lower-casing bytes touches A-Z only, so offsets stay those of the text.
@@ -121,11 +132,8 @@ def scan(text: str, keywords) -> list[tuple[str, int, int]]:
             if start < done:
                 continue
             if kind in NEAR:
-                pattern, valid = NEAR[kind]
-                # The keyword may be part of a longer word; the number starts at the first place it can.
-                m = next(filter(None, (pattern.match(text, i) for i in range(stop, min(stop + REACH, len(text)))
-                                       if not text[i - 1].isalnum())), None)
-                if m and m.start() >= done and valid(m):
+                m = number(text, kind, stop)
+                if m:
                     found.append((kind, *m.span()))
                     done = m.end()
                 continue

@@ -49,6 +49,17 @@ def test_checksums_decide():
     assert kinds("eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.abcdefgh12") == ["jwt"]
 
 
+def test_numbers_behind_and_before_other_groups():
+    def texts(t):
+        return [t[a:b] for _, a, b in S.scan(t, S.automaton())]
+
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    assert texts(f"card 12/27 {card}") == texts(f"visa card {card}") == texts(f"card {card} 12") == [card]
+    assert texts(f"IBAN {iban} EUR") == texts(f"IBAN XX00 1234 5678 {iban}") == [iban]
+    assert texts("card 12/27 4111 1111 1111 1112") == texts("IBAN BE69 5390 0754 7034 EUR") == []
+    assert S.redacted(f"IBAN {iban} EUR", S.scan(f"IBAN {iban} EUR", S.automaton())) == "IBAN [iban] EUR"
+
+
 def test_query_over_the_table(spark, smoke_dir):
     docs = {r["doc_id"]: r["text"] for r in table(spark, smoke_dir, "documents").collect()}
     got = S.op2_secret_scan(spark, smoke_dir).collect()
