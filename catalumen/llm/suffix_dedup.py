@@ -109,13 +109,14 @@ class Suffixes:
         if n < 1:
             return None
         name = mix(names(data, self.first)[self.first])
-        short = (name >> U(32)).astype(np.uint32)
+        # 0 stands for strings that are not whole, so no name may be 0.
+        short = np.maximum((name >> U(32)).astype(np.uint32), np.uint32(1))
         least = sliding(short, self.span, np.minimum)
         least[~self.whole(a, b, n)] = 0
         # A position is chosen if it is the least of one of the windows that hold it.
         edge = np.zeros(self.span - 1, np.uint32)
         top = sliding(np.concatenate([edge, least, edge]), self.span, np.maximum)
-        where = np.flatnonzero((top == short) & (short > 0))
+        where = np.flatnonzero(top == short)
         return name[where], where + self.pack.at[a]
 
     def near(self, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

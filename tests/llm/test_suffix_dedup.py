@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -71,6 +72,17 @@ def test_shared_strings_at_all_offsets(spark, seed, tiny_packs):
     assert got(S.dedup_bytes(docs, length=20, first=8)) == brute(rows, 20)
 
 
+def test_names_with_zero_leading_bits_choose_places(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 123, 60).astype(np.uint8)
+    pack = SimpleNamespace(at=np.array([0, 30, 60]), data=np.concatenate([data[:30], data[:30]]))
+    real = S.mix
+    special = S.names(data, 8)[8][7]
+    # One string of the first depth gets a name whose upper half is zero, as one in 2^32 has.
+    monkeypatch.setattr(S, "mix", lambda x: np.where(x == special, real(x) & S.U(0xFFFFFFFF), real(x)))
+    chosen = S.Suffixes(pack, 20, 8).where
+    assert all(((chosen >= a) & (chosen <= a + 12)).any() for t in (0, 30) for a in range(t, t + 11))
+
+
 def test_odd_rows(spark):
     rng = random.Random(9)
     shared = "".join(rng.choices("abcdefgh", k=200))
