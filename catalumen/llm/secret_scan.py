@@ -45,6 +45,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]{8,}")
+RUN = re.compile(r"[A-Za-z0-9_-]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
@@ -79,7 +80,7 @@ def mod97(code: str) -> bool:
 def jwt_header(part: str) -> bool:
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -146,6 +147,9 @@ def scan(text: str, keywords) -> list[tuple[str, int, int]]:
                 done = m.end()
                 if valid(m):
                     found.append((kind, *m.span()))
+            elif kind == "jwt" and text.startswith("eyJ", start):
+                # What follows the run is the same for all hits in it.
+                done = RUN.match(text, start).end()
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return found
 

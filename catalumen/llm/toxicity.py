@@ -24,6 +24,8 @@ from catalumen.llm.near_dup import shingle_sets
 
 # The model is fitted on at most so many labelled texts of each label, those whose texts hash lowest.
 TOXIC_ROWS, OTHER_ROWS = 1_000, 2_500
+# And on so many bytes of text.
+SAMPLE_BYTES = 1 << 25
 # Landmarks: words that go with the label, and words that are common elsewhere.
 MARKED, COMMON = 128, 192
 SENTENCES = 40_000
@@ -330,14 +332,33 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(weights, bias, logistic(features[rows], toxic[rows].astype(float)))
 
 
-def learn(rows: DataFrame, text: str, toxic: str) -> Model:
-    """Fit from rows with a text and a label of 0 or 1: a bounded sample of each label."""
-    known = rows.filter(F.col(text).isNotNull() & F.col(toxic).isin(0, 1)).select(
-        F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic"))
-    order = [F.xxhash64("text"), "text"]
-    sample = known.filter("toxic").orderBy(*order).limit(TOXIC_ROWS).unionByName(
-        known.filter(~F.col("toxic")).orderBy(*order).limit(OTHER_ROWS)).toArrow()
-    return fit(sample.column("text").to_pylist(), np.array(sample.column("toxic").to_pylist(), bool))
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+          toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of labelled texts, the same on every run.
+
+    A document is toxic if any of its labels is 1; equal texts of one label count once.
+    Of each label the texts that hash lowest are taken, at most ``toxic_rows``
+    and ``other_rows`` of them, and of these as many as fit in half of
+    ``most_bytes`` each (a text that does not fit is passed over). They are chosen
+    on rows of key, hash and length; only texts that were chosen are moved.
+    """
+    known = labels.filter(F.col(key).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(key).agg((F.max(toxic) == 1).alias("toxic"))
+    hashed = docs.filter(F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
+    narrow = hashed.join(known.withColumnRenamed(key, "key"), "key").groupBy("toxic", "hash").agg(
+        F.min(F.struct("key", "bytes")).alias("first")).select("toxic", "hash", "first.*")
+    chosen = []
+    for label, most in ((True, toxic_rows), (False, other_rows)):
+        held = 0
+        for r in narrow.filter(F.col("toxic") == label).orderBy("hash", "key").limit(most).collect():
+            if held + r["bytes"] <= most_bytes // 2:
+                held += r["bytes"]
+                chosen.append((r["key"], r["hash"], label))
+    wanted = docs.sparkSession.createDataFrame(chosen, f"key {docs.schema[key].dataType.simpleString()}, hash long, toxic boolean")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).join(
+        F.broadcast(wanted), ["key", "hash"]).dropDuplicates(["toxic", "hash"]).select("text", "toxic", "hash").toArrow()
+    found = found.sort_by([("toxic", "descending"), ("hash", "ascending")])
+    return fit(found.column("text").to_pylist(), np.array(found.column("toxic").to_pylist(), bool))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,8 +390,7 @@ def held_out(key: str) -> Column:
 
 def fold_model(docs: DataFrame, labels: DataFrame) -> Model:
     """Learned from the labelled documents outside the held-out fold."""
-    known = labels.filter(~held_out("doc_id")).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return learn(docs.select("doc_id", "text").join(known, "doc_id"), "text", "toxic")
+    return learn(docs, labels.filter(~held_out("doc_id")))
 
 
 @query("op6_toxicity")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import time
 
 from catalumen.llm import secret_scan as S
 from catalumen.llm.base import table
@@ -60,6 +62,21 @@ def test_numbers_behind_and_before_other_groups():
     assert S.redacted(f"IBAN {iban} EUR", S.scan(f"IBAN {iban} EUR", S.automaton())) == "IBAN [iban] EUR"
 
 
+def test_nested_headers_and_long_runs():
+    keywords = S.automaton()
+    nested = "eyJ" + base64.urlsafe_b64encode(b"xxx" + b"[" * 200_000).decode().rstrip("=")[3:]
+    deep = base64.urlsafe_b64encode(b'{"a":' * 100_000).decode().rstrip("=")
+    assert deep.startswith("eyJ")
+    for header in (nested, deep):
+        assert S.scan(f"{header}.eyJhIjoxfQ.abcdefgh12", keywords) == []
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.abcdefgh12"
+    start = time.perf_counter()
+    assert S.scan("eyJ" * 350_000 + " " + good, keywords) == [("jwt", 1_050_001, 1_050_001 + len(good))]
+    assert time.perf_counter() - start < 2
+    # A hit in other letters does not use up the run.
+    assert [s[0] for s in S.scan("EYJx" + good, keywords)] == ["jwt"]
+
+
 def test_query_over_the_table(spark, smoke_dir):
     docs = {r["doc_id"]: r["text"] for r in table(spark, smoke_dir, "documents").collect()}
     got = S.op2_secret_scan(spark, smoke_dir).collect()

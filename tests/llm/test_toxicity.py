@@ -108,3 +108,20 @@ def test_odd_rows(spark, model):
     labels = spark.createDataFrame([(1, None), (1, 1), (None, 0), (9, 1)], "doc_id long, toxic int")
     assert X.fold_model(frame, labels).bias == X.EMPTY.bias
     assert X.score(frame, X.fold_model(frame, labels.limit(0))).filter(F.col("score") >= 0.5).count() == 0
+
+
+def test_sample_is_chosen_on_narrow_rows(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(X, "fit", lambda texts, toxic: taken.append(list(zip(texts, toxic.tolist()))))
+    docs = spark.createDataFrame([(i, f"text {i % 40}" + "x" * (i % 40)) for i in range(60)] + [(3, "another"), (70, None), (None, "y")], "doc_id long, text string")
+    # Document 5 has two labels, 1 after 0; texts 0 to 19 stand in two documents.
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(60)] + [(5, 1), (3, 0), (None, 1), (70, 1), (4, None)], "doc_id long, toxic int")
+    X.learn(docs, labels)
+    X.learn(docs.orderBy(F.desc("doc_id")).repartition(3), labels.repartition(2))
+    assert taken[0] == taken[1]
+    want = {(t, l) for t, l in ((r["text"], r["doc_id"] % 10 == 0 or r["doc_id"] == 5) for r in docs.filter("doc_id is not null and text is not null").collect())}
+    assert set(taken[0]) == want and len(taken[0]) == len(want)
+    X.learn(docs, labels, toxic_rows=2, other_rows=5, most_bytes=200)
+    some = taken[2]
+    assert set(some) <= want and sum(l for _, l in some) <= 2 and 0 < sum(not l for _, l in some) <= 5
+    assert all(sum(len(t) for t, l in some if l == label) <= 100 for label in (True, False))
