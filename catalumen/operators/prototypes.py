@@ -16,7 +16,6 @@ from catalumen.functions import vectors
 # Largest model shipped to every task: 4000 classes of 2048 doubles are 66 MB.
 MAX_CLASSES = 4_000
 MAX_WIDTH = 2_048
-MIN_SHARES = 8
 LOGIT_SCALE = 80.0
 
 
@@ -93,14 +92,15 @@ class PrototypeModel:
     def collect(cls, prototypes: DataFrame, required: list | None = None) -> PrototypeModel:
         """Bring the prototypes to the driver after checking that they are few.
 
-        Larger class sets use :func:`blocked_distances` and stay distributed.
+        Larger class sets use ``classparts.ModelParts``; this model is for
+        streams and for results that are themselves class-wide arrays.
         """
         width_checked = F.when(F.size("centre") <= MAX_WIDTH, F.col("centre")).alias("centre")
         rows = prototypes.select("class", width_checked).limit(MAX_CLASSES + 1).collect()
         if not rows:
             raise ValueError("no class has a training record")
         if len(rows) > MAX_CLASSES or any(row["centre"] is None for row in rows):
-            raise ValueError("too many prototypes for one task; use blocked_distances")
+            raise ValueError("too many prototypes for one task; use classparts.ModelParts")
         if len({len(row["centre"]) for row in rows}) != 1:
             raise ValueError("prototypes differ in width")
         rows.sort(key=lambda row: row["class"])
@@ -162,32 +162,6 @@ class PrototypeModel:
         return measure.asNondeterministic()(vector, label_position)
 
 
-def blocked_distances(
-    records: DataFrame, prototypes: DataFrame, key: str, vector: str, block_size: int = 1_024,
-) -> DataFrame:
-    """``(key, class, distance)`` of the nearest class, for class sets of any size.
-
-    Prototypes are grouped into blocks; each record meets each block once by an
-    equi-join on block and share, and only the best class of a block travels on.
-    """
-    blocks = max(1, -(-prototypes.count() // block_size))
-    shares = max(MIN_SHARES, 4 * records.sparkSession.sparkContext.defaultParallelism // blocks)
-    sized = prototypes.withColumn("__block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
-    packed = sized.groupBy("__block").agg(
-        F.sort_array(F.collect_list(F.struct("class", "centre"))).alias("__members")
-    ).withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    spread = records.select(key, vector).withColumn(
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).withColumn("__share", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int"))
-    v = F.col(vector)
-    measured = F.transform("__members", lambda m: F.struct(
-        F.sqrt(vectors.total(F.zip_with(
-            v, m["centre"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)))).alias("distance"),
-        m["class"].alias("class")))
-    best = spread.join(packed, ["__block", "__share"]).select(key, F.array_min(measured).alias("b"))
-    return best.groupBy(key).agg(F.min("b").alias("b")).select(key, "b.class", "b.distance")
-
-
 def distance_signals(distances: Column, true_position: Column) -> Column:
     """True-class distance, nearest other class, their margin and the nearest class."""
     others = F.transform(distances, lambda d, k: F.when(k != true_position, d))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import bins, identity, vectors
-from catalumen.operators import calibration, metrics, profile, prototypes, selective
+from catalumen.operators import calibration, classparts, metrics, profile, prototypes, selective
+from catalumen.operators.classparts import ModelParts
 from catalumen.operators.prototypes import PrototypeModel
 from catalumen.operators.ranking import rank_by_number
 from catalumen.plans.base import query, r6, split_of, sql_split, table
@@ -24,10 +25,15 @@ def model_of(vectors_df: DataFrame, column: str = "embedding") -> PrototypeModel
     return PrototypeModel.collect(prototypes.fit_prototypes(train, "label", column))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One narrow row per vector; the class-wide arrays never leave the scoring task."""
+def parts_of(vectors_df: DataFrame, per_part: int | None = None) -> ModelParts:
+    train = vectors_df.filter(F.col("split") == "train")
+    return ModelParts(prototypes.fit_prototypes(train, "label", "embedding"), per_part)
+
+
+def scored(spark: SparkSession, sf_dir: str, per_part: int | None = None) -> DataFrame:
+    """One narrow row per vector, for any number of classes; class-wide arrays never leave the scoring task."""
     base = labelled_vectors(spark, sf_dir)
-    return prototypes.score_narrow(base, model_of(base), "embedding", "label")
+    return classparts.score_any(base, parts_of(base, per_part), "embedding", "label")
 
 
 def scored_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,30 +85,37 @@ SELECT vec_id, any_value(label) AS label,
 FROM dist GROUP BY vec_id""")
 def prototype_distance(spark, sf_dir):
     base = labelled_vectors(spark, sf_dir)
-    model = model_of(base)
-    measured = base.select(
-        "vec_id", "label",
-        model.distances(F.col("embedding")).alias("d"),
-        model.distances(F.col("embedding"), "cosine").alias("dc"),
-        model.position(F.col("label")).alias("y"))
-    signals = measured.select(
-        "vec_id", "label", prototypes.distance_signals(F.col("d"), F.col("y")).alias("s"), "dc")
-    return signals.select(
-        "vec_id", "label", r6("s.true_distance", "true_distance"),
-        r6("s.competitor_distance", "competitor_distance"), r6("s.margin", "margin"),
-        model.label_at(F.col("s.nearest")).alias("nearest"),
-        model.label_at(F.array_position("dc", F.array_min("dc")) - 1).alias("nearest_cosine"),
-        r6(F.array_min("dc"), "cosine_distance"))
+    parts = parts_of(base)
+    euclidean = classparts.score_any(base, parts, "embedding", "label").select(
+        "vec_id", "label", "embedding", "true_distance", "competitor_distance",
+        (F.col("competitor_distance") - F.col("true_distance")).alias("margin"), F.col("pred").alias("nearest"))
+    both = classparts.score_any(euclidean.withColumnsRenamed(
+        {c: f"{c}_e" for c in ("true_distance", "competitor_distance")}), parts, "embedding", "label", "cosine")
+    return both.select(
+        "vec_id", "label", r6("true_distance_e", "true_distance"), r6("competitor_distance_e", "competitor_distance"),
+        r6("margin"), "nearest", F.col("pred").alias("nearest_cosine"), r6("distance", "cosine_distance"))
 
 
 @query("nearest_prototype", f"""
 WITH {SQL_BASE}
 SELECT vec_id, arg_min(cls, d) AS class, round(min(d), 6) AS distance FROM dist GROUP BY vec_id""")
 def nearest_prototype(spark, sf_dir):
-    base = labelled_vectors(spark, sf_dir)
-    fitted = prototypes.fit_prototypes(base.filter(F.col("split") == "train"), "label", "embedding")
-    return prototypes.blocked_distances(base, fitted, "vec_id", "embedding", block_size=4).select(
-        "vec_id", "class", r6("distance"))
+    """The model comes in parts of four classes, as a class set too large for one task would."""
+    return scored(spark, sf_dir, per_part=4).select("vec_id", F.col("pred").alias("class"), r6("distance"))
+
+
+@query("part_scores", f"""
+WITH {SQL_BASE},
+extra AS (SELECT vec_id, max(CASE WHEN cls = label THEN d END) AS td, min(CASE WHEN cls <> label THEN d END) AS cd, min(d) AS nd,
+          -ln(max(CASE WHEN cls = label THEN p END)) AS nll FROM prob GROUP BY vec_id)
+SELECT vec_id, label, pred, c2 AS second_class, correct, round(conf, 6) AS conf, round(p2, 6) AS second, round(entropy, 6) AS entropy,
+       round(nll, 6) AS nll, round(brier, 6) AS brier, round(nd, 6) AS distance, round(td, 6) AS true_distance,
+       round(cd, 6) AS competitor_distance FROM scored JOIN extra USING (vec_id)""")
+def part_scores(spark, sf_dir):
+    """Every score of a record merged from parts of four classes."""
+    rows = scored(spark, sf_dir, per_part=4)
+    return rows.select("vec_id", "label", "pred", "second_class", "correct", *[r6(c) for c in (
+        "conf", "second", "entropy", "nll", "brier", "distance", "true_distance", "competitor_distance")])
 
 
 @query("nearest_accuracy", f"""
@@ -114,20 +127,12 @@ SELECT split, count(*) AS records, round(avg((e = label)::INT), 6) AS euclidean_
 FROM near GROUP BY split""")
 def nearest_accuracy(spark, sf_dir):
     base = labelled_vectors(spark, sf_dir)
-    model = model_of(base)
-
-    def hit(metric):
-        d = model.distances(F.col("embedding"), metric)
-        return d
-
-    measured = base.select("split", "label", hit("euclidean").alias("e"), hit("cosine").alias("c"))
-
-    def accuracy(column, name):
-        nearest = model.label_at(F.array_position(column, F.array_min(column)) - 1)
-        return r6(F.avg((nearest == F.col("label")).cast("int")), name)
-
-    return measured.groupBy("split").agg(
-        F.count(F.lit(1)).alias("records"), accuracy("e", "euclidean_accuracy"), accuracy("c", "cosine_accuracy"))
+    parts = parts_of(base)
+    euclidean = classparts.score_any(base, parts, "embedding", "label").select("split", "label", "embedding", F.col("correct").alias("e"))
+    both = classparts.score_any(euclidean, parts, "embedding", "label", "cosine")
+    return both.groupBy("split").agg(
+        F.count(F.lit(1)).alias("records"), r6(F.avg(F.col("e").cast("int")), "euclidean_accuracy"),
+        r6(F.avg(F.col("correct").cast("int")), "cosine_accuracy"))
 
 
 @query("confidence_signals", f"""
@@ -136,15 +141,9 @@ SELECT vec_id, label, pred, round(conf, 6) AS conf, round(p2, 6) AS second, c2 A
        round(conf - p2, 6) AS margin, round(entropy, 6) AS entropy, correct
 FROM scored""")
 def confidence_signals(spark, sf_dir):
-    base = labelled_vectors(spark, sf_dir)
-    model = model_of(base)
-    rows = prototypes.score(base, model, "embedding", "label").withColumn(
-        "t", vectors.top_two(F.col("probabilities")))
-    return rows.select(
-        "vec_id", "label", "pred", r6("conf"), r6("t.p2", "second"),
-        model.label_at(F.col("t.c2")).alias("second_class"),
-        r6(F.col("t.p1") - F.col("t.p2"), "margin"),
-        r6(vectors.entropy(F.col("probabilities")), "entropy"), "correct")
+    return scored(spark, sf_dir).select(
+        "vec_id", "label", "pred", r6("conf"), r6("second"), "second_class",
+        r6(F.col("conf") - F.col("second"), "margin"), r6("entropy"), "correct")
 
 
 def signals(spark, sf_dir) -> DataFrame:
@@ -386,7 +385,7 @@ REFINE_STEPS = (500, 50, 5, 1)
 def _sql_temperature() -> str:
     """Nested grid search, one CTE per refinement, on the calibration half."""
     parts = [f"cal AS (SELECT * FROM logit WHERE {SQL_PARTITION})"]
-    coarse = f"generate_series({calibration.COARSE_FROM}, {calibration.COARSE_TO}, {calibration.COARSE_STEP})"
+    coarse = "generate_series(1000, 200000, 5000)"
     nll = """(SELECT unit, avg(ln(se) + zm / t - zy / t) AS nll FROM (
       SELECT unit, unit / 20000.0 AS t, vec_id, any_value(zm) AS zm, max(CASE WHEN cls = label THEN z END) AS zy,
              sum(exp((z - zm) / (unit / 20000.0))) AS se
@@ -394,7 +393,7 @@ def _sql_temperature() -> str:
     grid = f"(SELECT unnest({coarse}) AS unit)"
     parts.append(f"b0 AS (SELECT unit AS best FROM {nll.format(grid=grid)} ORDER BY nll, unit LIMIT 1)")
     for i, step in enumerate(REFINE_STEPS, 1):
-        reach = calibration.REFINE_REACH
+        reach = 10
         grid = (f"(SELECT best + k * {step} AS unit FROM b{i - 1}, (SELECT unnest(range(-{reach}, {reach} + 1)) AS k) "
                 f"WHERE best + k * {step} > 0)")
         parts.append(f"b{i} AS (SELECT unit AS best FROM {nll.format(grid=grid)} ORDER BY nll, unit LIMIT 1)")
@@ -423,9 +422,10 @@ SELECT kind, round(CASE WHEN kind = 'raw' THEN 1.0 ELSE any_value(t) END, 6) AS
 FROM tr GROUP BY kind""")
 def temperature(spark, sf_dir):
     rows = calibration_halves(scored_wide(spark, sf_dir)).select("population", "logits", "label_position")
-    # The fit reads the logits once per grid, so they are written once.
+    # The fit reads the logits three times, so they are written once.
     rows = cut_lineage(rows, "calibration-logits")
-    fitted = calibration.fit_temperature(rows.filter(F.col("population") == "calibration"), "logits", "label_position")
+    half = rows.filter(F.col("population") == "calibration")
+    fitted = calibration.fit_temperature(lambda ts: calibration.array_curve(half, "logits", "label_position", ts)).value
     held_out = rows.filter(F.col("population") == "selection")
     results = None
     for kind, t in (("raw", 1.0), ("calibrated", fitted)):
@@ -436,6 +436,19 @@ def temperature(spark, sf_dir):
     return results
 
 
+@query("temperature_parts", f"""WITH {SQL_BASE}, {SQL_FIT},
+sums AS (SELECT c.vec_id, any_value(t) AS t, any_value(zm) AS zm, max(CASE WHEN cls = label THEN z END) AS zy, sum(exp((z - zm) / t)) AS se
+         FROM cal c, fitted GROUP BY c.vec_id)
+SELECT round(any_value(t), 6) AS temperature, count(*) AS records, round(avg(ln(se) + zm / t - zy / t), 6) AS nll, true AS converged FROM sums""")
+def temperature_parts(spark, sf_dir):
+    """The same fit without logits in any row: each pass folds the model's parts of four classes into the records' sums."""
+    base = calibration_halves(labelled_vectors(spark, sf_dir))
+    half, parts = base.filter(F.col("population") == "calibration"), parts_of(base, per_part=4)
+    fitted = calibration.fit_temperature(lambda ts: classparts.curve(half, parts, "embedding", "label", ts))
+    return half.agg(F.round(F.lit(fitted.value), 6).alias("temperature"), F.count(F.lit(1)).alias("records"),
+                    F.round(F.lit(fitted.nll), 6).alias("nll"), F.lit(fitted.converged).alias("converged"))
+
+
 @query("likelihood_terms", f"""WITH {SQL_BASE}
 SELECT vec_id, label, round(-ln(max(CASE WHEN cls = label THEN p END)), 6) AS nll,
        round(sum(p * p) - 2 * max(CASE WHEN cls = label THEN p END) + 1, 6) AS brier FROM prob GROUP BY vec_id, label""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalumen.functions import bins, vectors
-from catalumen.operators import calibration, fusion, metrics, profile, prototypes, selective
+from catalumen.operators import calibration, classparts, fusion, metrics, profile, prototypes, selective
 from catalumen.operators.prototypes import PrototypeModel
 
 RNG = np.random.default_rng(11)
@@ -126,12 +126,20 @@ def test_temperature_is_the_grid_minimum(spark, true_t):
     p = softmax(z, true_t)
     y = np.array([rng.choice(4, p=row) for row in p])
     df = spark.createDataFrame([(int(c), row.tolist()) for c, row in zip(y, z)], "y int, z array<double>").cache()
-    fitted = calibration.fit_temperature(df, "z", "y")
 
     def nll(t):
         top = z.max(axis=1)
         return (np.log(np.exp((z - top[:, None]) / t).sum(axis=1)) + (top - z[np.arange(400), y]) / t).mean()
 
+    passes = []
+
+    def curve(temperatures):
+        passes.append(len(temperatures))
+        return calibration.array_curve(df, "z", "y", temperatures)
+
+    found = calibration.fit_temperature(curve)
+    fitted = found.value
+    assert found.converged and len(passes) == 3 and math.isclose(found.nll, nll(fitted))
     step = 1 / calibration.TEMPERATURE_UNIT
     assert nll(fitted) <= min(nll(fitted - step), nll(fitted + step)) + 1e-12
     assert nll(fitted) <= min(nll(t) for t in np.geomspace(0.01, 500, 3_000)) + 1e-9
@@ -235,7 +243,16 @@ def test_agreement_cases_cover_everything(spark):
     assert cases["fusion_correct_when_at_least_one_baseline_correct"] == 3
 
 
-def test_prototypes_and_blocked_distances_match_numpy(spark):
+def test_temperature_without_a_minimum_is_told(spark):
+    right = spark.createDataFrame([(0, [3.0, 1.0]), (1, [0.0, 2.0])], "y int, z array<double>")
+    wrong = right.withColumn("y", 1 - F.col("y"))
+    unknown = right.withColumn("y", F.lit(None).cast("int"))
+    fits = [calibration.fit_temperature(lambda ts: calibration.array_curve(df, "z", "y", ts)) for df in (right, wrong, unknown)]
+    assert [f.converged for f in fits] == [False] * 3 and fits[2].nll is None
+    assert fits[0].value == pytest.approx(calibration.LEAST_UNIT / 20_000) and fits[1].value == pytest.approx(calibration.MOST_UNIT / 20_000)
+
+
+def test_prototypes_match_numpy(spark):
     x = RNG.normal(size=(80, 6)).astype("float32")
     y = RNG.integers(0, 7, size=80)
     df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "id int, y int, v array<float>")
@@ -247,9 +264,66 @@ def test_prototypes_and_blocked_distances_match_numpy(spark):
     d = np.sqrt(((x[:, None, :].astype("float64") - centres[None]) ** 2).sum(axis=2))
     got = df.select("id", model.distances(F.col("v")).alias("d")).orderBy("id").collect()
     assert np.allclose([r["d"] for r in got], d)
-    blocked = prototypes.blocked_distances(df, fitted, "id", "v", block_size=2).orderBy("id").collect()
-    assert [r["class"] for r in blocked] == [classes[k] for k in d.argmin(axis=1)]
-    assert np.allclose([r["distance"] for r in blocked], d.min(axis=1))
+
+
+@pytest.mark.parametrize("per_part", [1, 3, 100])
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_parts_of_a_model_equal_the_whole(spark, monkeypatch, per_part, metric):
+    monkeypatch.setattr(classparts, "CHUNK_VALUES", 40)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(8, 3)) * 0.1
+    centres[5], centres[6] = centres[2], centres[2]
+    names = [f"class {c}" for c in "abcdefgh"]
+    x = rng.normal(size=(40, 3)) * 0.1
+    y = [None if i % 9 == 0 else "unknown" if i % 7 == 0 else names[i % 8] for i in range(40)]
+    df = spark.createDataFrame([(i, y[i], v.tolist()) for i, v in enumerate(x)], "id int, label string, v array<double>").repartition(3)
+    fitted = spark.createDataFrame([(n, c.tolist()) for n, c in zip(names, centres)], "class string, centre array<double>")
+    got = {r["id"]: r for r in classparts.score_any(df, classparts.ModelParts(fitted, per_part), "v", "label", metric).collect()}
+    d = prototypes._distances(x, centres, metric)
+    p = softmax(-80.0 * d)
+    for i in range(40):
+        r, order = got[i], np.argsort(d[i], kind="stable")
+        assert (r["pred"], r["second_class"], r["label"]) == (names[order[0]], names[order[1]], y[i])
+        assert r["correct"] == (names[order[0]] == y[i])
+        want = {"conf": p[i, order[0]], "second": p[i, order[1]], "entropy": -(p[i] * np.log(np.maximum(p[i], 1e-300))).sum(), "distance": d[i, order[0]]}
+        if y[i] in names:
+            k = names.index(y[i])
+            others = [j for j in range(8) if j != k]
+            want |= {"nll": -np.log(p[i, k]), "brier": (p[i] ** 2).sum() - 2 * p[i, k] + 1, "true_distance": d[i, k], "competitor_distance": d[i, others].min()}
+        else:
+            assert r["nll"] is None and r["brier"] is None and r["true_distance"] is None
+        for name, value in want.items():
+            assert r[name] == pytest.approx(value, rel=1e-7, abs=1e-9), name
+
+
+def test_parts_have_no_limit_of_classes_and_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(classparts, "PART_VALUES", 2_000)
+    rng = np.random.default_rng(12)
+    centres, x = rng.normal(size=(5_000, 2)), rng.normal(size=(30, 2))
+    fitted = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "class int, centre array<double>")
+    df = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "id int, y int, v array<double>")
+    parts = classparts.ModelParts(fitted)
+    assert parts.per_part == 1_000 and parts.classes == 5_000
+    scored = classparts.score_any(df, parts, "v", "y")
+    d = np.sqrt(((x[:, None] - centres) ** 2).sum(2))
+    assert [r["pred"] for r in scored.orderBy("id").collect()] == d.argmin(1).tolist()
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="width"):
+        classparts.ModelParts(fitted.unionByName(spark.createDataFrame([(9_999, [1.0])], fitted.schema)))
+    with pytest.raises(ValueError, match="two prototypes"):
+        classparts.ModelParts(fitted.unionByName(fitted.limit(1)))
+
+
+def test_temperature_from_parts_equals_the_arrays(spark):
+    rng = np.random.default_rng(13)
+    centres, x = rng.normal(size=(6, 4)) * 0.05, rng.normal(size=(300, 4)) * 0.05
+    d = np.sqrt(((x[:, None] - centres) ** 2).sum(2))
+    y = np.array([6 if i % 10 == 0 else rng.choice(6, p=row) for i, row in enumerate(softmax(-80 * d, 2.0))])
+    fitted = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "class int, centre array<double>")
+    df = spark.createDataFrame([(int(c), v.tolist(), z.tolist(), int(c) if c < 6 else None) for c, v, z in zip(y, x, -80 * d)], "y int, v array<double>, z array<double>, at int").cache()
+    one = calibration.fit_temperature(lambda ts: calibration.array_curve(df, "z", "at", ts))
+    two = calibration.fit_temperature(lambda ts: classparts.curve(df, classparts.ModelParts(fitted, 2), "v", "y", ts))
+    assert one.converged and two.converged and one.value == two.value and one.nll == pytest.approx(two.nll)
 
 
 def test_narrow_scores_equal_the_array_expressions(spark, monkeypatch):
