@@ -1,4 +1,4 @@
-"""TF-IDF and multinomial naive Bayes as joins and aggregations."""
+"""TF-IDF and multinomial naive Bayes: aggregations to fit, look-ups inside the rows to apply."""
 
 from __future__ import annotations
 
@@ -6,61 +6,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalumen.functions import text
-from catalumen.operators.joins import MAX_HOT_KEYS, join_spread, lookup
+from catalumen.operators import classparts, termparts
 from catalumen.session import cut_lineage
 
-MAX_CLASSES = 20_000
+# Counts that one histogram tells apart.
+HISTOGRAM = 4_096
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
-                keep: list[str] | None = None) -> DataFrame:
-    """``(key, keep..., term, tf)`` for a frame with one row per key, without a shuffle.
+def sparse_rows(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``(key, keep..., terms)``: one row per record with its terms and their counts, without a shuffle.
 
     ``keep`` names further columns of the record to carry along, such as its split.
     """
     own = [key, *(keep or [])]
     base = docs.select(*own, tokens.alias("__tokens"))
     terms = F.concat("__tokens", text.bigrams(F.col("__tokens"))) if with_bigrams else F.col("__tokens")
-    return base.select(*own, F.explode(text.count_terms(terms)).alias("t")).select(*own, "t.term", "t.tf")
+    return base.select(*own, text.count_terms(terms).alias("terms"))
+
+
+def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
+                keep: list[str] | None = None) -> DataFrame:
+    """``(key, keep..., term, tf)`` for a frame with one row per key, without a shuffle."""
+    return exploded(sparse_rows(docs, key, tokens, with_bigrams, keep))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """Sparse rows as one row per record and term."""
+    own = [c for c in rows.columns if c != "terms"]
+    return rows.select(*own, F.explode("terms").alias("t")).select(*own, "t.*")
 
 
 def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
-    """``(term, df, total_tf)`` from training counts; the cap keeps the most frequent terms."""
+    """``(term, df, total_tf)`` from training counts; the cap keeps the most frequent terms.
+
+    Terms as frequent as the last one kept go in by their order. The cut is found
+    from histograms of the counts, and only terms at the cut are ranked.
+    """
     terms = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")).filter(F.col("df") >= min_df)
-    if max_terms is not None:
-        terms = terms.orderBy(F.col("total_tf").desc(), "term").limit(max_terms)
-    return terms
+    return terms if max_terms is None else most_frequent(cut_lineage(terms, "terms"), "total_tf", "term", max_terms)
+
+
+def most_frequent(rows: DataFrame, count: str, name: str, most: int) -> DataFrame:
+    """The ``most`` rows with the highest whole number ``count``, ties by ``name``, which is unique; no global sort."""
+    low, high, above = 0, rows.agg(F.max(count)).first()[0], 0
+    if high is None or rows.count() <= most:
+        return rows
+    # The number that the last row kept has lies in [low, high]; ``above`` rows have more than ``high``.
+    while low < high:
+        width = max(1, -(-(high - low + 1) // HISTOGRAM))
+        held = rows.filter(F.col(count).between(low, high)).groupBy(F.floor((F.col(count) - low) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(held.collect(), key=lambda r: -r["bin"]):
+            if above + r["n"] >= most:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            above += r["n"]
+    ties = rows.filter(F.col(count) == low)
+    return rows.filter(F.col(count) > low).unionByName(first_by_name(ties, name, most - above))
+
+
+def first_by_name(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The first ``most`` rows by a unique name: ranges in order are counted, and only one of them is ranked."""
+    ranged = cut_lineage(rows.repartitionByRange(name).withColumn("__range", F.spark_partition_id()), "ranges")
+    rest, last = most, -1
+    for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect():
+        last = r["__range"]
+        if r["n"] > rest:
+            break
+        rest -= r["n"]
+        last += 1
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(name))
+    cut = ranged.filter(F.col("__range") == last).withColumn("__n", within).filter(F.col("__n") <= rest).drop("__n")
+    return ranged.filter(F.col("__range") < last).unionByName(cut).drop("__range")
 
 
-def hot_terms(terms: DataFrame) -> DataFrame:
-    """Salt counts for the join on ``term``, read off the document frequencies."""
-    total = terms.agg(F.sum("df")).scalar()
-    return terms.filter(F.col("df") * F.lit(MAX_HOT_KEYS) > total).select(
-        "term", F.ceil(F.col("df") * F.lit(MAX_HOT_KEYS) / total).cast("int").alias("__salts"))
+def idf_table(terms: DataFrame, n_docs: Column) -> DataFrame:
+    """``(term, idf)``: smoothed inverse document frequency."""
+    return terms.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
-    """``(key, term, weight)``: smoothed idf, optional ``1 + ln(tf)``, unit length per record."""
-    idf = terms.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    tf = 1 + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
-    raw = join_spread(counts, idf, ["term"], "inner", hot=hot_terms(terms)).select(key, "term", (tf * F.col("idf")).alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
+def tfidf_rows(rows: DataFrame, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
+    """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; looked up inside the rows, without a shuffle."""
+    return termparts.weigh(rows, cut_lineage(idf_table(terms, n_docs), "idf"), "idf", sublinear)
+
+
+def tfidf(rows: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
+    """``(key, term, weight)`` of sparse rows."""
+    return exploded(tfidf_rows(rows, terms, n_docs, sublinear)).select(key, "term", "weight")
 
 
 def fit_naive_bayes(
     counts: DataFrame, terms: DataFrame, labels: DataFrame, label: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-class constants ``(class, prior, unseen)`` and ``(term, gains)`` weights.
+    """Per-class constants ``(class, prior, unseen)`` and the gains ``(class, term, weight)`` of pairs that occur.
 
     ``counts`` are training term counts that carry ``label``; ``labels`` holds
-    one row per training record. Unseen pairs all share their class's constant,
-    so a term only lists the classes it occurs with.
+    one row per training record. Unseen pairs all share their class's constant.
     """
     pairs = counts.groupBy("term", F.col(label).alias("class")).agg(F.sum("tf").alias("n")).join(
         terms.select("term"), "term", "left_semi")
@@ -72,110 +119,100 @@ def fit_naive_bayes(
         "class",
         F.log(F.col("docs") / n_docs).alias("prior"),
         (-F.log(F.coalesce("mass", F.lit(0)) + size)).alias("unseen"))
-    # At most one entry per class and term; score_naive_bayes bounds the classes.
-    weights = pairs.groupBy("term").agg(F.collect_list(
-        F.struct("class", F.log(F.col("n") + 1).alias("gain"))).alias("gains"))
-    return classes, weights
+    return classes, pairs.select("class", "term", F.log(F.col("n") + 1).alias("weight"))
 
 
-def _gains(docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(key, class, length, gain)``: what a record gains for each class, and its length in the row without a class.
+class NaiveBayes:
+    """A fitted model as written tables, applied to sparse rows one part at a time.
 
-    One join on the term; both sums are added up together, map-side first. Every record has a row without a class.
+    A record needs its number of known tokens, the highest score and the sum of
+    all scores below it; all three merge over parts, so there is no limit of classes
+    and no row for a record, a term and a class. Scores count with
+    nine digits, so that summation order cannot decide, and ties go to the lowest class.
     """
-    nothing = F.lit(None).cast(classes.schema["class"].dataType)
-    matched = join_spread(counts, weights, ["term"], "inner", hot=hot_terms(terms))
-    entries = matched.select(key, "tf", F.explode(F.concat(
-        "gains", F.array(F.struct(nothing.alias("class"), F.lit(0.0).alias("gain"))))).alias("g")
-    ).select(key, "g.class", "tf", (F.col("tf") * F.col("g.gain")).alias("gain"))
-    every_record = docs.select(
-        key, nothing.alias("class"), F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("gain"))
-    return entries.unionByName(every_record).groupBy(key, "class").agg(
-        F.sum("tf").alias("length"), F.sum("gain").alias("gain"))
-
-
-def best_by_length(classes: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(length, neg, class)``: the best class of a record of that length without any gain, lowest class on a tie.
-
-    Classes stay where they are: each batch of them gives its best for every
-    length, and the best of these are kept.
-    """
-    kind = classes.schema["class"].dataType.simpleString()
-    wanted = np.array(sorted(lengths), np.int64)
+
+    def __init__(self, terms: DataFrame, classes: DataFrame, weights: DataFrame, per_part: int | None = None):
+        self.terms = cut_lineage(terms.select("term"), "nb-terms")
+        self.parts = termparts.PairParts(cut_lineage(classes, "nb-classes"), cut_lineage(weights, "nb-weights"), per_part)
+        self.per_part = per_part
+
+    def lengths(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``__length``, the tokens that the vocabulary knows."""
+        out = rows.withColumn("__length", F.lit(0.0))
+        for nth, part in enumerate(termparts.term_parts(self.terms, [], self.per_part)):
+            out = (cut_lineage(out, "nb-lengths") if nth else out).mapInArrow(_counting(part.toArrow()), out.schema)
+        return out
+
+    def fold(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their lengths and their states over all classes, see ``classparts``."""
+        out = self.lengths(rows)
+        schema = T.StructType([*out.schema.fields, *classparts._state_type(self.parts.kind)])
+        for nth, part in enumerate(self.parts):
+            out = (cut_lineage(out, "nb-states") if nth else out).mapInArrow(_folding(part, nth == 0), schema)
+        return out
+
+    def predict(self, rows: DataFrame, key: str) -> DataFrame:
+        """``(key, pred, score)``: the best class and its joint log-likelihood."""
+        return self.fold(rows.select(key, "terms")).select(key, F.col("__best").alias("pred"), F.col("__top").alias("score"))
+
+    def scores(self, rows: DataFrame, key: str) -> DataFrame:
+        """``(key, class, score, probability)`` for every record and every class, one part of the classes after the other."""
+        states = cut_lineage(self.fold(rows.select(key, "terms")).select(
+            key, "terms", "__length", "__top", F.col("__mass")[0].alias("__mass")), "nb-scores")
+        kind, result = self.parts.kind.simpleString(), None
+        for part in self.parts:
+            found = states.mapInArrow(_spelling(part, key), f"{key} {states.schema[key].dataType.simpleString()}, class {kind}, score double, probability double")
+            result = found if result is None else result.unionByName(found)
+        return result
+
+
+def _counting(part: pa.Table):
+    names = part.column("term").combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prior, unseen = (batch.column(c).to_numpy()[:, None] for c in ("prior", "unseen"))
-            for at in range(0, len(wanted), 1_000):
-                some = wanted[at:at + 1_000]
-                score = prior + some[None, :] * unseen
-                # Sorted by class, so the first of equal scores is the lowest class.
-                best = score.argmax(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(-score[best, np.arange(len(some))]), batch.column("class").take(pa.array(best))],
-                    ["length", "neg", "class"])
-
-    ordered = classes.select("class", "prior", "unseen").sortWithinPartitions("class")
-    found = ordered.mapInArrow(run, f"length long, neg double, class {kind}")
-    return found.groupBy("length").agg(F.min(F.struct("neg", "class")).alias("b")).select("length", "b.neg", "b.class")
-
-
-def predict_naive_bayes(
-    docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame,
-) -> DataFrame:
-    """``(key, pred, score)`` for any number of classes: the best class, lowest class on a tie.
-
-    A record meets the classes it gains for, and of all others only the best,
-    which depends on nothing but its length. (If that one has a gain as well,
-    its full score is larger and is there too.) Scores are compared on nine
-    digits, so that summation order cannot decide.
-    """
-    sums = cut_lineage(_gains(docs, counts, key, terms, classes, weights), "gains")
-    lengths = sums.filter(F.col("class").isNull()).select(key, "length")
-    # Distinct lengths are bounded by the longest record.
-    distinct = [r["length"] for r in lengths.select("length").distinct().collect()]
-    plain = lookup(lengths, best_by_length(classes, distinct), ["length"], "inner").select(key, "neg", "class")
-    gained = lookup(sums.filter(F.col("class").isNotNull()).drop("length"), classes, ["class"], "inner").join(lengths, key)
-    full = gained.select(key, (-(F.col("prior") + F.col("length") * F.col("unseen") + F.col("gain"))).alias("neg"), "class")
-    best = plain.unionByName(full).groupBy(key).agg(
-        F.min(F.struct(F.round("neg", 9).alias("near"), "class", "neg")).alias("b"))
-    return best.select(key, F.col("b.class").alias("pred"), (-F.col("b.neg")).alias("score"))
-
-
-def score_naive_bayes(
-    docs: DataFrame, counts: DataFrame, key: str, terms: DataFrame, classes: DataFrame, weights: DataFrame,
-) -> DataFrame:
-    """``(key, class, score)``: joint log-likelihood for every record and every class.
-
-    The result itself has a row for each pair, so classes are bounded; use
-    ``predict_naive_bayes`` where only the best class is wanted.
-    """
-    class_type = classes.schema["class"].dataType
-    sums = _gains(docs, counts, key, terms, classes, weights)
-    per_record = sums.groupBy(key).agg(
-        F.max(F.when(F.col("class").isNull(), F.col("length"))).alias("length"),
-        F.map_from_entries(F.collect_list(
-            F.when(F.col("class").isNotNull(), F.struct("class", "gain")))).alias("gains"))
-    listed = F.sort_array(F.collect_list(F.struct("class", "prior", "unseen")))
-    checked = classes.agg(listed.alias("c")).select(
-        F.when(F.size("c") <= MAX_CLASSES, F.col("c")).otherwise(
-            F.raise_error(F.lit("too many classes to score densely")).cast(
-                f"array<struct<class:{class_type.simpleString()},prior:double,unseen:double>>"))).scalar()
-    return per_record.withColumn("c", F.explode(checked)).select(
-        key, "c.class",
-        (F.col("c.prior") + F.col("length") * F.col("c.unseen")
-         + F.coalesce(F.try_element_at("gains", F.col("c.class")), F.lit(0.0))).alias("score"))
-
-
-def predict(scores: DataFrame, key: str) -> DataFrame:
-    """``(key, pred, score)``: best class, lowest class on a tie."""
-    best = scores.groupBy(key).agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), F.col("class"))).alias("b"))
-    return best.select(key, F.col("b.class").alias("pred"), (-F.col("b.neg")).alias("score"))
-
-
-def probabilities(scores: DataFrame, key: str) -> DataFrame:
-    """Softmax of the class scores of a record, as ``(key, class, probability)``."""
-    own = Window.partitionBy(key)
-    shifted = scores.withColumn("__e", F.exp(F.col("score") - F.max("score").over(own)))
-    return shifted.select(key, "class", (F.col("__e") / F.sum("__e").over(own)).alias("probability"))
+        for batch in termparts.gathered(batches, "terms"):
+            row, term, tf = termparts.entries_of(batch.column("terms"), "tf")
+            known = pc.is_in(term, value_set=names).to_numpy(zero_copy_only=False)
+            more = np.bincount(row[known], weights=tf[known], minlength=batch.num_rows)
+            length = batch.column("__length").to_numpy(zero_copy_only=False) + more
+            yield termparts.replaced(batch, {"__length": pa.array(length)}).select(batch.schema.names)
+
+    return run
+
+
+def _scores(batch: pa.RecordBatch, part: termparts.Part) -> Iterator[tuple[slice, np.ndarray]]:
+    prior, unseen = part.constants["prior"], part.constants["unseen"]
+    length = batch.column("__length").to_numpy(zero_copy_only=False)
+    for some, z in termparts.class_scores(batch, part, "tf", lambda rows: prior + length[rows, None] * unseen):
+        yield some, np.round(z, 9)
+
+
+def _folding(part: termparts.Part, first: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in termparts.gathered(batches, "terms"):
+            n, kind = batch.num_rows, part.names.type
+            state = classparts._empty(n, 1, kind) if first else classparts._read(batch, 1)
+            done = []
+            for some, z in _scores(batch, part):
+                now = {k: v[some] if isinstance(v, np.ndarray) else v.slice(some.start, some.stop - some.start) for k, v in state.items()}
+                done.append(classparts._merged(now, z, part.names, np.full(len(z), -1), (1.0,)))
+            merged = classparts._joined(done, kind, 1)
+            own = [c for c in batch.schema.names if c == "__length" or not c.startswith("__")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in own), *classparts._wire(merged)], [*own, *[f.name for f in classparts._state_type(T.LongType())]])
+
+    return run
+
+
+def _spelling(part: termparts.Part, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in termparts.gathered(batches, "terms"):
+            top, mass = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__top", "__mass"))
+            for some, z in _scores(batch, part):
+                rows, classes = z.shape
+                share = np.exp(z - top[some, None]) / mass[some, None]
+                keys = batch.column(key).slice(some.start, rows).take(pa.array(np.repeat(np.arange(rows), classes)))
+                names = part.names.take(pa.array(np.tile(np.arange(classes), rows)))
+                yield pa.RecordBatch.from_arrays([keys, names, pa.array(z.ravel()), pa.array(share.ravel())], [key, "class", "score", "probability"])
+
+    return run

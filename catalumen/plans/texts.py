@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.functions import jsontext, text
+from catalumen.functions import jsontext, text, vectors
 from catalumen.operators import audit, metrics, normalise, profile, textmodel
 from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table, text_table
 from catalumen.session import cut_lineage
@@ -219,14 +219,14 @@ def tokens_for(variant: str):
 
 
 def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
-    """Texts are tokenised once; vocabulary and weights both start from the written counts."""
+    """Texts are tokenised once; vocabulary and weights both start from the written rows, which stay whole."""
     options = TFIDF_VARIANTS[variant]
     docs = text_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
-    counts = cut_lineage(textmodel.term_counts(docs, "doc_id", tokens_for(variant), options["bigrams"], ["split"]))
-    terms = cut_lineage(textmodel.vocabulary(
-        counts.filter(F.col("split") == "train"), options["min_df"], options["cap"]))
-    n_docs = docs.filter(F.col("split") == "train").agg(F.count(F.lit(1))).scalar()
-    return textmodel.tfidf(counts.drop("split"), "doc_id", terms, n_docs, options["sublinear"])
+    rows = cut_lineage(textmodel.sparse_rows(docs, "doc_id", tokens_for(variant), options["bigrams"], ["split"]), "sparse-rows")
+    train = rows.filter(F.col("split") == "train")
+    terms = cut_lineage(textmodel.vocabulary(textmodel.exploded(train), options["min_df"], options["cap"]))
+    n_docs = train.agg(F.count(F.lit(1))).scalar()
+    return textmodel.tfidf_rows(rows.select("doc_id", "terms"), terms, n_docs, options["sublinear"])
 
 
 def _register_tfidf(variant: str) -> None:
@@ -236,8 +236,9 @@ SELECT doc_id, count(*) AS n_features, round(sum(w), 6) AS weight_sum, round(max
 
     @query(variant, sql)
     def run(spark, sf_dir):
-        return tfidf_weights(spark, sf_dir, variant).groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("n_features"), r6(F.sum("weight"), "weight_sum"), r6(F.max("weight"), "max_weight"))
+        weights = F.transform("terms", lambda t: t["weight"])
+        return tfidf_weights(spark, sf_dir, variant).filter(F.size("terms") > 0).select(
+            "doc_id", F.size("terms").cast("long").alias("n_features"), r6(vectors.total(weights), "weight_sum"), r6(F.array_max(weights), "max_weight"))
 
 
 for _variant in TFIDF_VARIANTS:
@@ -275,24 +276,22 @@ sc AS (SELECT b.{key}, b.cls, b.s + coalesce(g.s, 0) AS score FROM base b LEFT J
 
 
 def nb_model(spark: SparkSession, sf_dir: str):
-    """Labels, written term counts of the labelled documents, vocabulary and fitted model."""
+    """Labels, written sparse rows of the labelled documents, and the fitted model."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumn("split", split_of("doc_id"))
     docs = text_table(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
-    counts = cut_lineage(textmodel.term_counts(
-        docs, "doc_id", text.word_tokens(F.col("text")), keep=["split", "quality"]))
-    train_counts = counts.filter(F.col("split") == "train")
+    rows = cut_lineage(textmodel.sparse_rows(
+        docs, "doc_id", text.word_tokens(F.col("text")), keep=["split", "quality"]), "sparse-rows")
+    train_counts = textmodel.exploded(rows.filter(F.col("split") == "train"))
     terms = cut_lineage(textmodel.vocabulary(train_counts, 2))
     classes, weights = textmodel.fit_naive_bayes(
         train_counts, terms, labels.filter(F.col("split") == "train"), "quality")
-    return labels, counts.drop("quality"), terms, classes, weights
+    return labels, rows, textmodel.NaiveBayes(terms, classes, weights)
 
 
 def nb_predictions(spark, sf_dir) -> DataFrame:
-    labels, counts, terms, classes, weights = nb_model(spark, sf_dir)
-    held_out = labels.filter(F.col("split") != "train")
-    target_counts = counts.filter(F.col("split") != "train").drop("split")
-    best = textmodel.predict_naive_bayes(held_out, target_counts, "doc_id", terms, cut_lineage(classes), weights)
-    return held_out.join(best, "doc_id")
+    _, rows, model = nb_model(spark, sf_dir)
+    held_out = rows.filter(F.col("split") != "train")
+    return held_out.select("doc_id", "split", "quality").join(model.predict(held_out, "doc_id"), "doc_id")
 
 
 @query("nb_text", f"""WITH {SQL_NB}, held AS (SELECT doc_id FROM lab JOIN documents USING (doc_id) WHERE split <> 'train'),
@@ -325,11 +324,9 @@ e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY item_id)) AS e FROM sc
 SELECT item_id, cls AS class, round(e / sum(e) OVER (PARTITION BY item_id), 6) AS probability FROM e""")
 def nb_transfer(spark, sf_dir):
     """The model of one table scores the records of another; the vectors are features there."""
-    _, _, terms, classes, weights = nb_model(spark, sf_dir)
-    targets = table(spark, sf_dir, "benchmark", "item_id", "text")
-    counts = textmodel.term_counts(targets, "item_id", text.word_tokens(F.col("text")))
-    scores = textmodel.score_naive_bayes(targets, counts, "item_id", terms, classes, weights)
-    return textmodel.probabilities(scores, "item_id").select("item_id", "class", r6("probability"))
+    _, _, model = nb_model(spark, sf_dir)
+    rows = textmodel.sparse_rows(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", text.word_tokens(F.col("text")))
+    return model.scores(rows, "item_id").select("item_id", "class", r6("probability"))
 
 
 # JSON of unknown shape, built from each conversation turn.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalumen.functions import text
-from catalumen.operators import audit, images, textmodel
+from catalumen.operators import audit, images, termparts, textmodel
 
 
 def test_duplicates_count_both_ways_with_null_keys(spark):
@@ -124,10 +124,13 @@ def grams(t, bigrams):
 @pytest.mark.parametrize("bigrams, sublinear, min_df, cap", [(True, True, 2, None), (False, False, 1, None), (True, True, 1, 4)])
 def test_tfidf_matches_brute_force(spark, bigrams, sublinear, min_df, cap):
     df = spark.createDataFrame(DOCS, "id int, t string")
-    counts = textmodel.term_counts(df, "id", text.space_tokens(F.col("t")), bigrams)
-    train = counts.filter(F.col("id") < 4)
-    terms = textmodel.vocabulary(train, min_df, cap)
-    got = {(r["id"], r["term"]): r["weight"] for r in textmodel.tfidf(counts, "id", terms, F.lit(4), sublinear).collect()}
+    rows = textmodel.sparse_rows(df, "id", text.space_tokens(F.col("t")), bigrams)
+    terms = textmodel.vocabulary(textmodel.exploded(rows.filter(F.col("id") < 4)), min_df, cap)
+    got = {(r["id"], r["term"]): r["weight"] for r in textmodel.tfidf(rows, "id", terms, F.lit(4), sublinear).collect()}
+    idf = textmodel.idf_table(terms, F.lit(4))
+    parts = termparts.weigh(rows, idf, "idf", sublinear, per_part=2)
+    assert {(r["id"], r["term"]): r["weight"] for r in textmodel.exploded(parts).collect()} == pytest.approx(got)
+    assert parts.count() == 5
     df_count, total = Counter(), Counter()
     for i, t in DOCS[:4]:
         total.update(grams(t, bigrams))
@@ -152,8 +155,9 @@ def test_naive_bayes_matches_brute_force(spark):
     terms = textmodel.vocabulary(counts, 2)
     classes, weights = textmodel.fit_naive_bayes(counts, terms, rows, "label")
     targets = spark.createDataFrame([(10, "red red unseen"), (11, "green blue"), (12, "nothing known"), (13, "")], "id int, t string")
-    target_counts = textmodel.term_counts(targets, "id", text.space_tokens(F.col("t")))
-    scores = textmodel.score_naive_bayes(targets, target_counts, "id", terms, classes, weights)
+    target_rows = textmodel.sparse_rows(targets, "id", text.space_tokens(F.col("t")))
+    model = textmodel.NaiveBayes(terms, classes, weights)
+    scores = model.scores(target_rows, "id")
     got = {(r["id"], r["class"]): r["score"] for r in scores.collect()}
 
     vocab = {t for t, n in Counter(t for _, d in DOCS for t in set(d.split())).items() if n >= 2}
@@ -164,11 +168,11 @@ def test_naive_bayes_matches_brute_force(spark):
             for w in t.split():
                 if w in vocab:
                     score += math.log((mine.count(w) + 1) / (len(mine) + len(vocab)))
-            assert math.isclose(got[(i, c)], score, rel_tol=1e-12), (i, c)
+            assert math.isclose(got[(i, c)], score, rel_tol=1e-9), (i, c)
     assert len(got) == 12
-    best = {r["id"]: r["pred"] for r in textmodel.predict(scores, "id").collect()}
+    best = {r["id"]: r["pred"] for r in model.predict(target_rows, "id").collect()}
     assert best[10] == "a" and best[13] == "a"
-    total = textmodel.probabilities(scores, "id").groupBy("id").agg(F.sum("probability").alias("s")).collect()
+    total = scores.groupBy("id").agg(F.sum("probability").alias("s")).collect()
     assert all(math.isclose(r["s"], 1.0) for r in total)
 
 
@@ -178,12 +182,34 @@ def test_naive_bayes_prediction_for_many_classes(spark):
     rng = random.Random(4)
     rows = [(i, f"c{rng.randrange(300):03d}", " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(0, 9)))) for i in range(900)]
     docs = spark.createDataFrame(rows, "id long, cls string, text string").cache()
-    counts = textmodel.term_counts(docs, "id", F.split("text", " "), keep=["cls"]).filter("term <> ''")
+    rows = textmodel.sparse_rows(docs, "id", F.array_remove(F.split("text", " "), ""), keep=["cls"]).cache()
+    counts = textmodel.exploded(rows)
     terms = textmodel.vocabulary(counts, 2)
     classes, weights = textmodel.fit_naive_bayes(counts, terms, docs, "cls")
-    target = counts.drop("cls")
-    best = {r["id"]: (r["pred"], round(r["score"], 9)) for r in
-            textmodel.predict_naive_bayes(docs, target, "id", terms, classes.cache(), weights).collect()}
-    every = textmodel.score_naive_bayes(docs, target, "id", terms, classes, weights).withColumn("score", F.round("score", 9))
-    want = {r["id"]: (r["pred"], round(r["score"], 9)) for r in textmodel.predict(every, "id").collect()}
-    assert best == want and len(best) == 900
+    whole, parts = textmodel.NaiveBayes(terms, classes, weights), textmodel.NaiveBayes(terms, classes, weights, per_part=50)
+    assert len(whole.parts) == 1 and len(parts.parts) > 20
+    got = {r["id"]: (r["pred"], round(r["score"], 9)) for r in whole.predict(rows, "id").collect()}
+    assert got == {r["id"]: (r["pred"], round(r["score"], 9)) for r in parts.predict(rows, "id").collect()}
+    every = parts.scores(rows, "id").collect()
+    want = {}
+    for r in every:
+        want[r["id"]] = min(want.get(r["id"], (1e9,)), (-r["score"], r["class"]))
+    assert got == {i: (c, round(-z, 9)) for i, (z, c) in want.items()} and len(got) == 900
+    # Model parts meet the records where they lie.
+    assert "Exchange" not in whole.fold(rows.select("id", "terms"))._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 100, 101, 400])
+def test_vocabulary_cap_keeps_the_most_frequent(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(textmodel, "HISTOGRAM", 8)
+    rng = random.Random(most)
+    rows = [(f"{rng.choice(['a', 'é', 'zz', ''])}{i}", rng.choice([1, 1, 1, 2, 2, 3, 50, 51, 900, 10**7])) for i in range(300)]
+    df = spark.createDataFrame(rows, "term string, total_tf long").repartition(3)
+    want = sorted(rows, key=lambda r: (-r[1], r[0].encode()))[:most]
+    kept = textmodel.most_frequent(df, "total_tf", "term", most)
+    assert sorted(map(tuple, kept.collect())) == sorted(want)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert textmodel.most_frequent(df.limit(0), "total_tf", "term", most).count() == 0
