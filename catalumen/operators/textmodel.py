@@ -55,9 +55,10 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None)
 
 def most_frequent(rows: DataFrame, count: str, name: str, most: int) -> DataFrame:
     """The ``most`` rows with the highest whole number ``count``, ties by ``name``, which is unique; no global sort."""
-    low, high, above = 0, rows.agg(F.max(count)).first()[0], 0
-    if high is None or rows.count() <= most:
+    seen = rows.agg(F.min(count).alias("low"), F.max(count).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if seen["n"] <= most:
         return rows
+    low, high, above = seen["low"], seen["high"], 0
     # The number that the last row kept has lies in [low, high]; ``above`` rows have more than ``high``.
     while low < high:
         width = max(1, -(-(high - low + 1) // HISTOGRAM))
