@@ -82,6 +82,13 @@ def permute_column(df: DataFrame, key: str, column: str, seed: str) -> DataFrame
     return targets.join(donors, "__rank").drop("__rank")
 
 
+def permutation_report(permuted: DataFrame, key: str, donor: str) -> DataFrame:
+    """``(records, distinct_sources, complete, unmoved)``: a control must use every record once and leave few in place."""
+    used = permuted.groupBy(donor).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key) == F.col(donor)).alias("own"))
+    return used.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("distinct_sources"),
+                    (F.coalesce(F.max("n"), F.lit(1)) == 1).alias("complete"), F.coalesce(F.sum("own"), F.lit(0)).alias("unmoved"))
+
+
 def file_order_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Dense row number in file order, counting the rows that are in ``df`` and no others.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +37,31 @@ def build_session(app: str = "catalumen", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A session without that setting uses a folder below ``spark.sql.warehouse.dir``,
-    which every session has and a cluster shares.
+    A session without that setting uses a folder below ``spark.sql.warehouse.dir``
+    if that is in a shared store, or if driver and executors are one machine.
+    Otherwise it stops: executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
-        root = context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        root = context.getCheckpointDir()
+    if root is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        scheme = urlparse(warehouse).scheme or urlparse(context._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:/").scheme
+        refuse_local_folder(scheme, context.master)
+        root = warehouse + "/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
+def refuse_local_folder(scheme: str, master: str) -> None:
+    """Only ``local[...]`` runs all tasks where a ``file:`` folder of the driver is."""
+    if scheme == "file" and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; "
+                           "spark.sql.warehouse.dir is on the driver's own disk")
+
+
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and go on from the written table.
 

@@ -30,6 +30,20 @@ def bundle_problems(bundle: DataFrame, key: str, arrays: dict[str, int]) -> Data
     return found.unionByName(repeated)
 
 
+def matrix_report(bundle: DataFrame, key: str, arrays: dict[str, int], split: str, expected: dict[str, int]) -> DataFrame:
+    """``(check, observed, expected, passed)`` of a stored matrix: rows of each split, faulty arrays, repeated and shared ids."""
+    counts = bundle.agg(*[F.count_if(F.col(split) == name).alias(f"rows:{name}") for name in expected])
+    faults = bundle_problems(bundle, key, arrays)
+    seen = bundle.groupBy(key).agg(F.count_distinct(split).alias("splits")).agg(F.count_if(F.col("splits") > 1).alias("n"))
+    rows = counts.select(F.explode(F.array(*[F.struct(
+        F.lit(f"rows:{name}").alias("check"), F.col(f"rows:{name}").alias("observed"), F.lit(n).cast("long").alias("expected"))
+        for name, n in expected.items()])).alias("r")).select("r.*")
+    # One row for each kind of fault.
+    bad = faults.select(F.concat_ws(":", "array", "problem").alias("check"), F.col("n").alias("observed"), F.lit(0).cast("long").alias("expected"))
+    shared = seen.select(F.lit("ids_in_two_splits").alias("check"), F.col("n").alias("observed"), F.lit(0).cast("long").alias("expected"))
+    return rows.unionByName(bad).unionByName(shared).withColumn("passed", F.col("observed") == F.col("expected"))
+
+
 def read_curve(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
     """A small curve written as CSV; the row count must match when it is given."""
     frame = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
