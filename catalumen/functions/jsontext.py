@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -189,3 +189,13 @@ def is_present(variant: Column, empty_text_counts: bool) -> Column:
     text_present = F.when(kind == "string", F.trim(F.try_variant_get(variant, "$", "string")) != "").when(
         kind == "dict", F.schema_of_variant(variant) != "OBJECT<>").otherwise(True)
     return F.coalesce(listing & text_present, F.lit(False))
+
+
+def structure_block(variant: Column, fields: Sequence[str], empty_text_counts: bool = True) -> Column:
+    """``{field_presence: map, field_types: map}`` of named fields of a JSON object; a field that is not there is ``missing``."""
+    values = {f: F.try_variant_get(variant, f"$['{f}']", "variant") for f in fields}
+    names = F.array(*[F.lit(f) for f in fields])
+    kind = listing_value_kind if empty_text_counts else value_kind
+    return F.struct(
+        F.map_from_arrays(names, F.array(*[is_present(v, empty_text_counts) for v in values.values()])).alias("field_presence"),
+        F.map_from_arrays(names, F.array(*[F.coalesce(kind(v), F.lit("missing")) for v in values.values()])).alias("field_types"))

@@ -67,6 +67,21 @@ def path_prefixes(nodes: Column) -> Column:
     )
 
 
+def common_depth(a: Column, b: Column) -> Column:
+    """Depth of the deepest common ancestor of two paths: their equal nodes from the root on; zero if one is missing."""
+    left, right = F.split(a, PATH_SEPARATOR), F.split(b, PATH_SEPARATOR)
+    shorter = F.least(F.size(left), F.size(right))
+    same = F.zip_with(F.slice(left, F.lit(1), shorter), F.slice(right, F.lit(1), shorter), lambda x, y: x == y)
+    first_other = F.array_position(same, F.lit(False))
+    depth = F.when(first_other > 0, first_other - 1).otherwise(shorter)
+    return F.when(a.isNotNull() & b.isNotNull(), depth).otherwise(0).cast("int")
+
+
+def tree_distance(a: Column, b: Column) -> Column:
+    """Steps from one node up to the deepest common ancestor and down to the other."""
+    return (F.size(F.split(a, PATH_SEPARATOR)) + F.size(F.split(b, PATH_SEPARATOR)) - 2 * common_depth(a, b)).cast("int")
+
+
 def relative_path(path: Column) -> Column:
     """Forward slashes, no surrounding space; null when empty or leaving the root."""
     value = F.regexp_replace(strip_ends(path), r"\\", "/")

@@ -69,3 +69,24 @@ def level_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
         F.sum("n").alias("total"),
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("correct"),
     ).withColumn("accuracy", F.col("correct") / F.col("total"))
+
+
+def hierarchical_metrics(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+    """Precision, recall and F1 over the sets of a path's ancestors (itself included), and mean tree distance.
+
+    A missing prediction has no ancestors and no distance. Equal pairs are counted first.
+    """
+    by = by or []
+    pairs = df.filter(F.col(truth).isNotNull()).groupBy(*by, truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+    t, p = F.col(truth), F.col(predicted)
+    sizes = pairs.select(
+        *by, "n", paths.common_depth(t, p).alias("common"), F.size(F.split(t, paths.PATH_SEPARATOR)).alias("deep"),
+        F.when(p.isNotNull(), F.size(F.split(p, paths.PATH_SEPARATOR))).otherwise(0).alias("guessed"),
+        F.when(p.isNotNull(), paths.tree_distance(t, p)).alias("distance"))
+    n = F.col("n")
+    sums = sizes.groupBy(*by).agg(
+        F.sum("n").alias("records"), F.sum(n * F.col("common")).alias("c"), F.sum(n * F.col("deep")).alias("d"),
+        F.sum(n * F.col("guessed")).alias("g"), F.sum(n * F.col("distance")).alias("far"), F.sum(F.when(F.col("distance").isNotNull(), n)).alias("m"))
+    return sums.select(
+        *by, "records", F.try_divide("c", "g").alias("precision"), F.try_divide("c", "d").alias("recall"),
+        F.try_divide(2 * F.col("c"), F.col("g") + F.col("d")).alias("f1"), F.try_divide("far", "m").alias("mean_distance"))

@@ -255,6 +255,17 @@ op AS (SELECT o_orderkey, o_custkey, c_nationkey, n_regionkey, path, {sql_split(
        FROM orders JOIN cp ON o_custkey = c_custkey)"""
 
 
+def guessed_paths(spark, sf_dir) -> DataFrame:
+    """Orders with their true path and a guess that goes wrong at a level, by rule."""
+    case = F.col("o_orderkey") % 4
+    guess = (
+        F.when(case == 0, F.col("path"))
+        .when(case == 1, F.concat_ws(">", "n_regionkey", "c_nationkey", (F.col("o_custkey") + 1).cast("string")))
+        .when(case == 2, F.concat_ws(">", "n_regionkey", (F.col("c_nationkey") + 1).cast("string"), "o_custkey"))
+        .otherwise(F.concat_ws(">", (F.col("n_regionkey") + 1).cast("string"), "c_nationkey")))
+    return order_paths(spark, sf_dir).select("o_orderkey", "split", "path", guess.alias("guess"))
+
+
 @query("level_accuracy", f"""WITH {SQL_ORDER_PATHS},
 g AS (SELECT string_split(path, '>') AS t, string_split(CASE o_orderkey % 4 WHEN 0 THEN path
         WHEN 1 THEN n_regionkey || '>' || c_nationkey || '>' || (c_custkey_next)
@@ -265,16 +276,25 @@ l AS (SELECT i AS level, t[i] = p[i] AS hit FROM g, (SELECT unnest([1, 2, 3]) AS
 SELECT level::INTEGER AS level, count(*) AS total, count(*) FILTER (hit) AS correct, round(count(*) FILTER (hit) / count(*), 6) AS accuracy
 FROM l GROUP BY level""")
 def level_accuracy(spark, sf_dir):
-    case = F.col("o_orderkey") % 4
-    guess = (
-        F.when(case == 0, F.col("path"))
-        .when(case == 1, F.concat_ws(">", "n_regionkey", "c_nationkey", (F.col("o_custkey") + 1).cast("string")))
-        .when(case == 2, F.concat_ws(">", "n_regionkey", (F.col("c_nationkey") + 1).cast("string"), "o_custkey"))
-        .otherwise(F.concat_ws(">", (F.col("n_regionkey") + 1).cast("string"), "c_nationkey")))
-    rows = order_paths(spark, sf_dir).select("path", guess.alias("guess"))
+    rows = guessed_paths(spark, sf_dir)
     return taxonomy.level_accuracy(rows, "path", "guess").select("level", "total", "correct", r6("accuracy"))
 
 
+@query("hierarchical_f1", f"""WITH {SQL_ORDER_PATHS},
+g AS (SELECT split, string_split(path, '>') AS t, CASE WHEN o_orderkey % 12 <> 5 THEN string_split(CASE o_orderkey % 4 WHEN 0 THEN path
+        WHEN 1 THEN n_regionkey || '>' || c_nationkey || '>' || (o_custkey + 1) WHEN 2 THEN n_regionkey || '>' || (c_nationkey + 1) || '>' || o_custkey
+        ELSE (n_regionkey + 1) || '>' || c_nationkey END, '>') END AS p FROM op),
+s AS (SELECT split, len(t) AS d, coalesce(len(p), 0) AS g, p IS NOT NULL AS known,
+        CASE WHEN p IS NULL OR t[1] <> p[1] THEN 0 WHEN t[2] <> p[2] OR len(p) < 2 THEN 1 WHEN len(p) < 3 OR t[3] <> p[3] THEN 2 ELSE 3 END AS c FROM g)
+SELECT split, count(*) AS records, round(sum(c) / sum(g), 6) AS precision, round(sum(c) / sum(d), 6) AS recall, round(2 * sum(c) / (sum(g) + sum(d)), 6) AS f1,
+  round(avg(d + g - 2 * c) FILTER (known), 6) AS mean_distance FROM s GROUP BY split""")
+def hierarchical_f1(spark, sf_dir):
+    """Ancestor sets and tree distance of guesses, some of which are missing."""
+    rows = guessed_paths(spark, sf_dir).withColumn("guess", F.when(F.col("o_orderkey") % 12 != 5, F.col("guess")))
+    found = taxonomy.hierarchical_metrics(rows, "path", "guess", ["split"])
+    return found.select("split", "records", *[r6(c) for c in ("precision", "recall", "f1", "mean_distance")])
+
+
 @query("unseen_children", f"""WITH {SQL_ORDER_PATHS},
 e AS (SELECT split, n_regionkey::VARCHAR AS parent, c_nationkey::VARCHAR AS child FROM op UNION
       SELECT split, c_nationkey::VARCHAR, o_custkey::VARCHAR FROM op),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import bins, identity, vectors
-from catalumen.operators import calibration, classparts, metrics, profile, prototypes, selective
+from catalumen.operators import areas, calibration, classparts, metrics, profile, prototypes, selective
 from catalumen.operators.classparts import ModelParts
 from catalumen.operators.prototypes import PrototypeModel
 from catalumen.operators.ranking import rank_by_number
@@ -661,3 +661,19 @@ def score_recheck(spark, sf_dir):
     gap = F.array_max(F.zip_with("stored", "probabilities", lambda a, b: F.abs(a - b)))
     return again.join(stored, "vec_id").agg(
         F.count(F.lit(1)).alias("rechecked"), F.count_if(gap > 1e-9).alias("differing"))
+
+
+@query("ranking_areas", f"""WITH {SQL_BASE},
+k AS (SELECT 'confidence' AS signal, conf AS s, correct AS y FROM scored UNION ALL SELECT 'coarse_margin', round(conf - p2, 1), correct FROM scored),
+c AS (SELECT signal, s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM k GROUP BY signal, s),
+r AS (SELECT *, sum(p) OVER w AS pt, sum(n) OVER w AS nt FROM c WINDOW w AS (PARTITION BY signal ORDER BY s DESC))
+SELECT signal, (sum(p) + sum(n))::BIGINT AS records, sum(p)::BIGINT AS positives, round(sum(n * (pt - p / 2)) / (sum(p) * sum(n)), 6) AS auroc,
+  round(sum(p * pt / (pt + nt)) / sum(p), 6) AS auprc, round(sum((p + n) * nt / (pt + nt)) / (sum(p) + sum(n)), 6) AS aurc FROM r GROUP BY signal""")
+def ranking_areas(spark, sf_dir):
+    """How well confidence, and a margin with many ties, rank the correct records above the wrong ones."""
+    rows = cut_lineage(scored(spark, sf_dir).select("conf", F.round(F.col("conf") - F.col("second"), 1).alias("coarse"), "correct"), "signals")
+    result = None
+    for name, column in (("confidence", "conf"), ("coarse_margin", "coarse")):
+        row = areas.ranking_areas(rows, column, "correct").withColumn("signal", F.lit(name))
+        result = row if result is None else result.unionByName(row)
+    return result.select("signal", "records", "positives", r6("auroc"), r6("auprc"), r6("aurc"))

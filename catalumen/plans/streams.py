@@ -94,3 +94,32 @@ def batch_score(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return scoring.batch_score(rows, make_model, "vec_id long, score double").select("vec_id", r6("score"))
+
+
+EVENT_FILES = 4
+
+
+@query("stream_restart", """
+SELECT user_id, count(*) AS records, count(*) FILTER (event_id % 50 = 0) AS malformed, round(sum(value), 2) AS total,
+  count(DISTINCT event_id % 4) AS batches FROM events GROUP BY user_id""")
+def stream_restart(spark, sf_dir):
+    """Totals over files of one batch each: two files, a stop, two more files and one that repeats earlier events."""
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "value", "props").withColumn(
+        "props", F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props")))
+    source, sink = scratch_path(spark, "stream-files"), scratch_path(spark, "stream-totals")
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = incremental.file_stream(spark, source, events.schema, files_per_batch=1)
+        incremental.run_to_end(incremental.running_totals(stream, "event_id", "user_id", "props", "value", sink))
+
+    for files in ((0, 1), (2, 3)):
+        for i in files:
+            arrive(events.filter(F.col("event_id") % EVENT_FILES == i))
+        run()
+    arrive(events.filter(F.col("event_id") % 3 == 0))
+    run()
+    return incremental.latest_totals(spark, sink).select(
+        F.col("group").alias("user_id"), "records", "malformed", F.round("total", 2).alias("total"), "batches")
