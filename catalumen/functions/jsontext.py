@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -128,27 +129,45 @@ def has_content(raw: Column) -> Column:
     return check(raw)
 
 
+# Names that need no quotes in a path.
+PLAIN_NAME = r"^[A-Za-z0-9_-]+$"
+
+
 @F.udtf(returnType="path string, value string")
 class JsonLeaves:
-    """One row per leaf of a JSON document: ``a.b[0].c`` and its value as text.
+    """One row per leaf of a JSON document: ``a.b[0].c`` and its value as text; for SQL, row by row.
 
-    Empty objects and lists have no leaf; a null leaf has a null value.
+    Other names than ``PLAIN_NAME`` are written ``['...']``. Empty objects and lists
+    have no leaf; a null leaf has a null value. A text that is not JSON
+    gives one row without a path, with the text as its value.
+    ``operators.jsonleaves`` does the same for a whole table inside the JVM.
     """
 
     def eval(self, raw: str):
         if raw is None:
             return
-        stack = [("", json.loads(raw))]
+        try:
+            stack = [("", json.loads(raw))]
+        except (ValueError, RecursionError):
+            yield None, raw
+            return
         while stack:
             path, node = stack.pop()
             if isinstance(node, dict):
-                stack.extend((f"{path}.{k}" if path else k, v) for k, v in reversed(node.items()))
+                stack.extend((_below(path, k), v) for k, v in reversed(node.items()))
             elif isinstance(node, list):
                 stack.extend((f"{path}[{i}]", node[i]) for i in range(len(node) - 1, -1, -1))
             else:
                 yield path, node if node is None or isinstance(node, str) else json.dumps(node)
 
 
+def _below(path: str, name: str) -> str:
+    if not re.match(PLAIN_NAME, name):
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        return f"{path}['{quoted}']"
+    return f"{path}.{name}" if path else name
+
+
 def register(spark: SparkSession) -> None:
     """Make ``json_leaves(doc)`` callable from SQL, as a lateral join."""
     spark.udtf.register("json_leaves", JsonLeaves)

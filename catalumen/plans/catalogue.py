@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import identity, jsontext, labels, paths, text
-from catalumen.operators import audit, components, images, metrics, profile, ranking, taxonomy
+from catalumen.operators import audit, components, images, jsonleaves, metrics, profile, ranking, taxonomy
 from catalumen.operators.joins import assert_one_to_one, join_spread, lookup
 from catalumen.plans.base import query, r6, split_of, sql_bucket, sql_split, table
 from catalumen.session import cut_lineage
@@ -1077,7 +1077,29 @@ UNION ALL SELECT event_id, 'type', CASE WHEN c = 2 THEN event_type ELSE '' END F
 UNION ALL SELECT event_id, 'nested.x.y', 'true' FROM e WHERE c = 3""")
 def json_leaves(spark, sf_dir):
     docs = event_objects(spark, sf_dir).filter(F.json_object_keys("raw").isNotNull())
-    return docs.lateralJoin(jsontext.JsonLeaves(F.col("raw").outer())).select("event_id", "path", "value")
+    return jsonleaves.json_leaves(docs, "raw", ["event_id"])
+
+
+@query("json_leaves_any", r"""
+WITH t AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 4 AS c FROM conversations)
+SELECT conv_id, turn, 'a[''b.' || role || ''']' || CASE c WHEN 0 THEN '[1]' WHEN 1 THEN '.x[''it\''s'']' ELSE '' END AS path,
+  sha256(CASE WHEN c = 2 THEN 'true' ELSE text END) AS value_sha FROM t WHERE c < 3
+UNION ALL SELECT conv_id, turn, 'a[''b.' || role || '''][0]', sha256(turn::VARCHAR) FROM t WHERE c = 0
+UNION ALL SELECT conv_id, turn, 'n', NULL FROM t WHERE c < 3
+UNION ALL SELECT conv_id, turn, NULL, sha256('{broken ' || turn) FROM t WHERE c = 3""")
+def json_leaves_any(spark, sf_dir):
+    """Names with dots and quotes, lists, nulls and lines that are broken."""
+    case = (F.col("conv_id") + F.col("turn")) % 4
+
+    def doc(inner):
+        fields = F.struct(F.create_map(F.concat(F.lit("b."), "role"), inner).alias("a"), F.lit(None).cast("string").alias("n"))
+        return F.to_json(fields, {"ignoreNullFields": "false"})
+
+    raw = (F.when(case == 0, doc(F.array(F.col("turn").cast("string"), F.col("text"))))
+           .when(case == 1, doc(F.struct(F.struct(F.col("text").alias("it's")).alias("x"))))
+           .when(case == 2, doc(F.lit(True))).otherwise(F.concat(F.lit("{broken "), F.col("turn").cast("string"))))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    return jsonleaves.json_leaves(rows, "raw", ["conv_id", "turn"]).select("conv_id", "turn", "path", F.sha2("value", 256).alias("value_sha"))
 
 
 @query("report_gate", """
@@ -1093,7 +1115,7 @@ def report_gate(spark, sf_dir):
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("l_linestatus") == "O").alias("open")).select(
         F.to_json(F.struct(F.lit("PASS").alias("status"), F.lit("v001").alias("version"),
                            F.struct("records", "open").alias("counts"))).alias("doc"))
-    leaves = report.lateralJoin(jsontext.JsonLeaves(F.col("doc").outer())).select("path", "value")
+    leaves = jsonleaves.json_leaves(report, "doc", [])
     total = lines.agg(F.count(F.lit(1)).cast("string").alias("n"))
     fixed = spark.createDataFrame(
         [("status", "PASS"), ("version", "v002"), ("counts.closed", "0")], "path string, expected string")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalumen.functions import jsontext, labels, paths
-from catalumen.operators import taxonomy
+from catalumen.operators import jsonleaves, taxonomy
 
 STRICT = [
     ('[{"value": " X "}]', "X", "list_dict_value"),
@@ -153,6 +153,23 @@ def test_json_leaves_as_lateral_join(spark):
     assert got["item_name[1].value"] == "c"
 
 
+def test_json_leaves_level_by_level(spark):
+    docs = [json.dumps(DOC), '{"a":{"b.c":[1,2.5,{"d":null}],"it\'s":true},"f":{},"g":[],"":"x"}', "{broken", '{"a":1} more', "[[],[0]]", '"s"', None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, raw string").repartition(2)
+    got = {}
+    for r in jsonleaves.json_leaves(df, "raw", ["id"]).collect():
+        got.setdefault(r["id"], {})[r["path"]] = r["value"]
+    assert got[1] == {"a['b.c'][0]": "1", "a['b.c'][1]": "2.5", "a['b.c'][2].d": None, "a['it\\'s']": "true", "['']": "x"}
+    assert got[2] == {None: "{broken"} and got[3] == {None: '{"a":1} more'} and got[4] == {"[1][0]": "0"} and got[5] == {"": "s"} and 6 not in got
+    # The table function for SQL agrees, also on a broken line.
+    jsontext.register(spark)
+    df.filter("id <> 3").createOrReplaceTempView("leafy")
+    rows = spark.sql("SELECT id, path, value FROM leafy, LATERAL json_leaves(raw)").collect()
+    want = {i: v for i, v in got.items() if i != 3}
+    assert {i: {r["path"]: r["value"] for r in rows if r["id"] == i} for i in want} == want
+    assert jsonleaves.json_leaves(df.limit(0), "raw", ["id"]).count() == 0
+
+
 def test_presence_rules_differ_on_empty_values(spark):
     doc = '{"a":"","b":[],"c":{},"d":null,"e":[1],"f":" x","g":false,"h":0}'
     df = spark.createDataFrame([(doc,)], "raw string").select(F.parse_json("raw").alias("d"))
