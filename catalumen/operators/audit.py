@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalumen.functions.jsontext import object_keys
 from catalumen.operators.joins import broadcast_if_small, lookup
+from catalumen.operators.ranking import rank_by_order
 
 
 def counters(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
@@ -64,19 +65,26 @@ def field_presence(df: DataFrame, raw: str) -> DataFrame:
 
 
 def stage_diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Per key: ``status`` (equal, changed, missing, extra) and the names of changed columns.
+    """Per key: ``status`` (equal, changed, missing, extra, repeated) and the names of changed columns.
 
     Null and absent compare as equal to themselves and different from any value.
+    A key that a side has more than once is ``repeated`` and gives one row, however
+    often it occurs; a null key is a key like any other. Both sides are
+    grouped together, so each record moves once and copies of a key meet map-side.
     """
-    a = before.select(F.col(key), F.lit(True).alias("__a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = after.select(F.col(key), F.lit(True).alias("__b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    record = F.struct(*[F.col(c) for c in columns])
+    a = before.select(F.col(key).alias("__key"), record.alias("__a"))
+    b = after.select(F.col(key).alias("__key"), record.alias("__b"))
+    sides = a.unionByName(b, allowMissingColumns=True).groupBy("__key").agg(
+        F.count("__a").alias("__na"), F.count("__b").alias("__nb"),
+        F.first("__a", ignorenulls=True).alias("__a"), F.first("__b", ignorenulls=True).alias("__b"))
     changed = F.array_compact(F.array(*[
-        F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.lit(c)) for c in columns]))
-    return a.join(b, key, "full_outer").select(
-        key,
-        F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "extra")
-        .when(F.size(changed) > 0, "changed").otherwise("equal").alias("status"),
-        F.when(F.col("__a") & F.col("__b"), changed).alias("changed_columns"))
+        F.when(~F.col("__a")[c].eqNullSafe(F.col("__b")[c]), F.lit(c)) for c in columns]))
+    status = (F.when((F.col("__na") > 1) | (F.col("__nb") > 1), "repeated").when(F.col("__nb") == 0, "missing")
+              .when(F.col("__na") == 0, "extra").when(F.size(changed) > 0, "changed").otherwise("equal"))
+    return sides.select(
+        F.col("__key").alias(key), status.alias("status"),
+        F.when((F.col("__na") == 1) & (F.col("__nb") == 1), changed).alias("changed_columns"))
 
 
 def metric_drift(stored: DataFrame, recomputed: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -199,12 +207,9 @@ def admissibility(
 
 
 def class_table(train: DataFrame, label: str) -> DataFrame:
-    """``(class_id, label)``: class id is the 0-based rank of the sorted training label.
-
-    One row per class, so the global window sees classes, not records.
-    """
+    """``(class_id, label)``: class id is the 0-based rank of the sorted training label, counted range by range."""
     seen = train.select(F.col(label).alias("label")).filter(F.col("label").isNotNull()).distinct()
-    return seen.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("class_id"))
+    return rank_by_order(seen, "label", "class_id").select("label", F.col("class_id").cast("int").alias("class_id"))
 
 
 def encode_labels(records: DataFrame, label: str, classes: DataFrame) -> DataFrame:

@@ -74,16 +74,16 @@ def lookup(
 
 
 def assert_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key`` that fails at run time on a duplicate or unmatched key."""
-    a = left.withColumn("__l", F.lit(1))
-    b = right.withColumn("__r", F.lit(1))
-    joined = a.join(b, key, "full_outer")
-    per_key = joined.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), F.max("__l").alias("__has_l"), F.max("__r").alias("__has_r"))
-    bad = per_key.filter((F.col("__n") > 1) | F.col("__has_l").isNull() | F.col("__has_r").isNull())
-    verdict = bad.agg(F.count(F.lit(1)).alias("__bad")).scalar()
-    return joined.filter(
-        F.when(verdict == 0, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("keys that do not match one to one: "), verdict.cast("string")))
-            .cast("boolean"))
-    ).drop("__l", "__r")
+    """Inner join on ``key`` that fails at run time on a repeated, unmatched or null key.
+
+    Both sides are grouped by the key in one shuffle, and a key that is not
+    there exactly once on each side stops the job where it is found.
+    """
+    sides = [(left, "__l"), (right, "__r")]
+    rows = [df.select(F.col(key), F.struct(F.lit(1).alias("__one"), *[F.col(c) for c in df.columns if c != key]).alias(name)) for df, name in sides]
+    grouped = rows[0].unionByName(rows[1], allowMissingColumns=True).groupBy(key).agg(
+        *[F.count(n).alias(f"{n}_n") for _, n in sides], *[F.first(n, ignorenulls=True).alias(n) for _, n in sides])
+    fits = F.col(key).isNotNull() & (F.col("__l_n") == 1) & (F.col("__r_n") == 1)
+    told = F.concat(F.lit("keys that do not match one to one, such as "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return grouped.filter(F.when(fits, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).select(
+        key, *[F.col(f"{name}.`{c}`").alias(c) for df, name in sides for c in df.columns if c != key])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalumen.operators.joins import lookup
+from catalumen.session import cut_lineage
 
 MIN_RANGES, MAX_RANGES = 64, 10_000
 
@@ -62,6 +63,12 @@ def rank_by_number(df: DataFrame, key: str, name: str = "row_index") -> DataFram
     return _numbered(ranged, "__range", [key], name)
 
 
+def rank_by_order(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
+    """Dense 0-based row number in the order of a unique key of any type: ranges are cut by Spark's sampler and written."""
+    ranged = cut_lineage(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranges")
+    return _numbered(ranged, "__range", [key], name)
+
+
 def rank_by_hash(df: DataFrame, key: str, seed: str, name: str = "row_index") -> DataFrame:
     """Dense 0-based row number in the order of SHA-256 over ``seed|key``."""
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)

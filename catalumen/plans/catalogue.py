@@ -231,6 +231,27 @@ def taxonomy_nodes(spark, sf_dir):
     return taxonomy.taxonomy_nodes(customer_paths(spark, sf_dir), "path")
 
 
+@query("stage_repeats", """
+WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 9 = 0),
+a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 1 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 7 <> 3
+  UNION ALL SELECT o_orderkey, 'Y' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 7 <> 3 UNION ALL SELECT -1 - o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 20),
+g AS (SELECT k, count(*) FILTER (b) AS nb, count(*) FILTER (NOT b) AS na, any_value(s) FILTER (b) AS sb, any_value(s) FILTER (NOT b) AS sa
+  FROM (SELECT *, true AS b FROM b UNION ALL SELECT *, false FROM a) GROUP BY k)
+SELECT CASE WHEN nb > 1 OR na > 1 THEN 'repeated' WHEN na = 0 THEN 'missing' WHEN nb = 0 THEN 'extra' WHEN sb <> sa THEN 'changed' ELSE 'equal' END AS status,
+  count(*) AS keys, sum(k)::BIGINT AS key_sum FROM g GROUP BY 1""")
+def stage_repeats(spark, sf_dir):
+    """Two stages of which each has keys more than once: such a key is one row with a status of its own."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    before = orders.unionByName(orders.filter(key % 9 == 0))
+    kept = orders.filter(key % 7 != 3)
+    after = kept.withColumn("o_orderstatus", F.when(key % 5 == 1, "X").otherwise(F.col("o_orderstatus"))).unionByName(
+        kept.filter(key % 11 == 0).withColumn("o_orderstatus", F.lit("Y"))).unionByName(
+        orders.filter(key < 20).withColumn("o_orderkey", -1 - key))
+    return audit.stage_diff(before, after, "o_orderkey", ["o_orderstatus"]).groupBy("status").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @query("taxonomy_checks", f"""WITH {SQL_NODES}
 SELECT count(*) AS nodes, 0::BIGINT AS parent_depth_mismatch, 0::BIGINT AS wrong_depth, count(*) FILTER (depth = 1) AS roots FROM nodes""")
 def taxonomy_checks(spark, sf_dir):

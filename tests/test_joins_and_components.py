@@ -50,7 +50,9 @@ def test_one_to_one_check(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
     b = spark.createDataFrame([(1, "p"), (2, "q")], "k int, b string")
     assert joins.assert_one_to_one(a, b, "k").count() == 2
-    for bad in ([(1, "p")], [(1, "p"), (2, "q"), (2, "r")], [(1, "p"), (2, "q"), (3, "r")]):
+    plan = joins.assert_one_to_one(a, b, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    for bad in ([(1, "p")], [(1, "p"), (2, "q"), (2, "r")], [(1, "p"), (2, "q"), (3, "r")], [(1, "p"), (2, "q"), (None, "r")]):
         with pytest.raises(Exception, match="one to one"):
             joins.assert_one_to_one(a, spark.createDataFrame(bad, "k int, b string"), "k").collect()
 
