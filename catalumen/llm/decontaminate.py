@@ -11,8 +11,10 @@ enough words and pairs of the window must occur in the items at all.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.llm.base import flat_bytes, query, row_slices, small_batches, table
-from catalumen.llm.hashing import BYTE_VALUES, U, mix, powers, randoms
+from catalumen.llm.hashing import U, mix, powers, randoms
 
 # An item is found at up to this share of its words as edits.
 TOLERANCE = 0.15
@@ -35,21 +37,64 @@ PART_WORDS = 60
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
 VOCABULARY_BITS = 23
+# A filter does not look for items of fewer words: a single word or a phrase stands in clean documents as well.
+LEAST_WORDS = 5
+
+
+class Letters(NamedTuple):
+    """What each code point is: 0 no part of a word, 1 a letter, digit or mark of a word, 2 a word by itself; and its value in lower case."""
+
+    kind: np.ndarray
+    value: np.ndarray
+
+
+# Scripts that write no blanks between words: Thai to Lao, Myanmar, Khmer, Kana, Han.
+ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+         (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x2FFFF))
+CODE_POINTS = 0x30000
+
+
+def letter_table() -> Letters:
+    """By Unicode category: letters, digits and marks make words, all else separates them; built once, it travels with the items."""
+    kind, fold = np.zeros(CODE_POINTS + 1, np.uint8), np.arange(CODE_POINTS + 1, dtype=U)
+    for c in range(CODE_POINTS):
+        text = chr(c)
+        if unicodedata.category(text)[0] in "LNM":
+            kind[c] = 1
+            small = text.lower()
+            if len(small) == 1:
+                fold[c] = ord(small)
+    for low, high in ALONE:
+        kind[low:high + 1] *= 2
+    # What lies behind the table is Han.
+    kind[CODE_POINTS] = 2
+    return Letters(kind, mix(fold + U(1)))
 
 
 class LetterRun:
-    """Words (runs of ASCII letters and digits and of bytes above them, in lower case) of texts in a row."""
+    """Words of texts in a row: runs of letters, digits and marks in lower case; in scripts without blanks each letter is a word.
+
+    ``start``, ``end`` and ``at`` (the texts' own starts) count code points.
+    """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        low = np.arange(256)
-        low[65:91] += 32
-        inner = (data >= 128) | ((data >= 48) & (data <= 57)) | (((data | 32) >= 97) & ((data | 32) <= 122))
+    def __init__(self, data: np.ndarray, at: np.ndarray, letters: Letters):
+        code = data
+        if len(data) and data.max() > 127:
+            try:
+                code = np.minimum(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), CODE_POINTS)
+                at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+            except UnicodeDecodeError:
+                # Not UTF-8: bytes are taken as they are.
+                pass
+        kind = letters.kind[code]
+        inner, alone = kind > 0, kind == 2
         first, last = inner.copy(), inner.copy()
-        first[1:] &= ~inner[:-1]
-        last[:-1] &= ~inner[1:]
-        edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
+        joined = inner[1:] & inner[:-1] & ~alone[1:] & ~alone[:-1]
+        first[1:] &= ~joined
+        last[:-1] &= ~joined
+        edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(code))]
         first[edges], last[edges - 1] = inner[edges], inner[edges - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.at, self.start, self.end = at, np.flatnonzero(first), np.flatnonzero(last) + 1
         self.upto = np.searchsorted(self.start, at)
         self.hash = np.zeros(0, U)
         if len(self.start):
@@ -57,10 +102,15 @@ class LetterRun:
             begin = np.concatenate([[0], np.cumsum(length)])[:-1]
             where = np.flatnonzero(inner)
             place = np.arange(len(where)) - np.repeat(begin, length)
-            terms = BYTE_VALUES[low[data[where]]] * powers(int(length.max()))[place]
+            terms = letters.value[code[where]] * powers(int(length.max()))[place]
             self.hash = mix(np.add.reduceat(terms, begin) + length.astype(U)) | U(1)
 
 
+def words_of(text: str, letters: Letters) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    return LetterRun(data, np.array([0, len(data)]), letters).hash
+
+
 def sizes(most: int) -> list[int]:
     out = [1]
     while out[-1] < most:
@@ -143,6 +193,7 @@ class Block:
     vocabulary: np.ndarray
     pairs: np.ndarray
     times: np.ndarray  # how often an item has the pair, at most
+    letters: Letters
 
 
 def pair_slots(words: np.ndarray) -> np.ndarray:
@@ -165,8 +216,8 @@ def repeats(slot: np.ndarray, good: np.ndarray, times: np.ndarray) -> tuple[np.n
     return order[some], order[back[some]]
 
 
-def block_of(items: list[tuple]) -> Block:
-    runs = [LetterRun(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hash for _, t in items]
+def block_of(items: list[tuple], letters: Letters) -> Block:
+    runs = [words_of(t, letters) for _, t in items]
     steps = sizes(max(map(len, runs), default=1))
     by_size: dict[int, list[int]] = {}
     parts = []
@@ -191,7 +242,7 @@ def block_of(items: list[tuple]) -> Block:
         found = walk_keys(flat, np.arange(len(own)) * size, size)
         order = found.argsort(1, kind="stable")
         keys[size] = [(found[w][o], np.array(own)[o]) for w, o in enumerate(order)]
-    return Block([i for i, _ in items], runs, parts, keys, vocabulary, pairs, most)
+    return Block([i for i, _ in items], runs, parts, keys, vocabulary, pairs, most, letters)
 
 
 def candidates(run: LetterRun, block: Block) -> set[tuple[int, int, int]]:
@@ -262,10 +313,12 @@ def matches(run: LetterRun, block: Block) -> Iterator[tuple[int, int, int, int,
             yield text, item, *best
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size; only one block at a time is held."""
+def item_blocks(benchmark: DataFrame, item: str, text: str, letters: Letters, least: int) -> Iterator[list[tuple]]:
+    """The items of at least ``least`` words in blocks of bounded size; only one block at a time is held."""
     block, size = [], 0
     for row in benchmark.filter(F.col(text).isNotNull()).select(item, text).toLocalIterator():
+        if len(words_of(row[1], letters)) < least:
+            continue
         block.append((row[0], row[1]))
         size += len(row[1])
         if len(block) == BLOCK_ITEMS or size >= BLOCK_BYTES:
@@ -275,14 +328,37 @@ def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tup
         yield block
 
 
+def short_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", least_words: int = LEAST_WORDS) -> list:
+    """Items that a search with this ``least_words`` leaves out."""
+    letters = letter_table()
+    return [r[0] for r in benchmark.select(item, text).toLocalIterator() if r[1] is None or len(words_of(r[1], letters)) < least_words]
+
+
+def sent_blocks(benchmark: DataFrame, item: str, text: str, least: int) -> Iterator:
+    """Each block of items as a broadcast of plain arrays, which executors without this package can read."""
+    letters = letter_table()
+    for items in item_blocks(benchmark, item, text, letters, max(1, least)):
+        block = block_of(items, letters)
+        plain = [getattr(block, f.name) for f in fields(Block)]
+        yield benchmark.sparkSession.sparkContext.broadcast((*plain[:-1], tuple(letters)))
+
+
+def received(sent) -> Block:
+    *parts, letters = sent.value
+    return Block(*parts, Letters(*letters))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-               item: str = "item_id", item_text: str = "text") -> DataFrame:
+               item: str = "item_id", item_text: str = "text", least_words: int = 1) -> DataFrame:
     """``(key, item, distance, start, end)``: the best place of each benchmark item in each document that has it.
 
     A document has an item if a run of its words is within ``TOLERANCE`` of the
-    item's words in edit distance; case, punctuation and blanks do not count.
-    ``start`` and ``end`` are code points. Null and empty texts, and items
-    without words, match nothing; null or repeated keys keep their rows. The
+    item's words in edit distance; case, punctuation and blanks of any script do not
+    count, and in scripts that write no blanks each letter is a word.
+    ``start`` and ``end`` are code points. Null and empty texts match nothing, nor do
+    items of fewer than ``least_words`` words (``short_items`` lists them; a search takes
+    all that have a word, a filter leaves items out that common phrases would match);
+    null or repeated keys keep their rows. The
     benchmark is the query set: its items pass over the documents in blocks of
     bounded size, so nothing is shuffled.
     """
@@ -290,27 +366,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     key_type, item_type = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"key {key_type}, item {item_type}, distance int, start long, end long"
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    context, found = docs.sparkSession.sparkContext, None
-    for items in item_blocks(benchmark, item, item_text):
-        sent = context.broadcast(block_of(items))
+    found = None
+    for sent in sent_blocks(benchmark, item, item_text, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
+            block = received(sent)
             of_item = pa.array(block.ids)
             for batch in batches:
                 for part in row_slices(batch, "text", 4 << 20):
-                    data, at = flat_bytes(part.column("text"))
-                    words = LetterRun(data, at)
+                    words = LetterRun(*flat_bytes(part.column("text")), block.letters)
                     got = list(matches(words, block))
                     if not got:
                         continue
                     texts, items, distance, first, last = map(np.array, zip(*got))
-                    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    base = point[at[texts]]
+                    base = words.at[texts]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("key").take(pa.array(texts)), of_item.take(pa.array(items)),
-                         pa.array(distance, pa.int32()), pa.array(point[words.start[first]] - base),
-                         pa.array(point[words.end[last - 1]] - base)], ["key", "item", "distance", "start", "end"])
+                        [part.column("key").take(pa.array(texts)), of_item.take(pa.array(items)), pa.array(distance, pa.int32()),
+                         pa.array(words.start[first] - base), pa.array(words.end[last - 1] - base)], ["key", "item", "distance", "start", "end"])
 
         own = rows.mapInArrow(run, schema)
         found = own if found is None else found.unionByName(own)
@@ -319,19 +391,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return found.withColumnsRenamed({"key": key, "item": item})
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no benchmark item is found."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text no benchmark item of ``least_words`` words or more is found."""
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     schema = docs.schema
-    for items in item_blocks(benchmark, "item_id", "text"):
-        sent = context.broadcast(block_of(items))
+    for sent in sent_blocks(benchmark, "item_id", "text", least_words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = received(sent)
             for batch in batches:
                 for part in row_slices(batch, text, 4 << 20):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[m[0] for m in matches(LetterRun(*flat_bytes(part.column(text))), sent.value)]] = False
+                    clean[[m[0] for m in matches(LetterRun(*flat_bytes(part.column(text)), block.letters), block)]] = False
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)

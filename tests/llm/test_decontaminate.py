@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import random
-import re
+import unicodedata
 
 import numpy as np
 import pytest
+import regex
 
 from catalumen.llm import decontaminate as D
 from catalumen.llm.base import table
 
 
+LETTERS = D.letter_table()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -100,9 +104,9 @@ def test_repeated_pairs_count_as_often_as_an_item_has_them(seed):
     # The windows that are walked against counting in each window.
     rng = np.random.default_rng(seed)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(8)]
-    block = D.block_of([(0, " ".join(rng.choice(list("abcd"), 20))), (1, "a b a b c a a a")])
+    block = D.block_of([(0, " ".join(rng.choice(list("abcd"), 20))), (1, "a b a b c a a a")], LETTERS)
     data = "".join(texts).encode()
-    run = D.LetterRun(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    run = D.LetterRun(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), LETTERS)
     slot, of = D.pair_slots(run.hash), np.repeat(np.arange(8), np.diff(run.upto))
     good = block.pairs[slot] & (of[1:] == of[:-1])
     again, since = D.repeats(slot, good, block.times)
@@ -122,7 +126,7 @@ def test_every_exact_passage_of_the_table_is_found(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in D.op4_decontamination(spark, d).collect()}
     assert want and want <= set(got)
     for (k, i), r in got.items():
-        a, b = (re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.lower()) for t in (items[i], docs[k][r["start"]:r["end"]]))
+        a, b = (regex.findall(r"[\p{L}\p{N}\p{M}]+", t.lower()) for t in (items[i], docs[k][r["start"]:r["end"]]))
         assert distance(a, b) == r["distance"] <= D.TOLERANCE * len(a)
 
 
@@ -135,4 +139,59 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in D.find_leaks(left, right).collect()), key=str)
     assert got == sorted([(3, 1, 0, 600_000, 600_033), (3, 5, 0, 600_000, 600_033), (None, 4, 0, 0, 5)], key=str)
     assert D.find_leaks(left, right.limit(0)).count() == 0 and D.find_leaks(left.limit(0), right).count() == 0
-    assert sorted(r["doc_id"] for r in D.drop_leaks(left, right).collect()) == [1, 2, 7, 8, 8]
+    # A filter does not look for single words unless it is told to.
+    assert sorted(str(r["doc_id"]) for r in D.drop_leaks(left, right).collect()) == ["1", "2", "7", "8", "8", "None"]
+    assert sorted(r["doc_id"] for r in D.drop_leaks(left, right, least_words=1).collect()) == [1, 2, 7, 8, 8]
+    assert D.short_items(right) == [2, 3, 4] and D.short_items(right, least_words=8) == [1, 2, 3, 4, 5]
+
+
+HAN, KANA = [chr(c) for c in range(0x4E00, 0x5200)], [chr(c) for c in range(0x3042, 0x3094)]
+CYRILLIC = [chr(c) for c in range(0x430, 0x450)]
+
+
+def passage(rng, script):
+    """Units of a passage in a script, and what stands between them."""
+    if script == "russian":
+        return ["".join(rng.choices(CYRILLIC, k=rng.randint(3, 9))) for _ in range(rng.randint(16, 60))], " "
+    if script == "typographic":
+        return [f"b{rng.randrange(900)}" for _ in range(rng.randint(16, 60))], " \u2014 "
+    letters = HAN if script == "chinese" else HAN[:200] + KANA
+    return rng.choices(letters, k=rng.randint(30, 80)), ""
+
+
+@pytest.mark.parametrize("script", ["chinese", "japanese", "russian", "typographic"])
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.05, 0.98), (0.15, 0.9)])
+def test_recall_in_other_scripts(spark, script, share, least):
+    rng = random.Random(f"{script} {share}")
+    items, docs = [], []
+    for i in range(60):
+        units, between = passage(rng, script)
+        items.append((i, between.join(units) + ("。" if between == "" else ".")))
+        put = list(units)
+        for _ in range(int(share * len(units))):
+            at, (other, _) = rng.randrange(len(put)), passage(rng, script)
+            kind = rng.choice("rid")
+            if kind == "r":
+                put[at] = other[0]
+            elif kind == "i":
+                put.insert(at, other[0])
+            else:
+                put.pop(at)
+        around = [between.join(passage(rng, script)[0]) for _ in range(2)]
+        # The copy in capitals, with hyphens for dashes and other marks around.
+        copy = between.join(put).upper().replace("\u2014", "-")
+        docs.append((i, f"{around[0]}，\u201c{copy}\u201d！ {around[1]}"))
+    found = found_pairs(spark, docs, items)
+    assert sum((i, i) in found for i, _ in items) >= least * len(items) and all(i == j for i, j in found)
+
+
+def test_words_and_places_by_unicode():
+    texts = ["Ünï-cödé “x”—y", "日本語のテキスト、ok", "", "Straße ПРИВЕТ", "plain old 7_8"]
+    data = [t.encode() for t in texts]
+    run = D.LetterRun(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), LETTERS)
+    whole = "".join(texts)
+    words = [whole[a:b] for a, b in zip(run.start.tolist(), run.end.tolist())]
+    assert words == ["Ünï", "cödé", "x", "y", *"日本語のテキスト", "ok", "Straße", "ПРИВЕТ", "plain", "old", "7", "8"]
+    assert np.diff(run.upto).tolist() == [4, 9, 0, 2, 4]
+    assert (D.words_of("ÜNÏ привет", LETTERS) == D.words_of("ünï ПРИВЕТ", LETTERS)).all()
+    assert unicodedata.category("の")[0] == "L" and len(D.words_of("\ud800 a", LETTERS)) == 1

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -18,7 +17,7 @@ ORDER = ["language_id", "near_dup", "decontamination", "secret_scan", "packing"]
 
 
 def words(text):
-    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text.lower())
+    return regex.findall(r"[\p{L}\p{N}\p{M}]+", text.lower())
 
 
 def leaked(text, items):
