@@ -131,12 +131,14 @@ def near_vectors(rows: DataFrame, least: float, key: str = "vec_id", vector: str
     ``component`` is the smallest key that links lead to. Rows whose key, label
     or vector is null, whose vector is empty, zero or has a null or non-finite
     component, and vectors of different sizes are linked with nothing. Rows
-    that share a key count as rows of their own with one place in the components.
+    that share a key are rows of their own, each with its own links.
     """
     all_rows = rows.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     fit = all_rows.filter(F.col("key").isNotNull() & F.col("label").isNotNull() & usable("vector"))
     classes = written(fit.groupBy("label", "vector").agg(
-        F.min("key").alias("rep"), F.count(F.lit(1)).alias("weight")).withColumn("size", F.size("vector")), "classes")
+        F.min("key").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("size", F.size("vector")).withColumn(
+        # Numbers of their own, fixed by being written: a key may stand for two vectors.
+        "rep", F.monotonically_increasing_id()), "classes")
     described = written(describe(classes, choose_pivots(classes)), "described")
     entries = described.withColumn("pivot", F.explode("near"))
     lists = entries.groupBy("label", "size", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -153,9 +155,12 @@ def near_vectors(rows: DataFrame, least: float, key: str = "vec_id", vector: str
     links = written(cells.groupBy("label", "size", "pivot", "low", "high").applyInArrow(run, "rep long, n long, root long"), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     named = components(links, "rep", "root").withColumnRenamed("node", "rep")
-    by_class = classes.join(counts, "rep", "left").join(named, "rep", "left").select(
+    joined = classes.select("rep", "least").join(named, "rep")
+    lowest = joined.groupBy("component").agg(F.min("least").alias("lowest"))
+    found = joined.join(lowest, "component").select("rep", "lowest")
+    by_class = classes.join(counts, "rep", "left").join(found, "rep", "left").select(
         "label", "vector", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"))
+        F.coalesce("lowest", "least").alias("component"))
     linked = fit.join(by_class, ["label", "vector"]).select("key", "n_links", "component")
     rest = all_rows.filter(~F.coalesce(F.col("key").isNotNull() & F.col("label").isNotNull() & usable("vector"), F.lit(False)))
     return linked.unionByName(rest.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))).select(

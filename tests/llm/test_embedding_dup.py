@@ -89,3 +89,10 @@ def test_odd_rows(spark):
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component"]) for r in V.near_vectors(frame, 0.93).collect() if r["vec_id"])
     assert got == [(1, 5, 1), (2, 5, 1), (3, 5, 1), *((i, 0, i) for i in range(4, 13)), (14, 5, 1), (14, 5, 1), (15, 5, 1)]
     assert V.near_vectors(frame, 0.93).count() == 16 and V.near_vectors(frame.limit(0), 0.93).count() == 0
+
+
+def test_a_key_with_two_vectors(spark):
+    # Two far vectors under one key, each with one near neighbour; the groups stay apart.
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (5, [1.0, 0.1], 0), (7, [0.1, 1.0], 0), (9, [-1.0, 0.0], 0), (8, [-1.0, 0.1], 0)]
+    got = sorted(tuple(r) for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (5, 1, 1), (7, 1, 1), (8, 1, 8), (9, 1, 8)]
