@@ -162,19 +162,6 @@ class PrototypeModel:
         return measure.asNondeterministic()(vector, label_position)
 
 
-def distance_signals(distances: Column, true_position: Column) -> Column:
-    """True-class distance, nearest other class, their margin and the nearest class."""
-    others = F.transform(distances, lambda d, k: F.when(k != true_position, d))
-    competitor = F.array_min(others)
-    true_distance = distances[true_position]
-    return F.struct(
-        true_distance.alias("true_distance"),
-        competitor.alias("competitor_distance"),
-        (competitor - true_distance).alias("margin"),
-        (F.array_position(distances, F.array_min(distances)) - 1).cast("int").alias("nearest"),
-    )
-
-
 def logits(distances: Column, scale: float = LOGIT_SCALE) -> Column:
     return F.transform(distances, lambda d: -F.lit(scale) * d)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from catalumen.functions import bins, vectors
+from catalumen.functions import vectors
 from catalumen.operators import audit, ranking, selective, taxonomy
-from catalumen.plans.base import query, r6, split_of, sql_split, table
+from catalumen.plans.base import query, split_of, sql_split, table
 from catalumen.plans.catalogue import SQL_NODES, customer_paths
 from catalumen.plans.multiview import PERMUTATION_SEED
 from catalumen.plans.reliability import SQL_BASE, SQL_CURVE, scored
