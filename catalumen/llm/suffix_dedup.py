@@ -1,17 +1,24 @@
-"""Removal of repeated byte strings by bucket refinement of suffixes.
-
-Suffixes are first put into buckets by their leading bytes; a bucket is then
-refined by the buckets of its suffixes at later offsets, and the refined buckets
-serve to refine again: the name of the bucket at twice the depth comes from two
-names at the present depth. Names are 64-bit hashes, so every task gives equal
-strings equal names without asking. A bucket of one suffix is settled, and what
-is settled goes no further: a thinned choice of suffixes is compared at the
-first depth, and only suffixes near a bucket of several go on to full depth.
+"""Removal of repeated byte strings by bucket-pointer refinement of suffixes.
+
+All suffixes of a corpus are first put into buckets by their leading bytes (the
+first depth). A bucket with one suffix is settled. Suffixes of open buckets are
+refined by the buckets of their suffixes at a later offset: the bucket at the next
+depth comes from the pair of buckets at the present one, and the refined buckets
+serve to refine again, until the depth is the length asked for. A suffix goes on
+only if the buckets of all its later offsets, as far as the length reaches, are open
+as well; the texts shrink to the runs of such suffixes from depth to depth.
+
+Buckets are named by hashes instead of ranks, so every task gives equal strings
+equal names without asking. Before the last depth, names are cut to a few bits
+more than there are suffixes: a bucket that is open only by chance costs a look at
+the next depth, where a settled one would be wrong.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,127 +30,104 @@ from catalumen.llm.hashing import BASE, BYTE_VALUES, U, mix
 from catalumen.llm.packs import Pack, answer, n_buckets, packed, replies_in, send, with_replies
 
 LENGTH = 200
-# Depth of the first buckets, a power of two; half a length keeps the thinned choice small and the names cheap.
+# Depth of the first buckets, a power of two.
 FIRST = 64
-CHUNK_BYTES = 1 << 20
-
-
-def power(n: int) -> np.uint64:
-    return U(pow(int(BASE), n, 1 << 64))
+# Names are made for this many positions at a time, which stay in a processor's cache.
+CHUNK = 1 << 16
+# Room for names before the last depth: half of it is taken, so about two in five unique suffixes look open, and
+# a run of them as long as a string that would go on has no chance worth counting.
+SPARE_BITS = 1
+RUNS = "pack long, keys array<long>, ends array<long>, data binary, size long"
+
+
+def depths(first: int, length: int) -> list[int]:
+    """The first depth, doubled as long as it is less than ``length``, then ``length``."""
+    if not 2 <= first <= length or first & (first - 1):
+        raise ValueError("the first depth is a power of two, 2 or more and no deeper than the length")
+    out = [first]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
 
 
-def names(data: np.ndarray, first: int) -> dict[int, np.ndarray]:
-    """Names of the buckets at every power of two up to ``first``, for all positions that have so many bytes."""
-    out = {1: BYTE_VALUES[data]}
-    depth = 1
-    while depth < first:
-        now = out[depth]
-        refined = now[:len(now) - depth] * power(depth)
-        refined += now[depth:]
+def names(data: np.ndarray, levels: list[int]) -> np.ndarray:
+    """Names of all strings of ``levels[-1]`` bytes, each level's from two names at the level before."""
+    out, depth = BYTE_VALUES[data], 1
+    while depth < levels[0]:
+        out = out[:max(0, len(out) - depth)] * U(pow(int(BASE), depth, 1 << 64)) + out[depth:]
         depth *= 2
-        out[depth] = refined
+    out = mix(out)
+    for shallow, deep in pairwise(levels):
+        step = deep - shallow
+        out = mix(out[:max(0, len(out) - step)] * BASE + out[step:])
     return out
 
 
-def deeper(by_depth: dict[int, np.ndarray], where: np.ndarray, length: int, first: int) -> np.ndarray:
-    """Names at depth ``length`` of some positions, from the names at the lesser depths that make it up."""
-    out, done = np.zeros(len(where), U), 0
-    for depth in sorted(by_depth, reverse=True):
-        while length - done >= depth:
-            out = out * power(depth) + by_depth[depth][where + done]
-            done += depth
-    return mix(out)
-
-
-def sliding(values: np.ndarray, size: int, best) -> np.ndarray:
-    """``best`` (minimum or maximum) of each ``size`` neighbours."""
-    reach = 1
-    while 2 * reach <= size:
-        values = best(values[:len(values) - reach], values[reach:])
-        reach *= 2
-    return best(values[:len(values) - (size - reach)], values[size - reach:]) if size > reach else values
+def top(bits: int) -> np.uint64:
+    """A mask of the leading bits."""
+    return U(((1 << bits) - 1) << (64 - bits))
 
 
 class Suffixes:
-    """Suffixes of a pack with ``length`` bytes or more, and the thinned choice among their first buckets.
+    """Buckets of the suffixes of a row's texts or runs at one depth, as far as the row alone can tell.
 
-    In every ``length`` bytes in a row the choice has the position whose name is
-    the least, so equal strings choose equal positions. Texts are taken some at
-    a time, so that names are held for a part of the pack only.
+    ``keys`` are the names of the buckets, cut to ``bits`` and sorted; ``where``
+    lists the suffixes bucket by bucket and ``times`` says how many each has.
+    ``skip`` marks texts that do not take part. Texts shorter than ``length`` do not either.
     """
 
-    def __init__(self, pack: Pack, length: int, first: int):
-        self.pack, self.length, self.first = pack, length, first
-        self.span = length - first + 1
-        keys, where = [], []
-        for a, b in self.chunks():
-            found = self.chosen(a, b)
-            if found is not None:
-                keys.append(found[0])
-                where.append(found[1])
-        every = np.concatenate(keys) if keys else np.zeros(0, U)
-        self.where = np.concatenate(where) if where else np.zeros(0, np.int64)
-        self.keys, self.key_of, times = np.unique(every, return_inverse=True, return_counts=True)
-        self.here = times > 1
-
-    def chunks(self) -> Iterator[tuple[int, int]]:
-        """Runs of whole texts, from text ``a`` to before text ``b``."""
-        at, a = self.pack.at, 0
-        while a < len(at) - 1:
-            b = max(a + 1, int(np.searchsorted(at, at[a] + CHUNK_BYTES, "right")) - 1)
-            yield a, b
-            a = b
-
-    def whole(self, a: int, b: int, n: int) -> np.ndarray:
-        """True for the first ``n`` positions of the run that have ``length`` bytes of their own text."""
-        at = self.pack.at[a:b + 1] - self.pack.at[a]
-        left = np.repeat(at[1:], np.diff(at))[:n] - np.arange(n)
-        return left >= self.length
-
-    def data(self, a: int, b: int) -> np.ndarray:
-        return self.pack.data[self.pack.at[a]:self.pack.at[b]]
-
-    def chosen(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray] | None:
-        data = self.data(a, b)
-        n = len(data) - self.length + 1
-        if n < 1:
-            return None
-        name = mix(names(data, self.first)[self.first])
-        # 0 stands for strings that are not whole, so no name may be 0.
-        short = np.maximum((name >> U(32)).astype(np.uint32), np.uint32(1))
-        least = sliding(short, self.span, np.minimum)
-        least[~self.whole(a, b, n)] = 0
-        # A position is chosen if it is the least of one of the windows that hold it.
-        edge = np.zeros(self.span - 1, np.uint32)
-        top = sliding(np.concatenate([edge, least, edge]), self.span, np.maximum)
-        where = np.flatnonzero(top == short)
-        return name[where], where + self.pack.at[a]
-
-    def near(self, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Full-depth names of the suffixes whose string holds a chosen position of a bucket of several; and their places."""
-        hit = np.sort(self.where[(self.here | answered)[self.key_of]])
-        keys, where = [], []
-        for a, b in self.chunks():
-            start, end = self.pack.at[a], self.pack.at[b]
-            own = hit[np.searchsorted(hit, start):np.searchsorted(hit, end)] - start
-            n = int(end - start) - self.length + 1
-            if not len(own) or n < 1:
-                continue
-            edge = np.bincount(np.maximum(own - self.span + 1, 0), minlength=n + 1) - np.bincount(own + 1, minlength=n + 1)[:n + 1]
-            some = np.flatnonzero((np.cumsum(edge[:n]) > 0) & self.whole(a, b, n))
-            keys.append(deeper(names(self.data(a, b), self.first), some, self.length, self.first))
-            where.append(some + start)
-        if not keys:
-            return np.zeros(0, U), np.zeros(0, np.int64)
-        return np.concatenate(keys), np.concatenate(where)
+    def __init__(self, pack: Pack, levels: list[int], length: int, bits: int, skip: np.ndarray | None = None):
+        self.pack, self.depth, self.length = pack, levels[-1], length
+        size, n = np.diff(pack.at), max(0, len(pack.data) - self.depth + 1)
+        use = size >= length
+        if skip is not None:
+            use &= ~skip
+        name = np.empty(n, U)
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            name[a:b] = names(pack.data[a:b + self.depth - 1], levels)
+        # The last starts of a text have too few bytes.
+        last = np.where(use, pack.at[1:] - self.depth + 1, pack.at[:-1])
+        edge = np.zeros(len(pack.data) + 1, np.int8)
+        np.add.at(edge, pack.at[:-1][use], 1)
+        np.add.at(edge, last[use], -1)
+        where = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
+        key = name[where] & top(bits)
+        places = max(1, len(where) - 1).bit_length()
+        if bits + places <= 64:
+            # Key and place in one number: sorting plain numbers is much faster than sorting places by keys.
+            key = np.sort(key | np.arange(len(where), dtype=U))
+            low = U((1 << places) - 1)
+            self.where = where[(key & low).astype(np.int64)]
+            key &= top(bits)
+        else:
+            order = np.argsort(key)
+            key, self.where = key[order], where[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        self.keys, self.times = key[begin], np.diff(begin, append=len(key))
+
+    def opened(self, elsewhere: np.ndarray | None) -> np.ndarray:
+        """For each byte, whether the bucket of its suffix has several; ``elsewhere`` marks keys that other rows have."""
+        several = self.times > 1
+        if elsewhere is not None:
+            several |= elsewhere
+        out = np.zeros(len(self.pack.data), bool)
+        out[self.where] = np.repeat(several, self.times)
+        return out
+
+    def open_runs(self, elsewhere: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the byte runs in which every string of this depth is open, if ``length`` bytes or longer."""
+        is_open = self.opened(elsewhere).astype(np.int8)
+        turn = np.diff(is_open, prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) + self.depth - 1
+        long = end - start >= self.length
+        return start[long], end[long]
 
 
 class Copies:
     """Whole texts that other texts equal: by a name of the text, and which of this pack's own come first."""
 
     def __init__(self, pack: Pack, length: int):
-        import hashlib
-
         size = np.diff(pack.at)
         long = np.flatnonzero(size >= length)
         name = np.array([int.from_bytes(hashlib.blake2b(
@@ -155,13 +139,72 @@ class Copies:
         self.later[first] = False
 
 
-def settled(pack: Pack, copies: Copies, replies: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that are copies, and of these the ones that another copy stands for."""
+def stood_for(pack: Pack, length: int, replies: dict) -> np.ndarray:
+    """Texts for which an equal one, in this pack or in one with a smaller number, stands."""
+    copies, out = Copies(pack, length), np.zeros(len(pack.at) - 1, bool)
     none = np.zeros(len(copies.keys), bool)
-    copied, stood_for = np.zeros((2, len(pack.at) - 1), bool)
-    copied[copies.texts] = (copies.here | replies.get("copies", none))[copies.key_of]
-    stood_for[copies.texts] = copies.later | replies.get("earlier", none)[copies.key_of]
-    return copied, stood_for
+    out[copies.texts] = copies.later | replies.get("earlier", none)[copies.key_of]
+    return out
+
+
+def copied(pack: Pack, length: int, replies: dict) -> np.ndarray:
+    """Texts that equal another one."""
+    copies, out = Copies(pack, length), np.zeros(len(pack.at) - 1, bool)
+    none = np.zeros(len(copies.keys), bool)
+    out[copies.texts] = (copies.here | replies.get("copies", none))[copies.key_of]
+    return out
+
+
+def refined(rows: DataFrame, levels: list[int], length: int, whole_texts: DataFrame | None = None) -> DataFrame:
+    """The runs of ``rows`` whose suffixes stay open at depth ``levels[-1]``; rows as ``packed`` gives them.
+
+    ``keys`` of the result are the places in the pack at which the runs start. At
+    the last depth names are whole, and the runs are the repeated bytes. With
+    ``whole_texts``, replies on copies, ``rows`` are packs: a copy that another
+    text stands for takes no part beyond its own pack.
+    """
+    name, last, of_packs = f"open{levels[-1]}", levels[-1] == length, whole_texts is not None
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    # Short names make light rows, so a bucket may hold more of them.
+    buckets = n_buckets(rows, 1 if last else 1 / 4)
+    width = buckets.bit_length() - 1
+    bits = 64 if last else min(64, max(width + 1, int(total).bit_length() + SPARE_BITS))
+
+    def suffixes(pack: Pack) -> Suffixes:
+        # Copies in a pack are left out before anything is sent; of copies in several packs each pack sends one.
+        return Suffixes(pack, levels, length, bits, stood_for(pack, length, {}) if of_packs else None)
+
+    def own_keys(pack: Pack, _) -> tuple[np.ndarray, None]:
+        return suffixes(pack).keys, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pack, replies = Pack(batch, row), replies_in(batch, row)
+                start, end = suffixes(pack).open_runs(replies.get(name))
+                text = np.searchsorted(pack.at, start, "right") - 1
+                if of_packs:
+                    go_on = ~stood_for(pack, length, replies)[text]
+                    start, end = start[go_on], end[go_on]
+                    place = start
+                else:
+                    place = pack.keys.to_numpy()[text] + (start - pack.at[text])
+                if not len(start):
+                    continue
+                data = b"" if last else b"".join(pack.data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist()))
+                ends = np.cumsum(end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pack.number], pa.int64()), pa.array([place], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())),
+                     pa.array([press.compress(data)], pa.binary()), pa.array([int(ends[-1])], pa.int64())],
+                    ["pack", "keys", "ends", "data", "size"])
+
+    answers = [written(answer(send(rows, own_keys, buckets, bits - width), name), name)]
+    if of_packs:
+        answers.append(whole_texts)
+    return written(with_replies(rows, *answers).mapInArrow(run, RUNS), f"runs{levels[-1]}")
 
 
 def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
@@ -172,51 +215,31 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     ``n_spans`` counts the runs of removed bytes. A null text is empty. Null and
     repeated keys keep their rows, and repeated rows are copies of each other.
     """
-    if not first <= length or first & (first - 1):
-        raise ValueError("the first depth is a power of two, no deeper than the length")
+    levels = depths(first, length)
     packs = written(packed(docs, key, text), "packs")
     small_batches(docs.sparkSession)
-    span = length - first + 1
 
-    def whole_texts(pack, _):
+    def whole(pack, _):
         found = Copies(pack, length)
         return found.keys, np.full(len(found.keys), pack.number)
 
-    def thinned(pack, _):
-        return Suffixes(pack, length, first).keys, None
-
     few = n_buckets(packs, 1 / 2000)
-    texts = [answer(send(packs, whole_texts, few), "copies"), answer(send(packs, whole_texts, few, ranked=True), "earlier")]
-    start = answer(send(packs, thinned, n_buckets(packs, 2 / span)), "first")
-    one = written(texts[0].unionByName(texts[1]).unionByName(start), "first-buckets")
-
-    def deep(pack: Pack, replies: dict):
-        """All full-depth names, their places, and which of them this pack sends."""
-        suffixes = Suffixes(pack, length, first)
-        names_, where = suffixes.near(replies.get("first", np.zeros(len(suffixes.keys), bool)))
-        copied, stood_for = settled(pack, Copies(pack, length), replies, length)
-        text = np.searchsorted(pack.at, where, "right") - 1
-        keep = ~stood_for[text]
-        return names_[keep], where[keep], copied
-
-    def full(pack, replies):
-        return np.unique(deep(pack, replies)[0]), None
-
-    # About a tenth of a corpus repeats.
-    two = written(answer(send(with_replies(packs, one), full, n_buckets(packs, 0.1)), "full"), "full-buckets")
+    whole_texts = written(answer(send(packs, whole, few), "copies").unionByName(
+        answer(send(packs, whole, few, ranked=True), "earlier")), "copies")
+    runs = refined(packs, levels[:1], length, whole_texts)
+    for i in range(1, len(levels)):
+        runs = refined(runs, levels[:i + 1], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                pack, replies = Pack(batch, row), replies_in(batch, row)
-                keys, where, copied = deep(pack, replies)
-                distinct, key_of, times = np.unique(keys, return_inverse=True, return_counts=True)
-                several = ((times > 1) | replies.get("full", np.zeros(len(distinct), bool)))[key_of]
-                n = len(pack.data)
-                gone = where[several]
-                edge = np.bincount(gone, minlength=n + 1) - np.bincount(gone + length, minlength=n + 1)
-                cut = np.cumsum(edge[:n]) > 0
-                cut |= np.repeat(copied, np.diff(pack.at))
+                pack, n = Pack(batch, row), int(batch.column("size")[row].as_py())
+                cut = np.repeat(copied(pack, length, replies_in(batch, row)), np.diff(pack.at))
+                if batch.column("starts")[row].is_valid:
+                    start = batch.column("starts")[row].values.to_numpy()
+                    size = np.diff(batch.column("run_ends")[row].values.to_numpy(), prepend=0)
+                    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)
+                    cut |= np.cumsum(edge[:n]) > 0
                 rows = []
                 for i in range(len(pack.at) - 1):
                     own, out = pack.data[pack.at[i]:pack.at[i + 1]], cut[pack.at[i]:pack.at[i + 1]]
@@ -228,7 +251,9 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                     [pack.keys, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
                      pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = with_replies(packs, one, two).mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = runs.select("pack", F.col("keys").alias("starts"), F.col("ends").alias("run_ends"))
+    out = with_replies(packs, whole_texts).join(found, "pack", "left").mapInArrow(
+        run, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("key", key)
 
 

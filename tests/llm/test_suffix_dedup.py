@@ -39,16 +39,41 @@ def got(frame):
 def tiny_packs(monkeypatch):
     monkeypatch.setattr(K, "PACK_BYTES", 20_000)
     monkeypatch.setattr(K, "BUCKET_KEYS", 1 << 10)
-    monkeypatch.setattr(S, "CHUNK_BYTES", 3_000)
-
-
-def test_names_do_not_depend_on_the_way():
-    data = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint8)
-    by_depth = S.names(data, 8)
-    for length in (8, 13, 20):
-        found = S.deeper(by_depth, np.arange(500 - length), length, 8)
-        strings = [data[i:i + length].tobytes() for i in range(500 - length)]
-        assert len(set(found.tolist())) == len(set(strings)) == len(set(zip(found.tolist(), strings)))
+    monkeypatch.setattr(S, "CHUNK", 3_000)
+
+
+@pytest.mark.parametrize("levels", [[8], [8, 13], [8, 16, 20]])
+def test_equal_strings_get_equal_names(levels):
+    data, length = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint8), levels[-1]
+    found = S.names(data, levels)
+    strings = [data[i:i + length].tobytes() for i in range(501 - length)]
+    assert len(found) == len(strings)
+    assert len(set(found.tolist())) == len(set(strings)) == len(set(zip(found.tolist(), strings)))
+    assert not len(S.names(data[:length - 1], levels))
+
+
+def test_depths():
+    assert S.depths(64, 200) == [64, 128, 200] and S.depths(8, 8) == [8] and S.depths(8, 9) == [8, 9]
+    for first in (1, 12, 256):
+        with pytest.raises(ValueError):
+            S.depths(first, 200)
+
+
+def test_settled_suffixes_go_no_further():
+    rng = random.Random(4)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)).encode() for _ in range(3)]
+    texts = [letters[0] + letters[1][:30], letters[1][:30] + letters[2], letters[0][:19]]
+    pack = SimpleNamespace(data=np.frombuffer(b"".join(texts), np.uint8), at=np.cumsum([0] + [len(t) for t in texts]))
+    # Whole names: the runs are the shared strings; one of 19 bytes is too short to take part.
+    for levels in ([8], [8, 16], [8, 16, 20]):
+        start, end = S.Suffixes(pack, levels, 20, 64).open_runs(None)
+        assert list(zip(start, end)) == [(60, 90), (90, 120)]
+    # Names cut to a few bits open more, never less, and both ways of sorting agree.
+    for bits in (9, 12, 60, 64):
+        cut, whole = S.Suffixes(pack, [8], 20, bits), S.Suffixes(pack, [8], 20, 64)
+        assert not (whole.opened(None) & ~cut.opened(None)).any()
+        assert sorted(cut.where) == sorted(whole.where) and cut.times.sum() == whole.times.sum()
+        assert (cut.keys[1:] > cut.keys[:-1]).all()
 
 
 def test_query_equals_brute_force_on_the_table(spark, smoke_dir, tiny_packs):
@@ -59,8 +84,8 @@ def test_query_equals_brute_force_on_the_table(spark, smoke_dir, tiny_packs):
     assert sorted(found) == want and sum(r[2] for r in want) > 0
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_shared_strings_at_all_offsets(spark, seed, tiny_packs):
+@pytest.mark.parametrize("seed, first", [(1, 8), (2, 4), (3, 16)])
+def test_shared_strings_at_all_offsets(spark, seed, first, tiny_packs):
     rng = random.Random(seed)
     pool = ["".join(rng.choices("abé", k=rng.choice([15, 19, 20, 21, 45]))) for _ in range(10)] + ["a" * 33, "ab" * 20]
     rows = []
@@ -69,18 +94,7 @@ def test_shared_strings_at_all_offsets(spark, seed, tiny_packs):
         rows.append((k, text))
     rows += [(1000 + i, rows[i % 7][1]) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(S.dedup_bytes(docs, length=20, first=8)) == brute(rows, 20)
-
-
-def test_names_with_zero_leading_bits_choose_places(monkeypatch):
-    data = np.random.default_rng(2).integers(97, 123, 60).astype(np.uint8)
-    pack = SimpleNamespace(at=np.array([0, 30, 60]), data=np.concatenate([data[:30], data[:30]]))
-    real = S.mix
-    special = S.names(data, 8)[8][7]
-    # One string of the first depth gets a name whose upper half is zero, as one in 2^32 has.
-    monkeypatch.setattr(S, "mix", lambda x: np.where(x == special, real(x) & S.U(0xFFFFFFFF), real(x)))
-    chosen = S.Suffixes(pack, 20, 8).where
-    assert all(((chosen >= a) & (chosen <= a + 12)).any() for t in (0, 30) for a in range(t, t + 11))
+    assert got(S.dedup_bytes(docs, length=20, first=first)) == brute(rows, 20)
 
 
 def test_odd_rows(spark):
