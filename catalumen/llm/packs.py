@@ -102,11 +102,37 @@ def n_buckets(packs: DataFrame, keys_per_byte: float) -> int:
     return 1 << max(6, math.ceil(math.log2(max(1.0, total * keys_per_byte / BUCKET_KEYS))))
 
 
-def send(packs: DataFrame, keys_of: Callable, buckets: int, key_bits: int = 64, ranked: bool = False) -> DataFrame:
+def low_and_high(keys: np.ndarray, key_bits: int) -> bytes:
+    """Sorted distinct numbers below ``2**key_bits`` in two bits each more than the logarithm of their mean distance.
+
+    The low bits of all stand as they are; the high ones are steps in one bitmap.
+    """
+    n = len(keys)
+    low = max(0, key_bits - max(0, n - 1).bit_length())
+    parts = [(keys >> U(b)).astype(np.uint8).tobytes() for b in range(0, low - 7, 8)]
+    parts += [np.packbits((keys >> U(b)).astype(np.uint8) & 1).tobytes() for b in range(low // 8 * 8, low)]
+    steps = np.zeros(n + (1 << (key_bits - low)), np.uint8)
+    steps[(keys >> U(low)).astype(np.int64) + np.arange(n)] = 1
+    return b"".join([*parts, np.packbits(steps).tobytes()])
+
+
+def from_low_and_high(data: bytes, n: int, key_bits: int) -> np.ndarray:
+    low, at = max(0, key_bits - max(0, n - 1).bit_length()), 0
+    out, flat, plane = np.zeros(n, np.int64), np.frombuffer(data, np.uint8), -(-n // 8)
+    for b in range(0, low - 7, 8):
+        out |= flat[at:at + n].astype(np.int64) << b
+        at += n
+    for b in range(low // 8 * 8, low):
+        out |= np.unpackbits(flat[at:at + plane], count=n).astype(np.int64) << b
+        at += plane
+    return out | (np.flatnonzero(np.unpackbits(flat[at:])) - np.arange(n)) << low
+
+
+def send(packs: DataFrame, keys_of: Callable, buckets: int, key_bits: int = 64, ranked: bool = False, pressed: Callable = squeeze) -> DataFrame:
     """``(bucket, pack, n, keys, ranks)`` from ``keys_of(pack, replies)``, which gives sorted distinct 64-bit keys.
 
     With ``ranked`` it gives a rank for each key as well. Of a key, its bucket
-    and the ``key_bits`` behind that are sent.
+    and the ``key_bits`` behind that are sent; ``pressed`` makes bytes of a bucket's keys.
     """
     shift, width = U(64 - buckets.bit_length() + 1), buckets.bit_length() - 1
     drop = U(max(0, 64 - width - key_bits))
@@ -121,7 +147,7 @@ def send(packs: DataFrame, keys_of: Callable, buckets: int, key_bits: int = 64,
                 sent = (keys & ((U(1) << shift) - U(1))) >> drop
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _, _ in out], pa.int32()), pa.array([own.number] * len(out), pa.int64()),
-                     pa.array([j - i for _, i, j in out], pa.int32()), pa.array([squeeze(sent[i:j]) for _, i, j in out], pa.binary()),
+                     pa.array([j - i for _, i, j in out], pa.int32()), pa.array([pressed(sent[i:j]) for _, i, j in out], pa.binary()),
                      pa.array([ranks[i:j].tobytes() if ranked else None for _, i, j in out], pa.binary())],
                     ["bucket", "pack", "n", "keys", "ranks"])
 
@@ -157,6 +183,28 @@ def answer(sent: DataFrame, name: str) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "pack long, name string, bucket int, n int, marks binary")
 
 
+def send_short(packs: DataFrame, keys_of: Callable, buckets: int, key_bits: int) -> DataFrame:
+    """``send`` for keys that stay distinct when cut to the bucket and ``key_bits`` more."""
+    return send(packs, keys_of, buckets, key_bits, pressed=lambda keys: low_and_high(keys, key_bits))
+
+
+def answer_short(sent: DataFrame, name: str, key_bits: int) -> DataFrame:
+    """``answer`` for ``send_short``: packs are counted, up to two, in a table with a place for each key a bucket can have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs = [from_low_and_high(k.as_py(), n, key_bits) for k, n in zip(table.column("keys"), table.column("n").to_pylist())]
+        seen = np.zeros(1 << key_bits, np.uint8)
+        for r in runs:
+            now = seen[r]
+            now += now < 2
+            seen[r] = now
+        return pa.table({
+            "pack": table.column("pack"), "name": pa.array([name] * len(runs)), "bucket": table.column("bucket"),
+            "n": table.column("n"), "marks": pa.array([np.packbits(seen[r] > 1).tobytes() for r in runs], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(run, "pack long, name string, bucket int, n int, marks binary")
+
+
 def is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which values are in the sorted ``among``."""
     if not len(among):

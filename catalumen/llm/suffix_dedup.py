@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from catalumen.llm.base import query, small_batches, table, written
 from catalumen.llm.hashing import BASE, BYTE_VALUES, U, mix
-from catalumen.llm.packs import Pack, answer, n_buckets, packed, replies_in, send, with_replies
+from catalumen.llm.packs import Pack, answer, answer_short, n_buckets, packed, replies_in, send, send_short, with_replies
 
 LENGTH = 200
 # Depth of the first buckets, a power of two.
@@ -201,7 +201,11 @@ def refined(rows: DataFrame, levels: list[int], length: int, whole_texts: DataFr
                      pa.array([press.compress(data)], pa.binary()), pa.array([int(ends[-1])], pa.int64())],
                     ["pack", "keys", "ends", "data", "size"])
 
-    answers = [written(answer(send(rows, own_keys, buckets, bits - width), name), name)]
+    if last:
+        found = answer(send(rows, own_keys, buckets), name)
+    else:
+        found = answer_short(send_short(rows, own_keys, buckets, bits - width), name, bits - width)
+    answers = [written(found, name)]
     if of_packs:
         answers.append(whole_texts)
     return written(with_replies(rows, *answers).mapInArrow(run, RUNS), f"runs{levels[-1]}")

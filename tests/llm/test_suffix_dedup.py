@@ -42,6 +42,17 @@ def tiny_packs(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 3_000)
 
 
+@pytest.mark.parametrize("key_bits", [1, 3, 7, 8, 9, 15, 16, 23, 40])
+def test_short_keys_come_back(key_bits):
+    rng = random.Random(key_bits)
+    for n in (1, 2, 3, 8, 9, 200, 1000):
+        keys = np.array(sorted({rng.randrange(1 << key_bits) for _ in range(n)}), np.uint64)
+        data = K.low_and_high(keys, key_bits)
+        assert K.from_low_and_high(data, len(keys), key_bits).tolist() == keys.tolist()
+        low = max(0, key_bits - (len(keys) - 1).bit_length())
+        assert len(data) <= len(keys) * (low + 3) / 8 + low % 8 + 2
+
+
 @pytest.mark.parametrize("levels", [[8], [8, 13], [8, 16, 20]])
 def test_equal_strings_get_equal_names(levels):
     data, length = np.random.default_rng(1).integers(0, 3, 500).astype(np.uint8), levels[-1]
