@@ -11,7 +11,10 @@ as well; the texts shrink to the runs of such suffixes from depth to depth.
 Buckets are named by hashes instead of ranks, so every task gives equal strings
 equal names without asking. Before the last depth, names are cut to a few bits
 more than there are suffixes: a bucket that is open only by chance costs a look at
-the next depth, where a settled one would be wrong.
+the next depth, where a settled one would be wrong. For the same reason only a
+quarter of the buckets before the last depth, chosen by name, is counted; the others
+stay open. A string that is unique has dozens of counted buckets, and one that
+is settled is enough.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ CHUNK = 1 << 16
 # Room for names before the last depth: half of it is taken, so about two in five unique suffixes look open, and
 # a run of them as long as a string that would go on has no chance worth counting.
 SPARE_BITS = 1
+# Of the buckets before the last depth one in two to this power is counted.
+SHARE_BITS = 2
 RUNS = "pack long, keys array<long>, ends array<long>, data binary, size long"
 
 
@@ -73,10 +78,11 @@ class Suffixes:
 
     ``keys`` are the names of the buckets, cut to ``bits`` and sorted; ``where``
     lists the suffixes bucket by bucket and ``times`` says how many each has.
+    Of the names, one in ``2**share_bits`` is counted; the buckets of the others are open.
     ``skip`` marks texts that do not take part. Texts shorter than ``length`` do not either.
     """
 
-    def __init__(self, pack: Pack, levels: list[int], length: int, bits: int, skip: np.ndarray | None = None):
+    def __init__(self, pack: Pack, levels: list[int], length: int, bits: int, share_bits: int = 0, skip: np.ndarray | None = None):
         self.pack, self.depth, self.length = pack, levels[-1], length
         size, n = np.diff(pack.at), max(0, len(pack.data) - self.depth + 1)
         use = size >= length
@@ -91,7 +97,8 @@ class Suffixes:
         edge = np.zeros(len(pack.data) + 1, np.int8)
         np.add.at(edge, pack.at[:-1][use], 1)
         np.add.at(edge, last[use], -1)
-        where = np.flatnonzero(np.cumsum(edge[:n], dtype=np.int8))
+        self.whole = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
+        where = np.flatnonzero(self.whole & (name & U((1 << share_bits) - 1) == 0))
         key = name[where] & top(bits)
         places = max(1, len(where) - 1).bit_length()
         if bits + places <= 64:
@@ -112,6 +119,7 @@ class Suffixes:
         if elsewhere is not None:
             several |= elsewhere
         out = np.zeros(len(self.pack.data), bool)
+        out[:len(self.whole)] = self.whole
         out[self.where] = np.repeat(several, self.times)
         return out
 
@@ -164,15 +172,16 @@ def refined(rows: DataFrame, levels: list[int], length: int, whole_texts: DataFr
     text stands for takes no part beyond its own pack.
     """
     name, last, of_packs = f"open{levels[-1]}", levels[-1] == length, whole_texts is not None
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    # Short names make light rows, so a bucket may hold more of them.
-    buckets = n_buckets(rows, 1 if last else 1 / 4)
+    share_bits = 0 if last else SHARE_BITS
+    counted = int(rows.agg(F.sum("size")).first()[0] or 0) >> share_bits
+    # Short names make light rows, so a range of them may hold four times as many.
+    buckets = n_buckets(rows, 1 if last else 1 / (4 << share_bits))
     width = buckets.bit_length() - 1
-    bits = 64 if last else min(64, max(width + 1, int(total).bit_length() + SPARE_BITS))
+    bits = 64 if last else min(64, max(width + 1, counted.bit_length() + SPARE_BITS))
 
     def suffixes(pack: Pack) -> Suffixes:
         # Copies in a pack are left out before anything is sent; of copies in several packs each pack sends one.
-        return Suffixes(pack, levels, length, bits, stood_for(pack, length, {}) if of_packs else None)
+        return Suffixes(pack, levels, length, bits, share_bits, stood_for(pack, length, {}) if of_packs else None)
 
     def own_keys(pack: Pack, _) -> tuple[np.ndarray, None]:
         return suffixes(pack).keys, None

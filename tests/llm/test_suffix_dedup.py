@@ -85,6 +85,9 @@ def test_settled_suffixes_go_no_further():
         assert not (whole.opened(None) & ~cut.opened(None)).any()
         assert sorted(cut.where) == sorted(whole.where) and cut.times.sum() == whole.times.sum()
         assert (cut.keys[1:] > cut.keys[:-1]).all()
+        # Buckets that are not counted are open.
+        share = S.Suffixes(pack, [8], 20, bits, 2)
+        assert not (whole.opened(None) & ~share.opened(None)).any() and 0 < len(share.where) < len(whole.where)
 
 
 def test_query_equals_brute_force_on_the_table(spark, smoke_dir, tiny_packs):
