@@ -217,7 +217,8 @@ def refined(rows: DataFrame, levels: list[int], length: int, whole_texts: DataFr
     answers = [written(found, name)]
     if of_packs:
         answers.append(whole_texts)
-    return written(with_replies(rows, *answers).mapInArrow(run, RUNS), f"runs{levels[-1]}")
+    # Rows and replies grow together: one plan for all sizes.
+    return written(with_replies(rows.hint("merge"), *answers).mapInArrow(run, RUNS), f"runs{levels[-1]}")
 
 
 def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
@@ -265,7 +266,7 @@ def dedup_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length
                      pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = runs.select("pack", F.col("keys").alias("starts"), F.col("ends").alias("run_ends"))
-    out = with_replies(packs, whole_texts).join(found, "pack", "left").mapInArrow(
+    out = with_replies(packs.hint("merge"), whole_texts).join(found.hint("merge"), "pack", "left").mapInArrow(
         run, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("key", key)
 
