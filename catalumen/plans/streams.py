@@ -11,9 +11,13 @@ from catalumen.session import scratch_path
 from catalumen.streaming import incremental
 
 
+def table_stream(spark, sf_dir, name):
+    """A table as a stream, whether it is one file or a folder of part files; a stream takes a single file only by a pattern."""
+    return incremental.file_stream(spark, f"{sf_dir.rstrip('/')}/{{{name}}}.parquet", table(spark, sf_dir, name).schema)
+
+
 def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return incremental.file_stream(spark, sf_dir, schema, "events.parquet")
+    return table_stream(spark, sf_dir, "events")
 
 
 @query("stream_ingest", """
@@ -45,9 +49,7 @@ def scored_stream(spark, sf_dir):
     """Embeddings as a stream, scored with prototypes fitted beforehand."""
     base = labelled_vectors(spark, sf_dir)
     model = model_of(base)
-    stream = incremental.file_stream(
-        spark, sf_dir, table(spark, sf_dir, "embeddings").schema, "embeddings.parquet")
-    return stream, model
+    return table_stream(spark, sf_dir, "embeddings"), model
 
 
 @query("stream_route", f"""WITH {SQL_BASE}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalumen.operators import audit, ranking, scoring
+from catalumen.plans import streams
 from catalumen.session import cut_lineage, shared_root
 from catalumen.sources import bundles, delimited, files, jsonlines, sinks
 from catalumen.streaming import incremental
@@ -212,6 +213,20 @@ def test_routing_stream(spark, tmp_path):
     assert got == {1: "accept", 2: "accept", 3: "review"}
 
 
+def test_streams_over_a_table_in_part_files(spark, tmp_path):
+    vectors = spark.range(60).select(
+        F.col("id").alias("vec_id"), (F.col("id") % 2).cast("int").alias("label"),
+        F.array((F.col("id") % 2).cast("float"), F.lit(0.5).cast("float")).alias("embedding"))
+    events = spark.range(40).select(F.col("id").alias("event_id"), F.lit("a").alias("event_type"), F.lit("{}").alias("props"), F.lit(1.0).alias("value"))
+    for parts in (1, 3):
+        folder = str(tmp_path / f"in{parts}")
+        vectors.repartition(parts).write.parquet(f"{folder}/embeddings.parquet")
+        events.repartition(parts).write.parquet(f"{folder}/events.parquet")
+        assert sum(r["n"] for r in streams.stream_route(spark, folder).collect()) == 60
+        assert tuple(streams.stream_counters(spark, folder).first()) == (40, 0)
+        assert streams.stream_ingest(spark, folder).first()["distinct_ids"] == 40
+
+
 def test_batch_score_loads_the_model_once_per_task(spark):
     def make():
         def model(batch):
