@@ -222,6 +222,7 @@ def test_streams_over_a_table_in_part_files(spark, tmp_path):
         folder = str(tmp_path / f"in{parts}")
         vectors.repartition(parts).write.parquet(f"{folder}/embeddings.parquet")
         events.repartition(parts).write.parquet(f"{folder}/events.parquet")
+        assert streams.stream_score(spark, folder).count() == 60
         assert sum(r["n"] for r in streams.stream_route(spark, folder).collect()) == 60
         assert tuple(streams.stream_counters(spark, folder).first()) == (40, 0)
         assert streams.stream_ingest(spark, folder).first()["distinct_ids"] == 40
