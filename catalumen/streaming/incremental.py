@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from catalumen.functions.jsontext import is_json_object
 from catalumen.operators import selective
@@ -92,47 +91,28 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class RunningTotals(StatefulProcessor):
-    """Records, malformed records and a sum for each group, kept as one value of state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "records long, malformed long, total double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        records, malformed, total = self.totals.get() if self.totals.exists() else (0, 0, 0.0)
-        for frame in rows:
-            records += len(frame)
-            malformed += int(frame["malformed"].sum())
-            total += float(frame["value"].sum())
-        self.totals.update((records, malformed, total))
-        yield pd.DataFrame({"group": [key[0]], "records": [records], "malformed": [malformed], "total": [total]})
-
-    def close(self) -> None:
-        pass
-
-
 def running_totals(stream: DataFrame, key: str, group: str, raw: str, value: str, sink: str) -> StreamingQuery:
     """Totals of each group over all batches so far, written under the batch number for each batch that changed them.
 
     Records whose ``key`` came before are dropped first. Both states outlive the
     query: one that is started again on the same sink goes on where the last one stopped.
+    A value that is null or not a number adds nothing.
     """
-    kind = stream.schema[group].dataType.simpleString()
     checked = stream.select(
-        key, F.col(group).alias("group"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"),
+        key, F.col(group).alias("group"), F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias("value"),
         (~F.coalesce(is_json_object(F.col(raw)), F.lit(False))).alias("malformed"))
-    totals = checked.dropDuplicates([key]).groupBy("group").transformWithStateInPandas(
-        RunningTotals(), f"group {kind}, records long, malformed long, total double", "Append", "none")
+    totals = checked.dropDuplicates([key]).groupBy("group").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("malformed").alias("malformed"), F.sum("value").alias("total"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/totals/batch={batch_id}")
 
     spark = stream.sparkSession
     before = spark.conf.get(STATE_STORE)
-    # Arbitrary state needs this store; a query keeps the settings it was started with.
+    # Both states grow with the stream: this store keeps them outside the heap. A query keeps the settings it was started with.
     spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        return totals.writeStream.foreachBatch(write).outputMode("append").option(
+        return totals.writeStream.foreachBatch(write).outputMode("update").option(
             "checkpointLocation", f"{sink}/_checkpoint").trigger(availableNow=True).start()
     finally:
         spark.conf.set(STATE_STORE, before)

@@ -143,3 +143,15 @@ def test_totals_go_on_after_a_restart(spark, tmp_path):
     arrive([(4, "a", "x", 4.0), (2, "b", "{", 9.0)])
     assert run() == {"a": (3, 1, 7.0, 3), "b": (1, 1, 0.0, 1)} == run()
     assert spark.conf.get(incremental.STATE_STORE) == before
+
+
+def test_totals_are_kept_without_a_call_for_each_group(spark, tmp_path):
+    schema = "id long, who string, raw string, value double"
+    spark.createDataFrame([(1, "a", "{}", 1.0), (2, "a", "{}", float("nan")), (3, None, None, 2.0), (3, None, None, 2.0)], schema).write.parquet(str(tmp_path / "in"))
+    query = incremental.running_totals(
+        incremental.file_stream(spark, str(tmp_path / "in"), schema), "id", "who", "raw", "value", str(tmp_path / "out"))
+    incremental.run_to_end(query)
+    operators = {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]}
+    assert operators == {"dedupe", "stateStoreSave"}
+    got = {r["group"]: (r["records"], r["malformed"], r["total"], r["batches"]) for r in incremental.latest_totals(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a": (2, 0, 1.0, 1), None: (1, 1, 2.0, 1)}
