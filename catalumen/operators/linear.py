@@ -6,9 +6,9 @@ and gradients stay as sparse as the pairs of a term and a class that occur.
 Features are scaled by the root of their own bound on the curvature (rows with few
 terms make it small), after which a step of length one is safe in every direction.
 
-Weights are a written table ``(class, term, w, weight)``. Each step ships one
-bounded part of it after the other to the records, where they lie; tasks add up
-their gradients before one shuffle by class and term.
+Weights are a written table ``(class, term, w, weight)``. Each step brings them to
+the records, shipped while they are few and by the terms of a pack beyond that;
+packs add up their gradients before one shuffle by class and term.
 
 Several fits can share a table: a class belongs to a setting, and a term that
 starts with ``own_term`` of a setting counts for the classes of that setting only.
@@ -17,6 +17,7 @@ starts with ``own_term`` of a setting counts for the classes of that setting onl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,9 @@ class LinearModel:
         scaled = termparts.weigh(rows.select(key, "terms"), self.scales, "scale", unit=False, value="weight")
         out = scaled.withColumns({
             "top": F.array_repeat(F.lit(float("-inf")), self.settings), "best": F.array_repeat(F.lit(None).cast("string"), self.settings)})
-        for nth, part in enumerate(termparts.PairParts(self.classes, self.weights, self.per_part)):
-            out = (cut_lineage(out, "linear-states") if nth else out).mapInArrow(_best(part, self.settings), out.schema)
+        parts = termparts.PairParts(self.classes, self.weights, self.per_part)
+        for nth, part in enumerate(parts):
+            out = parts.through(cut_lineage(out, "linear-states") if nth else out, part, partial(_best, settings=self.settings), out.schema)
         listed = F.posexplode(F.arrays_zip("best", "top")).alias("setting", "b")
         return out.select(key, listed).select(key, "setting", F.col("b.best").alias("pred"), F.col("b.top").alias("score"))
 
@@ -90,8 +92,9 @@ def fit_linear(rows: DataFrame, label: str, settings: int = 1, rounds: int = ROU
     weights = classes.limit(0).select("class", F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(0.0).alias("weight"))
     for beyond in momentum(rounds):
         steps = weights.withColumn("g", F.lit(0.0))
-        for part in termparts.PairParts(classes, weights, per_part):
-            steps = steps.unionByName(scaled.mapInArrow(_gradient(part, 2.0 / total), GRADIENT))
+        parts = termparts.PairParts(classes, weights, per_part)
+        for part in parts:
+            steps = steps.unionByName(parts.through(scaled, part, partial(_gradient, share=2.0 / total), GRADIENT))
         summed = steps.groupBy("class", "term").agg(*[F.sum(c).alias(c) for c in ("w", "weight", "g")])
         new = F.col("weight") - (F.col("g") + ridge * F.col("weight")) / (1 + ridge)
         weights = cut_lineage(summed.withColumn("new", new).select(
@@ -100,6 +103,12 @@ def fit_linear(rows: DataFrame, label: str, settings: int = 1, rounds: int = ROU
     return LinearModel(scales, classes, final, settings, per_part)
 
 
+def _added(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with its sum."""
+    pair, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return pair, np.bincount(place, weights=np.concatenate(sums), minlength=len(pair))
+
+
 def _gradient(part: termparts.Part, share: float):
     """Each task's sums of the loss's derivative by the weights of the part's classes."""
     labels = pa.array(part.constants["label"].tolist(), pa.string())
@@ -109,27 +118,32 @@ def _gradient(part: termparts.Part, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in termparts.gathered(batches, "terms"):
             row, term, value = termparts.entries_of(batch.column("terms"), "weight")
-            if not len(row):
-                continue
             coded = term.dictionary_encode()
             at, theirs = coded.indices.to_numpy().astype(np.int64), _settings(coded.dictionary)
             truth = pc.index_in(batch.column("label"), value_set=labels.unique()).fill_null(-1).to_numpy(zero_copy_only=False)
-            keys, sums = [], []
+            keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
             upto = np.searchsorted(row, np.arange(batch.num_rows + 1))
             for some, z in termparts.class_scores(batch, part, "weight", lambda rows: -1.0):
                 mine = truth[some, None] == code[None, :]
                 pull = share * np.where(mine, -np.maximum(1 - z, 0), np.maximum(1 + z, 0))
-                who, of = np.nonzero(pull)
-                many = (upto[some.start + 1:some.stop + 1] - upto[some])[who]
-                each = np.repeat(np.arange(len(who)), many)
-                entry = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + upto[some.start + who][each]
-                of, own = of[each], theirs[at[entry]]
-                seen = (own < 0) | (own == setting[of])
-                pair, place = np.unique((at[entry] * len(labels) + of)[seen], return_inverse=True)
-                keys.append(pair)
-                sums.append(np.bincount(place, weights=(pull[who[each], of] * value[entry])[seen], minlength=len(pair)))
-            pair, place = np.unique(np.concatenate(keys), return_inverse=True)
-            g = np.bincount(place, weights=np.concatenate(sums), minlength=len(pair))
+                pulled, by = np.nonzero(pull)
+                sizes = (upto[some.start + 1:some.stop + 1] - upto[some])[pulled]
+                # Runs of pulls with a bounded number of entries, or one pull.
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                start = 0
+                while start < len(pulled):
+                    stop = max(start + 1, int(np.searchsorted(ends, ends[start] + termparts.VALUES, side="right")) - 1)
+                    who, of, many = pulled[start:stop], by[start:stop], sizes[start:stop]
+                    start = stop
+                    each = np.repeat(np.arange(len(who)), many)
+                    entry = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + upto[some.start + who][each]
+                    of, own = of[each], theirs[at[entry]]
+                    seen = (own < 0) | (own == setting[of])
+                    keys.append((at[entry] * len(labels) + of)[seen])
+                    sums.append((pull[who[each], of] * value[entry])[seen])
+                    if sum(map(len, keys)) > 4 * termparts.VALUES:
+                        keys, sums = ([x] for x in _added(keys, sums))
+            pair, g = _added(keys, sums)
             zeros = pa.array(np.zeros(len(pair)))
             yield pa.RecordBatch.from_arrays(
                 [part.names.take(pa.array(pair % len(labels))), coded.dictionary.take(pa.array(pair // len(labels))).cast(pa.string()), zeros, zeros, pa.array(g)],

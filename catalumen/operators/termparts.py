@@ -1,10 +1,11 @@
 """Sparse rows and models over terms, one bounded part of a model at a time.
 
 A record keeps its terms in its own row, as ``array<struct<term, tf>>`` or with a
-weight in place of the count. Vocabularies and class weights are written tables;
-each pass over the records looks up one part of them inside the rows, in place
-and without a shuffle. No row is made for a record and a term, or for a record,
-a term and a class.
+weight in place of the count. Vocabularies and class weights are written tables.
+A small one is shipped to the tasks and looked up inside the rows. A large one
+never reaches the driver or a task as a whole: records are packed, each pack asks
+for its distinct terms, and the table's rows for them come back to the pack. No
+row is made for a record and a term, or for a record, a term and a class.
 """
 
 from __future__ import annotations
@@ -14,42 +15,58 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalumen.session import cut_lineage
-
-# Terms of a vocabulary, and pairs of a class and a term, that a task holds at once.
-PART_TERMS = 2_000_000
-PART_PAIRS = 4_000_000
+# Terms of a vocabulary, and pairs of a class and a term, that are shipped to the tasks; larger tables are exchanged.
+PART_TERMS = 300_000
+PART_PAIRS = 300_000
+# Classes that an exchange brings back at once.
+CLASSES = 1_000
 # Entries that are looked up together, and values of one intermediate array.
-ENTRIES = 1_000_000
-VALUES = 4_000_000
+ENTRIES = 250_000
+VALUES = 1_000_000
+# Entries that are counted together or packed for an exchange, and rows of a table in one bucket of it.
+PACKED = 1_000_000
+BUCKET_ROWS = 200_000
 
+COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 WEIGHTED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches joined until ``column`` holds about ``ENTRIES`` entries, so that a part is looked up a few times only."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut and joined so that ``column`` holds up to ``ENTRIES`` entries, or one row: a bounded piece, however long batches and rows are."""
+    most = most or ENTRIES
     held: list[pa.RecordBatch] = []
     entries = 0
     for batch in batches:
-        held.append(batch)
-        entries += len(batch.column(column).flatten())
-        if entries >= ENTRIES:
-            yield pa.concat_batches(held)
-            held, entries = [], 0
+        # An empty row counts as well, so that rows without entries are bounded too.
+        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 1
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        start = 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(upto, upto[start] + most - entries, side="right")) - 1
+            if stop <= start and not held:
+                stop = start + 1
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                entries += int(upto[stop] - upto[start])
+                start = stop
+            if start < batch.num_rows or entries >= most:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, entries = [], 0
     if held:
         yield pa.concat_batches(held)
 
 
-def entries_of(column: pa.Array, value: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def entries_of(column: pa.Array, value: str | None) -> tuple[np.ndarray, pa.Array, np.ndarray | None]:
     """Row, term and value of every entry of a batch of sparse rows; a null row has none."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
     return (np.repeat(np.arange(len(column)), lengths), flat.field("term"),
-            flat.field(value).to_numpy(zero_copy_only=False).astype(np.float64))
+            None if value is None else flat.field(value).to_numpy(zero_copy_only=False).astype(np.float64))
 
 
 def sparse_column(rows: np.ndarray, terms: pa.Array, weights: np.ndarray, n: int) -> pa.Array:
@@ -64,13 +81,134 @@ def replaced(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, .
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], [*names, *new])
 
 
-def term_parts(terms: DataFrame, columns: list[str], per_part: int | None = None) -> list[DataFrame]:
-    """The rows of a vocabulary in parts of about ``PART_TERMS`` by the hash of the term; of one part, the table itself."""
-    parts = max(1, -(-terms.count() // (per_part or PART_TERMS)))
-    chosen = terms.select("term", *columns)
-    if parts == 1:
-        return [chosen]
-    return [chosen.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i) for i in range(parts)]
+def _blob(batch: pa.RecordBatch | pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _buckets(terms: pa.Array, n: int) -> np.ndarray:
+    """An even bucket for each term, by its bytes."""
+    terms = terms.cast(pa.large_binary())
+    if not len(terms):
+        return np.zeros(0, np.int32)
+    ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset:terms.offset + len(terms) + 1]
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].astype(np.uint64)
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    mixed = (data + np.uint64(1)) * ((place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed ^ (mixed >> np.uint64(29)), dtype=np.uint64)])
+    value = (sums[ends[1:]] - sums[ends[:-1]]) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((value >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
+
+
+def _dealt(block: pa.Table, n: int) -> Iterator[tuple[int, pa.Table]]:
+    """A block's rows by the bucket of their term, in term order, which compresses well."""
+    block = block.append_column("__bucket", pa.array(_buckets(block.column("term").combine_chunks(), n)))
+    block = block.sort_by([("__bucket", "ascending"), ("term", "ascending")])
+    bucket = block.column("__bucket").to_numpy()
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for start, stop in zip(starts, [*starts[1:], len(bucket)]):
+        yield int(bucket[start]), block.slice(start, stop - start).drop_columns("__bucket")
+
+
+def _many(rows: DataFrame) -> int:
+    return max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def term_totals(rows: DataFrame) -> DataFrame:
+    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket."""
+    n = _many(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, "terms", PACKED):
+            _, term, tf = entries_of(batch.column("terms"), "tf")
+            coded = term.cast(pa.string()).dictionary_encode()
+            at = coded.indices.to_numpy()
+            block = pa.table({"term": coded.dictionary, "df": np.bincount(at, minlength=len(coded.dictionary)),
+                              "total_tf": np.bincount(at, weights=tf, minlength=len(coded.dictionary)).astype(np.int64)})
+            del coded, at, term, tf
+            buckets, blobs = [], []
+            for bucket, part in _dealt(block, n):
+                buckets.append(bucket)
+                blobs.append(_blob(part))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "block"])
+
+    def add(group: pa.Table) -> pa.Table:
+        whole = pa.concat_tables([_table(b.as_py()) for b in group.column("block")])
+        return whole.group_by("term").aggregate([("df", "sum"), ("total_tf", "sum")]).rename_columns(["term", "df", "total_tf"])
+
+    return rows.select("terms").mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(add, "term string, df long, total_tf long")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Callable], schema: T.StructType | str, column: str = "terms",
+              most: int | None = None) -> DataFrame:
+    """``rows`` through ``make(part)``, a function on batches, where ``part`` holds the rows of ``table`` for all terms of these batches.
+
+    Up to ``most`` rows of the table are shipped. Beyond that, packs of records and
+    buckets of terms are exchanged: neither the driver nor a task holds more than
+    a pack with its part, or a bucket. ``table`` is written and may hold a term several times.
+    """
+    held = table.count()
+    if held <= (most or PART_TERMS):
+        return rows.mapInArrow(make(table.toArrow()), schema)
+    n = max(_many(rows), -(-held // BUCKET_ROWS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for nth, batch in enumerate(gathered(batches, column, PACKED)):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), pa.array([_blob(batch)], pa.binary())], ["pack", "records"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, records in zip(batch.column("pack").to_pylist(), batch.column("records")):
+                terms = entries_of(_table(records.as_py()).column(column).combine_chunks(), None)[1]
+                for bucket, block in _dealt(pa.table({"term": pc.unique(terms.cast(pa.string()))}), n):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket], pa.int32()), pa.array([name]), pa.array([_blob(block)], pa.binary())], ["bucket", "pack", "asked"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, block in _dealt(pa.Table.from_batches([batch]), n):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_blob(block)], pa.binary())], ["bucket", "block"])
+
+    def answer(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        names, found = [], []
+        if blocks.num_rows and asked.num_rows:
+            own = pa.concat_tables([_table(b.as_py()) for b in blocks.column("block")]).combine_chunks()
+            coded = own.column("term").combine_chunks().dictionary_encode()
+            code = coded.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+            for name, some in zip(asked.column("pack").to_pylist(), asked.column("asked")):
+                at = pc.index_in(_table(some.as_py()).column("term").combine_chunks(), value_set=coded.dictionary).drop_null().to_numpy()
+                many = starts[at + 1] - starts[at]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[at], many)
+                if len(place):
+                    names.append(name)
+                    found.append(_blob(own.take(pa.array(order[place]))))
+        return pa.table({"pack": pa.array(names, pa.string()), "found": pa.array(found, pa.binary())})
+
+    empty = table.limit(0).toArrow()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for records, found in zip(batch.column("records"), batch.column("found")):
+                parts = [_table(b.as_py()).cast(empty.schema) for b in found.values or ()]
+                yield from make(pa.concat_tables([empty, *parts]).combine_chunks())(iter(_table(records.as_py()).to_batches()))
+
+    # Both uses of the packs read one exchange.
+    packs = rows.mapInArrow(pack, "pack string, records binary").repartition("pack")
+    asked = packs.mapInArrow(ask, "bucket int, pack string, asked binary")
+    blocks = table.mapInArrow(deal, "bucket int, block binary")
+    answers = blocks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "pack string, found binary")
+    found = answers.groupBy("pack").agg(F.collect_list("found").alias("found"))
+    return packs.join(found, "pack", "left").select("records", "found").mapInArrow(apply, schema)
 
 
 def weigh(rows: DataFrame, terms: DataFrame, weight: str, sublinear: bool = False, unit: bool = True, value: str = "tf",
@@ -78,18 +216,12 @@ def weigh(rows: DataFrame, terms: DataFrame, weight: str, sublinear: bool = Fals
     """``rows`` with ``terms`` as ``array<struct<term, weight>>``: known terms only, ``tf`` times the term's ``weight``.
 
     ``sublinear`` takes 1 + ln(tf) in place of tf; ``unit`` brings each row to
-    length one. ``terms`` holds a term once. Entries keep their order within
-    a part; between the passes for the parts of a large vocabulary the rows are written.
+    length one. ``terms`` is written and holds a term once; more than ``per_part`` are
+    exchanged, see ``looked_up``. Entries keep their order.
     """
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "terms"],
-                           T.StructField("rest", rows.schema["terms"].dataType), T.StructField("terms", WEIGHTED)])
-    out = rows.withColumnRenamed("terms", "rest").withColumn("terms", F.lit(None).cast(WEIGHTED)).select(schema.names)
-    parts = term_parts(terms, [weight], per_part)
-    for nth, part in enumerate(parts):
-        if nth:
-            out = cut_lineage(out, "weighed")
-        out = out.mapInArrow(_weighing(part.toArrow(), weight, value, sublinear, unit and nth == len(parts) - 1), schema)
-    return out.drop("rest")
+    kept = [c for c in rows.columns if c != "terms"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("terms", WEIGHTED)])
+    return looked_up(rows, terms.select("term", weight), lambda part: _weighing(part, weight, value, sublinear, unit), schema, "terms", per_part)
 
 
 def _weighing(part: pa.Table, weight: str, value: str, sublinear: bool, unit: bool):
@@ -97,47 +229,34 @@ def _weighing(part: pa.Table, weight: str, value: str, sublinear: bool, unit: bo
     weights = part.column(weight).to_numpy().astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "rest"):
-            row, term, counted = entries_of(batch.column("rest"), value)
+        for batch in gathered(batches, "terms"):
+            row, term, counted = entries_of(batch.column("terms"), value)
             at = pc.index_in(term, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
             known = np.flatnonzero(at >= 0)
             found = (1 + np.log(counted[known]) if sublinear else counted[known]) * weights[at[known]]
             row, term = row[known], term.take(pa.array(known))
-            earlier_row, earlier_term, earlier = entries_of(batch.column("terms"), "weight")
-            if len(earlier):
-                order = np.argsort(np.concatenate([earlier_row, row]), kind="stable")
-                row = np.concatenate([earlier_row, row])[order]
-                term = pa.concat_arrays([earlier_term.cast(pa.string()), term.cast(pa.string())]).take(pa.array(order))
-                found = np.concatenate([earlier, found])[order]
             if unit:
                 length = np.sqrt(np.bincount(row, weights=found * found, minlength=batch.num_rows))
                 found = found / np.maximum(length[row], np.finfo(float).tiny)
-            made = replaced(batch, {"terms": sparse_column(row, term, found, batch.num_rows)})
-            yield made.select([n for n in batch.schema.names])
+            yield replaced(batch, {"terms": sparse_column(row, term, found, batch.num_rows)})
 
     return run
 
 
 class PairParts:
-    """Weights ``(class, term, ...)`` in parts of whole classes, in class order and about ``PART_PAIRS`` rows each.
+    """Weights ``(class, term, weight)`` in passes of whole classes, in class order, up to ``CLASSES`` each; one pass if they are few.
 
-    ``classes`` has one row for each class, also for those without a pair. A
-    part holds at least one class, which has at most a pair for each term.
+    ``classes`` has one row for each class, also for those without a pair; both are written.
     """
 
     def __init__(self, classes: DataFrame, pairs: DataFrame, per_part: int | None = None):
-        self.classes, self.pairs = classes, pairs
-        most = per_part or PART_PAIRS
-        sizes = classes.select("class").join(pairs.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class", "left")
+        self.classes, self.pairs, self.most = classes, pairs.select("class", "term", "weight"), per_part or PART_PAIRS
+        names = classes.select("class").orderBy("class")
         self.ranges: list[tuple] = []
-        held = most
+        each = min(CLASSES, max(1, self.most // 10))
         # Streams class by class; only the ends of the ranges stay.
-        for r in sizes.select("class", (F.coalesce("n", F.lit(0)) + 1).alias("n")).orderBy("class").toLocalIterator():
-            if held + r["n"] > most:
-                self.ranges.append((r["class"], r["class"]))
-                held = 0
-            held += r["n"]
-            self.ranges[-1] = (self.ranges[-1][0], r["class"])
+        for nth, r in enumerate(names.toLocalIterator()):
+            self.ranges[nth // each:] = [(self.ranges[-1][0] if nth % each else r["class"], r["class"])]
         if not self.ranges:
             raise ValueError("no class has a training record")
         self.kind = classes.schema["class"].dataType
@@ -145,12 +264,17 @@ class PairParts:
     def __len__(self) -> int:
         return len(self.ranges)
 
-    def __iter__(self) -> Iterator[Part]:
+    def __iter__(self) -> Iterator[tuple[pa.Table, DataFrame]]:
+        """The classes of each pass and their pairs."""
         for low, high in self.ranges:
             own = F.col("class").between(F.lit(low), F.lit(high))
             whole = len(self.ranges) == 1
-            classes = (self.classes if whole else self.classes.filter(own)).toArrow().sort_by("class")
-            yield Part(classes, (self.pairs if whole else self.pairs.filter(own)).toArrow())
+            yield (self.classes if whole else self.classes.filter(own)).toArrow().sort_by("class"), self.pairs if whole else self.pairs.filter(own)
+
+    def through(self, rows: DataFrame, own: tuple[pa.Table, DataFrame], make: Callable[[Part], Callable], schema: T.StructType | str) -> DataFrame:
+        """``rows`` through ``make(part)`` for the classes of one pass."""
+        classes, pairs = own
+        return looked_up(rows, pairs, lambda found: make(Part(classes, found)), schema, "terms", self.most)
 
 
 class Part:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,38 @@ HISTOGRAM = 4_096
 
 
 def sparse_rows(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``(key, keep..., terms)``: one row per record with its terms and their counts, without a shuffle.
+    """``(key, keep..., terms)``: one row per record with its terms in order and their counts, null without any; no shuffle.
 
     ``keep`` names further columns of the record to carry along, such as its split.
     """
     own = [key, *(keep or [])]
-    base = docs.select(*own, tokens.alias("__tokens"))
-    terms = F.concat("__tokens", text.bigrams(F.col("__tokens"))) if with_bigrams else F.col("__tokens")
-    return base.select(*own, text.count_terms(terms).alias("terms"))
+    base = docs.select(*own, tokens.alias("terms"))
+    schema = T.StructType([*[base.schema[c] for c in own], T.StructField("terms", termparts.COUNTS)])
+    return base.mapInArrow(_term_counts(with_bigrams), schema)
+
+
+def _term_counts(with_bigrams: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in termparts.gathered(batches, "terms"):
+            tokens = batch.column("terms")
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            row, term = np.repeat(np.arange(batch.num_rows), lengths), tokens.flatten().cast(pa.string())
+            if with_bigrams:
+                first = np.flatnonzero(row[:-1] == row[1:])
+                pairs = pc.binary_join_element_wise(term.take(pa.array(first)), term.take(pa.array(first + 1)), " ")
+                row, term = np.concatenate([row, row[first]]), pa.concat_arrays([term, pairs])
+            coded = term.dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            entry, tf = np.unique(row * max(1, len(order)) + place[coded.indices.to_numpy()], return_counts=True)
+            row, at = np.divmod(entry, max(1, len(order)))
+            entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(order[at])), pa.array(tf.astype(np.int64))], names=["term", "tf"])
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            counted = pa.ListArray.from_arrays(pa.array(ends), entries, mask=pa.array(np.diff(ends) == 0))
+            yield termparts.replaced(batch, {"terms": counted})
+
+    return run
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
@@ -43,13 +68,14 @@ def exploded(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
-    """``(term, df, total_tf)`` from training counts; the cap keeps the most frequent terms.
+    """``(term, df, total_tf)`` from training counts, or from sparse rows; the cap keeps the most frequent terms.
 
-    Terms as frequent as the last one kept go in by their order. The cut is found
+    Sparse rows are counted in blocks where they lie, which shuffles far less than a row for each record and term. Terms as frequent as the last one kept go in by their order. The cut is found
     from histograms of the counts, and only terms at the cut are ranked.
     """
-    terms = counts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")).filter(F.col("df") >= min_df)
+    totals = termparts.term_totals(counts) if "terms" in counts.columns else counts.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    terms = totals.filter(F.col("df") >= min_df)
     return terms if max_terms is None else most_frequent(cut_lineage(terms, "terms"), "total_tf", "term", max_terms)
 
 
@@ -93,8 +119,8 @@ def idf_table(terms: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def tfidf_rows(rows: DataFrame, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
-    """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; looked up inside the rows, without a shuffle."""
-    return termparts.weigh(rows, cut_lineage(idf_table(terms, n_docs), "idf"), "idf", sublinear)
+    """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; see ``termparts.weigh``. ``terms`` is written."""
+    return termparts.weigh(rows, idf_table(terms, n_docs), "idf", sublinear)
 
 
 def tfidf(rows: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
@@ -140,16 +166,14 @@ class NaiveBayes:
     def lengths(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``__length``, the tokens that the vocabulary knows."""
         out = rows.withColumn("__length", F.lit(0.0))
-        for nth, part in enumerate(termparts.term_parts(self.terms, [], self.per_part)):
-            out = (cut_lineage(out, "nb-lengths") if nth else out).mapInArrow(_counting(part.toArrow()), out.schema)
-        return out
+        return termparts.looked_up(out, self.terms, _counting, out.schema, "terms", self.per_part)
 
     def fold(self, rows: DataFrame) -> DataFrame:
         """``rows`` with their lengths and their states over all classes, see ``classparts``."""
         out = self.lengths(rows)
         schema = T.StructType([*out.schema.fields, *classparts._state_type(self.parts.kind)])
         for nth, part in enumerate(self.parts):
-            out = (cut_lineage(out, "nb-states") if nth else out).mapInArrow(_folding(part, nth == 0), schema)
+            out = self.parts.through(cut_lineage(out, "nb-states") if nth else out, part, partial(_folding, first=nth == 0), schema)
         return out
 
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
@@ -162,7 +186,7 @@ class NaiveBayes:
             key, "terms", "__length", "__top", F.col("__mass")[0].alias("__mass")), "nb-scores")
         kind, result = self.parts.kind.simpleString(), None
         for part in self.parts:
-            found = states.mapInArrow(_spelling(part, key), f"{key} {states.schema[key].dataType.simpleString()}, class {kind}, score double, probability double")
+            found = self.parts.through(states, part, partial(_spelling, key=key), f"{key} {states.schema[key].dataType.simpleString()}, class {kind}, score double, probability double")
             result = found if result is None else result.unionByName(found)
         return result
 

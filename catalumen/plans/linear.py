@@ -59,7 +59,7 @@ def brand_rows(spark, sf_dir) -> DataFrame:
     words = text.word_tokens(F.concat_ws(" ", "p_name", "p_type"))
     rows = cut_lineage(textmodel.sparse_rows(parts, "p_partkey", words, True, ["p_brand", "split"]), "sparse-rows")
     train = rows.filter(F.col("split") == "train")
-    terms = textmodel.vocabulary(textmodel.exploded(train), 2)
+    terms = cut_lineage(textmodel.vocabulary(train, 2), "brand-terms")
     return cut_lineage(textmodel.tfidf_rows(rows, terms, train.agg(F.count(F.lit(1))).scalar(), True), "brand-rows")
 
 
@@ -133,7 +133,7 @@ def joined_rows(spark, sf_dir) -> DataFrame:
         (split_of("doc_id") == "train") & F.col("lang").isNotNull())
     source = cut_lineage(textmodel.sparse_rows(docs, "doc_id", text.word_tokens(F.col("text")), keep=["lang"]), "sparse-rows")
     counts = textmodel.exploded(source)
-    known = cut_lineage(textmodel.vocabulary(counts, 2), "source-terms")
+    known = cut_lineage(textmodel.vocabulary(source, 2), "source-terms")
     frozen = textmodel.NaiveBayes(known, *textmodel.fit_naive_bayes(counts, known, source, "lang"))
 
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 1_000 + F.col("turn")).withColumn("split", split_of("k"))
@@ -143,7 +143,7 @@ def joined_rows(spark, sf_dir) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("class", "probability"))).alias("z")), "carried")
     train = rows.filter(F.col("split") == "train")
     permuted = ranking.permute_column(train.select("k").join(carried, "k"), "k", "z", PERMUTATION_SEED).select("k", F.col("z").alias("control"))
-    terms = textmodel.vocabulary(textmodel.exploded(train), 2)
+    terms = cut_lineage(textmodel.vocabulary(train, 2), "turn-terms")
     weighed = textmodel.tfidf_rows(rows, terms, train.agg(F.count(F.lit(1))).scalar(), True)
     both = weighed.join(carried, "k").join(permuted, "k", "left")
 

@@ -219,14 +219,17 @@ def tokens_for(variant: str):
 
 
 def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
-    """Texts are tokenised once; vocabulary and weights both start from the written rows, which stay whole."""
+    """Vocabulary and weights each tokenise the texts: written rows of words and word pairs take more than the texts."""
     options = TFIDF_VARIANTS[variant]
-    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
-    rows = cut_lineage(textmodel.sparse_rows(docs, "doc_id", tokens_for(variant), options["bigrams"], ["split"]), "sparse-rows")
-    train = rows.filter(F.col("split") == "train")
-    terms = cut_lineage(textmodel.vocabulary(textmodel.exploded(train), options["min_df"], options["cap"]))
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text")
+    train = docs.filter(split_of("doc_id") == "train")
+
+    def rows(of: DataFrame) -> DataFrame:
+        return textmodel.sparse_rows(of, "doc_id", tokens_for(variant), options["bigrams"])
+
+    terms = cut_lineage(textmodel.vocabulary(rows(train), options["min_df"], options["cap"]))
     n_docs = train.agg(F.count(F.lit(1))).scalar()
-    return textmodel.tfidf_rows(rows.select("doc_id", "terms"), terms, n_docs, options["sublinear"])
+    return textmodel.tfidf_rows(rows(docs), terms, n_docs, options["sublinear"])
 
 
 def _register_tfidf(variant: str) -> None:
@@ -281,10 +284,10 @@ def nb_model(spark: SparkSession, sf_dir: str):
     docs = text_table(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
     rows = cut_lineage(textmodel.sparse_rows(
         docs, "doc_id", text.word_tokens(F.col("text")), keep=["split", "quality"]), "sparse-rows")
-    train_counts = textmodel.exploded(rows.filter(F.col("split") == "train"))
-    terms = cut_lineage(textmodel.vocabulary(train_counts, 2))
+    train = rows.filter(F.col("split") == "train")
+    terms = cut_lineage(textmodel.vocabulary(train, 2))
     classes, weights = textmodel.fit_naive_bayes(
-        train_counts, terms, labels.filter(F.col("split") == "train"), "quality")
+        textmodel.exploded(train), terms, labels.filter(F.col("split") == "train"), "quality")
     return labels, rows, textmodel.NaiveBayes(terms, classes, weights)
 
 

@@ -213,3 +213,51 @@ def test_vocabulary_cap_keeps_the_most_frequent(spark, monkeypatch, most):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
     assert textmodel.most_frequent(df.limit(0), "total_tf", "term", most).count() == 0
+
+
+def test_pieces_of_batches_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(termparts, "ENTRIES", 10)
+    lists = [[1] * n for n in (3, 3, 30, 0, 0, 1)] + [[]] * 25 + [None, [1, 2]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[i:i + 20], pa.list_(pa.int64()))], ["x"]) for i in (0, 20)]
+    pieces = list(termparts.gathered(iter(batches), "x"))
+    assert [v for p in pieces for v in p.column("x").to_pylist()] == lists
+    sizes = [sum(len(v or []) + 1 for v in p.column("x").to_pylist()) for p in pieces]
+    assert all(size <= 10 or len(p) == 1 for size, p in zip(sizes, pieces)) and len(pieces) < len(lists) / 2
+
+
+def test_counts_of_terms_equal_a_counter(spark):
+    from collections import Counter
+
+    texts = [(1, "a b a b a"), (2, None), (3, ""), (4, "\u00e4 z Z"), (4, "b")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    rows = textmodel.sparse_rows(df, "id", text.space_tokens(F.col("t")), True)
+    want = []
+    for i, t in texts:
+        words = (t or "").split()
+        counts = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        want.append((i, sorted(counts.items(), key=lambda x: x[0].encode()) or None))
+    assert sorted(((r["id"], r["terms"] and [tuple(e) for e in r["terms"]]) for r in rows.collect()), key=str) == sorted(want, key=str)
+    totals = {tuple(r) for r in textmodel.vocabulary(rows).collect()}
+    assert totals == {tuple(r) for r in textmodel.vocabulary(textmodel.exploded(rows)).collect()} and ("a", 1, 3) in totals and ("b", 2, 3) in totals
+
+
+def test_large_tables_are_exchanged_and_written_once(spark, monkeypatch):
+    """A vocabulary of many parts is neither sent through the driver nor are the rows written again for each part."""
+    df = spark.createDataFrame([(i, f"w{i % 50} w{i % 7} same") for i in range(400)], "id long, t string").repartition(3)
+    rows = textmodel.sparse_rows(df, "id", text.space_tokens(F.col("t")), True).cache()
+    terms = textmodel.vocabulary(rows, 1).cache()
+    whole = {r["id"]: r["terms"] for r in textmodel.tfidf_rows(rows, terms, F.lit(400), True).collect()}
+    monkeypatch.setattr(termparts, "PART_TERMS", 5)
+    monkeypatch.setattr(termparts, "PACKED", 60)
+    monkeypatch.setattr(termparts, "BUCKET_ROWS", 10)
+    sent, collect = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    parts = textmodel.tfidf_rows(rows, terms, F.lit(400), True)
+    got = {r["id"]: r["terms"] for r in parts.collect()}
+    assert got.keys() == whole.keys() and terms.count() > 50
+    for i, entries in whole.items():
+        assert [e["term"] for e in got[i]] == [e["term"] for e in entries]
+        assert [e["weight"] for e in got[i]] == pytest.approx([e["weight"] for e in entries])
+    assert sum(len(t) for t in sent) <= 5

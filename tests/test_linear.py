@@ -102,3 +102,56 @@ def test_no_labels_and_no_terms(spark):
     rows = spark.createDataFrame([(1, "x", []), (2, "y", [("a", 1.0)]), (3, "y", None)], rows.schema)
     model = linear.fit_linear(rows, "label", rounds=3)
     assert {r["id"]: r["pred"] for r in model.predict(rows, "id").collect()} == {1: "x", 2: "y", 3: "x"}
+
+
+def test_weights_stay_out_of_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((80, 30)) * (rng.random((80, 30)) < 0.3)
+    y = [f"c{i % 4}" for i in range(80)]
+    names = [f"t{j:02d}" for j in range(30)]
+    rows = sparse(spark, x, names, range(80), y)
+    want = {r["id"]: (r["pred"], r["score"]) for r in linear.fit_linear(rows, "label", rounds=4).predict(rows, "id").collect()}
+    monkeypatch.setattr(termparts, "PART_TERMS", 10)
+    monkeypatch.setattr(termparts, "PART_PAIRS", 20)
+    monkeypatch.setattr(termparts, "PACKED", 50)
+    sent, collect = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    got = {r["id"]: (r["pred"], r["score"]) for r in linear.fit_linear(rows, "label", rounds=4).predict(rows, "id").collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert [got[i][1] for i in want] == pytest.approx([s for _, s in want.values()])
+    assert max(len(t) for t in sent if "term" in t.column_names) <= 20
+
+
+def test_pulls_are_added_up_in_bounded_runs(monkeypatch):
+    """Records of many entries that push at many classes at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(termparts, "VALUES", 1_000)
+    rng = np.random.default_rng(7)
+    classes, names = 40, [f"t{j}" for j in range(30)]
+    labels = pa.table({"class": [f"000|c{k:02d}" for k in range(classes)], "label": [f"c{k:02d}" for k in range(classes)], "setting": [0] * classes})
+    w = rng.random((30, classes))
+    w[3:] = 0
+    pairs = pa.table({
+        "class": [f"000|c{k:02d}" for j in range(3) for k in range(classes)], "term": [names[j] for j in range(3) for k in range(classes)],
+        "weight": [w[j, k] for j in range(3) for k in range(classes)]})
+    x = rng.random((50, 30))
+    y = [f"c{i % classes:02d}" for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"label": y, "terms": [[{"term": n, "weight": v} for n, v in zip(names, row)] for row in x]})
+    longest, repeat = [0], np.repeat
+
+    def watched(a, n, *rest, **named):
+        out = repeat(a, n, *rest, **named)
+        longest[0] = max(longest[0], len(out))
+        return out
+
+    monkeypatch.setattr(np, "repeat", watched)
+    got = {}
+    for b in linear._gradient(termparts.Part(labels, pairs), 0.1)(iter([batch])):
+        for r in b.to_pylist():
+            got[r["class"], r["term"]] = got.get((r["class"], r["term"]), 0) + r["g"]
+    z = -1 + x @ w
+    own = np.array([[label == f"c{k:02d}" for k in range(classes)] for label in y])
+    want = x.T @ (0.1 * np.where(own, -np.maximum(1 - z, 0), np.maximum(1 + z, 0)))
+    assert got == pytest.approx({(f"000|c{k:02d}", n): want[j, k] for j, n in enumerate(names) for k in range(classes)})
+    assert longest[0] <= 1_500
