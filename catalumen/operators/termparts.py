@@ -26,10 +26,10 @@ PART_PAIRS = 300_000
 # Classes that an exchange brings back at once.
 CLASSES = 1_000
 # Entries that are looked up together, and values of one intermediate array.
-ENTRIES = 250_000
+ENTRIES = 150_000
 VALUES = 1_000_000
 # Entries that are counted together or packed for an exchange, and rows of a table in one bucket of it.
-PACKED = 1_000_000
+PACKED = 400_000
 BUCKET_ROWS = 200_000
 
 COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
@@ -57,6 +57,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int | None =
             if start < batch.num_rows or entries >= most:
                 yield pa.concat_batches(held) if len(held) > 1 else held[0]
                 held, entries = [], 0
+                # The pool would keep what the last piece needed, in every worker.
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
