@@ -72,7 +72,7 @@ def listing_blocks(spark, sf_dir):
     v = F.parse_json("raw")
     blocks = rows.select(
         "o_orderkey", images.referenced_count(F.col("main"), F.col("others")).alias("claimed"), jsontext.structure_block(v, FIELDS).alias("b"),
-        *[F.coalesce(jsontext.has_content(F.to_json(F.try_variant_get(v, f"$.{f}", "variant"))), F.lit(False)).alias(f"{f}_filled") for f in ("note", "tags")])
+        *[jsontext.variant_has_content(F.try_variant_get(v, f"$.{f}", "variant")).alias(f"{f}_filled") for f in ("note", "tags")])
     mark = F.transform("other_images", lambda r: F.concat(r["image_id"], F.when(r["physical_file_available"], "+").when(r["metadata_available"], "-").otherwise("?")))
 
     def spelled(column):

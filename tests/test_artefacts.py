@@ -155,3 +155,10 @@ def test_totals_are_kept_without_a_call_for_each_group(spark, tmp_path):
     assert operators == {"dedupe", "stateStoreSave"}
     got = {r["group"]: (r["records"], r["malformed"], r["total"], r["batches"]) for r in incremental.latest_totals(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": (2, 0, 1.0, 1), None: (1, 1, 2.0, 1)}
+
+
+def test_content_of_variants_equals_that_of_json(spark):
+    values = ['"x"', '""', '" \\u2003\\u001c"', '"\\u200b"', "0", "1.5", "1e300", "false", "null", "[]", "[null]", '["a"]', '[[" "]]', "{}", '{"a":null}', '{"a":[0]}', None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, raw string").withColumn("v", F.try_parse_json("raw"))
+    rows = df.select("raw", jsontext.variant_has_content(F.col("v")).alias("got"), F.coalesce(jsontext.has_content(F.to_json("v")), F.lit(False)).alias("want")).collect()
+    assert {r["raw"]: r["got"] for r in rows} == {r["raw"]: r["want"] for r in rows} and {r["got"] for r in rows} == {True, False}
