@@ -36,6 +36,8 @@ PART_WORDS = 60
 # Items of one pass over the documents, at most.
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
+# Text bytes of one piece of work: some sixty bytes of arrays stand for each of them at a time.
+SLICE_BYTES = 1 << 20
 VOCABULARY_BITS = 23
 # A filter does not look for items of fewer words: a single word or a phrase stands in clean documents as well.
 LEAST_WORDS = 5
@@ -373,7 +375,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             block = received(sent)
             of_item = pa.array(block.ids)
             for batch in batches:
-                for part in row_slices(batch, "text", 4 << 20):
+                for part in row_slices(batch, "text", SLICE_BYTES):
                     words = LetterRun(*flat_bytes(part.column("text")), block.letters)
                     got = list(matches(words, block))
                     if not got:
@@ -391,6 +393,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return found.withColumnsRenamed({"key": key, "item": item})
 
 
+def clean_rows(batches: Iterator[pa.RecordBatch], text: str, block: Block) -> Iterator[pa.RecordBatch]:
+    """The rows in whose text no item of the block is found."""
+    for batch in batches:
+        for part in row_slices(batch, text, SLICE_BYTES):
+            clean = np.ones(part.num_rows, bool)
+            clean[[m[0] for m in matches(LetterRun(*flat_bytes(part.column(text)), block.letters), block)]] = False
+            yield part.filter(pa.array(clean))
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in whose text no benchmark item of ``least_words`` words or more is found."""
     small_batches(docs.sparkSession)
@@ -398,12 +409,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_
     for sent in sent_blocks(benchmark, "item_id", "text", least_words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = received(sent)
-            for batch in batches:
-                for part in row_slices(batch, text, 4 << 20):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[m[0] for m in matches(LetterRun(*flat_bytes(part.column(text)), block.letters), block)]] = False
-                    yield part.filter(pa.array(clean))
+            yield from clean_rows(batches, text, received(sent))
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -195,3 +197,17 @@ def test_words_and_places_by_unicode():
     assert np.diff(run.upto).tolist() == [4, 9, 0, 2, 4]
     assert (D.words_of("ÜNÏ привет", LETTERS) == D.words_of("ünï ПРИВЕТ", LETTERS)).all()
     assert unicodedata.category("の")[0] == "L" and len(D.words_of("\ud800 a", LETTERS)) == 1
+
+
+def test_a_task_that_filters_holds_arrays_for_a_bounded_piece_only():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 5_000, 3_000)) for _ in range(400)]
+    block = D.block_of([(0, " ".join(f"item{i}" for i in range(12)))], LETTERS)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in D.clean_rows([batch], "text", block))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts)
+    assert sum(map(len, texts)) > 6 << 20
+    assert peak < 100 << 20
