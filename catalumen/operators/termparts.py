@@ -123,12 +123,15 @@ def _many(rows: DataFrame) -> int:
     return max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def term_totals(rows: DataFrame) -> DataFrame:
-    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket."""
+def term_totals(rows: DataFrame, first: Callable | None = None) -> DataFrame:
+    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket.
+
+    ``first`` makes the sparse rows of batches of ``rows`` in the same worker, so that a task needs one, not one a step.
+    """
     n = _many(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "terms", PACKED):
+        for batch in gathered((first or iter)(batches), "terms", PACKED):
             _, term, tf = entries_of(batch.column("terms"), "tf")
             coded = term.cast(pa.string()).dictionary_encode()
             at = coded.indices.to_numpy()
@@ -149,21 +152,24 @@ def term_totals(rows: DataFrame) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Callable], schema: T.StructType | str, column: str = "terms",
-              most: int | None = None) -> DataFrame:
+              most: int | None = None, first: Callable | None = None) -> DataFrame:
     """``rows`` through ``make(part)``, a function on batches, where ``part`` holds the rows of ``table`` for all terms of these batches.
 
     Up to ``most`` rows of the table are shipped. Beyond that, packs of records and
     buckets of terms are exchanged: neither the driver nor a task holds more than
     a pack with its part, or a bucket. ``table`` is written and may hold a term several times.
+    ``first`` makes the records of batches of ``rows`` in the same worker.
     """
+    first = first or iter
     held = table.count()
     if held <= (most or PART_TERMS):
-        return rows.mapInArrow(make(table.toArrow()), schema)
+        run = make(table.toArrow())
+        return rows.mapInArrow(lambda batches: run(first(batches)), schema)
     n = max(_many(rows), -(-held // BUCKET_ROWS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for nth, batch in enumerate(gathered(batches, column, PACKED)):
+        for nth, batch in enumerate(gathered(first(batches), column, PACKED)):
             yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), pa.array([_blob(batch)], pa.binary())], ["pack", "records"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +220,16 @@ def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Call
 
 
 def weigh(rows: DataFrame, terms: DataFrame, weight: str, sublinear: bool = False, unit: bool = True, value: str = "tf",
-          per_part: int | None = None) -> DataFrame:
+          per_part: int | None = None, first: Callable | None = None) -> DataFrame:
     """``rows`` with ``terms`` as ``array<struct<term, weight>>``: known terms only, ``tf`` times the term's ``weight``.
 
     ``sublinear`` takes 1 + ln(tf) in place of tf; ``unit`` brings each row to
     length one. ``terms`` is written and holds a term once; more than ``per_part`` are
-    exchanged, see ``looked_up``. Entries keep their order.
+    exchanged, see ``looked_up``, also for ``first``. Entries keep their order.
     """
     kept = [c for c in rows.columns if c != "terms"]
     schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("terms", WEIGHTED)])
-    return looked_up(rows, terms.select("term", weight), lambda part: _weighing(part, weight, value, sublinear, unit), schema, "terms", per_part)
+    return looked_up(rows, terms.select("term", weight), lambda part: _weighing(part, weight, value, sublinear, unit), schema, "terms", per_part, first)
 
 
 def _weighing(part: pa.Table, weight: str, value: str, sublinear: bool, unit: bool):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -28,10 +28,12 @@ def sparse_rows(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool =
     own = [key, *(keep or [])]
     base = docs.select(*own, tokens.alias("terms"))
     schema = T.StructType([*[base.schema[c] for c in own], T.StructField("terms", termparts.COUNTS)])
-    return base.mapInArrow(_term_counts(with_bigrams), schema)
+    return base.mapInArrow(counting(with_bigrams), schema)
 
 
-def _term_counts(with_bigrams: bool):
+def counting(with_bigrams: bool):
+    """A function on batches: the tokens of each record in ``terms`` become its sparse row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in termparts.gathered(batches, "terms"):
             tokens = batch.column("terms")
@@ -67,13 +69,13 @@ def exploded(rows: DataFrame) -> DataFrame:
     return rows.select(*own, F.explode("terms").alias("t")).select(*own, "t.*")
 
 
-def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
+def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None, first: Callable | None = None) -> DataFrame:
     """``(term, df, total_tf)`` from training counts, or from sparse rows; the cap keeps the most frequent terms.
 
     Sparse rows are counted in blocks where they lie, which shuffles far less than a row for each record and term. Terms as frequent as the last one kept go in by their order. The cut is found
-    from histograms of the counts, and only terms at the cut are ranked.
+    from histograms of the counts, and only terms at the cut are ranked. ``first`` makes the sparse rows, see ``termparts.term_totals``.
     """
-    totals = termparts.term_totals(counts) if "terms" in counts.columns else counts.groupBy("term").agg(
+    totals = termparts.term_totals(counts, first) if "terms" in counts.columns else counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     terms = totals.filter(F.col("df") >= min_df)
     return terms if max_terms is None else most_frequent(cut_lineage(terms, "terms"), "total_tf", "term", max_terms)
@@ -118,9 +120,9 @@ def idf_table(terms: DataFrame, n_docs: Column) -> DataFrame:
     return terms.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_rows(rows: DataFrame, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
+def tfidf_rows(rows: DataFrame, terms: DataFrame, n_docs: Column, sublinear: bool, first: Callable | None = None) -> DataFrame:
     """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; see ``termparts.weigh``. ``terms`` is written."""
-    return termparts.weigh(rows, idf_table(terms, n_docs), "idf", sublinear)
+    return termparts.weigh(rows, idf_table(terms, n_docs), "idf", sublinear, first=first)
 
 
 def tfidf(rows: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:

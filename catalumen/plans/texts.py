@@ -219,17 +219,18 @@ def tokens_for(variant: str):
 
 
 def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
-    """Vocabulary and weights each tokenise the texts: written rows of words and word pairs take more than the texts."""
+    """Vocabulary and weights each tokenise the texts, in the worker that counts or weighs: written rows of words and word pairs take more than the texts."""
     options = TFIDF_VARIANTS[variant]
     docs = text_table(spark, sf_dir, "documents", "doc_id", "text")
     train = docs.filter(split_of("doc_id") == "train")
 
-    def rows(of: DataFrame) -> DataFrame:
-        return textmodel.sparse_rows(of, "doc_id", tokens_for(variant), options["bigrams"])
+    def tokens(of: DataFrame) -> DataFrame:
+        return of.select("doc_id", tokens_for(variant).alias("terms"))
 
-    terms = cut_lineage(textmodel.vocabulary(rows(train), options["min_df"], options["cap"]))
+    counting = textmodel.counting(options["bigrams"])
+    terms = cut_lineage(textmodel.vocabulary(tokens(train), options["min_df"], options["cap"], counting))
     n_docs = train.agg(F.count(F.lit(1))).scalar()
-    return textmodel.tfidf_rows(rows(docs), terms, n_docs, options["sublinear"])
+    return textmodel.tfidf_rows(tokens(docs), terms, n_docs, options["sublinear"], counting)
 
 
 def _register_tfidf(variant: str) -> None:

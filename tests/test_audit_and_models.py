@@ -261,3 +261,28 @@ def test_large_tables_are_exchanged_and_written_once(spark, monkeypatch):
         assert [e["term"] for e in got[i]] == [e["term"] for e in entries]
         assert [e["weight"] for e in got[i]] == pytest.approx([e["weight"] for e in entries])
     assert sum(len(t) for t in sent) <= 5
+
+
+@pytest.mark.parametrize("shipped", [True, False])
+def test_tokens_are_counted_and_weighed_in_one_worker(spark, tmp_path, monkeypatch, shipped):
+    """A second Python step in a task would keep a second worker with its own batches and copies of them."""
+    from catalumen.plans import texts
+
+    documents = [(i, f"w{i % 50} w{i % 7} same same") for i in range(400)] + [(400, None), (401, "")]
+    spark.createDataFrame(documents, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    if not shipped:
+        monkeypatch.setattr(termparts, "PART_TERMS", 5)
+        monkeypatch.setattr(termparts, "PACKED", 60)
+        monkeypatch.setattr(termparts, "BUCKET_ROWS", 10)
+    plans, write = [], textmodel.cut_lineage
+    monkeypatch.setattr(textmodel, "cut_lineage", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    got = texts.tfidf_weights(spark, str(tmp_path), "tfidf_unigrams")
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("MapInArrow") == 1
+    assert not shipped or plans[-1].count("MapInArrow") == 1
+    rows = textmodel.sparse_rows(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", texts.tokens_for("tfidf_unigrams"))
+    train = rows.filter(texts.split_of("doc_id") == "train").cache()
+    monkeypatch.undo()
+    want = textmodel.tfidf_rows(rows, textmodel.vocabulary(train, 2).cache(), F.lit(train.count()), False)
+    want = {r["doc_id"]: [tuple(e) for e in r["terms"]] for r in want.collect()}
+    assert {r["doc_id"]: [tuple(e) for e in r["terms"]] for r in got.collect()} == want and sum(map(len, want.values())) > 800
