@@ -86,7 +86,8 @@ def permute_column(df: DataFrame, key: str, column: str, seed: str) -> DataFrame
     targets = rank_by_number(df.drop(column), key, "__rank")
     donors = rank_by_hash(df.select(key, column), key, seed, "__rank").select(
         "__rank", F.col(key).alias(f"{column}_from"), column)
-    return targets.join(donors, "__rank").drop("__rank")
+    # Both sides have a row for each record: never broadcast.
+    return targets.join(donors.hint("merge"), "__rank").drop("__rank")
 
 
 def permutation_report(permuted: DataFrame, key: str, donor: str) -> DataFrame:

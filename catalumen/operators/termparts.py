@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 # Terms of a vocabulary, and pairs of a class and a term, that are shipped to the tasks; larger tables are exchanged.
 PART_TERMS = 300_000
 PART_PAIRS = 300_000
+# Bytes of text in a table that is shipped.
+PART_BYTES = 16_000_000
 # Classes that an exchange brings back at once.
 CLASSES = 1_000
 # Entries that are looked up together, and values of one intermediate array.
@@ -155,14 +157,15 @@ def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Call
               most: int | None = None, first: Callable | None = None) -> DataFrame:
     """``rows`` through ``make(part)``, a function on batches, where ``part`` holds the rows of ``table`` for all terms of these batches.
 
-    Up to ``most`` rows of the table are shipped. Beyond that, packs of records and
+    Up to ``most`` rows of the table with ``PART_BYTES`` of text are shipped. Beyond that, packs of records and
     buckets of terms are exchanged: neither the driver nor a task holds more than
     a pack with its part, or a bucket. ``table`` is written and may hold a term several times.
     ``first`` makes the records of batches of ``rows`` in the same worker.
     """
     first = first or iter
-    held = table.count()
-    if held <= (most or PART_TERMS):
+    length = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if isinstance(f.dataType, T.StringType)), F.lit(0).cast("long"))
+    held, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    if held <= (most or PART_TERMS) and size <= PART_BYTES:
         run = make(table.toArrow())
         return rows.mapInArrow(lambda batches: run(first(batches)), schema)
     n = max(_many(rows), -(-held // BUCKET_ROWS))

@@ -137,9 +137,10 @@ def fit_naive_bayes(
 
     ``counts`` are training term counts that carry ``label``; ``labels`` holds
     one row per training record. Unseen pairs all share their class's constant.
+    Pairs are written once; the vocabulary grows with the input and is never broadcast.
     """
-    pairs = counts.groupBy("term", F.col(label).alias("class")).agg(F.sum("tf").alias("n")).join(
-        terms.select("term"), "term", "left_semi")
+    pairs = cut_lineage(counts.groupBy("term", F.col(label).alias("class")).agg(F.sum("tf").alias("n")).join(
+        terms.select("term").hint("merge"), "term", "left_semi"), "nb-pairs")
     size = terms.agg(F.count(F.lit(1)).alias("v")).scalar()
     totals = pairs.groupBy("class").agg(F.sum("n").alias("mass"))
     priors = labels.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("docs"))

@@ -142,10 +142,11 @@ def joined_rows(spark, sf_dir) -> DataFrame:
     carried = cut_lineage(frozen.scores(rows, "k").groupBy("k").agg(
         F.array_sort(F.collect_list(F.struct("class", "probability"))).alias("z")), "carried")
     train = rows.filter(F.col("split") == "train")
-    permuted = ranking.permute_column(train.select("k").join(carried, "k"), "k", "z", PERMUTATION_SEED).select("k", F.col("z").alias("control"))
+    # These tables have a row for each turn: they are never broadcast.
+    permuted = ranking.permute_column(train.select("k").join(carried.hint("merge"), "k"), "k", "z", PERMUTATION_SEED).select("k", F.col("z").alias("control"))
     terms = cut_lineage(textmodel.vocabulary(train, 2), "turn-terms")
     weighed = textmodel.tfidf_rows(rows, terms, train.agg(F.count(F.lit(1))).scalar(), True)
-    both = weighed.join(carried, "k").join(permuted, "k", "left")
+    both = weighed.join(carried.hint("merge"), "k").join(permuted.hint("merge"), "k", "left")
 
     def scaled(setting: int, variant: str, gamma: float):
         vector = F.coalesce("control", "z") if variant == "permuted" else F.col("z")
@@ -165,6 +166,6 @@ def joined_features(spark, sf_dir):
     held_out = rows.filter(F.col("split") != "train")
     listed = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(SETTINGS)], "setting int, variant string, gamma double")
     # One row per setting.
-    found = held_out.select("k", "role", "split").join(model.predict(held_out, "k"), "k").join(F.broadcast(listed), "setting")
+    found = held_out.select("k", "role", "split").join(model.predict(held_out, "k").hint("merge"), "k").join(F.broadcast(listed), "setting")
     scores = metrics.evaluate(found, "role", "pred", ["split", "variant", "gamma"], 3)
     return scores.select("split", "variant", "gamma", "records", *[r6(m) for m in metrics.METRICS])

@@ -286,3 +286,38 @@ def test_tokens_are_counted_and_weighed_in_one_worker(spark, tmp_path, monkeypat
     want = textmodel.tfidf_rows(rows, textmodel.vocabulary(train, 2).cache(), F.lit(train.count()), False)
     want = {r["doc_id"]: [tuple(e) for e in r["terms"]] for r in want.collect()}
     assert {r["doc_id"]: [tuple(e) for e in r["terms"]] for r in got.collect()} == want and sum(map(len, want.values())) > 800
+
+
+def test_long_terms_are_not_shipped(spark, monkeypatch):
+    """Few rows can hold much text: the driver's share is bounded in bytes as well."""
+    df = spark.createDataFrame([(i, " ".join(f"{j % 10}" * 40 for j in range(i, i + 3))) for i in range(30)], "id long, t string").repartition(2)
+    rows = textmodel.sparse_rows(df, "id", text.space_tokens(F.col("t"))).cache()
+    terms = textmodel.vocabulary(rows, 1).cache()
+    whole = {r["id"]: r["terms"] for r in textmodel.tfidf_rows(rows, terms, F.lit(30), False).collect()}
+    monkeypatch.setattr(termparts, "PART_BYTES", 300, raising=False)
+    sent, collect = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    assert {r["id"]: r["terms"] for r in textmodel.tfidf_rows(rows, terms, F.lit(30), False).collect()} == whole
+    assert terms.count() == 10 and not sum(map(len, sent))
+
+
+def test_vocabulary_of_naive_bayes_is_not_broadcast(spark, monkeypatch):
+    """A broadcast goes through the driver, and grows with the vocabulary until Spark gives it up."""
+    df = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} v{i}", "ab"[i % 2]) for i in range(40)], "id long, t string, label string")
+    plans, write = [], textmodel.cut_lineage
+    counts = textmodel.term_counts(df, "id", text.space_tokens(F.col("t")), keep=["label"]).cache()
+    terms = write(textmodel.vocabulary(counts, 2))
+
+    def plan(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(textmodel, "cut_lineage", lambda df, *a: write(plan(df), *a))
+    classes, weights = textmodel.fit_naive_bayes(counts, terms, df, "label")
+    plan(weights)
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p and "LeftSemi" in p for p in plans)
+    got = {(r["class"], r["term"]): r["weight"] for r in weights.collect()}
+    seen = Counter((label, w) for _, t, label in df.collect() for w in t.split())
+    known = {r["term"] for r in terms.collect()}
+    assert got == pytest.approx({k: math.log(n + 1) for k, n in seen.items() if k[1] in known})
+    assert {r["class"] for r in classes.collect()} == {"a", "b"}
