@@ -219,7 +219,8 @@ def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Call
     blocks = table.mapInArrow(deal, "bucket int, block binary")
     answers = blocks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "pack string, found binary")
     found = answers.groupBy("pack").agg(F.collect_list("found").alias("found"))
-    return packs.join(found, "pack", "left").select("records", "found").mapInArrow(apply, schema)
+    # A broadcast of the answers would go through the driver.
+    return packs.join(found.hint("merge"), "pack", "left").select("records", "found").mapInArrow(apply, schema)
 
 
 def weigh(rows: DataFrame, terms: DataFrame, weight: str, sublinear: bool = False, unit: bool = True, value: str = "tf",

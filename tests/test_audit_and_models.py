@@ -261,6 +261,7 @@ def test_large_tables_are_exchanged_and_written_once(spark, monkeypatch):
         assert [e["term"] for e in got[i]] == [e["term"] for e in entries]
         assert [e["weight"] for e in got[i]] == pytest.approx([e["weight"] for e in entries])
     assert sum(len(t) for t in sent) <= 5
+    assert "BroadcastHashJoin" not in parts._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("shipped", [True, False])
