@@ -4,13 +4,13 @@ A record keeps its terms in its own row, as ``array<struct<term, tf>>`` or with
 weight in place of the count. Vocabularies and class weights are written tables.
 A small one is shipped to the tasks and looked up inside the rows. A large one
 never reaches the driver or a task as a whole: records are packed, each pack asks
-for its distinct terms, and the table's rows for them come back to the pack. No
-row is made for a record and a term, or for a record, a term and a class.
+for its distinct terms, and the table's rows for them come back to the pack by their
+places. No row is made for a record and a term, or for a record, a term and a class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalumen.session import cut_lineage
+
 # Terms of a vocabulary, and pairs of a class and a term, that are shipped to the tasks; larger tables are exchanged.
 PART_TERMS = 300_000
 PART_PAIRS = 300_000
@@ -30,9 +32,12 @@ CLASSES = 1_000
 # Entries that are looked up together, and values of one intermediate array.
 ENTRIES = 150_000
 VALUES = 1_000_000
-# Entries that are counted together or packed for an exchange, and rows of a table in one bucket of it.
-PACKED = 400_000
-BUCKET_ROWS = 200_000
+# Entries that are counted together or packed for an exchange, rows of a table in one bucket of it, and packs for each bucket.
+PACKED = 800_000
+BUCKET_ROWS = 500_000
+BUCKET_PACKS = 10
+# Terms of a bucket that are merged or answered at once.
+MERGED = 2_000_000
 
 COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 WEIGHTED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
@@ -73,11 +78,66 @@ def entries_of(column: pa.Array, value: str | None) -> tuple[np.ndarray, pa.Arra
             None if value is None else flat.field(value).to_numpy(zero_copy_only=False).astype(np.float64))
 
 
-def sparse_column(rows: np.ndarray, terms: pa.Array, weights: np.ndarray, n: int) -> pa.Array:
-    """Entries in row order as one sparse row each."""
+def coded(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each term among the distinct ones, -1 for a null, and these."""
+    held = terms if isinstance(terms, pa.DictionaryArray) else terms.cast(pa.string()).dictionary_encode()
+    return pc.fill_null(held.indices, -1).to_numpy(zero_copy_only=False), held.dictionary
+
+
+def places(terms: pa.Array, names: pa.Array) -> np.ndarray:
+    """The place of each term in ``names``, which are distinct, -1 for others; terms that are coded are looked up once each, or not at all where both have one code."""
+    if isinstance(terms, pa.DictionaryArray):
+        code, distinct = coded(terms)
+        if isinstance(names, pa.DictionaryArray) and names.dictionary.equals(distinct):
+            at = np.full(len(distinct) + 1, -1, np.int64)
+            at[names.indices.to_numpy()] = np.arange(len(names))
+        else:
+            at = np.append(places(distinct, names), -1)
+        return at[code]
+    names = names.dictionary_decode() if isinstance(names, pa.DictionaryArray) else names
+    return pc.index_in(terms, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def sparse_column(rows: np.ndarray, terms: pa.Array | None, weights: np.ndarray, n: int) -> pa.Array:
+    """Entries in row order as one sparse row each, also without their terms."""
     at = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
-    entries = pa.StructArray.from_arrays([terms.cast(pa.string()), pa.array(weights)], names=["term", "weight"])
-    return pa.ListArray.from_arrays(pa.array(at), entries)
+    columns = {"term": terms.cast(pa.string()), "weight": pa.array(weights)} if terms is not None else {"weight": pa.array(weights)}
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([*columns.values()], names=[*columns]))
+
+
+def listed(like: pa.Array, values: pa.Array) -> pa.Array:
+    """Other ``values`` in the lists of ``like``; null lists stay null."""
+    ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=like.is_null())
+
+
+def spelled(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches as Spark takes them, where ``column`` is still there and coded."""
+    for batch in batches:
+        kind = batch.column(column).type.value_type if column in batch.schema.names else None
+        held = kind is not None and pa.types.is_struct(kind) and "term" in [f.name for f in kind] and pa.types.is_dictionary(kind.field("term").type)
+        yield recoded(batch, column, code=False) if held else batch
+
+
+def _sorted(terms: pa.Array) -> pa.DictionaryArray:
+    """Coded terms with the distinct ones in order, which compress well."""
+    held = terms.cast(pa.string()).dictionary_encode()
+    order = pc.array_sort_indices(held.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return pa.DictionaryArray.from_arrays(pa.array(place).take(held.indices), held.dictionary.take(pa.array(order)))
+
+
+def recoded(batch: pa.RecordBatch, column: str, code: bool = True) -> pa.RecordBatch:
+    """A batch whose terms or tokens are held once each beside their places, or spelled out again."""
+    values = batch.column(column).flatten()
+    spell = _sorted if code else (lambda a: a.cast(pa.string()))
+    if pa.types.is_struct(values.type):
+        names = [f.name for f in values.type]
+        values = pa.StructArray.from_arrays([spell(values.field(n)) if n == "term" else values.field(n) for n in names], names=names)
+    else:
+        values = spell(values)
+    return replaced(batch, {column: listed(batch.column(column), values)}).select(batch.schema.names)
 
 
 def replaced(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
@@ -97,156 +157,253 @@ def _table(blob: bytes) -> pa.Table:
 
 
 def _buckets(terms: pa.Array, n: int) -> np.ndarray:
-    """An even bucket for each term, by its bytes."""
+    """An even bucket for each term, by its length and four windows of eight bytes, which cover up to 32 bytes."""
     terms = terms.cast(pa.large_binary())
     if not len(terms):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset:terms.offset + len(terms) + 1]
-    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].astype(np.uint64)
-    ends = ends - ends[0]
-    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
-    mixed = (data + np.uint64(1)) * ((place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed ^ (mixed >> np.uint64(29)), dtype=np.uint64)])
-    value = (sums[ends[1:]] - sums[ends[:-1]]) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((value >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
-
-
-def _dealt(block: pa.Table, n: int) -> Iterator[tuple[int, pa.Table]]:
-    """A block's rows by the bucket of their term, in term order, which compresses well."""
-    block = block.append_column("__bucket", pa.array(_buckets(block.column("term").combine_chunks(), n)))
-    block = block.sort_by([("__bucket", "ascending"), ("term", "ascending")])
-    bucket = block.column("__bucket").to_numpy()
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    beyond = np.maximum(size - 8, 0)
+    # A window of a shorter term is cut to its bytes; only longer terms have windows in between.
+    short = np.uint64(8) * (np.uint64(8) - np.clip(size, 1, 8).astype(np.uint64))
+    value = (size.astype(np.uint64) + (eight[start] << short) * (size > 0)) * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(32)
+    for least, third in ((9, 3), (17, 1), (17, 2)):
+        some = np.flatnonzero(size >= least)
+        mixed = (value[some] ^ eight[(start + beyond * third // 3)[some]]) * np.uint64(0x9E3779B97F4A7C15)
+        value[some] = mixed ^ (mixed >> np.uint64(32))
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((value >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+def _dealt(terms: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of distinct terms by their bucket, in their order."""
+    bucket = _buckets(terms, n)
+    # Small whole numbers are sorted by radix.
+    order = np.argsort(bucket.astype(np.uint16) if n <= 65_536 else bucket, kind="stable")
+    bucket = bucket[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for start, stop in zip(starts, [*starts[1:], len(bucket)]):
-        yield int(bucket[start]), block.slice(start, stop - start).drop_columns("__bucket")
+        yield int(bucket[start]), order[start:stop]
+
+
+def _blocks(rows: pa.Table, n: int) -> Iterator[tuple[int, bytes]]:
+    """Rows of a table with terms as a blob for each bucket; terms in order compress well."""
+    rows = rows.combine_chunks()
+    dealt = [*_dealt(rows.column("term").combine_chunks() if rows.num_rows else pa.array([], pa.string()), n)]
+    if dealt:
+        rows = rows.take(pa.array(np.concatenate([at for _, at in dealt]))).combine_chunks()
+    start = 0
+    for bucket, at in dealt:
+        yield bucket, _blob(rows.slice(start, len(at)))
+        start += len(at)
+
+
+def _runs(blobs: Iterable[pa.Scalar]) -> Iterator[list[pa.Table]]:
+    """Blobs as tables, some at a time: up to ``MERGED`` rows, or one blob."""
+    held, n = [], 0
+    for blob in blobs:
+        held.append(_table(blob.as_py()))
+        n += held[-1].num_rows
+        if n >= MERGED:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
-def _many(rows: DataFrame) -> int:
-    return max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+class Packs:
+    """Rows in written packs of up to ``most`` entries: ``(pack, records)``, where each term or token is held once a pack.
 
+    ``made`` makes the sparse rows of a pack's records in the worker that needs them.
+    """
 
-def term_totals(rows: DataFrame, first: Callable | None = None) -> DataFrame:
-    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket.
+    def __init__(self, rows: DataFrame, column: str = "terms", most: int | None = None, made: Callable | None = None):
+        self.schema, self.made = rows.schema, made or (lambda batch: batch)
+        self.frame = cut_lineage(_packed(rows, column, most or PACKED), "packs")
+        self.held = self.frame.count()
 
-    ``first`` makes the sparse rows of batches of ``rows`` in the same worker, so that a task needs one, not one a step.
-    """
+    def where(self, column: str, value: str) -> Packs:
+        """The records with ``value`` in ``column``, chosen when a pack is opened."""
+        own, made = Packs.__new__(Packs), self.made
+        own.schema, own.frame, own.held = self.schema, self.frame, self.held
+        own.made = lambda batch: made(batch.filter(pc.fill_null(pc.equal(batch.column(column), value), False)))
+        return own
+
+
+def _packed(rows: DataFrame, column: str, most: int) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for nth, batch in enumerate(gathered(batches, column, most)):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), pa.array([_blob(recoded(batch, column))], pa.binary())], ["pack", "records"])
+
+    return rows.mapInArrow(pack, "pack string, records binary")
+
+
+def _opened(records: pa.Scalar, made: Callable) -> pa.RecordBatch:
+    return made(_table(records.as_py()).to_batches()[0])
+
+
+def _many(rows: DataFrame | Packs) -> int:
+    """Buckets: their number follows the packs, so that a bucket stays small, and not the settings, since each pack writes a block for each."""
+    frame = rows.frame if isinstance(rows, Packs) else rows
+    least = max(64, 2 * frame.sparkSession.sparkContext.defaultParallelism)
+    if isinstance(rows, Packs):
+        return max(least, -(-rows.held // BUCKET_PACKS))
+    return max(least, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def term_totals(rows: DataFrame | Packs) -> DataFrame:
+    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket."""
     n = _many(rows)
+    made = rows.made if isinstance(rows, Packs) else None
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if made is None:
+            yield from gathered(batches, "terms", PACKED)
+        else:
+            for batch in batches:
+                yield from (_opened(records, made) for records in batch.column("records"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered((first or iter)(batches), "terms", PACKED):
+        for batch in sparse(batches):
             _, term, tf = entries_of(batch.column("terms"), "tf")
-            coded = term.cast(pa.string()).dictionary_encode()
-            at = coded.indices.to_numpy()
-            block = pa.table({"term": coded.dictionary, "df": np.bincount(at, minlength=len(coded.dictionary)),
-                              "total_tf": np.bincount(at, weights=tf, minlength=len(coded.dictionary)).astype(np.int64)})
-            del coded, at, term, tf
-            buckets, blobs = [], []
-            for bucket, part in _dealt(block, n):
-                buckets.append(bucket)
-                blobs.append(_blob(part))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "block"])
+            at, names = coded(term)
+            df = np.bincount(at, minlength=len(names))
+            block = pa.table({"term": names, "df": df, "total_tf": np.bincount(at, weights=tf, minlength=len(names)).astype(np.int64)})
+            # Records that were left out have left their terms behind.
+            dealt = [*_blocks(block.filter(pa.array(df > 0)), n)]
+            del at, term, tf, block
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], ["bucket", "block"])
 
     def add(group: pa.Table) -> pa.Table:
-        whole = pa.concat_tables([_table(b.as_py()) for b in group.column("block")])
-        return whole.group_by("term").aggregate([("df", "sum"), ("total_tf", "sum")]).rename_columns(["term", "df", "total_tf"])
-
-    return rows.select("terms").mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(add, "term string, df long, total_tf long")
+        whole = pa.table({"term": pa.array([], pa.string()), "df": pa.array([], pa.int64()), "total_tf": pa.array([], pa.int64())})
+        for some in _runs(x for chunk in group.column("block").chunks for x in chunk):
+            whole = pa.concat_tables([whole, *some]).group_by("term").aggregate([("df", "sum"), ("total_tf", "sum")])
+            whole = whole.rename_columns(["term", "df", "total_tf"])
+        return whole
+
+    frame = rows.select("terms") if made is None else rows.frame
+    return frame.mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(add, "term string, df long, total_tf long")
+
+
+def answered(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    """A bucket's rows for the terms that each pack asks for, by their places among these."""
+    buckets, packs, found = [], [], []
+    if blocks.num_rows and asked.num_rows:
+        own = pa.concat_tables([_table(b.as_py()) for b in blocks.column("block")]).combine_chunks()
+        code, names = coded(own.column("term").combine_chunks())
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(names) + 1))
+        own = {c: own.column(c).take(pa.array(order)) for c in own.column_names if c != "term"}
+        bucket, pack, upto = asked.column("bucket")[0].as_py(), asked.column("pack").to_pylist(), 0
+        for some in _runs(asked.column("asked")):
+            # One look-up for the terms of many packs: each builds a table of the whole bucket.
+            all_at = places(pa.concat_tables(some).column("term").combine_chunks(), names)
+            ends = np.cumsum([0, *(t.num_rows for t in some)])
+            for nth in range(len(some)):
+                at = all_at[ends[nth]:ends[nth + 1]]
+                known = np.flatnonzero(at >= 0)
+                at = at[known]
+                many = starts[at + 1] - starts[at]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[at], many)
+                if len(place):
+                    buckets.append(bucket)
+                    packs.append(pack[upto + nth])
+                    at = pa.array(np.repeat(known, many).astype(np.int32))
+                    found.append(_blob(pa.table({**{c: v.take(pa.array(place)) for c, v in own.items()}, "__at": at}).combine_chunks()))
+            upto += len(some)
+    return pa.table({"bucket": pa.array(buckets, pa.int32()), "pack": pa.array(packs, pa.string()), "found": pa.array(found, pa.binary())})
 
 
-def looked_up(rows: DataFrame, table: DataFrame, make: Callable[[pa.Table], Callable], schema: T.StructType | str, column: str = "terms",
-              most: int | None = None, first: Callable | None = None) -> DataFrame:
+def looked_up(rows: DataFrame | Packs, table: DataFrame, make: Callable[[pa.Table], Callable], schema: T.StructType | str, column: str = "terms",
+              most: int | None = None) -> DataFrame:
     """``rows`` through ``make(part)``, a function on batches, where ``part`` holds the rows of ``table`` for all terms of these batches.
 
     Up to ``most`` rows of the table with ``PART_BYTES`` of text are shipped. Beyond that, packs of records and
     buckets of terms are exchanged: neither the driver nor a task holds more than
     a pack with its part, or a bucket. ``table`` is written and may hold a term several times.
-    ``first`` makes the records of batches of ``rows`` in the same worker.
     """
-    first = first or iter
+    made = rows.made if isinstance(rows, Packs) else lambda batch: batch
     length = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if isinstance(f.dataType, T.StringType)), F.lit(0).cast("long"))
     held, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
     if held <= (most or PART_TERMS) and size <= PART_BYTES:
         run = make(table.toArrow())
-        return rows.mapInArrow(lambda batches: run(first(batches)), schema)
+        if not isinstance(rows, Packs):
+            return rows.mapInArrow(run, schema)
+        return rows.frame.mapInArrow(lambda batches: spelled(run(_opened(r, made) for batch in batches for r in batch.column("records")), column), schema)
     n = max(_many(rows), -(-held // BUCKET_ROWS))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for nth, batch in enumerate(gathered(first(batches), column, PACKED)):
-            yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{nth}"]), pa.array([_blob(batch)], pa.binary())], ["pack", "records"])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, records in zip(batch.column("pack").to_pylist(), batch.column("records")):
-                terms = entries_of(_table(records.as_py()).column(column).combine_chunks(), None)[1]
-                for bucket, block in _dealt(pa.table({"term": pc.unique(terms.cast(pa.string()))}), n):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket], pa.int32()), pa.array([name]), pa.array([_blob(block)], pa.binary())], ["bucket", "pack", "asked"])
+                _, names = coded(entries_of(_opened(records, made).column(column), None)[1])
+                dealt = [*_blocks(pa.table({"term": names}), n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in dealt], pa.int32()), pa.array([name] * len(dealt), pa.string()), pa.array([b for _, b in dealt], pa.binary())],
+                    ["bucket", "pack", "asked"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, block in _dealt(pa.Table.from_batches([batch]), n):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_blob(block)], pa.binary())], ["bucket", "block"])
-
-    def answer(blocks: pa.Table, asked: pa.Table) -> pa.Table:
-        names, found = [], []
-        if blocks.num_rows and asked.num_rows:
-            own = pa.concat_tables([_table(b.as_py()) for b in blocks.column("block")]).combine_chunks()
-            coded = own.column("term").combine_chunks().dictionary_encode()
-            code = coded.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            starts = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-            for name, some in zip(asked.column("pack").to_pylist(), asked.column("asked")):
-                at = pc.index_in(_table(some.as_py()).column("term").combine_chunks(), value_set=coded.dictionary).drop_null().to_numpy()
-                many = starts[at + 1] - starts[at]
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[at], many)
-                if len(place):
-                    names.append(name)
-                    found.append(_blob(own.take(pa.array(order[place]))))
-        return pa.table({"pack": pa.array(names, pa.string()), "found": pa.array(found, pa.binary())})
+            dealt = [*_blocks(pa.Table.from_batches([batch]), n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], ["bucket", "block"])
 
-    empty = table.limit(0).toArrow()
+    bare = table.limit(0).toArrow().append_column("__at", pa.array([], pa.int32())).drop_columns("term")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for records, found in zip(batch.column("records"), batch.column("found")):
-                parts = [_table(b.as_py()).cast(empty.schema) for b in found.values or ()]
-                yield from make(pa.concat_tables([empty, *parts]).combine_chunks())(iter(_table(records.as_py()).to_batches()))
-
-    # Both uses of the packs read one exchange.
-    packs = rows.mapInArrow(pack, "pack string, records binary").repartition("pack")
+                opened = _opened(records, made)
+                _, names = coded(entries_of(opened.column(column), None)[1])
+                # The part's terms have the code of the pack's.
+                at, place, parts = dict(_dealt(names, n)) if found.is_valid else {}, [np.zeros(0, np.int64)], [bare]
+                for one in found.values or ():
+                    part = _table(one["found"].as_py())
+                    place.append(at[one["bucket"].as_py()][part.column("__at").to_numpy()])
+                    parts.append(part.select(bare.column_names).cast(bare.schema))
+                terms = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(place).astype(np.int32)), names)
+                part = pa.concat_tables(parts).combine_chunks().append_column("term", terms).drop_columns("__at")
+                yield from spelled(make(part)(iter([opened])), column)
+
+    # Both uses of the packs read one exchange, or the written packs.
+    packs = rows.frame if isinstance(rows, Packs) else _packed(rows, column, PACKED).repartition("pack")
     asked = packs.mapInArrow(ask, "bucket int, pack string, asked binary")
     blocks = table.mapInArrow(deal, "bucket int, block binary")
-    answers = blocks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "pack string, found binary")
-    found = answers.groupBy("pack").agg(F.collect_list("found").alias("found"))
+    answers = blocks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "bucket int, pack string, found binary")
+    found = answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
     # A broadcast of the answers would go through the driver.
     return packs.join(found.hint("merge"), "pack", "left").select("records", "found").mapInArrow(apply, schema)
 
 
-def weigh(rows: DataFrame, terms: DataFrame, weight: str, sublinear: bool = False, unit: bool = True, value: str = "tf",
-          per_part: int | None = None, first: Callable | None = None) -> DataFrame:
+def weigh(rows: DataFrame | Packs, terms: DataFrame, weight: str, sublinear: bool = False, unit: bool = True, value: str = "tf",
+          per_part: int | None = None, names: bool = True) -> DataFrame:
     """``rows`` with ``terms`` as ``array<struct<term, weight>>``: known terms only, ``tf`` times the term's ``weight``.
 
     ``sublinear`` takes 1 + ln(tf) in place of tf; ``unit`` brings each row to
     length one. ``terms`` is written and holds a term once; more than ``per_part`` are
-    exchanged, see ``looked_up``, also for ``first``. Entries keep their order.
+    exchanged, see ``looked_up``. Entries keep their order. Without ``names`` the structs have
+    the weights alone, for callers that read no term: nine tenths of what a worker sends are terms.
     """
-    kept = [c for c in rows.columns if c != "terms"]
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("terms", WEIGHTED)])
-    return looked_up(rows, terms.select("term", weight), lambda part: _weighing(part, weight, value, sublinear, unit), schema, "terms", per_part, first)
+    kept = [f for f in rows.schema if f.name != "terms"]
+    schema = T.StructType([*kept, T.StructField("terms", WEIGHTED if names else T.ArrayType(T.StructType([WEIGHTED.elementType["weight"]])))])
+    return looked_up(rows, terms.select("term", weight), lambda part: _weighing(part, weight, value, sublinear, unit, names), schema, "terms", per_part)
 
 
-def _weighing(part: pa.Table, weight: str, value: str, sublinear: bool, unit: bool):
+def _weighing(part: pa.Table, weight: str, value: str, sublinear: bool, unit: bool, spelled: bool = True):
     names = part.column("term").combine_chunks()
     weights = part.column(weight).to_numpy().astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "terms"):
+        for batch in gathered(batches, "terms", PACKED):
             row, term, counted = entries_of(batch.column("terms"), value)
-            at = pc.index_in(term, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = places(term, names)
             known = np.flatnonzero(at >= 0)
             found = (1 + np.log(counted[known]) if sublinear else counted[known]) * weights[at[known]]
-            row, term = row[known], term.take(pa.array(known))
+            row, term = row[known], term.take(pa.array(known)) if spelled else None
             if unit:
                 length = np.sqrt(np.bincount(row, weights=found * found, minlength=batch.num_rows))
                 found = found / np.maximum(length[row], np.finfo(float).tiny)
@@ -295,9 +452,7 @@ class Part:
     def __init__(self, classes: pa.Table, pairs: pa.Table):
         self.names = classes.column("class").combine_chunks()
         self.constants = {c: classes.column(c).to_numpy() for c in classes.column_names if c != "class"}
-        coded = pairs.column("term").combine_chunks().dictionary_encode()
-        self.terms = coded.dictionary
-        term = coded.indices.to_numpy()
+        term, self.terms = coded(pairs.column("term").combine_chunks())
         order = np.argsort(term, kind="stable")
         self.starts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.of = pc.index_in(pairs.column("class").combine_chunks(), value_set=self.names).to_numpy()[order]
@@ -305,7 +460,8 @@ class Part:
 
     def chunks(self, row: np.ndarray, term: pa.Array, n: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
         """Runs of rows, their entries and the places of their terms (-1: unknown), small enough for dense products."""
-        at = pc.index_in(term, value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        own = isinstance(term, pa.DictionaryArray) and term.dictionary.equals(self.terms)
+        at = coded(term)[0] if own else places(term, self.terms)
         many = np.where(at >= 0, self.starts[np.maximum(at, 0) + 1] - self.starts[np.maximum(at, 0)], 0) if len(self.terms) else np.zeros(len(at), np.int64)
         upto = np.searchsorted(row, np.arange(n + 1))
         cost = np.concatenate([[0], np.cumsum(many)])[upto] + np.arange(n + 1) * len(self.names)

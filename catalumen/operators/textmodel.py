@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -36,27 +36,55 @@ def counting(with_bigrams: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in termparts.gathered(batches, "terms"):
-            tokens = batch.column("terms")
-            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-            row, term = np.repeat(np.arange(batch.num_rows), lengths), tokens.flatten().cast(pa.string())
-            if with_bigrams:
-                first = np.flatnonzero(row[:-1] == row[1:])
-                pairs = pc.binary_join_element_wise(term.take(pa.array(first)), term.take(pa.array(first + 1)), " ")
-                row, term = np.concatenate([row, row[first]]), pa.concat_arrays([term, pairs])
-            coded = term.dictionary_encode()
-            order = pc.array_sort_indices(coded.dictionary).to_numpy()
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            entry, tf = np.unique(row * max(1, len(order)) + place[coded.indices.to_numpy()], return_counts=True)
-            row, at = np.divmod(entry, max(1, len(order)))
-            entries = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(order[at])), pa.array(tf.astype(np.int64))], names=["term", "tf"])
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            counted = pa.ListArray.from_arrays(pa.array(ends), entries, mask=pa.array(np.diff(ends) == 0))
-            yield termparts.replaced(batch, {"terms": counted})
+            yield termparts.recoded(counted(batch, with_bigrams), "terms", code=False)
 
     return run
 
 
+def counted(batch: pa.RecordBatch, with_bigrams: bool) -> pa.RecordBatch:
+    """The tokens of each record of a batch as its sparse row, with coded terms; word pairs are numbers until they are known to be distinct."""
+    tokens = batch.column("terms")
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    first = np.flatnonzero(row[:-1] == row[1:]) if with_bigrams else np.zeros(0, np.int64)
+    code, words = termparts.coded(tokens.flatten())
+    if with_bigrams and pc.any(pc.match_substring_regex(words, r"[\x00-\x20]")).as_py():
+        # Pairs of words with a blank can be spelled like others: they are told apart as texts.
+        spelled = words.take(pa.array(code))
+        pairs = pc.binary_join_element_wise(spelled.take(pa.array(first)), spelled.take(pa.array(first + 1)), " ")
+        row, first = np.concatenate([row, row[first]]), first[:0]
+        code, words = termparts.coded(pa.concat_arrays([spelled, pairs]))
+    place = np.arange(len(words))
+    if not pc.all(pc.less(words[:-1], words[1:])).as_py():
+        order = pc.array_sort_indices(words).to_numpy()
+        place[order], words = np.arange(len(order)), words.take(pa.array(order))
+    # A word comes before its pairs, as a blank comes before all letters.
+    many = len(words) + 1
+    gram = place[code] * many
+    row, gram = np.concatenate([row, row[first]]), np.concatenate([gram, gram[first] + gram[first + 1] // many + 1])
+    if many * many * max(1, batch.num_rows) >= 2 ** 63:
+        known, gram = np.unique(gram, return_inverse=True)
+    else:
+        known = None
+    # One sort of whole numbers by term and record gives the entries, their counts and the distinct terms.
+    entry, tf = np.unique(gram * max(1, batch.num_rows) + row, return_counts=True)
+    gram, row = np.divmod(entry, max(1, batch.num_rows))
+    new = np.diff(gram, prepend=-1) > 0
+    at = np.cumsum(new) - 1
+    known = gram[new] if known is None else known[gram[new]]
+    order = np.argsort(row.astype(np.uint16) if batch.num_rows <= 65_536 else row, kind="stable")
+    row, at, tf = row[order], at[order], tf[order]
+    word, second = np.divmod(known, many)
+    terms = words.take(pa.array(word))
+    if len(first):
+        terms = pc.binary_join_element_wise(terms, words.take(pa.array(second - 1, mask=second == 0)), " ", null_handling="skip")
+    coded = pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int32)), terms)
+    entries = pa.StructArray.from_arrays([coded, pa.array(tf.astype(np.int64))], names=["term", "tf"])
+    ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(ends), entries, mask=pa.array(np.diff(ends) == 0))
+    return termparts.replaced(batch, {"terms": listed})
+
+
 def term_counts(docs: DataFrame, key: str, tokens: Column, with_bigrams: bool = False,
                 keep: list[str] | None = None) -> DataFrame:
     """``(key, keep..., term, tf)`` for a frame with one row per key, without a shuffle."""
@@ -69,13 +97,13 @@ def exploded(rows: DataFrame) -> DataFrame:
     return rows.select(*own, F.explode("terms").alias("t")).select(*own, "t.*")
 
 
-def vocabulary(counts: DataFrame, min_df: int = 1, max_terms: int | None = None, first: Callable | None = None) -> DataFrame:
-    """``(term, df, total_tf)`` from training counts, or from sparse rows; the cap keeps the most frequent terms.
+def vocabulary(counts: DataFrame | termparts.Packs, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
+    """``(term, df, total_tf)`` from training counts, or from sparse rows or their packs; the cap keeps the most frequent terms.
 
     Sparse rows are counted in blocks where they lie, which shuffles far less than a row for each record and term. Terms as frequent as the last one kept go in by their order. The cut is found
-    from histograms of the counts, and only terms at the cut are ranked. ``first`` makes the sparse rows, see ``termparts.term_totals``.
+    from histograms of the counts, and only terms at the cut are ranked.
     """
-    totals = termparts.term_totals(counts, first) if "terms" in counts.columns else counts.groupBy("term").agg(
+    totals = termparts.term_totals(counts) if isinstance(counts, termparts.Packs) or "terms" in counts.columns else counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     terms = totals.filter(F.col("df") >= min_df)
     return terms if max_terms is None else most_frequent(cut_lineage(terms, "terms"), "total_tf", "term", max_terms)
@@ -120,9 +148,9 @@ def idf_table(terms: DataFrame, n_docs: Column) -> DataFrame:
     return terms.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_rows(rows: DataFrame, terms: DataFrame, n_docs: Column, sublinear: bool, first: Callable | None = None) -> DataFrame:
-    """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; see ``termparts.weigh``. ``terms`` is written."""
-    return termparts.weigh(rows, idf_table(terms, n_docs), "idf", sublinear, first=first)
+def tfidf_rows(rows: DataFrame | termparts.Packs, terms: DataFrame, n_docs: Column, sublinear: bool, names: bool = True) -> DataFrame:
+    """Sparse rows with their tf-idf weights: optional ``1 + ln(tf)``, unit length; see ``termparts.weigh``, also for ``names``. ``terms`` is written."""
+    return termparts.weigh(rows, idf_table(terms, n_docs), "idf", sublinear, names=names)
 
 
 def tfidf(rows: DataFrame, key: str, terms: DataFrame, n_docs: Column, sublinear: bool) -> DataFrame:
@@ -200,7 +228,7 @@ def _counting(part: pa.Table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in termparts.gathered(batches, "terms"):
             row, term, tf = termparts.entries_of(batch.column("terms"), "tf")
-            known = pc.is_in(term, value_set=names).to_numpy(zero_copy_only=False)
+            known = termparts.places(term, names) >= 0
             more = np.bincount(row[known], weights=tf[known], minlength=batch.num_rows)
             length = batch.column("__length").to_numpy(zero_copy_only=False) + more
             yield termparts.replaced(batch, {"__length": pa.array(length)}).select(batch.schema.names)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalumen.functions import jsontext, text, vectors
-from catalumen.operators import audit, metrics, normalise, profile, textmodel
+from catalumen.operators import audit, metrics, normalise, profile, termparts, textmodel
 from catalumen.plans.base import SQL_SPACES, query, r6, split_of, sql_split, table, text_table
 from catalumen.session import cut_lineage
 
@@ -218,19 +220,15 @@ def tokens_for(variant: str):
             "tfidf_capped": F.filter(words, lambda w: F.length(w) > 1)}[variant]
 
 
-def tfidf_weights(spark, sf_dir, variant: str) -> DataFrame:
-    """Vocabulary and weights each tokenise the texts, in the worker that counts or weighs: written rows of words and word pairs take more than the texts."""
+def tfidf_weights(spark, sf_dir, variant: str, names: bool = True) -> DataFrame:
+    """Texts are tokenised once, into written packs that hold each word once; words and word pairs are counted from them, in the worker that needs the counts."""
     options = TFIDF_VARIANTS[variant]
-    docs = text_table(spark, sf_dir, "documents", "doc_id", "text")
-    train = docs.filter(split_of("doc_id") == "train")
-
-    def tokens(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", tokens_for(variant).alias("terms"))
-
-    counting = textmodel.counting(options["bigrams"])
-    terms = cut_lineage(textmodel.vocabulary(tokens(train), options["min_df"], options["cap"], counting))
-    n_docs = train.agg(F.count(F.lit(1))).scalar()
-    return textmodel.tfidf_rows(tokens(docs), terms, n_docs, options["sublinear"], counting)
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("split", split_of("doc_id"))
+    packs = termparts.Packs(docs.select("doc_id", "split", tokens_for(variant).alias("terms")), most=termparts.PACKED // (1 + options["bigrams"]),
+                            made=partial(textmodel.counted, with_bigrams=options["bigrams"]))
+    terms = cut_lineage(textmodel.vocabulary(packs.where("split", "train"), options["min_df"], options["cap"]))
+    n_docs = docs.filter(F.col("split") == "train").agg(F.count(F.lit(1))).scalar()
+    return textmodel.tfidf_rows(packs, terms, n_docs, options["sublinear"], names).drop("split")
 
 
 def _register_tfidf(variant: str) -> None:
@@ -241,7 +239,7 @@ SELECT doc_id, count(*) AS n_features, round(sum(w), 6) AS weight_sum, round(max
     @query(variant, sql)
     def run(spark, sf_dir):
         weights = F.transform("terms", lambda t: t["weight"])
-        return tfidf_weights(spark, sf_dir, variant).filter(F.size("terms") > 0).select(
+        return tfidf_weights(spark, sf_dir, variant, names=False).filter(F.size("terms") > 0).select(
             "doc_id", F.size("terms").cast("long").alias("n_features"), r6(vectors.total(weights), "weight_sum"), r6(F.array_max(weights), "max_weight"))
 
 

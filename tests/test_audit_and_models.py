@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -289,6 +290,74 @@ def test_tokens_are_counted_and_weighed_in_one_worker(spark, tmp_path, monkeypat
     assert {r["doc_id"]: [tuple(e) for e in r["terms"]] for r in got.collect()} == want and sum(map(len, want.values())) > 800
 
 
+def test_texts_are_tokenised_once(spark, tmp_path, monkeypatch):
+    """Packs of coded words are written; neither the look-up nor the weights read a text again."""
+    from catalumen.plans import texts
+
+    documents = [(i, f"W{i % 50} w{i % 7}, same same") for i in range(400)] + [(400, None), (401, "")]
+    spark.createDataFrame(documents, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, value in (("PART_TERMS", 5), ("PACKED", 60), ("BUCKET_ROWS", 10), ("MERGED", 20)):
+        monkeypatch.setattr(termparts, name, value, raising=False)
+    got = texts.tfidf_weights(spark, str(tmp_path), "tfidf_bigrams")
+    assert "regexp_extract_all" not in got._jdf.queryExecution().executedPlan().toString()
+    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in documents}
+    grams = {i: Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]) for i, w in words.items()}
+    train = {r["doc_id"] for r in spark.range(402).select(F.col("id").alias("doc_id")).filter(texts.split_of("doc_id") == "train").collect()}
+    df = Counter(t for i in train for t in grams[i])
+    for r in got.collect():
+        want = {t: (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[t])) + 1) for t, n in grams[r["doc_id"]].items() if df[t] > 1}
+        length = math.sqrt(sum(w * w for w in want.values()))
+        assert [e["term"] for e in r["terms"]] == sorted(want)
+        assert [e["weight"] for e in r["terms"]] == pytest.approx([want[t] / length for t in sorted(want)])
+    alone = texts.tfidf_weights(spark, str(tmp_path), "tfidf_bigrams", names=False).collect()
+    assert {r["doc_id"]: [e[0] for e in r["terms"]] for r in alone} == {r["doc_id"]: [e[1] for e in r["terms"]] for r in got.collect()}
+
+
+def test_a_bucket_answers_many_packs_with_one_look_up(monkeypatch):
+    """A look-up for each pack builds a table of the bucket's terms each time: packs times terms."""
+    import pyarrow as pa
+
+    terms = [f"t{i}" for i in range(200)]
+    block = termparts._blob(pa.table({"term": pa.array(terms + terms[:5]), "n": pa.array(range(205))}))
+    wanted = {f"p{i}": [f"t{i}", "unknown", f"t{199 - i}"] for i in range(100)}
+    asked = pa.table({"bucket": pa.array([3] * 100, pa.int32()), "pack": pa.array([*wanted]),
+                      "asked": pa.array([termparts._blob(pa.table({"term": w})) for w in wanted.values()], pa.binary())})
+    calls, index_in = [], termparts.pc.index_in
+    monkeypatch.setattr(termparts.pc, "index_in", lambda *a, **k: calls.append(1) or index_in(*a, **k))
+    found = termparts.answered(pa.table({"bucket": pa.array([3], pa.int32()), "block": pa.array([block], pa.binary())}), asked)
+    assert len(calls) == 1 and set(found.column("bucket").to_pylist()) == {3}
+    for name, blob in zip(found.column("pack").to_pylist(), found.column("found").to_pylist()):
+        rows = termparts._table(blob).to_pylist()
+        want = [(at, n) for at, t in enumerate(wanted[name]) for n, own in enumerate(terms + terms[:5]) if own == t]
+        assert sorted((r["__at"], r["n"]) for r in rows) == want
+    assert found.column("pack").to_pylist() == [*wanted]
+
+
+@pytest.mark.parametrize("words", [["a", "b", "ab", "a", "b"], ["a b", "c", "a", "b c", "", "\x01", "a b", "c"]])
+def test_word_pairs_are_counted_as_texts(words):
+    """Words with blanks or bytes below them make pairs that are spelled like others, or sort before the word."""
+    import pyarrow as pa
+
+    lists = [words, None, [], words[::-1], ["z"]]
+    batch = pa.record_batch({"id": pa.array(range(5)), "terms": pa.array(lists, pa.list_(pa.string()))})
+    for given in (batch, termparts.recoded(batch, "terms")):
+        got = textmodel.counted(given, True).column("terms").to_pylist()
+        for r, own in zip(got, lists):
+            want = Counter([*(own or []), *(f"{a} {b}" for a, b in zip(own or [], (own or [])[1:]))])
+            assert (r and [(e["term"], e["tf"]) for e in r]) == (sorted(want.items(), key=lambda x: x[0].encode()) or None)
+
+
+def test_buckets_of_terms_are_even_whatever_their_length():
+    import numpy as np
+    import pyarrow as pa
+
+    for size in (1, 3, 8, 9, 16, 17, 24, 32, 60):
+        terms = pa.array(sorted({f"{i * 7919:x}".rjust(size, "_")[-size:] for i in range(40_000)}))
+        held = np.bincount(termparts._buckets(terms, 8), minlength=8)
+        assert size < 3 or held.max() < 1.5 * held.mean()
+        assert (termparts._buckets(terms.slice(5), 8) == termparts._buckets(terms, 8)[5:]).all()
+
+
 def test_long_terms_are_not_shipped(spark, monkeypatch):
     """Few rows can hold much text: the driver's share is bounded in bytes as well."""
     df = spark.createDataFrame([(i, " ".join(f"{j % 10}" * 40 for j in range(i, i + 3))) for i in range(30)], "id long, t string").repartition(2)
