@@ -79,23 +79,24 @@ def fit_linear(rows: DataFrame, label: str, settings: int = 1, rounds: int = ROU
     Rows without a label are not used. ``ridge`` acts on the scaled weights.
     """
     known = rows.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), "terms")
-    entries = known.select(F.size("terms").alias("n"), F.explode("terms").alias("t"))
     total = known.count()
     if not total:
         raise ValueError("no record has a label")
-    bounds = entries.groupBy(F.col("t.term").alias("term")).agg(F.sum(F.col("n") * F.col("t.weight") * F.col("t.weight")).alias("b"))
+    packs = termparts.Packs(known, most=termparts.ENTRIES)
+    bounds = _bounds(packs)
     scales = cut_lineage(bounds.filter("b > 0").select("term", (1 / F.sqrt(F.col("b") * F.lit(2.0 / total))).alias("scale")), "linear-scales")
-    scaled = cut_lineage(termparts.weigh(known, scales, "scale", unit=False, value="weight"), "linear-rows")
+    scaled = termparts.Packs(termparts.weigh(packs, scales, "scale", unit=False, value="weight"), most=termparts.ENTRIES)
+    n = termparts.buckets(scaled)
     each = F.explode(F.sequence(F.lit(0), F.lit(settings - 1)))
     classes = cut_lineage(known.select("label").distinct().withColumn("setting", each).select(
         F.format_string("%03d|%s", "setting", "label").alias("class"), "label", "setting"), "linear-classes")
     weights = classes.limit(0).select("class", F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(0.0).alias("weight"))
     for beyond in momentum(rounds):
-        steps = weights.withColumn("g", F.lit(0.0))
+        steps = termparts.dealt(weights.withColumn("g", F.lit(0.0)), n)
         parts = termparts.PairParts(classes, weights, per_part)
         for part in parts:
-            steps = steps.unionByName(parts.through(scaled, part, partial(_gradient, share=2.0 / total), GRADIENT))
-        summed = steps.groupBy("class", "term").agg(*[F.sum(c).alias(c) for c in ("w", "weight", "g")])
+            steps = steps.unionByName(parts.through(scaled, part, partial(_stepped, share=2.0 / total, n=n), termparts.BLOCKS))
+        summed = termparts.summed(steps, ["class", "term"], GRADIENT)
         new = F.col("weight") - (F.col("g") + ridge * F.col("weight")) / (1 + ridge)
         weights = cut_lineage(summed.withColumn("new", new).select(
             "class", "term", F.col("new").alias("w"), (F.col("new") + beyond * (F.col("new") - F.col("w"))).alias("weight")), "linear-weights")
@@ -103,6 +104,26 @@ def fit_linear(rows: DataFrame, label: str, settings: int = 1, rounds: int = ROU
     return LinearModel(scales, classes, final, settings, per_part)
 
 
+def _bounds(packs: termparts.Packs) -> DataFrame:
+    """``(term, b)``: each term's sum of squared weights times the entries of their records."""
+    n, made = termparts.buckets(packs), packs.made
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in termparts.opened(batches, made):
+            row, term, value = termparts.entries_of(batch.column("terms"), "weight")
+            at, names = termparts.coded(term)
+            sums = np.bincount(at, weights=np.bincount(row, minlength=batch.num_rows)[row] * value * value, minlength=len(names))
+            yield termparts.dealt_rows(pa.table({"term": names, "b": sums}), n)
+
+    return termparts.summed(packs.frame.mapInArrow(bound, termparts.BLOCKS), ["term"], "term string, b double")
+
+
+def _stepped(part: termparts.Part, share: float, n: int):
+    """The gradient as blocks: a row for each class and term of a pack never leaves the worker as such."""
+    gradient = _gradient(part, share)
+    return lambda batches: (termparts.dealt_rows(b, n) for b in gradient(batches))
+
+
 def _added(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, with its sum."""
     pair, place = np.unique(np.concatenate(keys), return_inverse=True)

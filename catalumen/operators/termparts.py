@@ -39,6 +39,7 @@ BUCKET_PACKS = 10
 # Terms of a bucket that are merged or answered at once.
 MERGED = 2_000_000
 
+BLOCKS = "bucket int, block binary"
 COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 WEIGHTED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
 
@@ -246,7 +247,12 @@ def _opened(records: pa.Scalar, made: Callable) -> pa.RecordBatch:
     return made(_table(records.as_py()).to_batches()[0])
 
 
-def _many(rows: DataFrame | Packs) -> int:
+def opened(batches: Iterator[pa.RecordBatch], made: Callable) -> Iterator[pa.RecordBatch]:
+    """The sparse rows of each pack."""
+    return (_opened(records, made) for batch in batches for records in batch.column("records"))
+
+
+def buckets(rows: DataFrame | Packs) -> int:
     """Buckets: their number follows the packs, so that a bucket stays small, and not the settings, since each pack writes a block for each."""
     frame = rows.frame if isinstance(rows, Packs) else rows
     least = max(64, 2 * frame.sparkSession.sparkContext.defaultParallelism)
@@ -255,39 +261,59 @@ def _many(rows: DataFrame | Packs) -> int:
     return max(least, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def term_totals(rows: DataFrame | Packs) -> DataFrame:
-    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket."""
-    n = _many(rows)
+def dealt_rows(rows: pa.Table | pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """``(bucket, block)`` of rows with terms."""
+    dealt = [*_blocks(pa.Table.from_batches([rows]) if isinstance(rows, pa.RecordBatch) else rows, n)]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], ["bucket", "block"])
+
+
+def dealt(table: DataFrame, n: int) -> DataFrame:
+    """A table with terms as ``BLOCKS``."""
+    return table.mapInArrow(lambda batches: (dealt_rows(b, n) for b in batches), BLOCKS)
+
+
+def summed(blocks: DataFrame, keys: list[str], schema: T.StructType | str) -> DataFrame:
+    """Rows of ``BLOCKS`` with the same keys, one of which is the term, as one row with the sums of all other columns."""
+
+    def add(group: pa.Table) -> pa.Table:
+        whole: list[pa.Table] = []
+        for some in _runs(x for chunk in group.column("block").chunks for x in chunk):
+            rows = pa.concat_tables([*whole, *some], promote_options="default")
+            values = [c for c in rows.column_names if c not in keys]
+            names, rows = rows.column_names, rows.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in values])
+            whole = [rows.rename_columns([c.removesuffix("_sum") if c not in keys else c for c in rows.column_names]).select(names)]
+        return whole[0]
+
+    return blocks.groupBy("bucket").applyInArrow(add, schema)
+
+
+def term_totals(rows: DataFrame | Packs, by: str | None = None) -> DataFrame:
+    """``(term, df, total_tf)`` over sparse rows: blocks of distinct terms are counted where they lie, and merged by bucket.
+
+    ``by`` names a column of the records: then a row for each of its values, ``(term, by, df, total_tf)``.
+    """
+    n = buckets(rows)
     made = rows.made if isinstance(rows, Packs) else None
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if made is None:
-            yield from gathered(batches, "terms", PACKED)
-        else:
-            for batch in batches:
-                yield from (_opened(records, made) for records in batch.column("records"))
+        return gathered(batches, "terms", PACKED) if made is None else opened(batches, made)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sparse(batches):
-            _, term, tf = entries_of(batch.column("terms"), "tf")
+            row, term, tf = entries_of(batch.column("terms"), "tf")
             at, names = coded(term)
-            df = np.bincount(at, minlength=len(names))
-            block = pa.table({"term": names, "df": df, "total_tf": np.bincount(at, weights=tf, minlength=len(names)).astype(np.int64)})
-            # Records that were left out have left their terms behind.
-            dealt = [*_blocks(block.filter(pa.array(df > 0)), n)]
-            del at, term, tf, block
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], ["bucket", "block"])
+            kind = batch.column(by).dictionary_encode("encode") if by else None
+            kinds = len(kind.dictionary) if by else 1
+            # Only what occurs: records that were left out have left their terms behind.
+            pair, at = np.unique(at * max(1, kinds) + (kind.indices.to_numpy()[row] if by else 0), return_inverse=True)
+            columns = {"term": names.take(pa.array(pair // max(1, kinds)))} | ({by: kind.dictionary.take(pa.array(pair % max(1, kinds)))} if by else {})
+            block = pa.table(columns | {"df": np.bincount(at, minlength=len(pair)), "total_tf": np.bincount(at, weights=tf, minlength=len(pair)).astype(np.int64)})
+            del pair, at, row, term, tf
+            yield dealt_rows(block, n)
 
-    def add(group: pa.Table) -> pa.Table:
-        whole = pa.table({"term": pa.array([], pa.string()), "df": pa.array([], pa.int64()), "total_tf": pa.array([], pa.int64())})
-        for some in _runs(x for chunk in group.column("block").chunks for x in chunk):
-            whole = pa.concat_tables([whole, *some]).group_by("term").aggregate([("df", "sum"), ("total_tf", "sum")])
-            whole = whole.rename_columns(["term", "df", "total_tf"])
-        return whole
-
-    frame = rows.select("terms") if made is None else rows.frame
-    return frame.mapInArrow(count, "bucket int, block binary").groupBy("bucket").applyInArrow(add, "term string, df long, total_tf long")
+    frame = rows.select("terms", *([by] if by else [])) if made is None else rows.frame
+    keys = ["term", by] if by else ["term"]
+    return summed(frame.mapInArrow(count, BLOCKS), keys, f"term string, {f'{by} {rows.schema[by].dataType.simpleString()}, ' if by else ''}df long, total_tf long")
 
 
 def answered(blocks: pa.Table, asked: pa.Table) -> pa.Table:
@@ -298,7 +324,9 @@ def answered(blocks: pa.Table, asked: pa.Table) -> pa.Table:
         code, names = coded(own.column("term").combine_chunks())
         order = np.argsort(code, kind="stable")
         starts = np.searchsorted(code[order], np.arange(len(names) + 1))
-        own = {c: own.column(c).take(pa.array(order)) for c in own.column_names if c != "term"}
+        own = {c: own.column(c).take(pa.array(order)).combine_chunks() for c in own.column_names if c != "term"}
+        # Names of classes come again for each term.
+        own = {c: v.dictionary_encode() if pa.types.is_string(v.type) else v for c, v in own.items()}
         bucket, pack, upto = asked.column("bucket")[0].as_py(), asked.column("pack").to_pylist(), 0
         for some in _runs(asked.column("asked")):
             # One look-up for the terms of many packs: each builds a table of the whole bucket.
@@ -334,31 +362,24 @@ def looked_up(rows: DataFrame | Packs, table: DataFrame, make: Callable[[pa.Tabl
         run = make(table.toArrow())
         if not isinstance(rows, Packs):
             return rows.mapInArrow(run, schema)
-        return rows.frame.mapInArrow(lambda batches: spelled(run(_opened(r, made) for batch in batches for r in batch.column("records")), column), schema)
-    n = max(_many(rows), -(-held // BUCKET_ROWS))
+        return rows.frame.mapInArrow(lambda batches: spelled(run(opened(batches, made)), column), schema)
+    n = max(buckets(rows), -(-held // BUCKET_ROWS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, records in zip(batch.column("pack").to_pylist(), batch.column("records")):
                 _, names = coded(entries_of(_opened(records, made).column(column), None)[1])
-                dealt = [*_blocks(pa.table({"term": names}), n)]
+                blocks = dealt_rows(pa.table({"term": names}), n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in dealt], pa.int32()), pa.array([name] * len(dealt), pa.string()), pa.array([b for _, b in dealt], pa.binary())],
-                    ["bucket", "pack", "asked"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dealt = [*_blocks(pa.Table.from_batches([batch]), n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], ["bucket", "block"])
+                    [blocks.column("bucket"), pa.array([name] * blocks.num_rows, pa.string()), blocks.column("block")], ["bucket", "pack", "asked"])
 
     bare = table.limit(0).toArrow().append_column("__at", pa.array([], pa.int32())).drop_columns("term")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for records, found in zip(batch.column("records"), batch.column("found")):
-                opened = _opened(records, made)
-                _, names = coded(entries_of(opened.column(column), None)[1])
+                own = _opened(records, made)
+                _, names = coded(entries_of(own.column(column), None)[1])
                 # The part's terms have the code of the pack's.
                 at, place, parts = dict(_dealt(names, n)) if found.is_valid else {}, [np.zeros(0, np.int64)], [bare]
                 for one in found.values or ():
@@ -367,13 +388,12 @@ def looked_up(rows: DataFrame | Packs, table: DataFrame, make: Callable[[pa.Tabl
                     parts.append(part.select(bare.column_names).cast(bare.schema))
                 terms = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(place).astype(np.int32)), names)
                 part = pa.concat_tables(parts).combine_chunks().append_column("term", terms).drop_columns("__at")
-                yield from spelled(make(part)(iter([opened])), column)
+                yield from spelled(make(part)(iter([own])), column)
 
     # Both uses of the packs read one exchange, or the written packs.
     packs = rows.frame if isinstance(rows, Packs) else _packed(rows, column, PACKED).repartition("pack")
     asked = packs.mapInArrow(ask, "bucket int, pack string, asked binary")
-    blocks = table.mapInArrow(deal, "bucket int, block binary")
-    answers = blocks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "bucket int, pack string, found binary")
+    answers = dealt(table, n).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "bucket int, pack string, found binary")
     found = answers.groupBy("pack").agg(F.collect_list(F.struct("bucket", "found")).alias("found"))
     # A broadcast of the answers would go through the driver.
     return packs.join(found.hint("merge"), "pack", "left").select("records", "found").mapInArrow(apply, schema)
@@ -440,7 +460,7 @@ class PairParts:
             whole = len(self.ranges) == 1
             yield (self.classes if whole else self.classes.filter(own)).toArrow().sort_by("class"), self.pairs if whole else self.pairs.filter(own)
 
-    def through(self, rows: DataFrame, own: tuple[pa.Table, DataFrame], make: Callable[[Part], Callable], schema: T.StructType | str) -> DataFrame:
+    def through(self, rows: DataFrame | Packs, own: tuple[pa.Table, DataFrame], make: Callable[[Part], Callable], schema: T.StructType | str) -> DataFrame:
         """``rows`` through ``make(part)`` for the classes of one pass."""
         classes, pairs = own
         return looked_up(rows, pairs, lambda found: make(Part(classes, found)), schema, "terms", self.most)

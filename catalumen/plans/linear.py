@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalumen.functions import text
-from catalumen.operators import fusion, linear, metrics, ranking, textmodel
+from catalumen.operators import fusion, linear, metrics, ranking, termparts, textmodel
 from catalumen.operators.linear import RIDGE, fit_linear
 from catalumen.plans.base import query, r6, split_of, sql_split, table, text_table
 from catalumen.plans.multiview import PERMUTATION_SEED, sql_metrics
@@ -131,10 +133,11 @@ def joined_rows(spark, sf_dir) -> DataFrame:
     """
     docs = text_table(spark, sf_dir, "documents", "doc_id", "lang", "text").filter(
         (split_of("doc_id") == "train") & F.col("lang").isNotNull())
-    source = cut_lineage(textmodel.sparse_rows(docs, "doc_id", text.word_tokens(F.col("text")), keep=["lang"]), "sparse-rows")
-    counts = textmodel.exploded(source)
+    # Texts are tokenised once, into packs; pairs of a term and a language are counted in blocks where they lie.
+    source = termparts.Packs(docs.select("doc_id", "lang", text.word_tokens(F.col("text")).alias("terms")), made=partial(textmodel.counted, with_bigrams=False))
+    counts = cut_lineage(termparts.term_totals(source, "lang").withColumnRenamed("total_tf", "tf"), "source-counts")
     known = cut_lineage(textmodel.vocabulary(source, 2), "source-terms")
-    frozen = textmodel.NaiveBayes(known, *textmodel.fit_naive_bayes(counts, known, source, "lang"))
+    frozen = textmodel.NaiveBayes(known, *textmodel.fit_naive_bayes(counts, known, docs.select("lang"), "lang"))
 
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 1_000 + F.col("turn")).withColumn("split", split_of("k"))
     rows = cut_lineage(textmodel.sparse_rows(turns, "k", text.word_tokens(F.col("text")), keep=["role", "split"]), "turn-rows")

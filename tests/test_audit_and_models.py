@@ -358,6 +358,24 @@ def test_buckets_of_terms_are_even_whatever_their_length():
         assert (termparts._buckets(terms.slice(5), 8) == termparts._buckets(terms, 8)[5:]).all()
 
 
+def test_terms_are_counted_by_a_column_of_their_records(spark, monkeypatch):
+    """Pairs of a term and a class are counted in packs, not as a row for each record and term."""
+    from functools import partial
+
+    monkeypatch.setattr(termparts, "PACKED", 40)
+    monkeypatch.setattr(termparts, "MERGED", 30)
+    docs = [(i, ["x", "y", None][i % 3], f"w{i % 9} w{i % 4} w{i % 4}" if i % 7 else None, "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(docs, "id long, label string, t string, side string").repartition(3)
+    packs = termparts.Packs(df.select("id", "label", "side", text.space_tokens(F.col("t")).alias("terms")), made=partial(textmodel.counted, with_bigrams=False))
+    own = [(label, t) for _, label, t, side in docs if side == "a" and t]
+    tf = Counter((w, label) for label, t in own for w in t.split())
+    df = Counter((w, label) for label, t in own for w in set(t.split()))
+    got = {(r["term"], r["label"]): (r["df"], r["total_tf"]) for r in termparts.term_totals(packs.where("side", "a"), "label").collect()}
+    assert got == {k: (df[k], n) for k, n in tf.items()}
+    alone = {r["term"]: r["total_tf"] for r in textmodel.vocabulary(packs.where("side", "a")).collect()}
+    assert alone == Counter(w for _, t in own for w in t.split())
+
+
 def test_long_terms_are_not_shipped(spark, monkeypatch):
     """Few rows can hold much text: the driver's share is bounded in bytes as well."""
     df = spark.createDataFrame([(i, " ".join(f"{j % 10}" * 40 for j in range(i, i + 3))) for i in range(30)], "id long, t string").repartition(2)

@@ -122,6 +122,25 @@ def test_weights_stay_out_of_the_driver(spark, monkeypatch):
     assert max(len(t) for t in sent if "term" in t.column_names) <= 20
 
 
+def test_gradients_are_added_up_in_blocks(spark, monkeypatch):
+    """A row for each pack, class and term is not exchanged as such; records are packed once for all rounds."""
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 12)) * (rng.random((60, 12)) < 0.5)
+    rows = sparse(spark, x, [f"t{j:02d}" for j in range(12)], range(60), [f"c{i % 3}" for i in range(60)])
+    plans, write = {}, linear.cut_lineage
+
+    def planned(df, purpose="stage"):
+        plans.setdefault(purpose, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, purpose)
+
+    for module in (linear, termparts):
+        monkeypatch.setattr(module, "cut_lineage", planned)
+    linear.fit_linear(rows, "label", rounds=3, per_part=10)
+    assert len(plans["linear-weights"]) == 3 and len(plans["packs"]) == 2
+    assert all("FlatMapGroupsInArrow" in p and "HashAggregate" not in p.split("FlatMapGroupsInArrow")[0] for p in plans["linear-weights"])
+    assert not any("Generate" in p for p in plans["linear-scales"])
+
+
 def test_pulls_are_added_up_in_bounded_runs(monkeypatch):
     """Records of many entries that push at many classes at once."""
     import pyarrow as pa
