@@ -167,7 +167,8 @@ def _gradient(part: termparts.Part, share: float):
             pair, g = _added(keys, sums)
             zeros = pa.array(np.zeros(len(pair)))
             yield pa.RecordBatch.from_arrays(
-                [part.names.take(pa.array(pair % len(labels))), coded.dictionary.take(pa.array(pair // len(labels))).cast(pa.string()), zeros, zeros, pa.array(g)],
+                [pa.DictionaryArray.from_arrays(pa.array((pair % len(labels)).astype(np.int32)), part.names),
+                 pa.DictionaryArray.from_arrays(pa.array((pair // len(labels)).astype(np.int32)), coded.dictionary.cast(pa.string())), zeros, zeros, pa.array(g)],
                 ["class", "term", "w", "weight", "g"])
 
     return run

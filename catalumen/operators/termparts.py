@@ -159,6 +159,8 @@ def _table(blob: bytes) -> pa.Table:
 
 def _buckets(terms: pa.Array, n: int) -> np.ndarray:
     """An even bucket for each term, by its length and four windows of eight bytes, which cover up to 32 bytes."""
+    if isinstance(terms, pa.DictionaryArray):
+        return _buckets(terms.dictionary, n)[terms.indices.to_numpy()]
     terms = terms.cast(pa.large_binary())
     if not len(terms):
         return np.zeros(0, np.int64)
@@ -180,7 +182,7 @@ def _buckets(terms: pa.Array, n: int) -> np.ndarray:
 
 
 def _dealt(terms: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of distinct terms by their bucket, in their order."""
+    """The places of terms by their bucket, in their order."""
     bucket = _buckets(terms, n)
     # Small whole numbers are sorted by radix.
     order = np.argsort(bucket.astype(np.uint16) if n <= 65_536 else bucket, kind="stable")
@@ -198,10 +200,20 @@ def _blocks(rows: pa.Table, n: int) -> Iterator[tuple[int, bytes]]:
         rows = rows.take(pa.array(np.concatenate([at for _, at in dealt]))).combine_chunks()
     start = 0
     for bucket, at in dealt:
-        yield bucket, _blob(rows.slice(start, len(at)))
+        yield bucket, _blob(_own_codes(rows.slice(start, len(at))))
         start += len(at)
 
 
+def _own_codes(block: pa.Table) -> pa.Table:
+    """A block whose coded columns hold its own texts alone."""
+    for nth, field in enumerate(block.schema):
+        if pa.types.is_dictionary(field.type):
+            held = block.column(nth).combine_chunks()
+            own, code = np.unique(held.indices.to_numpy(), return_inverse=True)
+            block = block.set_column(nth, field.name, pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), held.dictionary.take(pa.array(own))))
+    return block
+
+
 def _runs(blobs: Iterable[pa.Scalar]) -> Iterator[list[pa.Table]]:
     """Blobs as tables, some at a time: up to ``MERGED`` rows, or one blob."""
     held, n = [], 0
@@ -268,8 +280,16 @@ def dealt_rows(rows: pa.Table | pa.RecordBatch, n: int) -> pa.RecordBatch:
 
 
 def dealt(table: DataFrame, n: int) -> DataFrame:
-    """A table with terms as ``BLOCKS``."""
-    return table.mapInArrow(lambda batches: (dealt_rows(b, n) for b in batches), BLOCKS)
+    """A table with terms as ``BLOCKS``; where it names classes as well, both come many times and are coded."""
+    texts = [f.name for f in table.schema if isinstance(f.dataType, T.StringType)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = texts if len(texts) > 1 else []
+            columns = {c: batch.column(c).cast(pa.string()).dictionary_encode() if c in code else batch.column(c) for c in batch.schema.names}
+            yield dealt_rows(pa.table(columns), n)
+
+    return table.mapInArrow(deal, BLOCKS)
 
 
 def summed(blocks: DataFrame, keys: list[str], schema: T.StructType | str) -> DataFrame:
@@ -278,11 +298,11 @@ def summed(blocks: DataFrame, keys: list[str], schema: T.StructType | str) -> Da
     def add(group: pa.Table) -> pa.Table:
         whole: list[pa.Table] = []
         for some in _runs(x for chunk in group.column("block").chunks for x in chunk):
-            rows = pa.concat_tables([*whole, *some], promote_options="default")
+            rows = pa.concat_tables([*whole, *some], promote_options="default").unify_dictionaries()
             values = [c for c in rows.column_names if c not in keys]
             names, rows = rows.column_names, rows.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in values])
             whole = [rows.rename_columns([c.removesuffix("_sum") if c not in keys else c for c in rows.column_names]).select(names)]
-        return whole[0]
+        return pa.table({c: v.cast(pa.string()) if pa.types.is_dictionary(v.type) else v for c, v in zip(whole[0].column_names, whole[0].columns)})
 
     return blocks.groupBy("bucket").applyInArrow(add, schema)
 
